@@ -71,7 +71,7 @@ def unit_hash(*parts: Column) -> Column:
 
 
 def half_life_decay(age: Column, half_life: float) -> Column:
-    return F.exp(F.greatest(age, F.lit(0.0)) * (-math.log(2) / half_life))
+    return F.exp(F.when(age < 0, 0.0).otherwise(age) * (-math.log(2) / half_life))
 
 
 def strategy(evidence: Column | str) -> Column:

@@ -180,8 +180,8 @@ def history_features(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int)
         "category_positive_count": log1p_tenths("c_pos"),
         "category_negative_count": log1p_tenths("c_neg"),
         "category_interaction_count": log1p_tenths("c_w"),
-        "days_since_last_category_interaction": F.coalesce(
-            F.least(F.lit(365.0), (now - c("c_last")) / float(DAY_US)), F.lit(0.0)),
+        "days_since_last_category_interaction": F.when(
+            c("c_last").isNotNull(), F.least(F.lit(365.0), (now - c("c_last")) / float(DAY_US))).otherwise(0.0),
         "has_creator_history": (c("k_w") > 0).cast("int"),
         "creator_interaction_count": log1p_tenths("k_w"),
         "creator_completion_rate": ratio(c("k_done"), c("k_w")),

@@ -108,9 +108,22 @@ scored AS (
          l_linestatus AS category, l_extendedprice AS price, l_quantity AS quantity
   FROM lineitem)"""
 
+LIVE_LOG = """
+live_log AS (
+  SELECT CAST(e.event_id AS VARCHAR) AS event_id, CAST(e.user_id AS VARCHAR) AS user_id, 'stream-' || c.category AS content_id,
+    c.creator_id, c.category,
+    CASE e.event_type WHEN 'view' THEN CASE WHEN e.value >= 60 THEN 'LIVE_LIKED' ELSE 'LIVE_WATCHED' END
+      WHEN 'click' THEN 'LIVE_JOINED' WHEN 'signup' THEN 'LIVE_LEFT'
+      WHEN 'purchase' THEN CASE WHEN e.value >= 100 THEN 'LIVE_GIFT_SENT' ELSE 'LIVE_IMPRESSION' END
+      ELSE CASE WHEN e.value >= 100 THEN 'LIVE_NOT_INTERESTED' ELSE 'LIVE_IMPRESSION' END END AS event_type,
+    CASE WHEN e.event_type = 'view' OR (e.event_type = 'signup' AND e.value < 20) THEN e.value END AS watch_time_seconds,
+    FALSE AS liked, FALSE AS shared, (e.event_type = 'purchase' AND e.value BETWEEN 50 AND 60) AS commented,
+    (e.event_type = 'click' AND e.value >= 150) AS creator_followed, epoch_us(e.ts) AS ts_us, e.event_id AS id
+  FROM events e JOIN contents c ON c.content_id = json_extract_string(e.props, '$.k'))"""
+
 _NEEDS = {
     "CONTENTS": (), "RAW": ("CONTENTS",), "INTERACTIONS": ("RAW",), "SIG": ("INTERACTIONS",), "WEIGHTED": ("SIG",),
-    "TOKENS": ("CONTENTS",), "DEMOGRAPHICS": (), "SCORED": (),
+    "TOKENS": ("CONTENTS",), "DEMOGRAPHICS": (), "SCORED": (), "LIVE_LOG": ("CONTENTS",),
 }
 
 

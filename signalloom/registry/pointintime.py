@@ -150,7 +150,7 @@ hist AS (SELECT *, {affinity("c_raw / 10.0")} AS category_affinity, {affinity("r
     round(ln(1 + u_w / 10.0), 6) AS user_total_interaction_count, popularity_score AS content_popularity_score,
     round(least(8760.0::DOUBLE, greatest(0.0::DOUBLE, (ts_us - created_us) / 3.6e9)), 6) AS content_age_hours,
     CAST(extract('hour' FROM make_timestamp(ts_us)) AS BIGINT) AS hour_of_day,
-    round(coalesce(least(365.0::DOUBLE, (ts_us - c_last) / 8.64e10), 0), 6) AS days_since_last_category_interaction,
+    round(CASE WHEN c_last IS NULL THEN 0 ELSE least(365.0::DOUBLE, (ts_us - c_last) / 8.64e10) END, 6) AS days_since_last_category_interaction,
     round(ln(1 + c_rej), 6) AS category_explicit_rejection_count,
     round(coalesce(exp(-ln(2.0) / 30 * (ts_us - c_last_rej) / 8.64e10), 0), 6) AS recent_explicit_rejection_strength
   FROM hist0)"""

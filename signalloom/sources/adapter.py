@@ -89,6 +89,29 @@ def video_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(spark, sf_dir).where(F.col("content_type") != "LIVE")
 
 
+def live_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event read as LIVE activity: one stream per category, so sessions have several events."""
+    e = table(spark, sf_dir, "events")
+    c = contents(spark, sf_dir).select("content_id", "creator_id", "category")
+    t, v = F.col("e_type"), F.col("value")
+    e = e.select(
+        "event_id", "user_id", F.col("event_type").alias("e_type"), "value",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        F.get_json_object("props", "$.k").alias("content_id"),
+    )
+    return e.join(c, "content_id").select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("user_id"),
+        F.concat(F.lit("stream-"), "category").alias("content_id"), "creator_id", "category",
+        F.when(t == "view", F.when(v >= 60, "LIVE_LIKED").otherwise("LIVE_WATCHED"))
+        .when(t == "click", "LIVE_JOINED").when(t == "signup", "LIVE_LEFT")
+        .when(t == "purchase", F.when(v >= 100, "LIVE_GIFT_SENT").otherwise("LIVE_IMPRESSION"))
+        .otherwise(F.when(v >= 100, "LIVE_NOT_INTERESTED").otherwise("LIVE_IMPRESSION")).alias("event_type"),
+        F.when((t == "view") | ((t == "signup") & (v < 20)), v).alias("watch_time_seconds"),
+        F.lit(False).alias("liked"), F.lit(False).alias("shared"), ((t == "purchase") & v.between(50, 60)).alias("commented"),
+        ((t == "click") & (v >= 150)).alias("creator_followed"), "ts_us", F.col("event_id").alias("id"),
+    )
+
+
 def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer: region (names over eight characters become NULL) and age bucket."""
     from ..functions import scalars
