@@ -143,8 +143,7 @@ def scenario_of(user: Column, prefixes: Sequence[tuple[str, str]] = tuple(SCENAR
 def dataset_diagnostics(labelled: DataFrame) -> DataFrame:
     """Label balance, negative/positive breakdown, uniques and age buckets against the newest row."""
     t, us = F.col("target"), F.col("ts_us")
-    newest = labelled.agg(F.max("ts_us").alias("_max"))
-    rows = labelled.join(F.broadcast(newest), us <= F.col("_max"))
+    rows = labelled.withColumn("_max", labelled.agg(F.max("ts_us")).scalar())
     age = F.col("_max") - us
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     session, month = 30 * 60_000_000, 30 * 86_400_000_000
@@ -165,10 +164,7 @@ def dataset_diagnostics(labelled: DataFrame) -> DataFrame:
 
 def category_distribution(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(F.broadcast(total), F.col("n") <= F.col("_t")).select(
-        "category", F.round(F.col("n") / F.col("_t"), 4).alias("share")
-    )
+    return counts.select("category", F.round(F.col("n") / counts.agg(F.sum("n")).scalar(), 4).alias("share"))
 
 
 def class_distribution(rows: DataFrame, label: str = "target") -> DataFrame:
@@ -199,9 +195,6 @@ def stratified_downsample(rows: DataFrame, per_class: int, label: str = "target"
     picked = top_n(labelled, [label], [hashed, F.asc("event_id")], per_class)
     sizes = labelled.agg(*[F.sum((F.col(label) == v).cast("long")).alias(f"_c{v}") for v in (0, 1)])
     short = (F.coalesce(F.col("_c0"), F.lit(0)) < per_class) | (F.coalesce(F.col("_c1"), F.lit(0)) < per_class)
-    checked = sizes.select(F.when(short, F.raise_error(F.lit("class smaller than the requested sample")))
-                           .otherwise(F.lit(True)).cast("boolean").alias("_ok"))
-    return (
-        rows.where(F.col(label).isNull())
-        .unionByName(picked.join(F.broadcast(checked), F.col("_ok")).drop("_ok"))
-    )
+    failed = F.raise_error(F.lit("class smaller than the requested sample"))
+    enough = sizes.select(F.when(short, failed).otherwise(F.lit(True)).cast("boolean")).scalar()
+    return rows.where(F.col(label).isNull()).unionByName(picked.where(enough))

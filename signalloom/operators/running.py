@@ -64,7 +64,7 @@ def prior_state(
     at: str,
     families: Sequence[Family],
     *,
-    tie_break: Sequence[str] = ("event_id",),
+    tie_break: Sequence[str | Column] = ("event_id",),
     heavy: DataFrame | None | str = "detect",
     heavy_rows: int = HEAVY_ROWS,
     co_partitioned: bool = False,
@@ -111,10 +111,10 @@ def prior_state(
     return stream.select(*[c for c in out_cols if c not in names], *names)
 
 
-def _carry_rows(hot: DataFrame, base: Sequence[str], at: str, fam: Family, tie_break: Sequence[str]) -> DataFrame:
+def _carry_rows(hot: DataFrame, base: Sequence[str], at: str, fam: Family, tie_break: Sequence[str | Column]) -> DataFrame:
     """One row per (key, slice) of the heavy keys that holds the state at the slice's start."""
     keys = [*base, *fam.keys]
-    order = F.struct(at, *tie_break)
+    order = F.struct(at, *tie_break) if fam.lasts else None
     aggs = [F.sum(f"{n}#").alias(f"{n}#") for n in fam.sums]
     aggs += [F.max(f"{n}#").alias(f"{n}#") for n in fam.maxs]
     aggs += [F.max_by(f"{n}#", F.when(F.col(f"{n}#").isNotNull(), order)).alias(f"{n}#") for n in fam.lasts]
@@ -130,28 +130,9 @@ def _carry_rows(hot: DataFrame, base: Sequence[str], at: str, fam: Family, tie_b
     )
 
 
-def ordered_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Column,
-    order: Sequence[Column | str],
-    sums: Mapping[str, Column],
-) -> DataFrame:
-    """Inclusive running sums in ``order`` within ``keys`` (possibly none: a global running sum).
-
-    ``bucket`` slices the order axis; slices are summed first, their running totals (one small row
-    per slice) joined back, so no task ever holds more than one slice.
-    """
-    work = df.withColumn("_b", bucket)
-    part = [*keys, "_b"]
-    totals = work.groupBy(*part).agg(*[F.sum(e).alias(f"{n}#") for n, e in sums.items()])
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    w = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*part, *[F.coalesce(F.sum(f"{n}#").over(w), F.lit(0)).alias(f"{n}#") for n in sums])
-    inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = work.select("*", *[F.sum(e).over(inner).alias(n) for n, e in sums.items()])
-    joined = rows.join(carry, part)
-    return joined.withColumns({n: F.col(n) + F.col(f"{n}#") for n in sums}).drop("_b", *[f"{n}#" for n in sums])
+def one_row(df: DataFrame) -> Column:
+    """The only row of an aggregate as a scalar-subquery struct."""
+    return df.select(F.struct("*").alias("_row")).scalar()
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:

@@ -27,10 +27,9 @@ def recent_global(df: DataFrame, n: int = DRIFT_ROWS) -> DataFrame:
 
 def warmup_before(df: DataFrame, window: DataFrame, n: int = WARMUP_ROWS) -> DataFrame:
     """Newest rows of the window's users strictly before its first (ts, id)."""
-    first = window.agg(F.min(F.struct("ts_us", "id")).alias("_first"))
+    first = window.agg(F.min(F.struct("ts_us", "id"))).scalar()
     users = window.select("user_id").distinct()
-    earlier = df.join(F.broadcast(first), F.struct(df["ts_us"], df["id"]) < F.col("_first"), "inner").drop("_first")
-    return recent_global(earlier.join(users, "user_id", "left_semi"), n)
+    return recent_global(df.where(F.struct("ts_us", "id") < first).join(users, "user_id", "left_semi"), n)
 
 
 def content_engagement(df: DataFrame) -> DataFrame:
