@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drift, features
-from ..sources import adapter, scans
+from ..operators import drift, live
+from ..plans import drift_job
+from ..sources import adapter
 from .base_sql import with_ctes
 
 NUM, CAT = ["value", "hour"], ["event_type", "user_id"]
@@ -63,18 +64,23 @@ def baseline_validation(spark, d):
 def drift_from_recent(spark, d):
     """Features of the newest rows, primed by warm-up rows, against the baseline of the training rows before them."""
     rows, contents = adapter.interactions(spark, d), adapter.contents(spark, d)
-    recent = scans.recent_global(rows)
-    video = recent.where(F.col("content_type") != "LIVE")
-    observed = features.with_warmup(video, scans.warmup_before(rows, recent), contents)
-    early = features.training_dataset(rows.where(F.col("ts_us") < adapter.DECISION_US), contents)
-    base = drift.build_baseline(early, features.NUMERIC, features.CATEGORICAL)
-    return drift.evaluate_drift(base, observed, features.NUMERIC, features.CATEGORICAL).select("kind", "feature", "status", "observed_count", "psi")
+    base = drift_job.training_baseline(rows.where(F.col("ts_us") < adapter.DECISION_US), contents)
+    return drift_job.drift_from_recent(rows, contents, base).select("kind", "feature", "status", "observed_count", "psi")
+
+
+def drift_from_observations(spark, d):
+    """LIVE feature rows after the decision moment against a baseline of those before it."""
+    rows = live.live_dataset(adapter.live_log(spark, d))
+    early, late = rows.where(F.col("ts_us") < adapter.DECISION_US), rows.where(F.col("ts_us") >= adapter.DECISION_US)
+    base = drift.build_baseline(early, live.LIVE_NUMERIC, live.LIVE_CATEGORICAL)
+    out = drift_job.drift_of(late, base, live.LIVE_NUMERIC, live.LIVE_CATEGORICAL)
+    return out.select("kind", "feature", "status", "observed_count", "psi")
 
 
 QUERIES = {
     "numeric_baseline": numeric_baseline, "categorical_baseline": categorical_baseline, "numeric_drift": numeric_drift,
     "categorical_drift": categorical_drift, "evaluate_drift": evaluate_drift, "baseline_validation": baseline_validation,
-    "drift_from_recent": drift_from_recent,
+    "drift_from_recent": drift_from_recent, "drift_from_observations": drift_from_observations,
 }
 
 _BASE = f"""
@@ -85,7 +91,7 @@ cat AS (SELECT late, 'event_type' AS feature, event_type AS v FROM src UNION ALL
 nb AS (SELECT feature, count(*) AS n, count(*) - count(v) AS miss, min(v) AS mn, max(v) AS mx, avg(v) AS mean, stddev_pop(v) AS sd,
     quantile_cont(v, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM num WHERE NOT late GROUP BY 1),
 nbin AS (SELECT feature, i, count(v) FILTER (WHERE NOT late AND b = i) AS p, count(v) FILTER (WHERE late AND b6 = i) AS o
-  FROM (SELECT num.*, len(list_filter(e, x -> x < v)) AS b, len(list_filter(e, x -> round(x, 6) < v)) AS b6 FROM num JOIN nb USING (feature)), range(10) t(i) GROUP BY 1, 2),
+  FROM (SELECT num.*, len(list_filter(e, lambda x: x < v)) AS b, len(list_filter(e, lambda x: round(x, 6) < v)) AS b6 FROM num JOIN nb USING (feature)), range(10) t(i) GROUP BY 1, 2),
 ntot AS (SELECT feature, sum(p) AS tp, sum(o) AS tob FROM nbin GROUP BY 1),
 npsi AS (SELECT feature, sum((greatest(o / tob, 1e-4) - greatest(round(p / tp, 6), 1e-4)) * ln(greatest(o / tob, 1e-4) / greatest(round(p / tp, 6), 1e-4))) AS psi
   FROM nbin JOIN ntot USING (feature) GROUP BY 1),
@@ -110,7 +116,7 @@ cdrift AS (SELECT feature, psi, js, oc, abs(om / oc - miss / n) AS mrd, ord FROM
 _S = "CASE WHEN {0} >= {2} THEN 2 WHEN {0} >= {1} THEN 1 ELSE 0 END"
 _N = "['OK','WARNING','CRITICAL'][1 + greatest(" + ", ".join([_S.format("psi", 0.1, 0.25), _S.format("mrd", 0.1, 0.25), _S.format("orr", 0.05, 0.2)]) + ")]"
 _C = "['OK','WARNING','CRITICAL'][1 + greatest(" + ", ".join([_S.format("psi", 0.1, 0.25), _S.format("mrd", 0.1, 0.25), _S.format("ord", 0.05, 0.2)]) + ")]"
-_J = "array_to_string(list_transform({0}, x -> format('{{:.4f}}', x)), '|') AS {1}"
+_J = "array_to_string(list_transform({0}, lambda x: format('{{:.4f}}', x)), '|') AS {1}"
 ORACLE = {
     "numeric_baseline": "WITH " + _BASE + f"""
         SELECT feature, n AS count, miss AS missing, round(mn, 6) AS min, round(mx, 6) AS max, round(mean, 6) AS mean, round(sd, 6) AS std,
