@@ -343,3 +343,130 @@ def score_time_features(history: DataFrame, candidates: DataFrame, contents: Dat
     past = history.where(F.col("ts_us") < now_us).join(users, "user_id", "left_semi")
     rows = past.withColumns({"emit": F.lit(False), "contributes": F.lit(True)}).unionByName(probes, allowMissingColumns=True)
     return feature_rows(rows, contents, **kw)
+
+
+# --- state at the end of a history, and nested profile snapshots ----------------------------------
+
+def final_state(rows: DataFrame, contents: DataFrame, *, heavy_rows: int = HEAVY_ROWS) -> dict[str, DataFrame]:
+    """What a whole history adds up to per key (plain aggregations): category, creator and token tables.
+
+    Recent sums are taken over the thirty days before the user's own last event.
+    """
+    heavy = heavy_keys(rows, ["user_id"], "ts_us", heavy_rows)
+    slim = rows.drop("content_type", "id", "content_duration_seconds", "watch_time_seconds", "content_pending")
+    prepared = cut_lineage(prepare(slim, contents, heavy, heavy_rows))
+    tstate = token_state(prepared, heavy, heavy_rows)
+    repeat = tstate.groupBy("user_id", "event_id").agg(
+        F.max((F.col("rejected") & (F.col("o_w") > 0) & (F.col("o_neg") > F.col("o_pos"))).cast("int")).alias("repeat_rejection"))
+    w, c = F.col("w10"), F.col
+    j = prepared.drop("_tokens").join(repeat, ["user_id", "event_id"], "left")
+    last = prepared.groupBy("user_id").agg(F.max("ts_us").alias("_last"))
+    penalty = F.when(F.coalesce("repeat_rejection", F.lit(0)) == 1, -10 * signals.REPEAT_REJECTION_PENALTY).otherwise(-10 * signals.EXPLICIT_REJECTION_PENALTY)
+    j = j.withColumn("_d", F.when(c("rejected"), penalty).otherwise(c("base_delta") * w)).join(last, "user_id")
+    category = j.groupBy("user_id", "category").agg(
+        F.sum("_d").alias("raw10"), F.sum(F.when(c("_last") - c("ts_us") <= RECENT_US, c("_d")).otherwise(0)).alias("recent10"),
+        F.sum("w10").alias("w10"), F.sum(F.when(c("target") == 1, w).otherwise(0)).alias("pos10"),
+        F.sum(F.when(c("target") == 0, w).otherwise(0)).alias("neg10"), F.max("ts_us").alias("last_us"))
+    creator = prepared.groupBy("user_id", "creator_id").agg(
+        F.sum("w10").alias("w10"), F.sum(w * c("completed").cast("long")).alias("done10"), F.max(c("sig_followed").cast("int")).alias("followed"))
+    token = prepared.select("user_id", "rejected", "base_delta", "target", "w10", F.explode("_tokens").alias("t")).groupBy(
+        "user_id", c("t.field").alias("field"), c("t.token").alias("token")).agg(
+        F.sum(F.when(c("rejected"), F.lit(-10 * signals.TOKEN_REJECTION_PENALTY)).otherwise(c("base_delta") * w)).alias("raw10"),
+        F.sum("w10").alias("w10"), F.sum(F.when(c("target") == 1, w).otherwise(0)).alias("pos10"),
+        F.sum(F.when(c("target") == 0, w).otherwise(0)).alias("neg10"), F.sum(c("rejected").cast("long")).alias("rejections"))
+    return {"category": category, "creator": creator, "token": token}
+
+
+def explode_snapshot(profiles: DataFrame) -> dict[str, DataFrame]:
+    """Nested profile snapshots as per-category, per-creator, per-token and per-watch-event tables."""
+    cats = profiles.select("user_id", F.inline("categories")).withColumn("category", F.upper("category"))
+    return {
+        "category": cats.drop("recent_watch_events"),
+        "watch": cats.select("user_id", "category", F.inline("recent_watch_events")),
+        "creator": profiles.select("user_id", F.inline("creators")),
+        "token": profiles.select("user_id", F.inline("semantic_affinities")),
+        "followed": profiles.select("user_id", F.explode("followed_creator_ids").alias("creator_id")).distinct(),
+        "seen": profiles.select("user_id", F.explode("seen_content_ids").alias("content_id")).distinct(),
+        "user": profiles.select("user_id", "total_interaction_count"),
+    }
+
+
+def snapshot_violations(profiles: DataFrame) -> DataFrame:
+    """(user_id, violation) for counts that exceed their total and for repeated keys."""
+    over = lambda arr, f: F.coalesce(F.exists(arr, f), F.lit(False))
+    twice = lambda a: F.coalesce(F.size(F.array_distinct(a)) < F.size(a), F.lit(False))
+    n = lambda s: s["interaction_count"]
+    rules = {
+        "CATEGORY_COUNT": over("categories", lambda s: (s["positive_count"] > n(s)) | (s["negative_count"] > n(s)) | (s["completed_count"] > n(s)) | (s["watch_count"] > n(s))),
+        "CATEGORY_LABELS": over("categories", lambda s: s["positive_count"] + s["negative_count"] > n(s)),
+        "CATEGORY_EXPLICIT": over("categories", lambda s: s["explicit_negative_count"] > s["negative_count"]),
+        "CREATOR_COUNT": over("creators", lambda s: s["completed_count"] > n(s)),
+        "TOKEN_COUNT": over("semantic_affinities", lambda s: (s["positive_count"] + s["negative_count"] > n(s)) | (s["explicit_negative_count"] > s["negative_count"])),
+        "DUPLICATE_CATEGORY": twice(F.transform("categories", lambda s: F.upper(s["category"]))),
+        "DUPLICATE_CREATOR": twice(F.transform("creators", lambda s: s["creator_id"])),
+        "DUPLICATE_TOKEN": twice(F.transform("semantic_affinities", lambda s: F.struct(s["field"], s["token"]))),
+        "DUPLICATE_FOLLOWED": twice(F.col("followed_creator_ids")), "DUPLICATE_SEEN": twice(F.col("seen_content_ids")),
+    }
+    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
+    return profiles.select("user_id", F.explode(found).alias("violation"))
+
+
+def snapshot_features(profiles: DataFrame, candidates: DataFrame, contents: DataFrame, now_us: int) -> DataFrame:
+    """Features of (user, content) candidates from nested profile snapshots, same columns as from events."""
+    s, now = explode_snapshot(profiles), F.lit(now_us).cast("long")
+    us = lambda c: F.unix_micros(c)
+    base = candidates.select(
+        "user_id", "content_id", "creator_id", F.upper("category").alias("category"), F.concat_ws(":", F.lit("probe"), "user_id", "content_id").alias("event_id"),
+        now.alias("ts_us")).join(contents.select("content_id", "popularity_score", "created_us", tokens.token_fields().alias("_tokens")), "content_id", "left")
+    t = s["token"]
+    long = lambda c: F.coalesce(F.col(c), F.lit(0)) * 10
+    tok = base.select("user_id", "event_id", F.explode("_tokens").alias("_t")).select("user_id", "event_id", "_t.*").join(t, ["user_id", "field", "token"], "left").select(
+        "user_id", "event_id", "field", "pos", "token", (F.coalesce("raw_affinity_score", F.lit(0.0)) * 10).alias("t_raw"), long("positive_count").alias("t_pos"),
+        long("negative_count").alias("t_neg"), long("interaction_count").alias("t_w"), F.coalesce("explicit_negative_count", F.lit(0)).alias("t_rej"),
+        F.lit(False).alias("rejected"), F.lit(0).alias("o_w"), F.lit(0).alias("o_neg"), F.lit(0).alias("o_pos"))
+    sem = semantic_features(tok)
+    watch = s["watch"].withColumn("w_us", us(F.col("timestamp")))
+    recent = watch.where((now - F.col("w_us") <= RECENT_US) & F.col("watch_percentage").isNotNull()).groupBy("user_id", "category").agg(
+        F.avg("watch_percentage").alias("_rw"), F.avg(F.col("completed").cast("double")).alias("_rc"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    label = (F.when(flag("not_interested"), 0).when((F.col("watch_percentage") >= 70) | flag("liked") | flag("shared"), 1).when(F.col("watch_percentage") < 20, 0))
+    skip = F.coalesce(F.col("watch_percentage") < 20, F.lit(False)).cast("int")
+    delta = F.when(flag("not_interested"), -signals.SESSION_REJECTION_PENALTY).otherwise(
+        flag("completed").cast("int") * 4 + flag("liked").cast("int") * 3 + flag("shared").cast("int") * 5 - skip * 4)
+    event = F.struct(F.col("w_us").alias("ts_us"), "category", F.col("category").alias("event_id"), delta.alias("session_delta"),
+                     label.alias("session_label"), "watch_percentage", F.lit(10).cast("long").alias("w10"))
+    near = watch.where((now - F.col("w_us") <= SESSION_US) & (F.col("w_us") <= now)).withColumn("_e", event)
+    last = near.withColumn("_rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("_e")))).where(F.col("_rn") <= SESSION_EVENTS)
+    sessions = last.groupBy("user_id").agg(F.array_sort(F.collect_list("_e")).alias("_session"))
+    yes = F.lit(1).alias("_y")
+    j = (
+        base.drop("_tokens").join(sem, ["user_id", "event_id"], "left").fillna(SEMANTIC_DEFAULTS)
+        .join(s["category"].withColumnsRenamed({"interaction_count": "_cn"}), ["user_id", "category"], "left").join(recent, ["user_id", "category"], "left")
+        .join(s["creator"].select("user_id", "creator_id", F.col("interaction_count").alias("_kn"), F.col("completed_count").alias("_kd")), ["user_id", "creator_id"], "left")
+        .join(s["followed"].select("*", F.lit(1).alias("_f")), ["user_id", "creator_id"], "left").join(s["seen"].select("*", yes), ["user_id", "content_id"], "left")
+        .join(s["user"], "user_id", "left").join(sessions, "user_id", "left"))
+    num, zero, c = (lambda x: F.coalesce(F.col(x), F.lit(0))), F.lit(0.0), F.col
+    types = dict(sessions.dtypes)["_session"]
+    f = j.withColumns({
+        "_session": F.coalesce("_session", F.array().cast(types)),
+        "category_affinity": scalars.affinity(F.coalesce("raw_affinity_score", zero)),
+        "recent_category_affinity": scalars.affinity(F.coalesce("recent_raw_affinity_score", zero)),
+        "has_category_history": (num("_cn") > 0).cast("int"),
+        "average_category_watch_percentage": F.coalesce(scalars.ratio_or_zero(c("watch_percentage_sum"), num("watch_count")), zero),
+        "category_completion_rate": F.coalesce(scalars.ratio_or_zero(c("completed_count"), num("watch_count")), zero),
+        "recent_category_watch_percentage": F.coalesce("_rw", zero), "recent_category_completion_rate": F.coalesce("_rc", zero),
+        "category_positive_count": F.log1p(num("positive_count").cast("double")), "category_negative_count": F.log1p(num("negative_count").cast("double")),
+        "category_interaction_count": F.log1p(num("_cn").cast("double")),
+        "days_since_last_category_interaction": F.when(
+            c("last_interaction_at").isNotNull(), F.least(F.lit(365.0), F.greatest(zero, (c("ts_us") - us(c("last_interaction_at"))) / float(DAY_US)))).otherwise(0.0),
+        "has_creator_history": (num("_kn") > 0).cast("int"), "creator_interaction_count": F.log1p(num("_kn").cast("double")),
+        "creator_completion_rate": F.coalesce(scalars.ratio_or_zero(c("_kd"), num("_kn")), zero), "creator_followed": num("_f"), "already_seen": num("_y"),
+        "user_total_interaction_count": F.log1p(num("total_interaction_count").cast("double")),
+        "category_explicit_rejection_count": F.log1p(num("explicit_negative_count").cast("double")),
+        "recent_explicit_rejection_strength": F.coalesce(
+            scalars.half_life_decay((c("ts_us") - us(c("last_explicit_negative_at"))) / float(DAY_US), REJECTION_HALF_LIFE_DAYS), zero),
+        "content_popularity_score": F.greatest(zero, F.least(F.lit(1.0), F.coalesce("popularity_score", F.lit(0.5)))),
+        "content_age_hours": scalars.age_hours(F.coalesce("created_us", "ts_us"), c("ts_us")), "hour_of_day": F.hour(F.timestamp_micros("ts_us")),
+    })
+    return session_features(f).select("user_id", "content_id", "creator_id", *FEATURES, "has_category_history", "category_interaction_count",
+                                      "days_since_last_category_interaction", "has_session_activity")

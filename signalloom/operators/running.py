@@ -46,6 +46,13 @@ def heavy_keys(df: DataFrame, base: Sequence[str], at: str, heavy_rows: int) ->
     return df.sparkSession.createDataFrame(rows, heavy.schema) if rows else None
 
 
+def detect(df: DataFrame, base: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> str | None:
+    """``"detect"`` if some key has more than ``heavy_rows`` rows, else None: the ``heavy`` argument for
+    later states whose rows are a subset of ``df``."""
+    n = df.groupBy(*base).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
+    return "detect" if n.limit(1).collect() else None
+
+
 def add_slice(df: DataFrame, base: Sequence[str], at: str, heavy: DataFrame | None, heavy_rows: int) -> DataFrame:
     """Add ``_b``: 0 for light keys, else the row's slice of its key's own range (and ``_lo, _width``)."""
     if heavy is None:
