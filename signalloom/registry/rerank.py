@@ -42,7 +42,7 @@ _REL = ["rel_search", "rel_social", "rel_session", "rel_context", "rel_interest"
 
 def relevance_signals(spark, d):
     a = rerank.adjust_scores(_scored(spark, d))
-    return a.select("content_id", *[F.round(c, 6).alias(c) for c in _REL], F.round("multiplier", 6).alias("multiplier"), "reason")
+    return a.select("content_id", *[F.round(c, 6).alias(c) for c in _REL], F.round("multiplier", 9).alias("multiplier"), "reason")
 
 
 def adjusted_scores(spark, d):
@@ -133,7 +133,7 @@ _LIVE = """live_c AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey,
     l_partkey AS k, l_quantity AS q FROM lineitem)"""
 _RR = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _REL)
 ORACLE = {
-    "relevance_signals": with_ctes(f"SELECT content_id, {_RR}, round(multiplier, 6) AS multiplier, reason FROM mul", "CONTENTS", extra=_SCORED),
+    "relevance_signals": with_ctes(f"SELECT content_id, {_RR}, round(multiplier, 9) AS multiplier, reason FROM mul", "CONTENTS", extra=_SCORED),
     "adjusted_scores": with_ctes("""
         SELECT user_id, content_id, pre_rank, round(CASE WHEN multiplier = 1 THEN ms ELSE 1 / (1 + exp(-(ln(cp / (1 - cp)) + ln(multiplier)))) END
           * CASE WHEN q % 4 = 0 THEN 0.85 ELSE 1 END * pow(0.96, dup), 9) AS adjusted_score FROM adj""", "CONTENTS", extra=_SCORED),
