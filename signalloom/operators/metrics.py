@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .running import Family, one_row, prior_state, top_n
+from .running import HEAVY_ROWS, Family, detect, one_row, prior_state, top_n
 
 KS = (5, 10)
 EPS = 1e-15
@@ -248,7 +248,7 @@ def activity_cohorts(counts: DataFrame, n: str = "n") -> DataFrame:
     return j.withColumn("cohort", level).drop("_cut")
 
 
-def pairwise_inversions(df: DataFrame) -> DataFrame:
+def pairwise_inversions(df: DataFrame, *, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Per group the pairs that ``p`` and ``p_alt`` order differently, without forming pairs.
 
     Both scorings become ranks; walking in the order of the first, each bit of the second rank
@@ -256,14 +256,17 @@ def pairwise_inversions(df: DataFrame) -> DataFrame:
     running sum, so a group of any size splits. Of tied rows the later row_id ranks first.
     """
     work = df.withColumns({"_a": (F.col("p") * SCALE).cast("long"), "_b2": (F.col("p_alt") * SCALE).cast("long")})
-    a = prior_state(work, ["group_id"], "_a", [Family(ordered=True, sums={"_ra": F.lit(1)})], tie_break=[F.desc("row_id")])
-    b = prior_state(a, ["group_id"], "_b2", [Family(ordered=True, sums={"_rb": F.lit(1)})], tie_break=[F.desc("row_id")])
+    work = work.select("group_id", "row_id", "_a", "_b2")
+    heavy = detect(work, ["group_id"], heavy_rows)
+    kw = {"heavy": heavy, "heavy_rows": heavy_rows}
+    a = prior_state(work, ["group_id"], "_a", [Family(ordered=True, sums={"_ra": F.lit(1)})], tie_break=[F.desc("row_id")], **kw)
+    b = prior_state(a, ["group_id"], "_b2", [Family(ordered=True, sums={"_rb": F.lit(1)})], tie_break=[F.desc("row_id")], co_partitioned=heavy is None, **kw)
     sizes = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
     levels = F.ceil(F.log2(F.greatest(F.lit(2), F.col("size")))).cast("int")
     bits = b.join(sizes, "group_id").withColumn("_level", F.explode(F.sequence(F.lit(0), levels - 1)))
     shifted = F.expr("shiftright(_rb, _level)")
     bits = bits.select("group_id", F.col("_ra").alias("_at"), "_level", (shifted % 2).alias("_bit"), F.floor(shifted / 2).alias("_head"))
-    run = prior_state(bits, ["group_id", "_level"], "_at", [Family(keys=["_head"], sums={"_ones": F.col("_bit")})], tie_break=["_head"])
+    run = prior_state(bits, ["group_id", "_level"], "_at", [Family(keys=["_head"], sums={"_ones": F.col("_bit")})], tie_break=["_head"], **kw)
     inv = run.where("_bit = 0").groupBy("group_id").agg(F.sum("_ones").alias("inversions"))
     pairs = F.col("size") * (F.col("size") - 1) / 2
     return sizes.join(inv, "group_id", "left").select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .profiles import class_distribution
-from .running import Family, prior_state
+from .running import HEAVY_ROWS, Family, detect, prior_state
 
 # Split attempts, widest first; aliases name the split that stands in for a missing one.
 LIFECYCLE = [
@@ -31,6 +31,8 @@ def _global(df: DataFrame, at: str, fam: Family, tie_break: str, **kw) -> DataFr
 def chronological_blocks(df: DataFrame, group: str = "candidate_group", ts: str = "ts_us", **kw) -> DataFrame:
     """Groups with their time range and the block of transitively overlapping ranges they belong to."""
     groups = df.groupBy(group).agg(F.min(ts).alias("min_us"), F.max(ts).alias("max_us"), F.count(F.lit(1)).alias("size"))
+    groups = cut_lineage(groups)
+    kw = {"heavy": detect(groups.withColumn("_one", F.lit(0)), ["_one"], kw.get("heavy_rows", HEAVY_ROWS)), **kw}
     a = _global(groups, "min_us", Family(ordered=True, maxs={"_before": F.col("max_us")}), group, **kw)
     a = a.withColumn("_starts", F.coalesce((F.col("min_us") > F.col("_before")).cast("long"), F.lit(0)))
     b = _global(a, "min_us", Family(ordered=True, sums={"block": F.col("_starts")}), group, **kw)
@@ -42,7 +44,7 @@ def assign_splits(df: DataFrame, ratios: Mapping[str, float], group: str = "cand
     names, running = list(ratios), 0.0
     if abs(sum(ratios.values()) - 1.0) > 1e-6:
         raise ValueError("split ratios must sum to 1")
-    groups = chronological_blocks(df, group, ts, **kw)
+    groups = cut_lineage(chronological_blocks(df, group, ts, **kw))
     blocks = groups.groupBy("block").agg(F.sum("size").alias("rows"), F.min("min_us").alias("min_us"))
     placed = _global(blocks, "min_us", Family(ordered=True, sums={"_earlier": F.col("rows")}), "block", **kw)
     placed = placed.withColumn("_total", blocks.agg(F.sum("rows")).scalar())

@@ -98,6 +98,6 @@ def test_metric_edge_cases(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(3), f"r{n:03d}", rng.randrange(2), rng.randrange(5) / 5, rng.randrange(5) / 5) for n in range(60)]
     r = spark.createDataFrame(rows, "group_id long, row_id string, y int, p double, p_alt double")
-    for x in metrics.pairwise_inversions(r).collect():
+    for x in [*metrics.pairwise_inversions(r).collect(), *metrics.pairwise_inversions(r, heavy_rows=6).collect()]:
         g = sorted((a for a in rows if a[0] == x["group_id"]), key=lambda a: a[1])
         assert x["inversions"] == sum((a[3] < b[3]) != (a[4] < b[4]) for n, a in enumerate(g) for b in g[n + 1:])
