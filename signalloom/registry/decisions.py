@@ -6,7 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import decisions, features
 from ..sources import adapter
-from .base_sql import with_ctes
+from .base_sql import affinity, with_ctes
+from .pointintime import HISTORY, TOKEN_STATE
 
 NOW = adapter.DECISION_US
 
@@ -77,7 +78,8 @@ def snapshot_decisions(spark, d):
                      F.row_number().over(w).alias("rank"), F.row_number().over(w).alias("pre_rank"))
     s = decisions.snapshot(final, f, model_version="v1", ranking_us=NOW, request=F.col("user_id"))
     back = decisions.read_payload(F.col("features"))
-    return s.select("request_id", "content_id", "final_rank", "problem", F.length("features").alias("payload_length"), back["category_affinity"].alias("category_affinity"))
+    return s.select("request_id", "content_id", F.col("final_rank").cast("long").alias("final_rank"), "problem", back["category_affinity"].alias("category_affinity"),
+                    back["category"].alias("category"))
 
 
 def ranking_training_input_checks(spark, d):
@@ -125,6 +127,11 @@ ORACLE = {
         FROM res""", "SIG", extra=_LOG),
     "detect_foreign_rows": with_ctes("""SELECT count(*) FILTER (WHERE liked) AS own, count(*) FILTER (WHERE commented AND NOT liked) AS "foreign",
         count(*) FILTER (WHERE NOT liked AND NOT commented) AS unmarked FROM interactions""", "INTERACTIONS"),
+    "snapshot_decisions": with_ctes(f"""
+        SELECT 'internal-correlation-only:' || user_id AS request_id, content_id, row_number() OVER (PARTITION BY user_id ORDER BY a DESC, content_id) AS final_rank,
+          CAST(NULL AS VARCHAR) AS problem, a AS category_affinity, category
+        FROM (SELECT p.*, coalesce(a, 0.5::DOUBLE) AS a FROM (SELECT DISTINCT user_id, content_id, category FROM weighted) p LEFT JOIN
+          (SELECT user_id, category, {affinity("sum(cd) / 10.0")} AS a FROM delta WHERE ts_us < {NOW} GROUP BY 1, 2) USING (user_id, category))""", "WEIGHTED", "TOKENS", extra=TOKEN_STATE + "," + HISTORY),
     "ranking_training_input_checks": with_ctes("""SELECT relevance, count(*) AS rows FROM res WHERE relevance IS NOT NULL
         AND request_id IN (SELECT request_id FROM grp WHERE reason IS NULL) GROUP BY 1""", "SIG", extra=_LOG),
 }

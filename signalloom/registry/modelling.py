@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import signals
 from ..operators import adaptation, features, live, profiles, quality, training
 from ..plans import recommend as plan
 from ..session import cut_lineage
@@ -151,4 +150,3 @@ ORACLE = {
         counts AS (SELECT creator_id, category, count(*) AS n, sum(count(*)) OVER (PARTITION BY creator_id) AS total FROM newest WHERE pos <= 50 GROUP BY 1, 2),
         prior AS (SELECT content_id, k.category, n / total AS s FROM contents c JOIN counts k ON k.creator_id = c.creator_id)"""),
 }
-_ = signals

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import features, live, metrics, retrieval
 from ..operators.running import top_n
-from ..functions import scalars, signals
+from ..functions import signals
 from ..sources import adapter
 from .base_sql import affinity, with_ctes
+from .pointintime import HISTORY, TOKEN_STATE
 
 NOW = adapter.DECISION_US
 SESSION = 24 * 3_600_000_000
@@ -247,6 +248,22 @@ ORACLE = {
         UNION ALL SELECT c.content_id, 15 + s, round(0.6 * coalesce(v, 0), 9) FROM contents c CROSS JOIN range(32) r(s) LEFT JOIN
           (SELECT content_id, {_h('token', 32)} AS slot, sum({_SIGN.format(t='token')}) AS v FROM (SELECT DISTINCT content_id, token FROM content_tokens) GROUP BY 1, 2) x
           ON x.content_id = c.content_id AND x.slot = s""", "TOKENS"),
+    "user_vector": with_ctes(f"""
+        SELECT user_id, slot, round(value, 9) AS value FROM (
+          SELECT u.user_id, CAST(i AS BIGINT) AS slot, 1.5 * coalesce(a, 0.5) AS value FROM us u CROSS JOIN ({_VALUES}) v LEFT JOIN cat c ON c.user_id = u.user_id AND c.category = v.cat
+          UNION ALL SELECT u.user_id, 6 + i, 1.5 * coalesce(r, 0.5) FROM us u CROSS JOIN ({_VALUES}) v LEFT JOIN cat c ON c.user_id = u.user_id AND c.category = v.cat
+          UNION ALL SELECT u.user_id, 12 + i, coalesce((c.w > 0)::INT, 0) FROM us u CROSS JOIN ({_VALUES}) v LEFT JOIN cat c ON c.user_id = u.user_id AND c.category = v.cat
+          UNION ALL SELECT user_id, 18, least(1, ln(1 + w / 10.0) / 5) FROM us UNION ALL SELECT user_id, 19, p / 10.0 / greatest(1, (p + n) / 10.0) FROM us
+          UNION ALL SELECT user_id, 20, n / 10.0 / greatest(1, (p + n) / 10.0) FROM us UNION ALL SELECT user_id, 21, least(1, ln(1 + k) / 3) FROM us
+          UNION ALL SELECT u.user_id, 22 + s, 0.6 * coalesce(v, 0) FROM us u CROSS JOIN range(32) g(s) LEFT JOIN
+            (SELECT user_id, {_h('token', 32)} AS slot, sum({_SIGN.format(t='token')} * (aff - 0.5)) AS v FROM tk GROUP BY 1, 2) x ON x.user_id = u.user_id AND x.slot = s)""",
+        "WEIGHTED", "TOKENS", extra=TOKEN_STATE + "," + HISTORY + f""",
+        dl AS (SELECT *, max(ts_us) OVER (PARTITION BY user_id) AS last_us FROM delta),
+        cat AS (SELECT user_id, category, {affinity("sum(cd) / 10.0")} AS a, sum(w10) AS w,
+                  {affinity(f"coalesce(sum(cd) FILTER (WHERE last_us - ts_us <= {features.RECENT_US}), 0) / 10.0")} AS r FROM dl GROUP BY 1, 2),
+        us AS (SELECT user_id, sum(w10) AS w, coalesce(sum(w10) FILTER (WHERE target = 1), 0) AS p, coalesce(sum(w10) FILTER (WHERE target = 0), 0) AS n, any_value(k) AS k
+          FROM weighted JOIN (SELECT user_id, count(*) AS k FROM (SELECT user_id, creator_id FROM weighted GROUP BY 1, 2 HAVING sum(w10) > 0) GROUP BY 1) USING (user_id) GROUP BY 1),
+        tk AS (SELECT user_id, field, token, {affinity("sum(td) / 10.0")} AS aff FROM tok GROUP BY 1, 2, 3 HAVING sum(w10) > 0)"""),
     "retrieve_top_k": """SELECT query_id, item_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id,
           round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 10""",
@@ -263,4 +280,3 @@ ORACLE["retrieval_report"] = _RET + """
     FROM p LEFT JOIN r USING (query_id, item_id)"""
 ORACLE["most_retrieved_items"] = _RET + """
     SELECT item_id, count(*) AS times FROM r WHERE rank <= 10 GROUP BY 1 ORDER BY times DESC, item_id LIMIT 10"""
-_ = scalars
