@@ -178,7 +178,7 @@ def bootstrap_intervals(df: DataFrame, threshold: float = 0.5, *, replicates: in
     """2.5/97.5 percentiles of five metrics over Poisson-bootstrap replicates.
 
     Resampling happens per distinct (score, label) cell: the sum of n Poisson(1) row weights is one
-    Poisson(n) draw, so rows are never replicated.
+    Poisson(n) draw, so equal rows are drawn together and only cells are multiplied by the replicates.
     """
     cells = df.groupBy("p", "y").agg(F.count(F.lit(1)).alias("n"))
 
@@ -213,7 +213,7 @@ def evaluate(df: DataFrame, thresholds: DataFrame | None = None, keys: Sequence[
     scored = df.withColumn("_all", F.lit(0)) if keys == ["_all"] else df
     if thresholds is not None and keys == ["_all"]:
         thresholds = thresholds.withColumn("_all", F.lit(0))
-    cut = scored.withColumn("threshold", F.lit(0.5)) if thresholds is None else scored.join(F.broadcast(thresholds), keys)
+    cut = scored.withColumn("threshold", F.lit(0.5)) if thresholds is None else scored.join(thresholds, keys)
     out = classification(cut, F.col("threshold"), keys)
     for part in (threshold_free(scored, keys), ranking_summary(group_metrics(scored, keys), keys)):
         out = out.join(part, keys)

@@ -48,7 +48,7 @@ def behaviour_batch(root: str, contents: DataFrame, now: Column | None = None):
         if stored is not None:
             # A resent event keeps its timestamp, so only the days of this batch can hold it.
             days = parsed.select(F.to_date("timestamp").alias("day")).where("day is not null").distinct()
-            stored = stored.where(F.col("epoch") != epoch).join(F.broadcast(days.limit(4000)), "day", "left_semi")
+            stored = stored.where(F.col("epoch") != epoch).join(days, "day", "left_semi")
         out = ingest.store_events(parsed, contents, stored, F.current_timestamp() if now is None else now)
         accepted = out["accepted"].withColumns({"day": F.to_date("timestamp"), "ts_us": F.unix_micros("timestamp"), "id": F.col("offset")}).persist()
         _write(accepted, f"{root}/interactions", epoch, "day")
