@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import chat, exact, sharding, topk
+from signalloom.llm import bpe, chat, exact, quality, sharding, topk
 from signalloom.llm.common import documents
 
 
+def vocabulary(spark: SparkSession) -> bpe.Vocabulary:
+    return bpe.Vocabulary.of(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(documents(spark, sf_dir), vocabulary(spark))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.scored(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -29,7 +43,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_quality_classifier, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
 
 ORACLE = {
     "op7_exact_dedup": r"""
