@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import bpe, chat, exact, quality, sharding, topk
+from signalloom.llm import bpe, chat, exact, mixing, quality, secretscan, sharding, topk
 from signalloom.llm.common import documents
 
 
@@ -17,11 +17,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), vocabulary(spark))
 
 
+def op3_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir), mixing.quality_domains(documents(spark, sf_dir, "labels")))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.scored(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("n_chars"), "score", "is_secret")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -43,7 +52,8 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_quality_classifier, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (
+    op1_byte_bpe, op3_soft_membership_mixing, op4_quality_classifier, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
 
 ORACLE = {
     "op7_exact_dedup": r"""
