@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import bpe, chat, exact, mixing, quality, secretscan, sharding, topk
+from signalloom.llm import bpe, chat, exact, jaccard, mixing, quality, secretscan, sharding, topk
 from signalloom.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), jaccard.Similarity(n=3, num=9, den=10))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(documents(spark, sf_dir))
     return found.select("doc_id", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("n_chars"), "score", "is_secret")
@@ -53,7 +57,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_bpe, op3_soft_membership_mixing, op4_quality_classifier, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
+    op1_byte_bpe, op3_soft_membership_mixing, op4_quality_classifier, op5_ngram_jaccard, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
 
 ORACLE = {
     "op7_exact_dedup": r"""
