@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import bpe, chat, exact, jaccard, mixing, quality, secretscan, sharding, topk
+from signalloom.llm import bpe, chat, exact, jaccard, mixing, quality, secretscan, sharding, substring, topk
 from signalloom.llm.common import documents
 
 
@@ -17,6 +17,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), vocabulary(spark))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.without_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir), mixing.quality_domains(documents(spark, sf_dir, "labels")))
 
@@ -57,7 +62,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_bpe, op3_soft_membership_mixing, op4_quality_classifier, op5_ngram_jaccard, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
+    op1_byte_bpe, op2_substring_dedup, op3_soft_membership_mixing, op4_quality_classifier, op5_ngram_jaccard, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
 
 ORACLE = {
     "op7_exact_dedup": r"""
