@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +33,56 @@ class Vocabulary:
     """Pattern and ranks (base64 token and rank per line), read once on the driver and broadcast: a few hundred KB."""
 
     pattern: str
+    newer: str  # characters that need the exact pattern
+    exact: str
     ranks: object  # broadcast bytes
 
     @classmethod
     def of(cls, spark: SparkSession, path: str, pattern: str) -> Vocabulary:
         with open(path, "rb") as f:
-            return cls(pattern, spark.sparkContext.broadcast(f.read()))
+            return cls(pattern, *_newer_letters(pattern), spark.sparkContext.broadcast(f.read()))
+
+
+def _ranges(points: set[int]) -> str:
+    out, run = [], []
+    for p in [*sorted(points), -2]:
+        if run and p != run[-1] + 1:
+            out.append(rf"\U{run[0]:08x}-\U{run[-1]:08x}")
+            run = []
+        run.append(p)
+    return "".join(out)
+
+
+@lru_cache
+def _newer_letters(pattern: str) -> tuple[str, str]:
+    """Characters whose class differs between the library and ``regex`` (they follow different Unicode versions), and
+    the pattern with the library's classes. The library is asked: a pattern of one class keeps only its characters."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([b]): b for b in range(256)}
+    odd: set[int] = set()
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        only = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+        theirs = set(map(ord, only.decode(only.encode_ordinary(every))))
+        ours = set(map(ord, regex.findall(name, every)))
+        odd |= theirs ^ ours
+        whole = f"[[{name}{_ranges(theirs - ours)}]{f'--[{_ranges(ours - theirs)}]' if ours - theirs else ''}]"
+        pattern = pattern.replace(name, whole)
+        if name == r"\s":
+            pattern = pattern.replace(r"\S", f"[^{whole}]")
+    return (f"[{_ranges(odd)}]" if odd else ""), pattern
 
 
 class Encoder(dict):
     """Pre-token -> its ids as little-endian int32 bytes, filled on demand."""
 
-    def __init__(self, pattern: str, lines: bytes):
+    def __init__(self, pattern: str, newer: str, exact: str, lines: bytes):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
-        # White space as in Unicode: the separators 1C to 1F are none.
-        self.split = regex.compile(pattern.replace(r"[^\s\p", r"[^\p{White_Space}\p").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.usual = regex.compile(pattern)
+        self.newer, self.exact = (regex.compile(newer) if newer else None), regex.compile(exact, regex.V1)
         self.merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         size = max(ranks.values()) + 1
         self.lengths, self.starts = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -67,11 +101,15 @@ class Encoder(dict):
             self[pretoken] = ids
         return ids
 
+    def split(self, text: str) -> regex.Pattern:
+        """The pattern for this text: plain, unless a character is classed otherwise by the library."""
+        return self.exact if self.newer is not None and self.newer.search(text) else self.usual
+
     def encode(self, piece: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split.findall(piece)))
+        return b"".join(map(self.__getitem__, self.split(piece).findall(piece)))
 
     def boundaries(self, text: str) -> np.ndarray:
-        return np.fromiter((m.start() for m in self.split.finditer(text)), np.int64)
+        return np.fromiter((m.start() for m in self.split(text).finditer(text)), np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         out = []
@@ -87,7 +125,7 @@ def _encoder(v: Vocabulary) -> Encoder:
     lines = v.ranks.value
     key = (v.pattern, len(lines), hash(lines))
     if key not in _READY:
-        _READY[key] = Encoder(v.pattern, lines)
+        _READY[key] = Encoder(v.pattern, v.newer, v.exact, lines)
     return _READY[key]
 
 
