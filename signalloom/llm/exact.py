@@ -34,14 +34,18 @@ class CountingQuotientFilter:
         counts = np.concatenate([self.counts, other.counts])
         order = np.argsort(both, kind="stable")  # two sorted runs: merged in linear time
         both, counts = both[order], counts[order]
-        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
-        return CountingQuotientFilter(self.bits, both[first], np.add.reduceat(counts, first) if len(first) else counts)
+        if not len(both):
+            return self
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        return CountingQuotientFilter(self.bits, both[first], np.add.reduceat(counts, first))
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(quotient, sorted remainders, counts) of each block in use."""
+        if not len(self.fingerprints):
+            return
         shift = np.uint64(64 - self.bits)
         quotients = self.fingerprints >> shift
-        starts = np.flatnonzero(np.r_[True, quotients[1:] != quotients[:-1]][: len(quotients)])
+        starts = np.flatnonzero(np.r_[True, quotients[1:] != quotients[:-1]])
         mask = np.uint64((1 << (64 - self.bits)) - 1)
         for a, b in zip(starts, np.r_[starts[1:], len(quotients)], strict=True):
             yield int(quotients[a]), self.fingerprints[a:b] & mask, self.counts[a:b]
