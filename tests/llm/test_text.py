@@ -1,0 +1,143 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from signalloom.llm import bpe, mixing, quality, secretscan
+from tests.llm import helpers
+
+LONG = ["a" * 100_000, " " * 70_000 + "x", "it's " * 20_000, "'s" * 40_000, ("ab" * 2_000 + " " + "-" * 3_000 + "\n\n\n") * 20, "12 34''s're" * 9_000]
+
+
+def vocabulary(spark):
+    return bpe.Vocabulary.of(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def test_bpe_equals_the_library_and_round_trips(spark):
+    points = "".join("a" + chr(c) + "1 " + chr(c) for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000)
+    rows = [(None, "x y"), (None, "x y"), (-1, None), (-2, ""), (3, "\x1c\x1d a\x1fb \x85 c"), (4, points), (5, "<|endoftext|>")]
+    rows += [(10 + i, t) for i, t in enumerate(LONG)] + [(12, LONG[2]), (12, "other " * 20_000)]
+    encoder = helpers.reference_tokens()
+    want = []
+    for d, t in rows:
+        ids = encoder.encode_ordinary(t or "")
+        want.append((str(d), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = bpe.token_digests(helpers.documents(spark, rows), vocabulary(spark)).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
+
+
+def test_bpe_decodes_any_ids(spark):
+    ids = spark.createDataFrame([(1, [5, 5, 300]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    got = {r[0]: bytes(r[1]) for r in ids.select("doc_id", bpe.decoded(vocabulary(spark), F.col("ids"))).collect()}
+    encoder = helpers.reference_tokens()
+    assert got == {1: encoder.decode_bytes([5, 5, 300]), 2: b"", 3: b""}
+
+
+def labelled(spark, n=400, seed=5):
+    """Clean and marked texts; every third document has one source, some labels are null or repeated."""
+    r = random.Random(seed)
+    rows, labels = [(None, "no id"), (-1, None), (-2, ""), (-3, "x" * 200_000)], []
+    for i in range(n):
+        junk, toxic = i % 5 == 0, i % 7 == 0
+        words = [r.choice(["the", "of", "and", "rain", "stone", "river"]) + r.choice(["", "s", "ed"]) for _ in range(r.randrange(20, 80))]
+        words = [w.upper() + "!!" for w in words] if junk else words
+        if toxic:
+            words[::9] = ["scum"] * len(words[::9])
+        rows.append((i, " ".join(words)))
+        if i % 2:
+            labels += [(i, 0 if junk else 1, int(toxic))] * (1 + (i % 11 == 0))
+    labels += [(None, 1, 0), (2, None, None)]
+    return rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels
+
+
+def test_quality_scores_held_out_rows(spark):
+    rows, labels, _ = labelled(spark)
+    docs = helpers.documents(spark, rows)
+    got = quality.scored(docs, quality.train(docs, labels)).toPandas()
+    assert len(got) == len(rows) and got["score"].between(0, 1).all()
+    assert ((got["score"] >= 0.3).astype(int) == got["predicted"]).all()
+    by_id = got.dropna().set_index("doc_id")
+    hold = by_id[by_id.index >= 0]
+    hold = hold[hold["held_out"]]
+    assert len(hold) > 40 and np.mean((hold["predicted"] == 1) == (hold.index % 5 != 0)) > 0.95
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    r = np.random.default_rng(0)
+    rows = [np.unique(r.integers(0, 40, 8)) for _ in range(60)]
+    y = np.where(r.random(60) < 0.5, 1.0, -1.0)
+    cost = np.full(60, 0.7)
+    values = [np.ones(len(x)) for x in rows]
+    w = quality.dual_coordinate_descent(rows, values, y, cost, epochs=400)
+
+    def loss(w):
+        return 0.5 * w @ w + sum(c * max(0.0, 1 - t * (w[x].sum() + w[-1])) for x, t, c in zip(rows, y, cost, strict=True))
+
+    best = loss(w)
+    assert all(loss(w + 1e-2 * r.standard_normal(len(w)) * (np.arange(len(w)) < 40)) >= best - 1e-6 for _ in range(50))
+
+
+def test_quality_without_labels_gives_one_prior(spark):
+    docs = helpers.documents(spark, [(1, "a"), (2, None)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in quality.scored(docs, quality.train(docs, none)).collect()} == {0.5}
+    empty = helpers.documents(spark, [])
+    assert quality.scored(empty, quality.train(empty, none)).count() == 0
+
+
+def test_mixing_meets_targets_with_the_nearest_rates(spark):
+    rows, labels, _ = labelled(spark)
+    docs = helpers.documents(spark, rows)
+    got = mixing.mixed(docs, mixing.quality_domains(labels)).toPandas()
+    assert len(got) == len(rows) and (got["rate"] >= 0).all()
+    p, n, r = got[["p_clean", "p_toxic", "p_junk"]].to_numpy(), got["tokens"].to_numpy(), got["rate"].to_numpy()
+    assert np.allclose(p.sum(1), 1)
+    sums = (p * (n * r)[:, None]).sum(0)
+    assert np.abs(sums / sums.sum() - [0.95, 0.03, 0.02]).max() < 0.01
+    # Brute force: many small projected gradient steps on the same least squares.
+    goal = np.array([0.95, 0.03, 0.02]) * min((p * n[:, None]).sum(0) / [0.95, 0.03, 0.02])
+    x, second = np.ones(len(n)), (p * n[:, None]).T @ p
+    for _ in range(3_000):
+        x = np.maximum(0, x - p @ np.linalg.solve(second, (p * (n * x)[:, None]).sum(0) - goal) * 0.5)
+    assert np.abs(x - r)[n > 0].max() < 0.05
+
+
+def test_mixing_edges_and_drawing(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = helpers.documents(spark, [(1, "a b"), (2, None), (None, "c"), (1, "a b")])
+    rates = mixing.mixed(docs, mixing.quality_domains(none))
+    assert rates.count() == 4
+    assert mixing.mixed(helpers.documents(spark, []), mixing.quality_domains(none)).count() == 0
+    fixed = spark.createDataFrame([(1, 2.0), (2, 0.0), (None, 0.0)], "doc_id long, rate double")
+    drawn = mixing.drawn(docs, fixed)
+    assert drawn.columns == docs.columns
+    assert sorted(str(r[0]) for r in drawn.select("doc_id").collect()) == ["1"] * 4 + ["None"]
+
+
+def test_secret_scan(spark):
+    r = random.Random(2)
+    secret = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows, real = [(None, "nothing"), (-1, None), (-2, "")], {}
+    for i in range(120):
+        if i % 3 == 0:
+            real[i] = secret()
+            rows.append((i, f'some words here token = "{real[i]}" and more'))
+        elif i % 3 == 1:
+            rows.append((i, f"card {r.randrange(10**15, 10**16)} and mail me.{i}@mail{i}.example.com today 1234567890123"))
+        else:
+            rows.append((i, "plain words only"))
+    docs = helpers.documents(spark, rows)
+    got = secretscan.scan(docs).toPandas()
+    assert {(int(d), c) for d, c in got[got["is_secret"]][["doc_id", "candidate"]].itertuples(index=False)} == set(real.items())
+    assert len(got) == 40 + 3 * 40  # every candidate is listed, with its number in the text
+    assert secretscan.scan(helpers.documents(spark, [])).count() == 0
+
+
+def test_secret_findings_given_by_the_caller(spark):
+    docs = helpers.documents(spark, [(i, f"key {i} value = {'ab12' * 5}{i}") for i in range(20)])
+    found = secretscan.candidates(docs)
+    marked = found.withColumn("label", (F.col("doc_id") % 2).cast("double"))
+    assert secretscan.scan(docs, marked).count() == 20
+    assert {r["score"] for r in secretscan.scan(docs, marked.withColumn("label", F.lit(1.0))).collect()} == {1.0}
