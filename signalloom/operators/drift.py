@@ -227,7 +227,7 @@ def baseline_violations(baseline: DataFrame, sample_count: int | Column | None =
     """One row per broken structural rule of a baseline table."""
     tol, order, upper = 1e-4, 1e-9, 1.0 + 1e-6
     total = lambda a: F.aggregate(F.coalesce(a, F.array().cast("array<double>")), F.lit(0.0), lambda acc, x: acc + x)
-    falls = lambda a: F.exists(F.zip_with(F.slice(a, 2, 1000), F.slice(a, 1, F.greatest(F.lit(0), F.size(a) - 1)), lambda y, x: y < x - order), lambda b: b)
+    falls = lambda a: F.exists(F.zip_with(F.slice(a, 2, F.greatest(F.lit(0), F.size(a) - 1)), F.slice(a, 1, F.greatest(F.lit(0), F.size(a) - 1)), lambda y, x: y < x - order), lambda b: b)
     numeric, filled = F.col("kind") == "numeric", F.col("count") > F.col("missing")
     p = F.col("proportions")
     rules = {

@@ -247,9 +247,9 @@ def dynamic_state(
     return s.withColumn("viewer_growth_rate", F.greatest(F.lit(-1.0), F.least(F.lit(10.0), growth))).drop("_late", "_early")
 
 
-def newest_distinct(rows: DataFrame, key: str, limit: int, *, history: int = 500) -> DataFrame:
-    """Per user the ``limit`` most recent distinct values of ``key`` among the newest ``history`` rows."""
-    recent = top_n(rows, ["user_id"], [F.desc("ts_us"), F.desc("id")], history)
+def newest_distinct(rows: DataFrame, key: str, limit: int, *, history: int | None = None) -> DataFrame:
+    """Per user the ``limit`` most recent distinct values of ``key`` among the newest ``history`` rows (None: all)."""
+    recent = rows if history is None else top_n(rows, ["user_id"], [F.desc("ts_us"), F.desc("id")], history)
     latest = recent.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy("user_id", key).agg(F.max(F.struct("ts_us", "id")).alias("_last"))
     return top_n(latest, ["user_id"], [F.desc("_last")], limit, rank="position").drop("_last")
 
@@ -262,9 +262,9 @@ def not_interested_streams(rows: DataFrame, limit: int = 50) -> DataFrame:
     return newest_distinct(rows.where(F.col("event_type") == "LIVE_NOT_INTERESTED"), "content_id", limit)
 
 
-def recent_positive(rows: DataFrame, key: str, limit: int = 10, *, history: int = 500) -> DataFrame:
+def recent_positive(rows: DataFrame, key: str, limit: int = 10, *, history: int | None = None) -> DataFrame:
     """Distinct creators or categories of positive VIDEO rows within the newest rows of each user."""
-    recent = top_n(rows, ["user_id"], [F.desc("ts_us"), F.desc("id")], history)
+    recent = rows if history is None else top_n(rows, ["user_id"], [F.desc("ts_us"), F.desc("id")], history)
     positive = recent.where((F.col("content_type") != "LIVE") & (signals.target() == 1))
     if key == "category":
         positive = positive.withColumn("category", F.upper("category"))

@@ -326,9 +326,9 @@ def similar_fraction(reference: DataFrame, probe: DataFrame, features: Sequence[
     return j.agg(F.round(F.avg(near.cast("double")), 6).alias("fraction"))
 
 
-def nearest_neighbour(reference: DataFrame, probe: DataFrame, features: Sequence[str], *, key: str, sample: int = 2000) -> DataFrame:
-    """Min and median z-scored distance of the probe to a hash-chosen sample of at most ``sample`` rows."""
-    rows = reference.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(sample)
+def nearest_neighbour(reference: DataFrame, probe: DataFrame, features: Sequence[str], *, key: str, sample: int | None = None) -> DataFrame:
+    """Min and median z-scored distance of the probe to all rows, or to a hash-chosen ``sample`` of that many rows."""
+    rows = reference if sample is None else reference.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(sample)
     spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in features])
     j = rows.withColumns({"_d": one_row(spread), "_p": _probe(probe, features)})
     square = F.lit(0.0)

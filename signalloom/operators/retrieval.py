@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scalars, signals, tokens
 from ..session import cut_lineage
 from . import live
-from .lists import first_unseen, fold_lists, global_list, ranked_lists
+from .lists import first_unseen, global_list, listed, ranked_lists, taken_in_turn
 from .running import detect, top_n
 
 SOURCES = ["FOLLOWED_CREATOR", "SESSION_INTEREST", "PREFERRED_CATEGORY", "TRENDING", "NEW_CONTENT", "EXPLORATION"]
@@ -21,6 +21,13 @@ SESSION_US = 30 * 60_000_000
 SESSION_EVENTS = 12
 EXPLORATION_FRACTION = 0.5
 TRENDING_POOL = 200
+#: Newest rows of a user that serving features read, unless the caller sets another bound (None: all rows).
+HISTORY = 500
+
+
+def newest(rows: DataFrame, history: int | None) -> DataFrame:
+    """The newest ``history`` rows of each user, whatever their type; all rows for None."""
+    return rows if history is None else top_n(rows, ["user_id"], [F.desc("ts_us"), F.desc("id")], history)
 
 
 def session_categories(recent: DataFrame, now_us: int, *, session_us: int = SESSION_US, top: int = 2) -> DataFrame:
@@ -86,43 +93,26 @@ def video_buckets(
         "user_id", "bucket", "place", "content_id")
 
 
-def _fill(limit: int):
-    base = max(1, limit // len(SOURCES))
-    quota = [base] * (len(SOURCES) - 1) + [max(1, int(base * EXPLORATION_FRACTION))]
-
-    def pick(items: list[dict], _params: dict) -> list[dict]:
-        taken, used, counts = [], set(), [0] * len(SOURCES)
-
-        def take(i: dict) -> None:
-            taken.append({"content_id": i["content_id"], "source": SOURCES[i["bucket"]]})
-            used.add(i["content_id"])
-            counts[i["bucket"]] += 1
-
-        for i in items:
-            if i["content_id"] not in used and counts[i["bucket"]] < quota[i["bucket"]]:
-                take(i)
-        last = len(SOURCES) - 1
-        for i in items:
-            full = i["bucket"] == last and counts[last] >= quota[last]
-            if len(taken) < limit and not full and i["content_id"] not in used:
-                take(i)
-        return [{**t, "position": n} for n, t in enumerate(taken[:limit], 1)]
-
-    return pick
-
-
 def quota_fill(buckets: DataFrame, limit: int) -> DataFrame:
     """Quota per bucket first, then up to ``limit`` in bucket order; exploration stays at its quota."""
-    return fold_lists(buckets, ["user_id"], ["bucket", "place"], ["content_id"], _fill(limit),
-                      "user_id string, content_id string, source string, position int")
+    base = max(1, limit // len(SOURCES))
+    names = [f"b{n}" for n in range(len(SOURCES))]
+    wide = listed(buckets, ["user_id"], {name: (F.col("bucket") == n, [F.col("place")]) for n, name in enumerate(names)})
+    quotas = [base] * (len(SOURCES) - 1) + [max(1, int(base * EXPLORATION_FRACTION))]
+    return taken_in_turn(wide, ["user_id"], list(zip(names, SOURCES, quotas)), list(zip(names, SOURCES))[:-1], limit)
 
 
 def video_candidates(rows: DataFrame, contents: DataFrame, now_us: int, *, limit: int = 200, exclude_seen: bool = True,
-                     interests: DataFrame | None = None, session_us: int = SESSION_US, history: int = 500) -> DataFrame:
-    """The whole VIDEO retrieval for every user of ``rows`` (and of ``interests``)."""
+                     interests: DataFrame | None = None, session_us: int = SESSION_US, history: int | None = HISTORY,
+                     recent: DataFrame | None = None) -> DataFrame:
+    """The whole VIDEO retrieval for every user of ``rows`` (and of ``interests``).
+
+    Interests are read from the newest ``history`` rows of any type (``recent`` where the caller has them already); what a
+    user has seen and whom they follow, from all rows, so old items don't come back.
+    """
     past = rows.where(F.col("ts_us") < now_us)
-    recent = cut_lineage(top_n(past, ["user_id"], [F.desc("ts_us"), F.desc("id")], history))
-    video = recent.where(F.col("content_type") != "LIVE")
+    recent = newest(past, history) if recent is None else recent
+    video = past.where(F.col("content_type") != "LIVE")
     users = past.select("user_id").distinct()
     if interests is not None:
         users = users.unionByName(interests.select("user_id")).distinct()
@@ -204,32 +194,6 @@ def live_projection(chosen: DataFrame, contents: DataFrame, history: DataFrame,
     }).drop("_f")
 
 
-def _fill_live(limit: int):
-    quota = max(1, limit // len(LIVE_POOL_SOURCES))
-
-    def pick(items: list[dict], _params: dict) -> list[dict]:
-        by_viewers = sorted(items, key=lambda i: (-i["current_viewer_count"], i["seq"]))
-        taken, used = [], set()
-        for n, source in enumerate(LIVE_POOL_SOURCES):
-            added = 0
-            for i in by_viewers:
-                if added >= quota:
-                    break
-                if i["in_bucket"][n] and i["stream_id"] not in used:
-                    used.add(i["stream_id"])
-                    taken.append({"stream_id": i["stream_id"], "source": source})
-                    added += 1
-        for i in items:
-            if len(taken) >= limit:
-                break
-            if i["stream_id"] not in used:
-                used.add(i["stream_id"])
-                taken.append({"stream_id": i["stream_id"], "source": "EXPLORATION"})
-        return [{**t, "position": n} for n, t in enumerate(taken[:limit], 1)]
-
-    return pick
-
-
 def live_pool_buckets(pool: DataFrame, limit: int) -> DataFrame:
     """Quota fill over a caller's pool: (user_id, seq, stream_id, category, status, ...) rows in input order."""
     active = pool.where(F.col("status") == "ACTIVE")
@@ -240,14 +204,17 @@ def live_pool_buckets(pool: DataFrame, limit: int) -> DataFrame:
     flags = F.array(
         F.col("creator_followed"), pref, (F.col("viewer_growth_rate") >= 0.15) | (F.col("current_viewer_count") >= 500),
         F.col("region_match"), F.col("live_age_minutes") <= 20, F.lit(True))
-    j = j.withColumn("in_bucket", flags)
     # Only the first `limit` of each bucket by viewers, and of the input order, can be chosen.
-    flagged = j.select("user_id", "seq", "stream_id", "current_viewer_count", F.posexplode("in_bucket").alias("_b", "_in")).where("_in")
-    deep = top_n(flagged, ["user_id", "_b"], [F.desc("current_viewer_count"), F.asc("seq")], limit).select("user_id", "seq").unionByName(
-        top_n(j, ["user_id"], [F.asc("seq")], limit).select("user_id", "seq")).distinct()
-    kept = j.join(deep, ["user_id", "seq"], "left_semi")
-    return fold_lists(kept, ["user_id"], ["seq"], ["stream_id", "current_viewer_count", "in_bucket"], _fill_live(limit),
-                      "user_id string, stream_id string, source string, position int")
+    busiest = [F.desc("current_viewer_count"), F.asc("seq")]
+    flagged = j.select("user_id", "seq", F.col("stream_id").alias("content_id"), "current_viewer_count", F.posexplode(flags).alias("bucket", "_in")).where("_in").drop("_in")
+    deep = top_n(flagged, ["user_id", "bucket"], busiest, limit)
+    early = top_n(j.select("user_id", "seq", F.col("stream_id").alias("content_id"), "current_viewer_count", F.lit(-1).alias("bucket")), ["user_id"], [F.asc("seq")], limit)
+    names = [f"b{n}" for n in range(len(LIVE_POOL_SOURCES))]
+    lists = {name: (F.col("bucket") == n, [-F.col("current_viewer_count"), F.col("seq")]) for n, name in enumerate(names)}
+    wide = listed(deep.unionByName(early), ["user_id"], lists | {"early": (F.col("bucket") == -1, [F.col("seq")])})
+    quota = max(1, limit // len(LIVE_POOL_SOURCES))
+    turns = [(name, source, quota) for name, source in zip(names, LIVE_POOL_SOURCES)]
+    return taken_in_turn(wide, ["user_id"], turns, [("early", "EXPLORATION")], limit).withColumnRenamed("content_id", "stream_id")
 
 
 def clean_candidates(candidates: DataFrame, seen: DataFrame | None = None) -> DataFrame:

@@ -5,20 +5,13 @@ from __future__ import annotations
 import importlib
 
 _MODULES = [
-    "scans", "labels", "profiles", "pointintime", "semantic", "live", "evaluation", "splits", "drift", "cohorts",
+    "scans", "labels", "profiles", "pointintime", "live", "evaluation", "splits", "drift", "cohorts",
     "social", "retrieval", "rerank", "decisions", "quality", "modelling",
 ]
 
 
 def _load() -> list:
-    found = []
-    for name in _MODULES:
-        try:
-            found.append(importlib.import_module(f"{__name__}.{name}"))
-        except ModuleNotFoundError as exc:
-            if not str(exc.name).startswith(__name__):
-                raise
-    return found
+    return [importlib.import_module(f"{__name__}.{name}") for name in _MODULES]
 
 
 def queries() -> dict:

@@ -327,10 +327,9 @@ ORACLE = {
         FROM scored s, m""", "SCORED", extra=_MEANS),
     "nearest_neighbour_distance": """
         WITH r AS (SELECT o_orderkey AS k, o_totalprice / 1000 AS x, CAST(o_custkey % 97 AS DOUBLE) AS y FROM orders),
-        s AS (SELECT * FROM r ORDER BY sha256(CAST(k AS VARCHAR)), k LIMIT 2000),
-        m AS (SELECT round(avg(x), 2) AS mx, round(avg(y), 2) AS my FROM r), sd AS (SELECT stddev_pop(x) AS dx, stddev_pop(y) AS dy FROM s)
+        m AS (SELECT round(avg(x), 2) AS mx, round(avg(y), 2) AS my FROM r), sd AS (SELECT stddev_pop(x) AS dx, stddev_pop(y) AS dy FROM r)
         SELECT round(min(d), 4) AS nearest, round(quantile_cont(d, 0.5), 4) AS median, count(*) AS sampled_rows
-        FROM (SELECT sqrt(pow((x - mx) / dx, 2) + pow((y - my) / dy, 2)) AS d FROM s, m, sd)""",
+        FROM (SELECT sqrt(pow((x - mx) / dx, 2) + pow((y - my) / dy, 2)) AS d FROM r, m, sd)""",
     "feature_delta_summary": with_ctes(f"""SELECT feature, round(l, 6) AS left_value, round(r, 6) AS right_value, round(abs(l - r), 6) AS difference FROM (
         {" UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) FILTER (WHERE category = 'O') AS l, avg({c}) FILTER (WHERE category = 'F') AS r FROM scored" for c in _F3)})
         WHERE abs(l - r) >= 0.01""", "SCORED"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "signalloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with AQE on and UTC time; the cluster's own settings win where given."""
+def get_session(app: str = "signalloom", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """A session with AQE on and UTC time; the cluster's own settings win where given.
+
+    ``checkpoint_dir`` is a folder that all executors share; without it the session's own ``spark.checkpoint.dir`` counts.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,18 +26,32 @@ def get_session(app: str = "signalloom", master: str | None = None, shuffle_part
     )
     if master:
         builder = builder.master(master)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; make one only where it is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of the driver (master ``local``) may lack it, as in tests: its working
+    folder is then as good as shared. Anywhere else a missing setting is an error, because executors would write to disks
+    of their own.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="signalloom-ckpt-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="signalloom-local-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
