@@ -1,29 +1,19 @@
-"""Helpers shared by the operators: ids of null rows, lineage cuts, group counts."""
+"""Helpers shared by the operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from signalloom.session import cut_lineage
+
 #: Separators of words: space and the control characters tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Stands for a null id inside keys; restored to null in results.
 NO_ID = -(1 << 63)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder that the cluster names in ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so that later steps read it and none repeats its work."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+#: Write a frame to the shared checkpoint folder, so that later steps read it and none repeats its work.
+cut = cut_lineage
 
 
 def partitions(spark: SparkSession) -> int:
