@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalars, signals, tokens
 from ..session import cut_lineage
 from .profiles import with_replay_weight
-from .running import HEAVY_ROWS, Family, add_slice, heavy_keys, prior_state
+from .running import HEAVY_ROWS, Family, add_slice, heavy_keys, prior_state, slice_of
 
 RECENT_US = 30 * 86_400_000_000
 SESSION_US = 30 * 60_000_000
@@ -204,14 +204,14 @@ def session_window(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int, *,
     rows, so its size is fixed. A hot user's slices receive copies of the rows of the preceding
     thirty minutes as context.
     """
-    work = add_slice(rows, ["user_id"], "ts_us", heavy, heavy_rows)
+    work = add_slice(rows, ["user_id"], "ts_us", heavy)
     if heavy is None:
         part = ["user_id"]
         work = work.withColumn("_context", F.lit(False))
         work = work if co_partitioned else work.repartition("user_id")
     else:
         part = ["user_id", "_b"]
-        reach = F.coalesce(F.floor((F.col("ts_us") + SESSION_US - F.col("_lo")) / F.col("_width")), F.col("_b")).cast("long")
+        reach = slice_of(F.col("ts_us") + SESSION_US)
         last = F.when(F.col("contributes"), F.greatest(F.col("_b"), reach)).otherwise(F.col("_b"))
         work = (
             work.withColumn("_to", F.explode(F.sequence(F.col("_b"), last)))
@@ -229,7 +229,7 @@ def session_window(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int, *,
     now = F.col("ts_us")
     near = F.array_sort(F.filter("_near", lambda e: now - e["ts_us"] <= SESSION_US))
     last12 = F.slice(near, F.greatest(F.size(near) - (SESSION_EVENTS - 1), F.lit(1)), SESSION_EVENTS)
-    return work.withColumn("_session", last12).drop("_near", "_tail", "_step", "_context", "_b", "_lo", "_width")
+    return work.withColumn("_session", last12).drop("_near", "_tail", "_step", "_context", "_b", "_bounds")
 
 
 def session_features(rows: DataFrame, category: str = "category", prefix: str = "") -> DataFrame:

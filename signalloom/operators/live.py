@@ -53,7 +53,9 @@ def live_sessions(rows: DataFrame, *, grace_us: int = RECONNECT_GRACE_US, heavy_
     slim = rows.select(*keep, *[c.cast("long").alias(n) for n, c in live_signals().items()])
     heavy = heavy_keys(slim, ["user_id"], "ts_us", heavy_rows)
     same_id = Window.partitionBy("user_id", "content_id", "event_id").orderBy("ts_us")
-    first = slim.repartition("user_id").withColumn("_dup", F.row_number().over(same_id)).where("_dup = 1").drop("_dup")
+    # Without a hot user one exchange serves the copies and the states; with one, copies are found by their own key.
+    dealt = slim.repartition("user_id") if heavy is None else slim
+    first = dealt.withColumn("_dup", F.row_number().over(same_id)).where("_dup = 1").drop("_dup")
     kw = {"heavy": heavy, "heavy_rows": heavy_rows, "co_partitioned": heavy is None}
 
     def step(df: DataFrame, **fam) -> DataFrame:

@@ -1,7 +1,7 @@
 """State before each row (running sums, maxima, last values), safe for a hot key.
 
 A plain ``Window.partitionBy(user)`` puts every row of one user into one task. Here a key that
-holds many rows is split along the order axis into buckets. Per bucket and key the totals are
+holds many rows is split along the order axis into buckets of about as many rows each. Per bucket and key the totals are
 pre-aggregated, running totals over the (few) buckets give a *carry* row that opens the next
 bucket, and the windows then run per (key, bucket). All key families of one call share a single
 exchange, because their windows start with the same base keys. The number of buckets of a hot
@@ -15,8 +15,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 HEAVY_ROWS = 2_000_000
-MAX_HEAVY_KEYS = 10_000
+#: Slices of a key at most.
+QUANTILES = 256
 
 
 @dataclass
@@ -35,15 +38,20 @@ class Family:
 
 
 def heavy_keys(df: DataFrame, base: Sequence[str], at: str, heavy_rows: int) -> DataFrame | None:
-    """Keys with more than ``heavy_rows`` rows and their [min, max] range, or None where there are none.
+    """``base, _bounds`` of keys with more than ``heavy_rows`` rows, or None where there are none.
 
-    At most MAX_HEAVY_KEYS keys are listed (a bounded driver result, hence a bounded broadcast);
-    a key below that cut holds under 1/MAX_HEAVY_KEYS of all rows, so one task can take it.
+    The bounds are quantiles of the key's own ``at``, so slices hold about as many rows each, however bursts or outliers
+    spread them. Rows of one ``at`` stay together: in unordered families they must not see one another.
     """
-    per_key = df.groupBy(*base).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    heavy = per_key.where(F.col("_n") > heavy_rows).orderBy(F.desc("_n")).limit(MAX_HEAVY_KEYS)
-    rows = heavy.collect()
-    return df.sparkSession.createDataFrame(rows, heavy.schema) if rows else None
+    counts = df.groupBy(*base).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
+    if not counts.limit(1).collect():
+        return None
+    fine = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+    hot = df.select(*base, at).join(counts.select(*base), list(base), "left_semi")
+    marks = hot.groupBy(*base).agg(F.percentile_approx(at, fine, 20 * QUANTILES).alias("_marks")).join(counts, list(base))
+    slices = F.least(F.lit(QUANTILES), F.ceil(F.col("_n") / heavy_rows)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), slices - 1), lambda i: F.element_at("_marks", F.greatest(F.lit(1), F.least(F.lit(QUANTILES - 1), F.round(i * QUANTILES / slices)).cast("int"))))
+    return cut_lineage(marks.select(*base, F.array_sort(F.array_distinct(cuts)).alias("_bounds")))
 
 
 def detect(df: DataFrame, base: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> str | None:
@@ -53,16 +61,18 @@ def detect(df: DataFrame, base: Sequence[str], heavy_rows: int = HEAVY_ROWS) ->
     return "detect" if n.limit(1).collect() else None
 
 
-def add_slice(df: DataFrame, base: Sequence[str], at: str, heavy: DataFrame | None, heavy_rows: int) -> DataFrame:
-    """Add ``_b``: 0 for light keys, else the row's slice of its key's own range (and ``_lo, _width``)."""
+def slice_of(at: Column) -> Column:
+    """Slice that ``at`` falls into by the ``_bounds`` of its row; 0 for light keys."""
+    return F.coalesce(F.size(F.filter("_bounds", lambda b: b <= at)), F.lit(0)).cast("long")
+
+
+def add_slice(df: DataFrame, base: Sequence[str], at: str, heavy: DataFrame | None) -> DataFrame:
+    """Add ``_b``: 0 for light keys, else the row's slice of its key (and ``_bounds``, null for light keys)."""
     if heavy is None:
         return df.withColumn("_b", F.lit(0).cast("long"))
-    slices = F.ceil(F.col("_n") / heavy_rows)
-    span = F.col("_hi") - F.col("_lo") + 1
-    listed = heavy.select(*base, "_lo", F.greatest(F.lit(1), F.ceil(span / slices)).cast("long").alias("_width"))
-    joined = df.join(F.broadcast(listed), list(base), "left")
-    return joined.withColumn(
-        "_b", F.coalesce(F.floor((F.col(at) - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long"))
+    # Each heavy key holds more than heavy_rows rows, so the list is short against the rows; its measured size decides
+    # how it is joined.
+    return df.join(heavy, list(base), "left").withColumn("_b", slice_of(F.col(at)))
 
 
 def prior_state(
@@ -84,7 +94,7 @@ def prior_state(
     out_cols = df.columns
     if isinstance(heavy, str):
         heavy = heavy_keys(df, base, at, heavy_rows)
-    work = add_slice(df, base, at, heavy, heavy_rows)
+    work = add_slice(df, base, at, heavy)
     measures: dict[str, Column] = {}
     for fam in families:
         for kind in (fam.sums, fam.maxs, fam.lasts):
@@ -97,7 +107,7 @@ def prior_state(
     else:
         part = [*base, "_b"]
         stream = work.withColumn("_carry", F.lit(False))
-        hot = work.where(F.col("_lo").isNotNull())
+        hot = work.where(F.col("_bounds").isNotNull())
         for fam in families:
             stream = stream.unionByName(_carry_rows(hot, base, at, fam, tie_break), allowMissingColumns=True)
         stream = stream.repartition(*part)

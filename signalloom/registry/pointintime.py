@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features
+from ..operators.running import heavy_keys
 from ..sources import adapter
 from .base_sql import affinity, with_ctes
 
@@ -37,14 +38,18 @@ def _pick(df, doubles, longs):
         "event_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in doubles], *[F.col(c).cast("long").alias(c) for c in longs])
 
 
+def _heavy(rows):
+    return heavy_keys(rows, ["user_id"], "ts_us", features.HEAVY_ROWS)
+
+
 def _prepared(spark, d):
     rows = adapter.interactions(spark, d)
-    prepared = features.prepare(rows, adapter.contents(spark, d), None, features.HEAVY_ROWS)
+    prepared = features.prepare(rows, adapter.contents(spark, d), _heavy(rows), features.HEAVY_ROWS)
     return prepared
 
 
 def pit_semantic(spark, d):
-    s = features.semantic_features(features.token_state(_prepared(spark, d), None, features.HEAVY_ROWS))
+    s = features.semantic_features(features.token_state(_prepared(spark, d), _heavy(adapter.interactions(spark, d)), features.HEAVY_ROWS))
     return s.select("event_id", *_SEMANTIC, *[F.col(c).cast("long").alias(c) for c in _SEMANTIC_N])
 
 
@@ -54,7 +59,7 @@ def pit_history(spark, d):
 
 
 def pit_session(spark, d):
-    s = features.session_window(_prepared(spark, d).drop("_tokens"), None, features.HEAVY_ROWS)
+    s = features.session_window(_prepared(spark, d).drop("_tokens"), _heavy(adapter.interactions(spark, d)), features.HEAVY_ROWS)
     return _pick(features.session_features(s), _SESSION, _SESSION_FLAGS)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom.operators import features
+from signalloom.operators import features, running
 from signalloom.operators.running import Family, prior_state
 from tests.helpers import DAY, MIN, T0, TOKENS, brute_force, contents, frame, random_rows, row
 
@@ -114,3 +114,14 @@ def test_snapshot_equals_event_replay(spark):
         for col in ("category_affinity", "recent_category_watch_percentage", "category_completion_rate", "hashtag_affinity", "already_seen", "creator_interaction_count",
                     "user_total_interaction_count", "content_age_hours", "strongest_semantic_affinity"):
             assert s[cid][col] == pytest.approx(e[cid][col], abs=1e-6), (cid, col)
+
+
+def test_slices_hold_equal_counts_for_bursts(spark):
+    """Ten outliers around a burst of one key, and a light key beside it."""
+    rows = [("hot", 1_000_000 + i) for i in range(4_000)] + [("hot", i * 10**12) for i in range(10)] + [("light", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "user_id string, at long")
+    heavy = running.heavy_keys(df, ["user_id"], "at", 400)
+    sliced = running.add_slice(df, ["user_id"], "at", heavy)
+    sizes = {(r["user_id"], r["_b"]): r["count"] for r in sliced.groupBy("user_id", "_b").count().collect()}
+    assert max(sizes.values()) <= 800 and sizes[("light", 0)] == 50 and len(sizes) >= 10
+    assert running.heavy_keys(df, ["user_id"], "at", 10_000) is None

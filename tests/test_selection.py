@@ -57,6 +57,13 @@ def test_greedy_caps_creator_and_runs(spark):
     assert creators[:4].count("k0") <= 2
 
 
+def test_every_candidate_of_a_large_request_is_scored(spark):
+    rows = [("u", f"c{i:03d}", f"k{i}", "AB"[i % 2], 0.9 - i / 1000, False) for i in range(300)]
+    adjusted = rerank.adjust_scores(_scored(spark, rows))
+    assert adjusted.count() == 300
+    assert rerank.adjust_scores(_scored(spark, rows), most=200).count() == 200
+
+
 def test_cold_start_exploration_shows_new_categories(spark):
     rows = [("u", f"c{i}", f"k{i}", "A" if i < 12 else f"N{i}", 0.95 - i / 100, True) for i in range(16)]
     got = rerank.rerank(_scored(spark, rows), 10).orderBy("rank").collect()
