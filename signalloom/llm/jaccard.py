@@ -9,6 +9,9 @@ into fragments.
   sure that the shared one isn't empty; a set with more empty fragments than spare ones also gives keys for those.
 * Counting: for a candidate pair, each fragment counts its own overlap, and the sums per pair decide.
 
+Before counting, pairs are sifted by 256 parity bits a set: an n-gram flips one bit, so the bits in which two sets differ
+are at most the n-grams in which they do. The sieve sits in the join itself and never drops a similar pair.
+
 Equal sets are one node. Inside a key, all sets are compared with the most typical one first; only sets that are then
 still in other components than most meet the rest, so large groups of near copies don't form all pairs. Every pair of
 sets that share a key is either compared or already connected, so components are those of all links.
@@ -23,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signalloom.llm.common import cut
 from signalloom.llm.components import components
@@ -32,6 +35,8 @@ from signalloom.llm.wordhash import blocks, mixed, ngrams, raw_bytes, words_of
 
 #: Fragments of the order in which overlaps are counted.
 FRAGMENTS = 8
+#: Columns of a set's parity bits, 64 in each.
+PARITY = ["p0", "p1", "p2", "p3"]
 #: Stands for a null id: the last in order, so that it names a component only where all its ids are null.
 LAST_ID = (1 << 63) - 1
 
@@ -85,6 +90,12 @@ def digest(grams: np.ndarray) -> int:
     return int(mixed(np.array([mixed(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0].view(np.int64))
 
 
+def parity(grams: np.ndarray) -> list[int]:
+    """256 bits; each n-gram flips the one that its lowest bits name."""
+    odd = np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def keys_of(grams: np.ndarray, like: Similarity) -> np.ndarray:
     """Keys of a set in its own size class and the next."""
     own = int(np.searchsorted(like.sizes(), len(grams)))
@@ -125,13 +136,14 @@ def _per_batch(make, names: list[str], types: list[pa.DataType]):
 
 
 def named_sets(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """``id, node, n`` of every row: the set's name and size."""
-    run = _per_batch(lambda ids, sets: [(i, digest(s), len(s)) for i, s in zip(ids, sets, strict=True)], ["id", "node", "n"], [pa.int64()] * 3)
-    return _text(docs, id_col, text_col).mapInArrow(run(like.n), "id long, node long, n long")
+    """``id, t, node, n`` of every row: a digest of its text, the set's name and size."""
+    run = _per_batch(lambda ids, sets: [(i["id"], i["t"], digest(s), len(s)) for i, s in zip(ids, sets, strict=True)], ["id", "t", "node", "n"], [pa.int64()] * 4)
+    rows = _text(docs, id_col, text_col).select(F.struct("id", F.xxhash64("text").alias("t")).alias("id"), "text")
+    return rows.mapInArrow(run(like.n), "id long, t long, node long, n long")
 
 
 def keyed_sets(docs: DataFrame, like: Similarity, id_col: str, text_col: str, only=None) -> DataFrame:
-    """``id, node, n, keys`` of rows with keys; with a filter ``only``, keys that it lets pass."""
+    """``id, node, n, p0..p3, keys`` of rows with keys; with a filter ``only``, keys that it lets pass."""
 
     def rows(ids: list, sets: Iterator[np.ndarray]) -> list[tuple]:
         out = []
@@ -140,11 +152,11 @@ def keyed_sets(docs: DataFrame, like: Similarity, id_col: str, text_col: str, on
             if only is not None and len(keys):
                 keys = keys[may_hold(only.value, keys)]
             if len(keys):
-                out.append((i, digest(s), len(s), keys.view(np.int64)))
+                out.append((i, digest(s), len(s), *parity(s), keys.view(np.int64)))
         return out
 
-    run = _per_batch(rows, ["id", "node", "n", "keys"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
-    return _text(docs, id_col, text_col).mapInArrow(run(like.n), "id long, node long, n long, keys array<long>")
+    run = _per_batch(rows, ["id", "node", "n", *PARITY, "keys"], [*[pa.int64()] * 7, pa.list_(pa.int64())])
+    return _text(docs, id_col, text_col).mapInArrow(run(like.n), f"id long, node long, n long, {', '.join(p + ' long' for p in PARITY)}, keys array<long>")
 
 
 def fragment_overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
@@ -170,11 +182,23 @@ def fragment_overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, like:
     return sums.where(F.col("both") * like.den >= (F.col("na") + F.col("nb") - F.col("both")) * like.num).select("a", "b")
 
 
-def _sized(pairs: DataFrame, like: Similarity) -> DataFrame:
-    """Each pair once, smaller name first, if its sizes allow a link."""
-    first = F.col("a") < F.col("b")
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    return ordered.where((F.col("a") != F.col("b")) & (F.least("na", "nb") * like.den >= F.greatest("na", "nb") * like.num)).distinct()
+def _alike(like: Similarity, one: str = "x", two: str = "y") -> Column:
+    """Whether sizes and parity bits of two sides (their columns named x_ and y_) allow a link. Never false for a link."""
+    n1, n2 = F.col(f"{one}_n"), F.col(f"{two}_n")
+    flips = sum((F.bit_count(F.col(f"{one}_{p}").bitwiseXOR(F.col(f"{two}_{p}"))) for p in PARITY), F.lit(0))
+    return (F.least(n1, n2) * like.den >= F.greatest(n1, n2) * like.num) & (flips * (like.den + like.num) <= (n1 + n2) * (like.den - like.num))
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c) if c == "key" else F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Each pair of x_node, y_node once, the smaller name first."""
+    first = F.col("x_node") < F.col("y_node")
+    return met.where("x_node <> y_node").select(
+        F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.when(first, F.col("x_n")).otherwise(F.col("y_n")).alias("na"),
+        F.when(first, F.col("y_n")).otherwise(F.col("x_n")).alias("nb")).distinct()
 
 
 def linked_sets(docs: DataFrame, nodes: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
@@ -182,29 +206,43 @@ def linked_sets(docs: DataFrame, nodes: DataFrame, like: Similarity, id_col: str
     keys = keyed_sets(docs, like, id_col, text_col).select(F.explode("keys").alias("key"))
     held = key_filter(recurring(keys))
     stands = nodes.select(F.col("rep").alias("id"), "node")
-    rows = keyed_sets(docs, like, id_col, text_col, held).join(stands, ["id", "node"], "left_semi").select("node", "n", F.explode("keys").alias("key")).distinct()
+    about = ["node", "n", *PARITY]
+    rows = keyed_sets(docs, like, id_col, text_col, held).join(stands, ["id", "node"], "left_semi").select(*about, F.explode("keys").alias("key")).distinct()
     rows = cut(rows)
-    counts = recurring(rows)
-    members = cut(rows.join(counts.select("key", F.col("n").alias("share")), "key"))
+    members = cut(rows.join(recurring(rows).withColumnRenamed("n", "share"), "key"))
     typical = members.groupBy("node").agg(F.sum(F.log2("share")).alias("weight"))
-    weighed = members.join(typical, "node")
-    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("top")).select("key", F.col("top.node").alias("a"), F.col("top.n").alias("na"))
-    stars = cut(_sized(members.join(leaders, "key").select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb")), like))
+    members = members.drop("share")
+    top = F.max(F.struct("weight", *about)).alias("top")
+    leaders = members.join(typical, "node").groupBy("key").agg(top).select("key", *[F.col(f"top.{c}").alias(f"y_{c}") for c in about])
+    stars = cut(_pairs(_prefixed(members, "x").join(leaders, "key").where(_alike(like))))
     links = cut(fragment_overlaps(docs, stars, nodes, like, id_col, text_col))
     roots = components(links)
     # What is still apart from most of its key meets all others of the key.
-    placed = members.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     most = groups.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     open_rows = cut(placed.join(most, "key"))
-    apart = open_rows.where(F.col("root") != F.col("main")).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    others = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    meets = apart.join(others, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))))
-    rest = cut(_sized(meets.where(F.least("na", "nb") * like.den >= F.greatest("na", "nb") * like.num), like).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    apart = _prefixed(open_rows.where(F.col("root") != F.col("main")), "x")
+    others = _prefixed(open_rows, "y").withColumnRenamed("key", "y_key")
+    different = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
+    meets = apart.join(others, (F.col("key") == F.col("y_key")) & different & _alike(like))
+    rest = cut(_pairs(meets).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     more = fragment_overlaps(docs, rest, nodes, like, id_col, text_col)
     return components(links.unionByName(more))
 
 
+def _placed_rows(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
+    """``id, t, n, component`` of every row; null ids are ``LAST_ID``."""
+    named = cut(named_sets(docs, like, id_col, text_col))
+    nodes = cut(named.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep")))
+    roots = linked_sets(docs, nodes, like, id_col, text_col)
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("component"))
+    of_node = placed.join(least, "root").select("node", "component")
+    empty, rest = named.where("n = 0").withColumn("component", F.col("id")), named.where("n > 0").join(of_node, "node", "left")
+    return rest.select("id", "t", "n", "component").unionByName(empty.select("id", "t", "n", "component"))
+
+
 def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the least id reachable by links).
 
@@ -212,19 +250,12 @@ def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), id_col:
     n-gram, link with nothing and are their own component. Rows that repeat an id stay rows; a null id is the last in
     order. No rows in, no rows out; other columns are not read. Sets are compared by 64-bit hashes of their n-grams.
     """
-    named = cut(named_sets(docs, like, id_col, text_col))
-    nodes = cut(named.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep")))
-    roots = linked_sets(docs, nodes, like, id_col, text_col)
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    of_node = placed.join(least, "root").select("node", "component")
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    empty, rest = named.where("n = 0").withColumn("component", F.col("id")), named.where("n > 0").join(of_node, "node", "left")
-    columns = [back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component").alias("component_id")]
-    return rest.select(*columns).unionByName(empty.select(*columns))
+    return _placed_rows(docs, like, id_col, text_col).select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; all columns and null ids stay."""
-    gone = jaccard_components(docs, like, id_col, text_col).where(F.col(id_col).isNotNull() & (F.col("component_id") != F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    rows = _placed_rows(docs, like, id_col, text_col)
+    gone = rows.where((F.col("id") != LAST_ID) & (F.col("component") != F.col("id"))).select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left_anti")
