@@ -55,9 +55,16 @@ def fingerprint(title: Column, folded_tags: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(body, 256))
 
 
+def fold_tags(tags: Column | str) -> Column:
+    """Each tag of a short list folded; lists of ASCII tags never leave the JVM's own expressions."""
+    tags = F.col(tags) if isinstance(tags, str) else tags
+    known = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: t.isNotNull())
+    other = F.exists(known, _needs_unicode)
+    return F.when(other, _fold_tags(F.when(other, tags))).otherwise(F.transform(known, lambda t: F.coalesce(F.lower(collapse(t)), F.lit(""))))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def fold_tags(s: pd.Series) -> pd.Series:
-    """Each tag of a short list folded."""
+def _fold_tags(s: pd.Series) -> pd.Series:
 
     def one(t):
         decomposed = unicodedata.normalize("NFKD", " ".join(unicodedata.normalize("NFC", t).split()))

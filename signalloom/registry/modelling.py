@@ -141,8 +141,8 @@ ORACLE = {
         SELECT content_id,
           CASE WHEN tp >= 0.7 THEN tcat WHEN bp >= 0.35 THEN bcat ELSE 'UNKNOWN' END AS category, round(CASE WHEN tp >= 0.7 THEN tp ELSE bp END, 9) AS confidence,
           CASE WHEN tp >= 0.7 THEN 'MODEL' WHEN bp >= 0.35 THEN 'MODEL_WITH_CREATOR_PRIOR' ELSE 'UNKNOWN' END AS source
-        FROM (SELECT content_id, max(p) AS tp, arg_max(category, p) AS tcat FROM probs GROUP BY 1) JOIN
-          (SELECT content_id, max(b) AS bp, arg_max(category, b) AS bcat FROM (SELECT coalesce(p.content_id, s.content_id) AS content_id, coalesce(p.category, s.category) AS category,
+        FROM (SELECT content_id, max(p) AS tp, first(category ORDER BY p DESC, category) AS tcat FROM probs GROUP BY 1) JOIN
+          (SELECT content_id, max(b) AS bp, first(category ORDER BY b DESC, category) AS bcat FROM (SELECT coalesce(p.content_id, s.content_id) AS content_id, coalesce(p.category, s.category) AS category,
              0.7 * coalesce(p, 0) + 0.3 * coalesce(s, 0) AS b FROM probs p FULL JOIN prior s ON s.content_id = p.content_id AND s.category = p.category) GROUP BY 1) USING (content_id)""", "CONTENTS", extra="""
         probs AS (SELECT content_id, 'ECONOMY' AS category, (CAST(content_id AS INT) % 89) / 100 AS p FROM contents UNION ALL
           SELECT content_id, 'PROMO', (CAST(content_id AS INT) % 53) / 100 FROM contents UNION ALL SELECT content_id, 'OTHER', 0.05 FROM contents),

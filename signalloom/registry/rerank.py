@@ -131,6 +131,22 @@ adj AS (SELECT *, least(greatest(ms, 1e-9), 1 - 1e-9) AS cp,
     row_number() OVER (PARTITION BY user_id, category ORDER BY pre_rank) + row_number() OVER (PARTITION BY user_id, creator_id ORDER BY pre_rank) - 2 AS dup FROM mul)"""
 _LIVE = """live_c AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice) AS BIGINT)) AS content_id, (l_extendedprice % 1000) / 1000 AS ms,
     l_partkey AS k, l_quantity AS q FROM lineitem)"""
+_PASS = """
+scored AS (SELECT CAST(l_orderkey AS VARCHAR) AS user_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice) AS BIGINT)) AS content_id,
+    CAST(l_suppkey % 3 AS VARCHAR) AS creator_id, l_linestatus AS category, (l_extendedprice % 1000) / 1000 AS ms, l_partkey AS k, l_quantity AS q FROM lineitem),
+adjusted AS (SELECT *, ms * CASE WHEN q % 4 = 0 THEN 0.82 ELSE 1 END * CASE WHEN k % 7 + 3 * (k % 3) > 0 THEN 1 + least(0.15, ln(1 + k % 7 + 3 * (k % 3)) * 0.05) ELSE 1 END
+    * CASE WHEN q % 11 = 0 THEN 0.5 ELSE 1 END AS a FROM scored),
+listed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a DESC, content_id) AS n FROM adjusted),
+pass AS (
+  SELECT user_id, 0::BIGINT AS n, []::BIGINT[] AS picks, []::VARCHAR[] AS cats, []::VARCHAR[] AS makers FROM (SELECT DISTINCT user_id FROM listed)
+  UNION ALL
+  SELECT p.user_id, l.n, CASE WHEN ok THEN list_append(picks, l.n) ELSE picks END, CASE WHEN ok THEN list_append(cats, l.category) ELSE cats END,
+    CASE WHEN ok THEN list_append(makers, l.creator_id) ELSE makers END
+  FROM pass p JOIN listed l ON l.user_id = p.user_id AND l.n = p.n + 1, LATERAL (SELECT len(picks) < 4 AND len(list_filter(makers, lambda m: m = l.creator_id)) < 2
+    AND NOT coalesce(len(cats) >= 2 AND cats[-1] = l.category AND cats[-2] = l.category, false) AS ok) t),
+done AS (SELECT user_id, arg_max(picks, n) AS picks FROM pass GROUP BY 1),
+open_ AS (SELECT l.*, list_contains(picks, l.n) AS picked, len(picks) AS have FROM listed l JOIN done USING (user_id)),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY user_id, picked ORDER BY n) AS o FROM open_ QUALIFY picked OR o <= 4 - have)"""
 _RR = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _REL)
 ORACLE = {
     "relevance_signals": with_ctes(f"SELECT content_id, {_RR}, round(multiplier, 9) AS multiplier, reason FROM mul", "CONTENTS", extra=_SCORED),
@@ -142,6 +158,10 @@ ORACLE = {
             * CASE WHEN q % 11 = 0 THEN 0.5 ELSE 1 END, 6) AS score,
           CASE WHEN q % 9 = 0 THEN 'FOLLOWED_CREATOR' WHEN (k % 100) / 100 >= 0.7 THEN 'PREFERRED_LIVE_CATEGORY' WHEN (k % 40) / 100 > 0.15 THEN 'TRENDING_LIVE'
             WHEN k % 2 = 0 THEN 'REGION_MATCH' ELSE 'EXPLORATION' END AS reason FROM live_c""",
+    "live_rerank": "WITH RECURSIVE " + _PASS + """
+        SELECT user_id, content_id, category, round(a, 6) AS score, CASE WHEN q % 9 = 0 THEN 'FOLLOWED_CREATOR' WHEN (k % 100) / 100 >= 0.7 THEN 'PREFERRED_LIVE_CATEGORY'
+            WHEN (k % 40) / 100 > 0.15 THEN 'TRENDING_LIVE' WHEN k % 2 = 0 THEN 'REGION_MATCH' ELSE 'EXPLORATION' END AS reason,
+          CAST(row_number() OVER (PARTITION BY user_id ORDER BY n) AS INTEGER) AS rank FROM chosen""",
     "search_intent_ttl": f"""SELECT CAST(user_id AS VARCHAR) AS user_id, json_extract_string(arg_max(props, ts), '$.k') AS query,
         round(0.8 * (1 - ({NOW} - max(epoch_us(ts))) / 8.64e10), 6) AS confidence FROM events WHERE event_type = 'click' AND epoch_us(ts) <= {NOW}
         GROUP BY 1 HAVING {NOW} - max(epoch_us(ts)) < 86400000000""",

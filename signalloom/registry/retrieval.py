@@ -225,6 +225,36 @@ def _h(t: str, dim: int) -> str:
 _VALUES = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS cat" for i, c in enumerate(CATEGORIES))
 _SEM = """SELECT {k}, sum({w}) AS v, {h} AS slot FROM {src} GROUP BY 1, 3"""
 
+
+
+def _in_turn(turns: list[tuple[int, str, int]], rest: list[tuple[int, str]], limit: int) -> str:
+    """CTEs over ``lst`` (user_id, bucket, place, content_id): each turn (bucket, source, quota) takes its first items that
+    no turn before took, then ``rest`` fills up. The last CTE is ``filled`` (user_id, content_id, source, position)."""
+    parts, names = [], []
+    for n, (bucket, source, quota) in enumerate([*turns, *[(b, s, limit) for b, s in rest]]):
+        before = " UNION ALL ".join(f"SELECT user_id, content_id FROM turn{m}" for m in range(n))
+        new = f"AND NOT EXISTS (SELECT 1 FROM ({before}) t WHERE t.user_id = l.user_id AND t.content_id = l.content_id)" if n else ""
+        parts.append(f"""turn{n} AS (SELECT user_id, content_id, '{source}' AS source, {n} AS turn, row_number() OVER (PARTITION BY user_id ORDER BY place) AS o
+            FROM lst l WHERE bucket = {bucket} {new} QUALIFY o <= {quota})""")
+        names.append(f"SELECT * FROM turn{n}")
+    return ", ".join(parts) + f""", filled AS (SELECT user_id, content_id, source, CAST(row_number() OVER (PARTITION BY user_id ORDER BY turn, o) AS INTEGER) AS position
+        FROM ({" UNION ALL ".join(names)}) QUALIFY position <= {limit})"""
+
+
+_QUOTA = max(1, LIMIT // len(retrieval.SOURCES))
+_FILL = [(n, s, _QUOTA if n < 5 else max(1, int(_QUOTA * retrieval.EXPLORATION_FRACTION))) for n, s in enumerate(retrieval.SOURCES)]
+_POOL = f"""pool AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS content_id, o_orderpriority AS category,
+    o_orderkey % 4 AS prev, o_orderkey * 13 % 700 AS viewers, (o_orderkey % 30) / 100 AS growth FROM orders WHERE o_orderstatus <> 'P'),
+  liked AS (SELECT DISTINCT user_id, category FROM (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY prev DESC, seq) <= 2) WHERE prev > 0),
+  flags AS (SELECT p.*, [seq % 5 = 0, l.category IS NOT NULL, growth >= 0.15 OR viewers >= 500, seq % 3 = 0, seq % 60 <= 20, true] AS inside
+    FROM pool p LEFT JOIN liked l ON l.user_id = p.user_id AND l.category = p.category),
+  lst AS (SELECT user_id, b AS bucket, row_number() OVER (PARTITION BY user_id, b ORDER BY viewers DESC, seq) AS place, content_id FROM flags, range(6) r(b) WHERE inside[b + 1]
+    UNION ALL SELECT user_id, 6, seq, content_id FROM pool),
+  """ + _in_turn([(n, s, max(1, 12 // 6)) for n, s in enumerate(retrieval.LIVE_POOL_SOURCES)], [(6, "EXPLORATION")], 12)
+_PLACES = f"""lst AS (SELECT user_id, bucket, content_id, row_number() OVER (PARTITION BY user_id, bucket
+    ORDER BY CASE WHEN bucket = 4 THEN created_us ELSE popularity_score END DESC, content_id) AS place
+  FROM bk b WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = b.user_id AND s.content_id = b.content_id) QUALIFY place <= {LIMIT}), """ + _in_turn(
+    _FILL, [(n, s) for n, s in enumerate(retrieval.SOURCES[:-1])], LIMIT)
 ORACLE = {
     "session_preferred_categories": with_ctes("SELECT * FROM sess", "SIG", extra=_USER),
     "preferred_categories": with_ctes("""SELECT * FROM pref UNION ALL SELECT CAST(c_custkey AS VARCHAR), cat FROM customer, (VALUES ('PROMO'), ('SMALL')) t(cat)
@@ -233,6 +263,11 @@ ORACLE = {
         SELECT user_id, CAST(bucket AS BIGINT) AS bucket, content_id, row_number() OVER (PARTITION BY user_id, bucket
             ORDER BY CASE WHEN bucket = 4 THEN created_us ELSE popularity_score END DESC, content_id) AS place
         FROM bk b WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = b.user_id AND s.content_id = b.content_id) QUALIFY place <= {LIMIT}""", "SIG", extra=_USER),
+    "bucket_quota_fill": with_ctes(f"""
+        SELECT f.user_id, f.content_id, source, position, round(least(8760.0::DOUBLE, greatest(0.0::DOUBLE, ({NOW} - c.created_us) / 3.6e9)), 2) AS content_age_hours,
+          EXISTS (SELECT 1 FROM fol x WHERE x.user_id = f.user_id AND x.creator_id = c.creator_id) AS creator_followed, false AS already_seen
+        FROM filled f JOIN contents c USING (content_id)""", "SIG", extra=_USER + ", " + _PLACES),
+    "live_pool_buckets": f"WITH {_POOL} SELECT user_id, content_id AS stream_id, source, position FROM filled",
     "live_candidate_buckets": with_ctes("""
         SELECT user_id, content_id, ['FOLLOWED_CREATOR', 'RECENT_CREATOR_INTERACTION', 'PREFERRED_CATEGORY', 'TRENDING_LIVE', 'EXPLORATION'][b + 1] AS source
         FROM (SELECT * FROM sofar UNION ALL SELECT * FROM ex) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY b, pos) <= 80""", "SIG", extra=_LIVE),

@@ -27,9 +27,13 @@ def json_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing was written yet. Any other failure (a clash of schemas, a store that
+    can't be reached) is raised: it must not look like an empty store."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -46,9 +50,8 @@ def behaviour_batch(root: str, contents: DataFrame, now: Column | None = None):
         stored = _read(spark, f"{root}/interactions")
         parsed = ingest.parse_messages(batch)
         if stored is not None:
-            # A resent event keeps its timestamp, so only the days of this batch can hold it.
-            days = parsed.select(F.to_date("timestamp").alias("day")).where("day is not null").distinct()
-            stored = stored.where(F.col("epoch") != epoch).join(days, "day", "left_semi")
+            # Event ids are unique over the whole store, whatever timestamp a resend carries; only that column is read.
+            stored = stored.where(F.col("epoch") != epoch).select("event_id")
         out = ingest.store_events(parsed, contents, stored, F.current_timestamp() if now is None else now)
         accepted = out["accepted"].withColumns({"day": F.to_date("timestamp"), "ts_us": F.unix_micros("timestamp"), "id": F.col("offset")}).persist()
         _write(accepted, f"{root}/interactions", epoch, "day")
