@@ -10,6 +10,8 @@ A text of one chunk is one piece and needs no shuffle.
 from __future__ import annotations
 
 import base64
+import contextlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -82,7 +84,8 @@ class Encoder(dict):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.usual = regex.compile(pattern)
-        self.newer, self.exact = (regex.compile(newer) if newer else None), regex.compile(exact, regex.V1)
+        self.newer, self.exact = (re.compile(newer) if newer else None), regex.compile(exact, regex.V1)
+        self.high = not (newer and self.newer.search("".join(map(chr, range(256)))))
         self.merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         size = max(ranks.values()) + 1
         self.lengths, self.starts = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -103,7 +106,13 @@ class Encoder(dict):
 
     def split(self, text: str) -> regex.Pattern:
         """The pattern for this text: plain, unless a character is classed otherwise by the library."""
-        return self.exact if self.newer is not None and self.newer.search(text) else self.usual
+        if self.newer is None or text.isascii():
+            return self.usual
+        if self.high:  # none of them is in Latin-1, which is quick to tell
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                return self.usual
+        return self.exact if self.newer.search(text) else self.usual
 
     def encode(self, piece: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(piece).findall(piece)))
