@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalloom.llm.common import cut
 
-SHARD_ROWS, BLOCK_ROWS, LEAF = 65_536, 8_192, 256
+SHARD_ROWS, BLOCK_ROWS, LEAF = 16_384, 8_192, 256
 #: Inner products below this are exact in doubles.
 EXACT = float(1 << 52)
 
