@@ -138,32 +138,38 @@ def _located(table: pa.Table) -> pa.Table:
     import ahocorasick
 
     numbers: dict[bytes, int] = {}
-    where: dict[bytes, list[tuple[int, int, int]]] = {}
-    for doc, t, start, passage in zip(*(table[c].to_pylist() for c in ("doc", "t", "start", "passage")), strict=True):
-        where.setdefault(b" ".join(passage.split()), []).append((doc, t, start))
-    passages = []
-    for text, places in where.items():
-        places.sort()
-        passages.append((tuple(numbers.setdefault(w, len(numbers) + 1) for w in text.split(b" ")), places))
-    first: dict[tuple[int, ...], tuple[int, int, int]] = {}
-    again: set[tuple[int, ...]] = set()
-    for words, places in passages:
-        doc, t, start = places[0]
-        for i in range(len(words) - WINDOW + 1):
-            window, here = words[i : i + WINDOW], (doc, t, start + i)
-            before = first.get(window)
-            if before is None:
-                first[window] = here
-            if before is not None or len(places) > 1:
-                again.add(window)
-                first[window] = min(here, first[window])
-    out: list[tuple[int, int, int, int]] = []
-    if again:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    by_seed: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
+    for key, doc, t, start, passage in zip(*(table[c].to_pylist() for c in ("key", "doc", "t", "start", "passage")), strict=True):
+        by_seed.setdefault(key, {}).setdefault(passage, []).append((doc, t, start))
+    automaton, streams = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), []
+    while by_seed:  # equal windows have equal seeds, so each seed is confirmed by itself
+        _, raw = by_seed.popitem()
+        where: dict[bytes, list[tuple[int, int, int]]] = {}
+        for passage, places in raw.items():
+            where.setdefault(b" ".join(passage.split()), []).extend(places)
+        if len(where) == 1 and len(next(iter(where.values()))) == 1:
+            continue  # the filter let a seed pass that occurs once
+        first: dict[tuple[int, ...], tuple[int, int, int]] = {}
+        again: set[tuple[int, ...]] = set()
+        passages = []
+        for text, places in where.items():
+            places.sort()
+            words = tuple(numbers.setdefault(w, len(numbers) + 1) for w in text.split(b" "))
+            passages.append((words, places))
+            doc, t, start = places[0]
+            for i in range(len(words) - WINDOW + 1):
+                window, here = words[i : i + WINDOW], (doc, t, start + i)
+                before = first.get(window)
+                first[window] = here if before is None else min(here, before)
+                if before is not None or len(places) > 1:
+                    again.add(window)
         for window in again:
             automaton.add_word(window, first[window])
+        streams += passages if again else []
+    out: list[tuple[int, int, int, int]] = []
+    if streams:
         automaton.make_automaton()
-        for words, places in passages:
+        for words, places in streams:
             hits = [(end - WINDOW + 1, earliest) for end, earliest in automaton.iter(words)]
             for doc, t, start in places if hits else ():
                 stop = -1
