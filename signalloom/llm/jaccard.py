@@ -206,27 +206,30 @@ def linked_sets(docs: DataFrame, nodes: DataFrame, like: Similarity, id_col: str
     keys = keyed_sets(docs, like, id_col, text_col).select(F.explode("keys").alias("key"))
     held = key_filter(recurring(keys))
     stands = nodes.select(F.col("rep").alias("id"), "node")
-    about = ["node", "n", *PARITY]
-    rows = keyed_sets(docs, like, id_col, text_col, held).join(stands, ["id", "node"], "left_semi").select(*about, F.explode("keys").alias("key")).distinct()
-    rows = cut(rows)
+    found = cut(keyed_sets(docs, like, id_col, text_col, held).join(stands, ["id", "node"], "left_semi").dropDuplicates(["node"]))
+    facts = found.select("node", "n", *PARITY)
+    # Rows of keys carry names only; sizes and parity bits join them where pairs are judged.
+    rows = found.select("node", F.explode("keys").alias("key"))
     members = cut(rows.join(recurring(rows).withColumnRenamed("n", "share"), "key"))
     typical = members.groupBy("node").agg(F.sum(F.log2("share")).alias("weight"))
     members = members.drop("share")
-    top = F.max(F.struct("weight", *about)).alias("top")
-    leaders = members.join(typical, "node").groupBy("key").agg(top).select("key", *[F.col(f"top.{c}").alias(f"y_{c}") for c in about])
-    stars = cut(_pairs(_prefixed(members, "x").join(leaders, "key").where(_alike(like))))
+    top = F.max(F.struct("weight", "node"))["node"].alias("y_node")
+    leaders = members.join(typical, "node").groupBy("key").agg(top)
+    meets = members.join(leaders, "key").where("node <> y_node").select(F.col("node").alias("x_node"), "y_node").distinct()
+    met = meets.join(_prefixed(facts, "x"), "x_node").join(_prefixed(facts, "y"), "y_node").where(_alike(like))
+    stars = cut(_pairs(met))
     links = cut(fragment_overlaps(docs, stars, nodes, like, id_col, text_col))
     roots = components(links)
     # What is still apart from most of its key meets all others of the key.
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     most = groups.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    open_rows = cut(placed.join(most, "key"))
+    open_rows = placed.join(most, "key").join(facts, "node")
     apart = _prefixed(open_rows.where(F.col("root") != F.col("main")), "x")
     others = _prefixed(open_rows, "y").withColumnRenamed("key", "y_key")
     different = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
-    meets = apart.join(others, (F.col("key") == F.col("y_key")) & different & _alike(like))
-    rest = cut(_pairs(meets).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    still = apart.join(others, (F.col("key") == F.col("y_key")) & different & _alike(like))
+    rest = cut(_pairs(still).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     more = fragment_overlaps(docs, rest, nodes, like, id_col, text_col)
     return components(links.unionByName(more))
 
