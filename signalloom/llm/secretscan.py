@@ -17,22 +17,33 @@ from signalloom.llm.common import text_of
 _IN = r"A-Za-z0-9_+/=.@\-"
 #: A token of 12 or more characters with a digit.
 CANDIDATE = rf"(?<![{_IN}])(?=[{_IN}]{{0,64}}[0-9])[{_IN}]{{12,}}"
-_BEFORE, _AFTER = r"((?<!\S)(?:\S{1,64}\s{1,4}){0,3}?[^\sA-Za-z0-9_+/=.@\-]{0,4})", r"(?=(\S{0,8}(?:\s{1,4}\S{1,64}){0,2}))"
-_WHOLE = rf"{_BEFORE}({CANDIDATE}){_AFTER}"
+#: Characters of a text beside a candidate that are looked at for the words beside it.
+REACH = 280
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private)"
 HARMLESS = r"(?i)(example|sample|dummy|test|sha|md5|hash|commit|checksum|uuid|phone|card|mail|version)"
 DICTIONARY, SAMPLE, TREES, DEPTH = 512, 20_000, 20, 6
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``id_col, path, nth, candidate, before, after`` of every candidate, with up to three words before it (since the
-    one before) and two after. Null texts have none."""
-    text = text_of(text_col)
-    hits = docs.where(text.rlike(CANDIDATE)).select(
-        id_col, F.col(path_col).alias("path"),
-        *[F.regexp_extract_all(text, F.lit(_WHOLE), F.lit(i)).alias(n) for i, n in ((1, "before"), (2, "candidate"), (3, "after"))])
-    each = F.posexplode(F.arrays_zip("before", "candidate", "after")).alias("nth", "f")
-    return hits.select(id_col, "path", each).select(id_col, "path", "nth", "f.candidate", "f.before", "f.after")
+    """``id_col, path, nth, candidate, before, after`` of every match of ``CANDIDATE``, whatever it is glued to.
+
+    ``before`` is what is glued to it and up to three words (since the one before), ``after`` what is glued to it and up
+    to two words; runs of blanks are one space, and at most ``REACH`` characters count. Null texts have none.
+    """
+    text, reach = text_of(text_col), F.lit(REACH)
+    spaced = lambda x: F.regexp_replace(x, r"\s+", " ")
+    # A text's pieces between candidates are one more than its candidates.
+    ends = F.transform(F.split(text, CANDIDATE), lambda x: F.struct(F.left(x, reach).alias("head"), F.right(x, reach).alias("tail")))
+    hits = docs.where(text.rlike(CANDIDATE)).select(id_col, F.col(path_col).alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c"), ends.alias("e"))
+    size = F.size("c")
+    part = lambda x, start, name: F.slice(x, F.lit(start), size).alias(name)
+    parts = [F.col("c").alias("candidate"), part(F.col("e.tail"), 1, "tail"), part(F.col("e.head"), 2, "h1"), part(F.col("c"), 2, "c1"), part(F.col("e.head"), 3, "h2"), part(F.col("c"), 3, "c2")]
+    each = hits.select(id_col, "path", F.posexplode(F.arrays_zip(*[x.alias(n) for x, n in zip(parts, ("candidate", "tail", "h1", "c1", "h2", "c2"), strict=True)])).alias("nth", "f"))
+    # The words after may be candidates themselves; a head that is cut short ends there.
+    further = F.when(F.length("f.h1") < REACH, F.concat(F.coalesce("f.c1", F.lit("")), F.coalesce("f.h2", F.lit("")), F.coalesce(F.when(F.length("f.h2") < REACH, F.col("f.c2")), F.lit(""))))
+    after = F.left(F.concat("f.h1", F.coalesce(further, F.lit(""))), reach)
+    return each.select(
+        id_col, "path", "nth", "f.candidate", F.substring_index(spaced(F.col("f.tail")), " ", -4).alias("before"), F.substring_index(spaced(after), " ", 3).alias("after"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:

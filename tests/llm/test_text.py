@@ -141,3 +141,19 @@ def test_secret_findings_given_by_the_caller(spark):
     marked = found.withColumn("label", (F.col("doc_id") % 2).cast("double"))
     assert secretscan.scan(docs, marked).count() == 20
     assert {r["score"] for r in secretscan.scan(docs, marked.withColumn("label", F.lit(1.0))).collect()} == {1.0}
+
+
+def test_secret_candidates_glued_to_words_are_all_extracted(spark):
+    token = "0123456789abcdef" * 2
+    texts = [f'token="{token}"', f'{{"api_key":"sk_live_{token}"}}', "password:abc123def456ghi789", f"connect(secret='{token}')", "https://user:p4ssw0rdp4ssw0rd@host/x",
+             f"a,{token},{token}2;\n({token}3)", f'say  this\tis my key:   "{token}" , then {token}4 ends', f"{'x' * 400}\"{token}", "none", "", None]
+    docs = helpers.documents(spark, list(enumerate(texts)) + [(None, texts[0]), (1, texts[1])])
+    found = secretscan.candidates(docs)
+    assert found.count() == docs.select(F.sum(F.regexp_count("text", F.lit(secretscan.CANDIDATE)))).first()[0] == 13
+    got = {(r["doc_id"], r["nth"]): (r["candidate"], r["before"], r["after"]) for r in found.collect()}
+    assert got[0, 0] == (token, 'token="', '"')
+    assert got[1, 0] == (f"sk_live_{token}", '{"api_key":"', '"}') and got[2, 0] == ("abc123def456ghi789", "password:", "")
+    assert got[4, 0][1] == "https://user:"
+    assert [got[5, i][0] for i in range(3)] == [token, f"{token}2", f"{token}3"]
+    assert got[6, 0] == (token, 'is my key: "', '" , then') and got[6, 1][1:] == ('" , then ', " ends")
+    assert got[5, 0][2] == f",{token}2; ({token}3"
