@@ -74,17 +74,24 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_co
     return sums.select(id_col, F.col("n").cast("long").alias("tokens"), F.array(*[F.exp(x) / total for x in logits]).alias("p"))
 
 
-def _residual_step(rate: Column, push: Sequence[float]) -> Column:
-    """One projected gradient step of a document's rate."""
-    return F.greatest(F.lit(0.0), rate - sum((F.get("p", F.lit(d)) * v for d, v in enumerate(push)), F.lit(0.0)))
+def _stepped(p: Sequence[Column], pushes: Sequence[Sequence[float]]) -> Column:
+    """A document's rate after projected gradient steps from 1."""
+    if not pushes:
+        return F.lit(1.0)
+    taken = F.split(F.lit(",".join(repr(float(x)) for v in pushes for x in v)), ",").cast("array<double>")
+    push = lambda k: sum((x * F.get(taken, k * len(p) + i) for i, x in enumerate(p)), F.lit(0.0))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(pushes) - 1)), F.lit(1.0), lambda rate, k: F.greatest(F.lit(0.0), rate - push(k)))
 
 
-def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = 60, tolerance: float = 1e-4) -> DataFrame:
+def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = 300, tolerance: float = 1e-4) -> DataFrame:
     """``members`` (tokens, p) plus ``rate``.
 
     ``targets`` are nonnegative weights of the domains. ``budget`` is the number of tokens wanted, by default as many
     as the scarcest domain allows without repeats. Least squares on domain totals relative to their targets; a domain
     that no document belongs to can't be met and stays short. Empty input, or no token at all: rates of 1.
+
+    A step that doesn't lower the loss is shortened, in the end to a length that lowers it; so the last rates are the
+    best. The fit ends when targets are met or the projected gradient is small.
     """
     weight = sum(targets)
     targets = [t / weight for t in targets]
@@ -92,26 +99,49 @@ def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | N
     p = [F.get("p", F.lit(i)) for i in d]
     sums = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("tokens") * x), F.lit(0.0)) for x in p]).first()
     total, owned = float(sums[0]), [float(x) for x in sums[1:]]
-    rate: Column = F.lit(1.0)
-    last = math.inf
     if not total:
-        return members.withColumn("rate", rate)
+        return members.withColumn("rate", F.lit(1.0))
     possible = [o / t for o, t in zip(owned, targets, strict=True) if t > 0 and o > 0]
     wanted = budget if budget is not None else min(possible, default=total)
-    goal = [max(t * wanted, 1e-9 * total) for t in targets]
-    for _ in range(steps):
-        moved = F.when(rate > 0, F.col("tokens")).otherwise(0)
-        now = members.agg(*[F.sum(F.col("tokens") * x * rate) for x in p], *[F.sum(moved * p[i] * p[j]) for i in d for j in d]).first()
+    goal = np.array([max(t * wanted, 1e-9 * total) for t in targets])
+
+    def after(pushes: Sequence[Sequence[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, residuals, and overlaps of the domains among documents that can still move."""
+        moved = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
+        now = members.withColumn("rate", _stepped(p, pushes)).agg(*[F.sum(F.col("tokens") * x * F.col("rate")) for x in p], *[F.sum(moved * p[i] * p[j]) for i in d for j in d]).first()
         off = np.array(now[: len(p)], float) - goal
-        loss = math.sqrt((off * off / np.array(goal)).sum() / sum(goal))
-        if loss < tolerance or loss > last * (1 - 1e-3):  # met, or as near as these documents allow
+        return math.sqrt((off * off / goal).sum() / goal.sum()), off, np.array(now[len(p) :], float).reshape(len(p), -1)
+
+    pushes: list[list[float]] = []
+    loss, off, metric = after(pushes)
+    # A plain gradient step of 1 / steepest lowers the loss, whichever documents are held at 0.
+    steepest = max(float(np.linalg.eigvalsh(metric / np.sqrt(np.outer(goal, goal))).max()), 1e-300)
+    own, plain = 1.0, 1.0  # lengths of the steps in the metric of the overlaps, given up once none helps, and of plain ones
+    for _ in range(steps):
+        if loss < tolerance:
             break
-        last = loss
-        # Gradients are taken in the metric of the domains' overlaps among documents that can still move.
-        metric = np.array(now[len(p) :], float).reshape(len(p), -1)
-        metric += 1e-6 * max(np.trace(metric), 1.0) * np.eye(len(p))
-        rate = _residual_step(rate, np.linalg.solve(metric, off).tolist())
-    return members.withColumn("rate", rate)
+        found, push = None, off
+        full = np.linalg.solve(metric + 1e-6 * max(np.trace(metric), 1.0) * np.eye(len(p)), off)
+        while own and (found is None or found[0] >= loss * (1 - 2e-2)):
+            own = own / 4 if found else own
+            own = own if own >= 1 / 64 else 0.0
+            push = full * own
+            found = after([*pushes, push.tolist()])
+        if own:
+            own = min(1.0, 2 * own)
+        else:
+            push = off / goal / steepest * plain
+            found = after([*pushes, push.tolist()])
+            while found[0] >= loss and plain > 1:
+                plain = max(1.0, plain / 4)
+                push = off / goal / steepest * plain
+                found = after([*pushes, push.tolist()])
+            plain *= 2
+            if found[0] >= loss * (1 - 1e-6):  # what a plain step gains bounds the projected gradient
+                break
+        pushes.append(push.tolist())
+        loss, off, metric = found
+    return members.withColumn("rate", _stepped(p, pushes))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -104,6 +104,29 @@ def test_mixing_meets_targets_with_the_nearest_rates(spark):
     assert np.abs(x - r)[n > 0].max() < 0.05
 
 
+def least_squares(p, n, goal, rounds=20_000):
+    """Least loss of nonnegative rates, by many accelerated projected gradient steps from 1."""
+    x = y = np.ones(len(n))
+    steepest, t = np.linalg.eigvalsh((p * n[:, None]).T @ p / np.sqrt(np.outer(goal, goal))).max(), 1.0
+    for _ in range(rounds):
+        new, u = np.maximum(0, y - p @ (((p * (n * y)[:, None]).sum(0) - goal) / goal) / steepest), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        x, y, t = new, new + (t - 1) / u * (new - x), u
+    off = (p * (n * x)[:, None]).sum(0) - goal
+    return np.sqrt((off * off / goal).sum() / goal.sum())
+
+
+def test_mixing_steps_that_overshoot_are_not_the_fit(spark):
+    r = np.random.default_rng(4)
+    for shape, weights, budget in (([8, 0.3, 0.3], [0.02, 0.03, 0.95], 20_000.0), ([9, 1, 2], [0.95, 0.03, 0.02], 15_000.0)):
+        p, n = r.dirichlet(shape, 300), r.integers(1, 200, 300)
+        members = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(n, p, strict=True)], "tokens long, p array<double>").coalesce(2)
+        goal = np.array(weights) * budget
+        got = mixing.fitted_rates(members, weights, budget).toPandas()
+        q, m, x = np.array(got["p"].tolist()), got["tokens"].to_numpy(), got["rate"].to_numpy()
+        off = (q * (m * x)[:, None]).sum(0) - goal
+        assert (x >= 0).all() and np.sqrt((off * off / goal).sum() / goal.sum()) < 1.01 * least_squares(p, n, goal) + 2e-4
+
+
 def test_mixing_edges_and_drawing(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = helpers.documents(spark, [(1, "a b"), (2, None), (None, "c"), (1, "a b")])
