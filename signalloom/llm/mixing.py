@@ -32,15 +32,16 @@ def bucket(word: Column) -> Column:
 
 def word_evidence(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str, text_col: str, sample: int) -> tuple[list[Column], list[float]]:
     """A constant array per domain but the first, the log odds that each word bucket adds to those of the rest, and the
-    log odds of a text without any: ``WIDTH`` numbers a domain, whatever the input. ``labels``: id, domain. At most ``sample`` labelled rows are used (smallest hash of the id). Buckets whose
+    log odds of a text without any: ``WIDTH`` numbers a domain, whatever the input. ``labels``: id, domain. At most ``sample`` labelled ids that ``docs`` has are used (smallest hash of the id), and class sizes count their rows. Buckets whose
     count is not ``SURE`` standard deviations above chance add 0."""
     known = labels.where(F.col("id").isNotNull() & F.col("domain").isin(*domains)).groupBy("id").agg(F.min("domain").alias("domain"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded, so it may be broadcast
+    known = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    chosen = cut(known.orderBy(F.xxhash64("id"), "id").limit(sample))  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
     seen = rows.select("domain", F.explode(F.array_distinct(F.transform(words(F.col("text")), bucket))).alias("b"))
     count = lambda d: F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(d)
     table = cut(seen.groupBy("b").agg(*[count(d) for d in domains]))
-    of_domain = dict(chosen.groupBy("domain").count().collect())
+    of_domain = dict(rows.groupBy("domain").count().collect())
     documents = sum(of_domain.values())
     priors = [math.log((of_domain.get(d, 0) + 1) / (documents + len(domains))) for d in domains]
     values, absent = [], []

@@ -127,6 +127,16 @@ def test_mixing_steps_that_overshoot_are_not_the_fit(spark):
         assert (x >= 0).all() and np.sqrt((off * off / goal).sum() / goal.sum()) < 1.01 * least_squares(p, n, goal) + 2e-4
 
 
+def test_mixing_priors_count_documents_that_are_there(spark):
+    rows, labels, marks = labelled(spark)
+    gone = {d for d, q, _ in marks if q == 0}
+    docs = helpers.documents(spark, [(d, t) for d, t in rows if d not in gone])
+    present = labels.where(~F.coalesce(F.col("doc_id").isin(*gone), F.lit(False)))
+    read = lambda given, **more: sorted(map(str, mixing.mixed(docs, mixing.quality_domains(given), **more).drop("rate").collect()))
+    # Labels of documents that are gone neither count in the priors nor use up the sample.
+    assert read(labels) == read(present) and read(labels, sample=100) == read(present, sample=100)
+
+
 def test_mixing_edges_and_drawing(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = helpers.documents(spark, [(1, "a b"), (2, None), (None, "c"), (1, "a b")])
