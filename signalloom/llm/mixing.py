@@ -30,9 +30,9 @@ def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(WIDTH)).cast("int")
 
 
-def word_evidence(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str, text_col: str, sample: int) -> tuple[list[Column], list[float]]:
+def word_evidence(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str, text_col: str, sample: int) -> tuple[list[Column], list[float], list[bool]]:
     """A constant array per domain but the first, the log odds that each word bucket adds to those of the rest, and the
-    log odds of a text without any: ``WIDTH`` numbers a domain, whatever the input. ``labels``: id, domain. At most ``sample`` labelled ids that ``docs`` has are used (smallest hash of the id), and class sizes count their rows. Buckets whose
+    log odds of a text without any, and which domains there is evidence of: ``WIDTH`` numbers a domain, whatever the input. ``labels``: id, domain. At most ``sample`` labelled ids that ``docs`` has are used (smallest hash of the id), and class sizes count their rows. Buckets whose
     count is not ``SURE`` standard deviations above chance add 0."""
     known = labels.where(F.col("id").isNotNull() & F.col("domain").isin(*domains)).groupBy("id").agg(F.min("domain").alias("domain"))
     known = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
@@ -59,12 +59,12 @@ def word_evidence(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id
     text = lambda d: F.array_join(F.transform(listed(d), lambda x: F.round(x["v"], 4).cast("string")), ",").alias(d)
     found = every.agg(*[text(d) for d in domains[1:]]).first()
     start = table.agg(*absent).first()
-    return [F.split(F.lit(v), ",").cast("array<double>") for v in found], priors[:1] + [a + b for a, b in zip(priors[1:], start, strict=True)]
+    evident = [of_domain.get(domains[0], 0) > 0] + [of_domain.get(d, 0) > 0 and any(map(float, v.split(","))) for d, v in zip(domains[1:], found, strict=True)]
+    return [F.split(F.lit(v), ",").cast("array<double>") for v in found], priors[:1] + [a + b for a, b in zip(priors[1:], start, strict=True)], evident
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def posteriors(docs: DataFrame, arrays: Sequence[Column], priors: Sequence[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``tokens`` (words) and ``p`` (a share per domain, in order; sums to 1) of each row of ``docs``."""
-    arrays, priors = word_evidence(docs, labels, domains, id_col, text_col, sample)
     fields = [f"s{i}" for i in range(len(arrays))]
     step = lambda acc, b: F.struct(*[(acc[f] + F.get(a, b)).alias(f) for f, a in zip(fields, arrays, strict=True)])
     said = words(text_of(text_col))
@@ -84,27 +84,28 @@ def _stepped(p: Sequence[Column], pushes: Sequence[Sequence[float]]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(pushes) - 1)), F.lit(1.0), lambda rate, k: F.greatest(F.lit(0.0), rate - push(k)))
 
 
-def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = 300, tolerance: float = 1e-4) -> DataFrame:
+def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = 300, tolerance: float = 1e-4, evident: Sequence[bool] | None = None) -> DataFrame:
     """``members`` (tokens, p) plus ``rate``.
 
-    ``targets`` are nonnegative weights of the domains. ``budget`` is the number of tokens wanted, by default as many
-    as the scarcest domain allows without repeats. Least squares on domain totals relative to their targets; a domain
-    that no document belongs to can't be met and stays short. Empty input, or no token at all: rates of 1.
+    ``targets`` are nonnegative weights of the domains. Domains that are not ``evident`` have no goal. ``budget`` is the
+    number of tokens wanted, by default as many as keep the first domain whole; scarcer ones then stay short of their
+    targets, with what they have as their goal. With a budget they are repeated. Least squares on domain totals relative
+    to their goals. Empty input, no token or no evident domain at all: rates of 1.
 
     A step that doesn't lower the loss is shortened, in the end to a length that lowers it; so the last rates are the
     best. The fit ends when targets are met or the projected gradient is small.
     """
-    weight = sum(targets)
-    targets = [t / weight for t in targets]
+    at = [i for i, t in enumerate(targets) if evident is None or evident[i]]
+    weight = sum(targets[i] for i in at)
+    targets = [targets[i] / weight for i in at] if weight else []
     d = range(len(targets))
-    p = [F.get("p", F.lit(i)) for i in d]
+    p = [F.get("p", F.lit(i)) for i in at[: len(targets)]]
     sums = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("tokens") * x), F.lit(0.0)) for x in p]).first()
     total, owned = float(sums[0]), [float(x) for x in sums[1:]]
-    if not total:
+    if not total or not targets:
         return members.withColumn("rate", F.lit(1.0))
-    possible = [o / t for o, t in zip(owned, targets, strict=True) if t > 0 and o > 0]
-    wanted = budget if budget is not None else min(possible, default=total)
-    goal = np.array([max(t * wanted, 1e-9 * total) for t in targets])
+    wanted = budget if budget is not None else next((o / t for o, t in zip(owned, targets, strict=True) if t > 0 and o > 0), total)
+    goal = np.array([max(t * wanted if budget is not None else min(o, t * wanted), 1e-9 * total) for o, t in zip(owned, targets, strict=True)])
 
     def after(pushes: Sequence[Sequence[float]]) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss, residuals, and overlaps of the domains among documents that can still move."""
@@ -160,12 +161,14 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
           sample: int = SAMPLE, budget: float | None = None) -> DataFrame:
     """id, ``tokens``, ``p_<domain>`` and ``rate`` per row of ``docs``; ``labels``: id, domain.
 
-    Null texts have no tokens. Null or repeated ids and repeated rows stay rows of their own. Without labelled rows all
+    By default the first domain of ``targets`` stays whole and scarcer ones stay short (see ``fitted_rates``). Null texts have no tokens. Null or repeated ids and repeated rows stay rows of their own. Without labelled rows all
     posteriors are equal. Other columns are not read.
     """
     names = list(targets)
-    members = cut(posteriors(docs.select(id_col, text_col), labels, names, id_col, text_col, sample))
-    found = fitted_rates(members, list(targets.values()), budget)
+    docs = docs.select(id_col, text_col)
+    arrays, priors, evident = word_evidence(docs, labels, names, id_col, text_col, sample)
+    members = cut(posteriors(docs, arrays, priors, id_col, text_col))
+    found = fitted_rates(members, list(targets.values()), budget, evident=evident)
     return found.select(id_col, "tokens", *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], "rate")
 
 

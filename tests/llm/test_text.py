@@ -137,6 +137,18 @@ def test_mixing_priors_count_documents_that_are_there(spark):
     assert read(labels) == read(present) and read(labels, sample=100) == read(present, sample=100)
 
 
+def test_mixing_without_a_domain_keeps_the_others(spark):
+    rows, labels, _ = labelled(spark)
+    docs = helpers.documents(spark, rows)
+    got = mixing.mixed(docs, mixing.quality_domains(labels.where("toxic = 0"))).toPandas()
+    clean = got[(got["p_clean"] > 0.9) & (got["tokens"] > 0)]
+    assert len(clean) > 200 and clean["rate"].mean() > 0.9
+    # A scarce domain stays short and is not repeated; the first stays whole.
+    members = spark.createDataFrame([(100, [0.98, 0.01, 0.01])] * 50 + [(100, [0.02, 0.97, 0.01]), (100, [0.02, 0.01, 0.97])], "tokens long, p array<double>")
+    rates = [r["rate"] for r in mixing.fitted_rates(members, [0.95, 0.03, 0.02]).collect()]
+    assert max(rates) < 1.2 and min(rates[:50]) > 0.98
+
+
 def test_mixing_edges_and_drawing(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = helpers.documents(spark, [(1, "a b"), (2, None), (None, "c"), (1, "a b")])
