@@ -21,6 +21,14 @@ CANDIDATE = rf"(?<![{_IN}])(?=[{_IN}]{{0,64}}[0-9])[{_IN}]{{12,}}"
 REACH = 280
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private)"
 HARMLESS = r"(?i)(example|sample|dummy|test|sha|md5|hash|commit|checksum|uuid|phone|card|mail|version)"
+#: A name with an assignment sign at the head of a token.
+NAME = r"^([A-Za-z_][A-Za-z0-9_.\-]{0,63}=+)([^=].*)$"
+#: A credential name whose value follows; the name of a hash that follows; a login of an address whose password follows.
+NAMED, HASHED, LOGIN = rf"{CREDENTIAL}[A-Za-z0-9_.\-]{{0,32}}[\"'`]?\s*[=:]+\s*[\"'`]?$", r"(?i)(sha-?[0-9]*|md5|hash|commit|checksum|uuid)[\"'`]?\s*[=:]*\s*[\"'`]?$", r"://[^\s/@]*:$"
+#: Heads of keys that services give out.
+ISSUED = r"^(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sprk]k[_-]|A[KS]IA|AIza|eyJ)"
+#: Bits a character from which a token of 16 or more letters and digits may be random.
+SURPRISING = 3.0
 DICTIONARY, SAMPLE, TREES, DEPTH = 512, 20_000, 20, 6
 
 
@@ -28,7 +36,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col, path, nth, candidate, before, after`` of every match of ``CANDIDATE``, whatever it is glued to.
 
     ``before`` is what is glued to it and up to three words (since the one before), ``after`` what is glued to it and up
-    to two words; runs of blanks are one space, and at most ``REACH`` characters count. Null texts have none.
+    to two words; runs of blanks are one space, and at most ``REACH`` characters count. A name and ``=`` at the head of a
+    match belong to ``before`` if the rest is a candidate by itself. Null texts have none.
     """
     text, reach = text_of(text_col), F.lit(REACH)
     spaced = lambda x: F.regexp_replace(x, r"\s+", " ")
@@ -42,8 +51,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The words after may be candidates themselves; a head that is cut short ends there.
     further = F.when(F.length("f.h1") < REACH, F.concat(F.coalesce("f.c1", F.lit("")), F.coalesce("f.h2", F.lit("")), F.coalesce(F.when(F.length("f.h2") < REACH, F.col("f.c2")), F.lit(""))))
     after = F.left(F.concat("f.h1", F.coalesce(further, F.lit(""))), reach)
+    token, value = F.col("f.candidate"), F.regexp_extract("f.candidate", NAME, 2)
+    split = value.rlike(rf"^{CANDIDATE}$")
+    before = F.substring_index(spaced(F.col("f.tail")), " ", -4)
     return each.select(
-        id_col, "path", "nth", "f.candidate", F.substring_index(spaced(F.col("f.tail")), " ", -4).alias("before"), F.substring_index(spaced(after), " ", 3).alias("after"))
+        id_col, "path", "nth", F.when(split, value).otherwise(token).alias("candidate"),
+        F.when(split, F.concat(before, F.regexp_extract("f.candidate", NAME, 1))).otherwise(before).alias("before"), F.substring_index(spaced(after), " ", 3).alias("after"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
@@ -78,11 +91,15 @@ def featured(found: DataFrame, words: list[str]) -> DataFrame:
 
 def known_findings(found: DataFrame) -> DataFrame:
     """Labelled findings from formats that are sure: ``label`` 1 for a hexadecimal or mixed token of 20 or more that is
-    assigned to a credential name, 0 for digits, addresses, and tokens without such a name; others are left out."""
-    c = F.col("candidate")
-    strong = (F.length(c) >= 20) & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & ~c.rlike("@")
-    named = F.col("before").rlike(CREDENTIAL) & F.col("before").rlike(r"[=:]\s*[\"']?$")
-    label = F.when(strong & named, 1.0).when(c.rlike("@|^[0-9.]+$") | ~F.col("before").rlike(CREDENTIAL), 0.0)
+    assigned to a credential name, 0 for digits, addresses, named hashes, and tokens without a credential name that
+    don't look like keys; others are left out. ``found`` has features."""
+    c, before = F.col("candidate"), F.col("before")
+    mixed = c.rlike("[0-9]") & c.rlike("[A-Za-z]")
+    strong = (F.length(c) >= 20) & mixed & ~c.rlike("@")
+    alike = c.rlike(ISSUED) | before.rlike(LOGIN)
+    random = mixed & ~c.rlike("@") & (F.length(c) >= 16) & (F.col("f_surprise") >= SURPRISING)
+    plain = c.rlike("@|^[0-9.]+$") | before.rlike(HASHED) | ~random
+    label = F.when(strong & before.rlike(NAMED), 1.0).when(~alike & (c.rlike("@|^[0-9.]+$") | (plain & ~before.rlike(CREDENTIAL))), 0.0)
     return found.withColumn("label", label).where(F.col("label").isNotNull())
 
 
