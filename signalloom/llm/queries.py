@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import bpe, chat, exact, jaccard, mixing, quality, secretscan, sharding, substring, topk
-from signalloom.llm.common import documents
+from signalloom.llm import bpe, chat, exact, jaccard, mixing, quality, runs, secretscan, sharding, substring, topk
+from signalloom.llm.common import SPACES, documents, text_of
 
 
 def vocabulary(spark: SparkSession) -> bpe.Vocabulary:
@@ -61,8 +61,35 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in every tenth document (by checksum of its id) the words from one on repeat with a period."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    chosen = F.col("doc_id").isNotNull() & (h % 10 == 0)
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(chosen, F.filter(F.split(text_of("text"), SPACES), lambda w: w != "")).alias("words"))
+    n = F.size("words")
+    placed = split.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", source(i))), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_runs(documents(spark, sf_dir)))
+
+    def better(best, run):
+        one, two = run["length"] * best["period"], best["length"] * run["period"]
+        return F.when(best.isNull() | (one > two), run).otherwise(best)  # ties: the earlier one, as runs are in order
+
+    best = F.reduce("runs", F.get("runs", F.lit(0)), better)
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_byte_bpe, op2_substring_dedup, op3_soft_membership_mixing, op4_quality_classifier, op5_ngram_jaccard, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k)}
+    op1_byte_bpe, op2_substring_dedup, op3_soft_membership_mixing, op4_quality_classifier, op5_ngram_jaccard, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k,
+    op13_periodic_runs)}
 
 ORACLE = {
     "op7_exact_dedup": r"""

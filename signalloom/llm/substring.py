@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signalloom.llm.common import NO_ID, cut, partitions, text_of
 from signalloom.llm.recurring import key_filter, may_hold, recurring
-from signalloom.llm.wordhash import Words, blocks, mixed, ngrams, raw_bytes, words_of
+from signalloom.llm.wordhash import Words, blocks, ngrams, raw_bytes, words_of
 
 WINDOW, SEED = 20, 6
 #: Occurrences from which a seed is hot, and the most seeds that may be hot (their list is broadcast): the bound on
@@ -124,10 +124,9 @@ def _hot_windows(hot: np.ndarray):
                 if not mine.any():
                     continue
                 start = np.concatenate([np.arange(a, b + 1) for a, b in zip(seeds.first[mine], seeds.last[mine], strict=True)])
-                one = Words(words.data, words.start[lo:hi], words.end[lo:hi], words.hash[lo:hi], np.array([0, hi - lo]))
-                w1 = ngrams(one, WINDOW)[0][start]
-                one.hash = mixed(one.hash ^ np.uint64(0xA0761D6478BD642F))
-                w2 = ngrams(one, WINDOW)[0][start]
+                one = Words(words.data, words.start[lo:hi], words.end[lo:hi], np.array([0, hi - lo]))
+                w1 = ngrams(one, WINDOW, words.hash[lo:hi])[0][start]
+                w2 = ngrams(one, WINDOW, words.hash2[lo:hi])[0][start]
                 yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(start), doc[i])), pa.array(np.full(len(start), t[i])), pa.array(start)], names=["w1", "w2", "doc", "t", "start"])
 
     return run

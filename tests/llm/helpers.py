@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -99,3 +102,35 @@ def top_k(rows, k, is_query):
             scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
+
+
+def word_runs(words, least, times):
+    """(start, length, period) of every run, by start, then period, straight from the definition."""
+    n, found = len(words), {}
+    for q in range(1, n // times + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic_row(doc_id, text):
+    """A row of the query of periodic runs."""
+    words = WORD.findall(text or "")
+    n, h = len(words), zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = word_runs(words, 24, 3)
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    exponent = 1000 * best[1] // best[2] if runs else None
+    return (doc_id, len(runs), *best, exponent, sha("".join("%d,%d,%d\n" % r for r in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
