@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import bpe, chat, exact, jaccard, mixing, quality, runs, secretscan, sharding, substring, topk
+from signalloom.llm import bpe, chat, divergence, exact, jaccard, mixing, quality, runs, secretscan, sharding, substring, topk
 from signalloom.llm.common import SPACES, documents, text_of
 
 
@@ -61,6 +61,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir), least=10, ranks=10)
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: in every tenth document (by checksum of its id) the words from one on repeat with a period."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -89,7 +93,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_substring_dedup, op3_soft_membership_mixing, op4_quality_classifier, op5_ngram_jaccard, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k,
-    op13_periodic_runs)}
+    op12_source_divergence, op13_periodic_runs)}
 
 ORACLE = {
     "op7_exact_dedup": r"""
@@ -113,4 +117,26 @@ ORACLE = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 20""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r FROM documents),
+        w AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+        of_lang AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (
+            SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(total), 0) AS lang_total, coalesce(sum(n), 0)::HUGEINT AS total
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN of_lang USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) AS p,
+                   1 + (1000000000::HUGEINT * (k.n + 2)) // (g.lang_total + 2 * g.v) AS q
+            FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(s.value), 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (SELECT x.lang, x.source AS sx, y.source AS sy, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+                       FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s ON s.lang = a.lang AND sx = a.source AND sy = b.source
+            GROUP BY ALL),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }

@@ -15,6 +15,11 @@ def recurring(keys: DataFrame, key: str = "key", n: str | None = None) -> DataFr
     return keys.groupBy(key).agg(count.alias("n")).where("n > 1")
 
 
+def bits_for(keys: int, most: int) -> int:
+    """Size of a filter (a power of two) with some ten bits a key, at most 2 ** ``most``."""
+    return min(max(16, (10 * keys).bit_length()), most)
+
+
 def key_filter(keys: DataFrame, key: str = "key", bits: int = FILTER_BITS):
     """A broadcast Bloom filter of ``keys`` with two probes. Its size is fixed: with more keys it lets more others pass,
     which later exact steps drop, and it never holds one of ``keys`` back."""

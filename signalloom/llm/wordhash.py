@@ -37,6 +37,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def names_of(words: pa.Array) -> np.ndarray:
+    """Two independent 64-bit names of each word (rows of a large binary array).
+
+    A name is the sum of the word's bytes, each times the random key of its place, and of its length's key.
+    """
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    length = np.diff(offsets)
+    keys = _keys(int(length.max(initial=0)) + 1)
+    out = np.empty((len(length), 2), np.uint64)
+    a = 0
+    while a < len(length):  # pieces of bounded bytes, whole words
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, side="right")) - 1)
+        value = np.frombuffer(data, np.uint8)[offsets[a] : offsets[b]].astype(np.uint64)
+        place = np.arange(offsets[a], offsets[b]) - np.repeat(offsets[a:b], length[a:b])
+        filled = np.flatnonzero(length[a:b])
+        for i in (0, 1):
+            out[a:b, i] = keys[i][length[a:b]] * np.uint64(256)
+            if len(filled):
+                out[a + filled, i] += np.add.reduceat(value * keys[i][place], offsets[a + filled] - offsets[a])
+        a = b
+    return mixed(out)
+
+
 @dataclass
 class Words:
     """Words of some texts: byte range of each in ``data``, and where each text's words begin (one entry more)."""
@@ -73,21 +97,8 @@ class Words:
 
     @cached_property
     def names(self) -> np.ndarray:
-        """Two independent 64-bit names of each distinct word: sums of its bytes, each times the random key of its place."""
-        _, offsets, data = self.distinct.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[: len(self.distinct) + 1]
-        length = np.diff(offsets)
-        keys = _keys(int(length.max(initial=0)) + 1)
-        out = np.empty((len(length), 2), np.uint64)
-        a = 0
-        while a < len(length):  # pieces of bounded bytes, whole words
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, side="right")) - 1)
-            value = np.frombuffer(data, np.uint8)[offsets[a] : offsets[b]].astype(np.uint64)
-            place = np.arange(offsets[a], offsets[b]) - np.repeat(offsets[a:b], length[a:b])
-            for i in (0, 1):
-                out[a:b, i] = np.add.reduceat(value * keys[i][place], offsets[a:b] - offsets[a]) + keys[i][length[a:b]] * np.uint64(256)
-            a = b
-        return mixed(out)
+        """Two independent 64-bit names of each distinct word."""
+        return names_of(self.distinct)
 
     @cached_property
     def hash(self) -> np.ndarray:
