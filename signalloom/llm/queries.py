@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import bpe, chat, divergence, exact, jaccard, mixing, quality, runs, secretscan, sharding, substring, topk
+from signalloom.llm import bpe, chat, divergence, exact, jaccard, mixing, mixlm, quality, runs, secretscan, sharding, substring, topk
 from signalloom.llm.common import SPACES, documents, text_of
 
 
@@ -61,6 +61,13 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    found = mixlm.scored(docs, mixlm.train(docs.where(part != 2), part == 3))
+    return found.select("doc_id", (part == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(documents(spark, sf_dir), least=10, ranks=10)
 
@@ -93,7 +100,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_substring_dedup, op3_soft_membership_mixing, op4_quality_classifier, op5_ngram_jaccard, op6_secret_scan, op7_exact_dedup, op8_virtual_slot_sharding, op9_chat_formatting, op10_exact_top_k,
-    op12_source_divergence, op13_periodic_runs)}
+    op11_context_mixing_lm, op12_source_divergence, op13_periodic_runs)}
 
 ORACLE = {
     "op7_exact_dedup": r"""
