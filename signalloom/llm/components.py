@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` of every node of ``edges`` (a, b: longs) but the roots; a root is its component's least node."""
+    """``node, root`` of every node of ``edges`` (a, b: values of one type with an order) but the roots; a root is its component's least node."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:

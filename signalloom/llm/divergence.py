@@ -26,7 +26,7 @@ from signalloom.llm.recurring import bits_for, key_filter, may_hold
 from signalloom.llm.wordhash import blocks, mixed, names_of, raw_bytes, words_of
 
 #: Bytes of text handled at once, first prefix length (each level doubles it), and the largest filter (2 ** 27 bits: 16 MB).
-BLOCK, FIRST, MOST_BITS = 4 << 20, 2, 27
+BLOCK, FIRST, MOST_BITS = 8 << 20, 4, 27
 _NOT_IN_TERMS = np.array([b < 0x80 and not (65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
 
 
@@ -34,14 +34,21 @@ def _names(column: pa.Array) -> np.ndarray:
     return names_of(column.cast(pa.large_binary()))[:, 0]
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and where each begins in the sorted values (one entry more)."""
+    values = np.sort(values)
+    begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return values[begin], np.r_[begin, len(values)]
+
+
 def _numbers(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     coded = column.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def _terms(batch: pa.RecordBatch, of_row: np.ndarray, lang: np.ndarray, length: int, held) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+def _terms(batch: pa.RecordBatch, of_row: np.ndarray, of_lang: np.ndarray, lang: np.ndarray, length: int, held) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Per block of texts: distinct terms; and of each occurrence of a live one its document, group and term, by number.
-    ``of_row`` has the group of each row, ``lang`` the name of each group's language."""
+    ``of_row`` has the group of each row, ``of_lang`` its language, ``lang`` the hash of each language."""
     data, offsets = raw_bytes(batch.column("text"))
     for a, b in blocks(offsets, BLOCK):
         words = words_of(data, offsets[a : b + 1], lower=True, separators=_NOT_IN_TERMS)
@@ -50,9 +57,11 @@ def _terms(batch: pa.RecordBatch, of_row: np.ndarray, lang: np.ndarray, length:
         doc = np.repeat(np.arange(a, b), words.counts)
         term, of = words.ids, of_row[doc]
         if held is not None:
-            key, at = np.unique(of * len(words.distinct) + term, return_inverse=True)
             prefix = _names(pc.binary_slice(words.distinct, 0, length))
-            live = may_hold(held.value, mixed(lang[key // len(words.distinct)] ^ prefix[key % len(words.distinct)]))[at]
+            if len(lang) * len(prefix) <= 2 * len(term):  # a table is less work than the words one by one
+                live = may_hold(held.value, mixed(lang[:, None] ^ prefix).ravel())[of_lang[doc] * len(prefix) + term]
+            else:
+                live = may_hold(held.value, mixed(lang[of_lang[doc]] ^ prefix[term]))
             doc, term, of = doc[live], term[live], of[live]
         yield words.distinct, doc, of, term
 
@@ -65,19 +74,23 @@ def _prefixes(length: int, before: int, held):
             of_row, langs = _numbers(batch.column("lang"))
             lang = mixed(_names(langs))
             keys, docs, longer = [], [], []
-            for distinct, doc, of, term in _terms(batch, of_row, lang, before, held):
+            for distinct, doc, of, term in _terms(batch, of_row, of_row, lang, before, held):
                 cut_off = pc.binary_slice(distinct, 0, length).dictionary_encode()
                 prefix, names = cut_off.indices.to_numpy(zero_copy_only=False).astype(np.int64), _names(cut_off.dictionary)
                 goes_on = np.zeros(len(names), bool)
                 goes_on[prefix[pc.binary_length(distinct).to_numpy(zero_copy_only=False) > length]] = True
-                once = np.unique((doc * len(lang) + of) * len(names) + prefix[term]) % (len(lang) * len(names))
-                group, n = np.unique(once, return_counts=True)
+                size = len(lang) * len(names)
+                once, _ = _runs(doc * size + of * len(names) + prefix[term])
+                group, begin = _runs(once % size)
+                n = np.diff(begin)
                 keys.append(mixed(lang[group // len(names)] ^ names[group % len(names)]))
                 docs.append(n)
                 longer.append(goes_on[group % len(names)])
             if keys:
-                key, at = np.unique(np.concatenate(keys), return_inverse=True)
-                n, more = np.bincount(at, np.concatenate(docs)).astype(np.int64), np.bincount(at, np.concatenate(longer)) > 0
+                key = np.concatenate(keys)
+                order = np.argsort(key)
+                key, begin = _runs(key[order])
+                n, more = (f.reduceat(np.concatenate(c)[order], begin[:-1]) for f, c in ((np.add, docs), (np.logical_or, longer)))
                 for a in range(0, len(key), 1 << 16):
                     part = slice(a, a + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(n[part]), pa.array(more[part])], names=["key", "docs", "longer"])
@@ -91,12 +104,14 @@ def _counts(before: int, held):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (of_lang, langs), (of_source, sources) = _numbers(batch.column("lang")), _numbers(batch.column("source"))
-            lang = np.repeat(mixed(_names(langs)), len(sources))
-            for distinct, doc, of, term in _terms(batch, of_lang * len(sources) + of_source, lang, before, held):
+            groups_here = len(langs) * len(sources)
+            for distinct, doc, of, term in _terms(batch, of_lang * len(sources) + of_source, of_lang, mixed(_names(langs)), before, held):
                 key = of * len(distinct) + term
-                groups, n = np.unique(key, return_counts=True)
-                once = np.unique(doc * (len(lang) * len(distinct)) + key) % (len(lang) * len(distinct))
-                docs = np.bincount(np.searchsorted(groups, once), minlength=len(groups))
+                size = groups_here * len(distinct)
+                once, begin = _runs(doc * size + key)
+                order = np.argsort(once % size)
+                groups, first = _runs((once % size)[order])
+                docs, n = np.diff(first), np.add.reduceat(np.diff(begin)[order], first[:-1])
                 for a in range(0, len(groups), 1 << 16):
                     k = groups[a : a + (1 << 16)]
                     own = k // len(distinct)

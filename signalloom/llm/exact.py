@@ -2,8 +2,9 @@
 
 Each map task builds a counting quotient filter of the 64-bit fingerprints of its rows: the leading bits (the
 quotient) name a block, the rest (the remainder) is kept sorted with its count, so a filter is lossless. Filters
-of all tasks merge block by block, by sorted remainders. Only texts whose fingerprint counts above one are routed
-on, and their bytes decide: groups are formed by the normalised text itself.
+of all tasks merge block by block, by sorted remainders. Fingerprints that count above one go back to the tasks as a filter
+sized by their number, so only texts that it lets pass are routed on, and their bytes decide: groups are formed by the
+normalised text itself.
 
 A hot text costs one remainder per map task in the filters, one row per map task in the grouping (partial
 aggregation), and its rows carry only ids and digests in the last join.
@@ -17,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalloom.llm.common import SPACES, partitions, text_of
+from signalloom.llm.common import SPACES, cut, partitions, text_of
+from signalloom.llm.recurring import bits_for, key_filter, passes, without_rows
 
 
 class CountingQuotientFilter:
@@ -109,9 +111,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bits = bits or max(4, (4 * partitions(docs.sparkSession) - 1).bit_length())
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_of(text_col)).alias("t"))
     rows = rows.withColumn("fp", F.xxhash64("t"))
-    again = repeated_fingerprints(rows.select("fp"), bits).select("fp")
+    again = cut(repeated_fingerprints(rows.select("fp"), bits).select("fp"))
+    held = key_filter(again, "fp", bits_for(again.count()))
     groups = (
-        rows.join(again, "fp", "left_semi").groupBy("fp", "t").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+        rows.where(passes(held, F.col("fp"))).groupBy("fp", "t").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select(F.sha2("t", 256).alias("digest"), "keep", "n"))
     light = rows.select("id", F.sha2("t", 256).alias("digest"))
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
@@ -121,8 +124,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text an earlier id holds; all columns stay."""
-    gone = (exact_duplicates(docs, id_col, text_col).where(~F.col("kept"))
-            .select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")).distinct())
-    digest = F.sha2(normalised(text_of(text_col)), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (digest == gone["_digest"]), "left_anti")
+    """One row of ``docs`` for each text, that of the least id; of a text that only null ids hold, one row. All columns stay.
+
+    Rows that may go are chosen by a filter, so no others are shuffled.
+    """
+    rows = cut(exact_duplicates(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("_id"), F.col("text_sha256").alias("_t"), "kept", "group_size").where("group_size > 1"))
+    gone = rows.where(~F.col("kept")).select("_id", "_t").distinct()
+    again = rows.where("kept").groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return without_rows(docs, gone, again, id_col, F.sha2(normalised(text_of(text_col)), 256))

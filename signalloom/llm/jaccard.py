@@ -9,17 +9,21 @@ into fragments.
   sure that the shared one isn't empty; a set with more empty fragments than spare ones also gives keys for those.
 * Counting: for a candidate pair, each fragment counts its own overlap, and the sums per pair decide.
 
+Most keys occur once. Tasks send their keys shortened, sorted and packed as differences, some three bytes each; those that
+occur again go into a filter sized by their number, and only keys that it lets pass travel as rows. Sets have 128-bit names.
+
 Before counting, pairs are sifted by 256 parity bits a set: an n-gram flips one bit, so the bits in which two sets differ
 are at most the n-grams in which they do. The sieve sits in the join itself and never drops a similar pair.
 
-Equal sets are one node. Inside a key, all sets are compared with the most typical one first; only sets that are then
-still in other components than most meet the rest, so large groups of near copies don't form all pairs. Every pair of
-sets that share a key is either compared or already connected, so components are those of all links.
+Equal sets are one node. Inside a key, all sets are compared first with the one that shares the largest part of its keys;
+only sets that are then still in other components than most meet the rest, so large groups of near copies don't form all
+pairs. Every pair of sets that share a key is either compared or already connected, so components are those of all links.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,17 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalloom.llm.common import cut
+from signalloom.llm.common import cut, text_of
 from signalloom.llm.components import components
-from signalloom.llm.recurring import key_filter, may_hold, recurring
+from signalloom.llm.recurring import MOST_BITS, bits_for, key_filter, may_hold, passes, without_rows
 from signalloom.llm.wordhash import blocks, mixed, ngrams, raw_bytes, words_of
 
 #: Fragments of the order in which overlaps are counted.
 FRAGMENTS = 8
 #: Columns of a set's parity bits, 64 in each.
 PARITY = ["p0", "p1", "p2", "p3"]
-#: Stands for a null id: the last in order, so that it names a component only where all its ids are null.
-LAST_ID = (1 << 63) - 1
+#: Bits of a shortened key behind those of its bucket, and keys a task holds before it sends them.
+SHORT, HELD = 32, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -85,9 +89,10 @@ def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.unique(grams[cuts[i] : cuts[i + 1]])
 
 
-def digest(grams: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int(mixed(np.array([mixed(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0].view(np.int64))
+def digest(grams: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
+    halves = [mixed(grams ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(grams)) for salt in (0x5851F42D4C957F2D, 0xA0761D6478BD642F)]
+    return mixed(np.array(halves)).tobytes()
 
 
 def parity(grams: np.ndarray) -> list[int]:
@@ -116,70 +121,132 @@ def keys_of(grams: np.ndarray, like: Similarity) -> np.ndarray:
 
 
 def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
-
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("t"), F.col(text_col).alias("text"))
 
-def _per_batch(make, names: list[str], types: list[pa.DataType]):
-    """A mapInArrow function over (id, text): ``make(ids, sets)`` gives columns for rows of one batch."""
 
-    def run(n: int):
-        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a in range(0, batch.num_rows, 2_000):
-                    part = batch.slice(a, 2_000)
-                    rows = make(part.column(0).to_pylist(), sets_of(part.column(1), n))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
+def _per_batch(make, types: dict[str, pa.DataType], n: int):
+    """A mapInArrow function over columns that end with the text: ``make(others, sets)`` gives rows for those of a batch."""
 
-        return over
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2_000):
+                part = batch.slice(a, 2_000)
+                others = zip(*(part.column(i).to_pylist() for i in range(part.num_columns - 1)), strict=True)
+                rows = make(others, sets_of(part.column(part.num_columns - 1), n))
+                columns = zip(*rows, strict=True) if rows else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
-    return run
+    return over
 
 
 def named_sets(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
     """``id, t, node, n`` of every row: a digest of its text, the set's name and size."""
-    run = _per_batch(lambda ids, sets: [(i["id"], i["t"], digest(s), len(s)) for i, s in zip(ids, sets, strict=True)], ["id", "t", "node", "n"], [pa.int64()] * 4)
-    rows = _text(docs, id_col, text_col).select(F.struct("id", F.xxhash64("text").alias("t")).alias("id"), "text")
-    return rows.mapInArrow(run(like.n), "id long, t long, node long, n long")
-
-
-def keyed_sets(docs: DataFrame, like: Similarity, id_col: str, text_col: str, only=None) -> DataFrame:
-    """``id, node, n, p0..p3, keys`` of rows with keys; with a filter ``only``, keys that it lets pass."""
-
-    def rows(ids: list, sets: Iterator[np.ndarray]) -> list[tuple]:
+    run = _per_batch(lambda ids, sets: [(*i, digest(s), len(s)) for i, s in zip(ids, sets, strict=True)], {"id": pa.int64(), "t": pa.int64(), "node": pa.binary(), "n": pa.int64()}, like.n)
+    return _text(docs, id_col, text_col).mapInArrow(run, "id long, t long, node binary, n long")
+
+
+def _short(keys: np.ndarray, bucket_bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bucket_bits - SHORT)
+
+
+def recurring_filter(docs: DataFrame, like: Similarity, bucket_bits: int):
+    """A broadcast filter that lets every key pass that several rows of ``docs`` have; it is asked by ``_held``."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            for s in sets_of(batch.column(0), like.n):
+                if len(s):
+                    held.append(_short(keys_of(s, like), bucket_bits))
+                    waiting += len(held[-1])
+                if waiting > HELD:
+                    yield from packed(np.concatenate(held))
+                    held, waiting = [], 0
+        if held:
+            yield from packed(np.concatenate(held))
+
+    def packed(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys.sort()
+        bucket = keys >> np.uint64(SHORT)
+        cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(keys)] if len(keys) else [0]
+        rest = keys.astype(np.uint32)
+        steps = rest.copy()
+        steps[1:] -= rest[:-1]
+        steps[cuts[:-1]] = rest[cuts[:-1]]
+        for a in range(0, len(cuts) - 1, 1024):
+            own = [steps[x:y] for x, y in zip(cuts[a:-1][:1024], cuts[a + 1 :][:1024], strict=True)]
+            names = bucket[cuts[a:-1][:1024]].astype(np.int64)
+            planes = [zlib.compress(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for s in own]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(planes, pa.binary())], names=["bucket", "packed"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for bucket, packed_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and parts:
+                    yield several(now, parts)
+                    parts = []
+                now = bucket
+                steps = np.frombuffer(zlib.decompress(packed_), np.uint8).reshape(4, -1).T
+                parts.append(np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint32))
+        if parts:
+            yield several(now, parts)
+
+    def several(bucket: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(parts))
+        same = keys[1:] == keys[:-1]
+        keys = np.unique(keys[1:][same]).astype(np.uint64) | np.uint64(bucket << SHORT)
+        return pa.RecordBatch.from_arrays([pa.array(mixed(keys).view(np.int64))], names=["key"])
+
+    sent = docs.select("text").mapInArrow(send, "bucket long, packed binary")
+    keys = cut(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(again, "key long"))
+    return key_filter(keys, bits=bits_for(keys.count(), MOST_BITS))
+
+
+def keyed_sets(texts: DataFrame, like: Similarity, held, bucket_bits: int) -> DataFrame:
+    """``id, node, n, p0..p3, keys, part`` of rows with keys that ``held`` lets pass; ``part``: how many of 1,000 keys."""
+
+    def rows(ids, sets: Iterator[np.ndarray]) -> list[tuple]:
         out = []
-        for i, s in zip(ids, sets, strict=True):
-            keys = keys_of(s, like) if len(s) else s
-            if only is not None and len(keys):
-                keys = keys[may_hold(only.value, keys)]
-            if len(keys):
-                out.append((i, digest(s), len(s), *parity(s), keys.view(np.int64)))
+        for (i,), s in zip(ids, sets, strict=True):
+            if len(s) and len(keys := keys_of(s, like)):
+                good = keys[may_hold(held.value, mixed(_short(keys, bucket_bits)))]
+                if len(good):
+                    out.append((i, digest(s), len(s), *parity(s), good.view(np.int64), 1000 * len(good) // len(keys)))
         return out
 
-    run = _per_batch(rows, ["id", "node", "n", *PARITY, "keys"], [*[pa.int64()] * 7, pa.list_(pa.int64())])
-    return _text(docs, id_col, text_col).mapInArrow(run(like.n), f"id long, node long, n long, {', '.join(p + ' long' for p in PARITY)}, keys array<long>")
+    types = {"id": pa.int64(), "node": pa.binary(), "n": pa.int64(), **dict.fromkeys(PARITY, pa.int64()), "keys": pa.list_(pa.int64()), "part": pa.int32()}
+    run = _per_batch(rows, types, like.n)
+    return texts.select("id", "text").mapInArrow(run, f"id long, node binary, n long, {', '.join(p + ' long' for p in PARITY)}, keys array<long>, part int")
+
 
+def fragment_overlaps(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs (x, y; nx, ny) that link, as (a, b): overlaps are counted per fragment, then summed per pair.
 
-def fragment_overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b, na, nb) that link: overlaps are counted per fragment, then summed per pair."""
+    Texts of the pairs' sets are chosen by a filter of their ids, so only their n-grams are shuffled.
+    """
 
-    def rows(ids: list, sets: Iterator[np.ndarray]) -> list[tuple]:
+    def rows(_, sets: Iterator[np.ndarray]) -> list[tuple]:
         out = []
-        for i, s in zip(ids, sets, strict=True):
-            name = digest(s)
+        for s in sets:
             ends = np.searchsorted(s >> np.uint64(32), [(f << 32) // FRAGMENTS for f in range(FRAGMENTS + 1)])
-            out += [(i, name, f, s[ends[f] : ends[f + 1]].view(np.int64)) for f in range(FRAGMENTS) if ends[f] < ends[f + 1]]
+            out.append((digest(s), [s[ends[f] : ends[f + 1]].view(np.int64) for f in range(FRAGMENTS)]))
         return out
 
-    run = _per_batch(rows, ["id", "node", "f", "grams"], [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select(F.col("rep").alias("id"), F.col("node").alias("want"))
-    texts = _text(docs, id_col, text_col).join(wanted.select("id").distinct(), "id", "left_semi")
-    parts = texts.mapInArrow(run(like.n), "id long, node long, f int, grams array<long>")
-    # A repeated id may hold other sets too; those aren't asked for, or are the same set.
-    parts = cut(parts.groupBy("node", "f").agg(F.first("grams").alias("grams")))
-    left = pairs.join(parts.select(F.col("node").alias("a"), "f", F.col("grams").alias("ga")), "a")
-    met = left.join(parts.select(F.col("node").alias("b"), "f", F.col("grams").alias("gb")), ["b", "f"])
-    sums = met.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("ga", "gb"))).alias("both"))
-    return sums.where(F.col("both") * like.den >= (F.col("na") + F.col("nb") - F.col("both")) * like.num).select("a", "b")
+    run = _per_batch(rows, {"node": pa.binary(), "fragments": pa.list_(pa.list_(pa.int64()))}, like.n)
+
+    def fragments(side: str) -> DataFrame:
+        wanted = cut(nodes.join(pairs.select(F.col(side).alias("node")).distinct(), "node").select(F.xxhash64("rep").alias("key")))
+        held = key_filter(wanted, bits=bits_for(wanted.count(), MOST_BITS))
+        found = texts.where(passes(held, F.xxhash64("id"))).select("id", "text").mapInArrow(run, "node binary, fragments array<array<long>>")
+        # Rows that repeat an id may hold other sets, which no pair asks for, or the same set.
+        return found.groupBy("node").agg(F.first("fragments").alias(f"{side}_fragments")).withColumnRenamed("node", side)
+
+    met = pairs.join(fragments("x"), "x").join(fragments("y"), "y")
+    overlaps = F.zip_with("x_fragments", "y_fragments", lambda a, b: F.size(F.array_intersect(a, b)).cast("long"))
+    sums = met.select("x", "y", "nx", "ny", F.reduce(overlaps, F.lit(0).cast("long"), lambda total, n: total + n).alias("both"))
+    linked = sums.where(F.col("both") * like.den >= (F.col("nx") + F.col("ny") - F.col("both")) * like.num)
+    return linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _alike(like: Similarity, one: str = "x", two: str = "y") -> Column:
@@ -193,57 +260,50 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c) if c == "key" else F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Each pair of x_node, y_node once, the smaller name first."""
-    first = F.col("x_node") < F.col("y_node")
-    return met.where("x_node <> y_node").select(
-        F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.when(first, F.col("x_n")).otherwise(F.col("y_n")).alias("na"),
-        F.when(first, F.col("y_n")).otherwise(F.col("x_n")).alias("nb")).distinct()
-
-
-def linked_sets(docs: DataFrame, nodes: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
+def linked_sets(texts: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
     """``node, root`` over the links of different sets. ``nodes``: node, n, rep (the id that stands for it)."""
-    keys = keyed_sets(docs, like, id_col, text_col).select(F.explode("keys").alias("key"))
-    held = key_filter(recurring(keys))
-    stands = nodes.select(F.col("rep").alias("id"), "node")
-    found = cut(keyed_sets(docs, like, id_col, text_col, held).join(stands, ["id", "node"], "left_semi").dropDuplicates(["node"]))
+    rows = texts.count()
+    bucket_bits = min(max(10, (rows >> 10).bit_length() + 6), 24)  # buckets hold some 100,000 keys each
+    held = recurring_filter(texts, like, bucket_bits)
+    found = keyed_sets(texts, like, held, bucket_bits).join(nodes.select("node", "rep"), "node").where(F.col("id").eqNullSafe(F.col("rep")))
+    found = cut(found.drop("id", "rep").dropDuplicates(["node"]))
     facts = found.select("node", "n", *PARITY)
     # Rows of keys carry names only; sizes and parity bits join them where pairs are judged.
-    rows = found.select("node", F.explode("keys").alias("key"))
-    members = cut(rows.join(recurring(rows).withColumnRenamed("n", "share"), "key"))
-    typical = members.groupBy("node").agg(F.sum(F.log2("share")).alias("weight"))
-    members = members.drop("share")
-    top = F.max(F.struct("weight", "node"))["node"].alias("y_node")
-    leaders = members.join(typical, "node").groupBy("key").agg(top)
-    meets = members.join(leaders, "key").where("node <> y_node").select(F.col("node").alias("x_node"), "y_node").distinct()
-    met = meets.join(_prefixed(facts, "x"), "x_node").join(_prefixed(facts, "y"), "y_node").where(_alike(like))
-    stars = cut(_pairs(met))
-    links = cut(fragment_overlaps(docs, stars, nodes, like, id_col, text_col))
+    members = found.select("node", "part", F.explode("keys").alias("key"))
+    leaders = members.groupBy("key").agg(F.max(F.struct("part", "node"))["node"].alias("y"), F.count(F.lit(1)).alias("share")).where("share > 1").drop("share")
+    meets = members.join(leaders, "key").where("node <> y").select(F.col("node").alias("x"), "y").distinct()
+    sides = lambda m: m.join(_prefixed(facts, "x"), F.col("x") == F.col("x_node")).join(_prefixed(facts, "y"), F.col("y") == F.col("y_node"))
+    pairs = lambda m: m.select("x", "y", F.col("x_n").alias("nx"), F.col("y_n").alias("ny"))
+    stars = cut(pairs(sides(meets).where(_alike(like))))
+    links = cut(fragment_overlaps(texts, stars, nodes, like))
     roots = components(links)
     # What is still apart from most of its key meets all others of the key.
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = found.select("node", "keys").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
+    placed = cut(placed.join(open_keys, "key", "left_semi"))
     groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    most = groups.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    most = groups.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
     open_rows = placed.join(most, "key").join(facts, "node")
     apart = _prefixed(open_rows.where(F.col("root") != F.col("main")), "x")
     others = _prefixed(open_rows, "y").withColumnRenamed("key", "y_key")
     different = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
     still = apart.join(others, (F.col("key") == F.col("y_key")) & different & _alike(like))
-    rest = cut(_pairs(still).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    more = fragment_overlaps(docs, rest, nodes, like, id_col, text_col)
-    return components(links.unionByName(more))
+    still = still.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny")).distinct()
+    done = stars.select("x", "y").unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    rest = cut(still.join(done, ["x", "y"], "left_anti"))
+    return components(links.unionByName(fragment_overlaps(texts, rest, nodes, like))) if rest.limit(1).count() else roots
 
 
 def _placed_rows(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """``id, t, n, component`` of every row; null ids are ``LAST_ID``."""
+    """``id, t, n, place, component`` of every row: the set's component by name, and the least id in it."""
     named = cut(named_sets(docs, like, id_col, text_col))
     nodes = cut(named.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep")))
-    roots = linked_sets(docs, nodes, like, id_col, text_col)
+    roots = linked_sets(_text(docs, id_col, text_col), nodes, like)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    of_node = placed.join(least, "root").select("node", "component")
-    empty, rest = named.where("n = 0").withColumn("component", F.col("id")), named.where("n > 0").join(of_node, "node", "left")
-    return rest.select("id", "t", "n", "component").unionByName(empty.select("id", "t", "n", "component"))
+    of_node = placed.join(least, "root").select("node", F.col("root").alias("place"), "component")
+    empty, rest = named.where("n = 0").withColumn("component", F.col("id")).withColumn("place", F.lit(None).cast("binary")), named.where("n > 0").join(of_node, "node", "left")
+    return rest.select("id", "t", "n", "place", "component").unionByName(empty.select("id", "t", "n", "place", "component"))
 
 
 def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,12 +313,19 @@ def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), id_col:
     n-gram, link with nothing and are their own component. Rows that repeat an id stay rows; a null id is the last in
     order. No rows in, no rows out; other columns are not read. Sets are compared by 64-bit hashes of their n-grams.
     """
-    back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return _placed_rows(docs, like, id_col, text_col).select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
+    return _placed_rows(docs, like, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; all columns and null ids stay."""
-    rows = _placed_rows(docs, like, id_col, text_col)
-    gone = rows.where((F.col("id") != LAST_ID) & (F.col("component") != F.col("id"))).select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
-    return docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left_anti")
+    """``docs`` with one row of each component, that of the least id (null ids last, then the least digest of the text).
+
+    Rows that repeat id and text are one record, of which one row stays; texts without words are each their own. All
+    columns stay, whatever their names. Rows that may go are chosen by a filter, so no others are shuffled.
+    """
+    rows = cut(_placed_rows(docs, like, id_col, text_col))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "t")
+    first = rows.where("place is not null").groupBy("place").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "place").where(~order.eqNullSafe(F.col("first"))).select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
+    again = rows.groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return without_rows(docs, gone, again, id_col, F.xxhash64(text_of(text_col)))
+

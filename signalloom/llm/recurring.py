@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bits of the filter: 4 MB, whatever the input.
-FILTER_BITS = 25
+from signalloom.llm.common import cut
+
+#: Bits of a filter whose keys were not counted (4 MB), and the most bits of one sized by its keys (32 MB).
+FILTER_BITS, MOST_BITS = 25, 28
 
 
 def recurring(keys: DataFrame, key: str = "key", n: str | None = None) -> DataFrame:
@@ -15,7 +18,7 @@ def recurring(keys: DataFrame, key: str = "key", n: str | None = None) -> DataFr
     return keys.groupBy(key).agg(count.alias("n")).where("n > 1")
 
 
-def bits_for(keys: int, most: int) -> int:
+def bits_for(keys: int, most: int = MOST_BITS) -> int:
     """Size of a filter (a power of two) with some ten bits a key, at most 2 ** ``most``."""
     return min(max(16, (10 * keys).bit_length()), most)
 
@@ -40,3 +43,23 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for at in (keys & np.uint64((1 << width) - 1), keys >> np.uint64(64 - width)):
         yes &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
     return yes
+
+
+def passes(filter_, key: Column) -> Column:
+    """Whether the broadcast filter lets a long column's value pass."""
+
+    def one(values: pa.Array) -> pa.Array:
+        return pa.array(may_hold(filter_.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return F.arrow_udf(one, "boolean")(key)
+
+def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame, id_col: str, digest_: Column) -> DataFrame:
+    """``docs`` without rows that ``gone`` (_id, _t) names by id and digest, and one row of those that ``again`` names."""
+    marked = cut(gone.withColumn("_gone", F.lit(True)).unionByName(again.join(gone, ["_id", "_t"], "left_anti").withColumn("_gone", F.lit(False))))
+    held = key_filter(marked.select(F.xxhash64("_id", "_t").alias("key")), bits=bits_for(marked.count(), MOST_BITS))
+    may = passes(held, F.xxhash64(F.col(id_col).cast("long"), digest_))
+    doubtful = docs.where(may)
+    names = doubtful.select(*[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_i"), digest_.alias("_d")])
+    met = names.join(marked, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_t")), "left")
+    once = met.where("_gone is null").select("_row").unionByName(met.where(~F.col("_gone")).groupBy("_i", "_d").agg(F.first("_row").alias("_row")).select("_row"))
+    return docs.where(~may).unionByName(once.select("_row.*"))

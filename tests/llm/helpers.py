@@ -94,6 +94,14 @@ def exact_groups(rows):
     return out
 
 
+def exact_keepers(rows):
+    """The id that stays of each group of equal texts."""
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[re.sub("[\x20\x09-\x0D]+", " ", t or "")].append(d)
+    return [min((d for d in ids if d is not None), default=None) for ids in groups.values()]
+
+
 def top_k(rows, k, is_query):
     """(query_id, rank, vec_id, score)."""
     out = []
