@@ -25,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalloom.llm.common import cut, text_of
 from signalloom.llm.wordhash import Words, _keys, blocks, mixed, raw_bytes, words_of
 
-#: Words in the dictionary (the others are spelled), slots of a context (2 ** 20), contexts, sets of weights.
-DICTIONARY, SLOT_BITS, CONTEXTS, GATES = 65_534, 20, 4, 32
+#: Words in the dictionary (the others are spelled), slots of a context (2 ** 20), contexts, gates (for own codes and spelled words each).
+DICTIONARY, SLOT_BITS, CONTEXTS, GATES = 131_070, 20, 4, 16
 #: Words between two changes of the weights; rate of learning; words a place in the refinement is worth at first.
 STEP, RATE, PRIOR = 64, 0.02, 64.0
 #: Places of the refinement on the log-odds scale, and of a page of slots.
@@ -91,12 +92,13 @@ class Coder:
 
 @dataclass
 class Bits:
-    """Bits of some texts: text, place of the word in its text, bit, whether spelled, and a slot per context."""
+    """Bits of some texts in order of step: the word each belongs to, the words' texts, places and steps, bits, slots."""
 
+    word: np.ndarray
     text: np.ndarray
     place: np.ndarray
+    step: np.ndarray
     bit: np.ndarray
-    spelled: np.ndarray
     slots: list[np.ndarray]
 
 
@@ -107,16 +109,26 @@ def _mix32(x: np.ndarray) -> np.ndarray:
 def _coded(code: np.ndarray, length: np.ndarray, contexts: list[np.ndarray], slot_bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Item, bit and slots of each bit of the items' codes."""
     item = np.repeat(np.arange(len(code), dtype=np.int32), length)
-    depth = np.arange(len(item)) - np.repeat(np.cumsum(length) - length, length)
-    left = length[item] - depth
-    head = code[item] >> left
-    bit = ((code[item] >> (left - 1)) & 1).astype(np.uint8)
-    node = ((1 << depth) | head).astype(np.uint32) * np.uint32(0x9E3779B1)
-    return item, bit, [((c[item] + node) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - slot_bits) for c in contexts]
-
-
-def bits_of(words: Words, numbers: np.ndarray, coder: Coder, slot_bits: int) -> Bits:
-    """``numbers``: dictionary number of each distinct word of the block, or the escape's."""
+    # bits of the code from this one on
+    left = np.repeat((np.cumsum(length, dtype=np.int32)).astype(np.int32), length)
+    left -= np.arange(len(item), dtype=np.int32)
+    part = (code | (np.int32(1) << length))[item]  # a leading 1 tells depths apart
+    node = (part >> left).view(np.uint32) * np.uint32(0x9E3779B1)
+    left -= np.int32(1)
+    bit = ((part >> left) & np.int32(1)).astype(np.uint8)
+    slots = []
+    for c in contexts:
+        slot = c[item]
+        slot += node
+        slot *= np.uint32(0x85EBCA6B)
+        slot >>= np.uint32(32 - slot_bits)
+        slots.append(slot)
+    return item, bit, slots
+
+
+def bits_of(words: Words, numbers: np.ndarray, coder: Coder, slot_bits: int) -> tuple[Bits, Bits]:
+    """Bits of words' own codes, and of spelled words. ``numbers``: dictionary number of each distinct word of the block,
+    or the escape's."""
     n_texts = len(words.first) - 1
     counts = words.counts
     end = np.cumsum(counts + 1) - 1  # where each text's end stands among words and ends
@@ -126,103 +138,117 @@ def bits_of(words: Words, numbers: np.ndarray, coder: Coder, slot_bits: int) ->
     at_word = np.flatnonzero(~is_end)
     symbol, name = np.full(total, len(coder.code) - 1), np.zeros(total, np.uint64)
     symbol[at_word], name[at_word] = numbers[words.ids], words.hash
-    text = np.repeat(np.arange(n_texts), counts + 1)
-    place = np.arange(total) - np.repeat(end - counts, counts + 1)
+    text = np.repeat(np.arange(n_texts, dtype=np.int32), counts + 1)
+    place = (np.arange(total) - np.repeat(end - counts, counts + 1)).astype(np.int32)
     before = np.r_[np.uint64(0), name[:-1]]
     before[place == 0] = 1
     two = np.r_[np.zeros(2, np.uint64), name[:-2]][:total]
     two[place < 2] = 2
+    step = (place // max(STEP, -(-(int(counts.max(initial=0)) + 1) // _FAR))).astype(np.uint16)
+    order = np.argsort(step, kind="stable")
     contexts = [np.full(total, 7, np.uint32), _mix32(before + np.uint64(3)), _mix32(before * np.uint64(0xD6E8FEB86659FD93) + two), _mix32(two ^ np.uint64(0x5851F42D4C957F2D))]
-    item, bit, slots = _coded(coder.code[symbol], coder.length[symbol], contexts, slot_bits)
-    out = [text[item], place[item], bit, np.zeros(len(item), bool), slots]
-
-    far = np.flatnonzero(symbol == len(coder.code) - 2)
-    if len(far):
-        which = np.cumsum(~is_end)[far] - 1
-        start, size = words.start[which], words.end[which] - words.start[which] + 1
-        owner = np.repeat(np.arange(len(far)), size)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        last = inside == size[owner] - 1
-        letter = words.data[np.minimum(start[owner] + inside, len(words.data) - 1)].astype(np.int64)
-        letter[last] = _TERMINATOR
-        terms = letter.astype(np.uint64) * _keys(int(size.max()))[0][inside]
-        sums = np.cumsum(terms, dtype=np.uint64) - terms
-        so_far = sums - sums[np.cumsum(size) - size][owner]
-        last_ones, ago = np.zeros(len(owner), np.uint64), []
-        for k in (1, 2, 3):
-            previous = np.r_[np.zeros(min(k, len(letter)), np.int64), letter[:-k]][: len(letter)]
-            last_ones = last_ones * np.uint64(512) + np.where(inside >= k, previous + 1, 0).astype(np.uint64)
-            ago.append(_mix32(last_ones + np.uint64(k << 40)))
-        item, bit, slots = _coded(coder.byte_code[letter], coder.byte_length[letter], [_mix32(so_far + np.uint64(11)), *ago], slot_bits)
-        of = far[owner[item]]
-        more = [text[of], place[of], bit, np.ones(len(item), bool), slots]
-        out = [np.concatenate(x) for x in zip(out[:4], more[:4], strict=True)] + [[np.concatenate(x) for x in zip(out[4], slots, strict=True)]]
-    return Bits(*out)
+    code = lambda codes, which: codes[which].astype(np.int32)
+    coded = _coded(code(coder.code, symbol[order]), code(coder.length, symbol[order]), [c[order] for c in contexts], slot_bits)
+    own = Bits(coded[0], text[order], place[order], step[order], *coded[1:])
+
+    far = order[symbol[order] == len(coder.code) - 2]
+    which = (np.cumsum(~is_end) - 1)[far]
+    start, size = words.start[which], words.end[which] - words.start[which] + 1
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(far), dtype=np.int32), size)
+    inside = np.arange(len(owner)) - np.repeat(begin, size)
+    last = np.cumsum(size) - 1
+    letter = words.data[np.minimum(np.repeat(start, size) + inside, max(0, len(words.data) - 1))].astype(np.int64) if len(owner) else np.zeros(0, np.int64)
+    letter[last] = _TERMINATOR
+    terms = letter.astype(np.uint64) * _keys(int(size.max(initial=1)))[0][inside]
+    sums = np.cumsum(terms, dtype=np.uint64) - terms
+    so_far = sums - np.repeat(sums[begin], size)
+    last_ones, ago = np.zeros(len(owner), np.uint64), []
+    for k in (1, 2, 3):
+        previous = np.r_[np.zeros(min(k, len(letter)), np.int64), letter[:-k]][: len(letter)]
+        last_ones = last_ones * np.uint64(512) + np.where(inside >= k, previous + 1, 0).astype(np.uint64)
+        ago.append(_mix32(last_ones + np.uint64(k << 40)))
+    item, bit, slots = _coded(code(coder.byte_code, letter), code(coder.byte_length, letter), [_mix32(so_far + np.uint64(11)), *ago], slot_bits)
+    return own, Bits(owner[item], text[far], place[far], step[far], bit, slots)
 
 
 @dataclass
 class Mix:
-    """Stretched predictions and how often contexts were seen (0 to 3), by slot; first weights and refinement."""
+    """By slot: stretched prediction (in 256ths) and, in the last two bits, how often it was seen (0 to 3); weights and
+    refinement at first, for words' own codes and for spelled words."""
 
-    stretch: np.ndarray
-    seen: np.ndarray
+    table: np.ndarray
     weights: np.ndarray
     hits: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray, weights: np.ndarray | None = None, hits: np.ndarray | None = None) -> Mix:
         """``counts``: zeros and ones of each context's slots."""
-        stretch = np.log((counts[:, :, 1] + np.float32(0.4)) / (counts[:, :, 0] + np.float32(0.4))).astype(np.float16)
-        seen = np.searchsorted([1, 3, 16], counts.sum(2).ravel(), side="right").reshape(counts.shape[:2]).astype(np.uint8)
-        return cls(stretch, seen, np.full((GATES, CONTEXTS), 0.4) if weights is None else weights, np.zeros((2 * PLACES, 2)) if hits is None else hits)
+        table = np.empty(counts.shape[:2], np.int16)
+        for k, c in enumerate(counts):
+            stretch = np.clip(np.log((c[:, 1] + np.float32(0.4)) / (c[:, 0] + np.float32(0.4))), -15, 15)
+            table[k] = (np.rint(stretch * 256).astype(np.int16) << 2) | np.searchsorted([1, 3, 16], c.sum(1), side="right").astype(np.int16)
+        return cls(table, np.full((2, GATES, CONTEXTS), 0.4) if weights is None else weights, np.zeros((2, PLACES, 2)) if hits is None else hits)
+
 
+#: Contexts whose sightings are the gate, in own codes and in spelled words.
+_GATED = ((1, 2), (0, 3))
 
-def mix_bits(bits: Bits, mix: Mix, texts: int, apart: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def mix_bits(bits: Bits, mix: Mix, spelled: int, texts: int, apart: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Natural log probability of each text, and the last weights and refinement. Texts learn apart, or all together."""
-    longest = int(bits.place.max(initial=0)) + 1
-    step = (bits.place // max(STEP, -(-longest // _FAR))).astype(np.uint16)
-    order = np.argsort(step, kind="stable")
-    text, bit, spelled = bits.text[order], bits.bit[order], bits.spelled[order]
-    slots = [s[order] for s in bits.slots]
-    x = np.stack([mix.stretch[k][s].astype(np.float32) for k, s in enumerate(slots)], 1)
-    seen = [mix.seen[k][s].astype(np.int64) for k, s in enumerate(slots)]
-    gate = np.where(spelled, 16 + seen[0] * 4 + seen[3], seen[1] * 4 + seen[2])
     lanes = texts if apart else 1
-    lane = text if apart else np.zeros(len(text), np.int64)
-    weights = np.tile(mix.weights, (lanes, 1)).astype(np.float32)
-    share = (mix.hits[:, 1] + 0.5) / (mix.hits.sum(1) + 1)
-    known = mix.hits.sum(1) > 0
-    hits = np.zeros((lanes * 2 * PLACES, 2))
+    held = [t[s] for t, s in zip(mix.table, bits.slots, strict=True)]
+    gate = ((held[_GATED[spelled][0]] & 3) * 4 + (held[_GATED[spelled][1]] & 3)).astype(np.int64)
+    x = np.empty((CONTEXTS, len(gate)), np.float32)
+    for k, h in enumerate(held):
+        np.multiply(h >> 2, np.float32(1 / 256), out=x[k])
+    weights = np.tile(mix.weights[spelled].T.astype(np.float32), (1, lanes))
+    seen = mix.hits[spelled].sum(1)
+    share = np.where(seen > 0, (mix.hits[spelled][:, 1] + 0.5) / (seen + 1), -1).astype(np.float32)
+    ones, all_ = np.zeros(lanes * PLACES, np.float32), np.zeros(lanes * PLACES, np.float32)
     out = np.zeros(texts)
-    cuts = np.searchsorted(step[order], np.arange(int(step.max(initial=0)) + 2))
+    at_word = np.searchsorted(bits.step, np.arange(int(bits.step.max(initial=0)) + 2))
+    cuts = np.searchsorted(bits.word, at_word)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a == b:
             continue
-        g, own, one = lane[a:b] * GATES + gate[a:b], x[a:b], bit[a:b]
-        dot = np.einsum("ek,ek->e", weights[g], own)
-        p = 1 / (1 + np.exp(-np.clip(dot, -12, 12)))
-        at = np.clip((dot + 8) * (PLACES / 16), 0, PLACES - 1).astype(np.int64) + PLACES * spelled[a:b]
-        h = lane[a:b] * (2 * PLACES) + at
-        refined = (hits[h, 1] + PRIOR * np.where(known[at], share[at], p)) / (hits[h].sum(1) + PRIOR)
-        final = np.clip((p + refined) / 2, 1e-5, 1 - 1e-5)
-        out += np.bincount(text[a:b], np.log(np.where(one == 1, final, 1 - final)), minlength=texts)
+        text, own, one = bits.text[bits.word[a:b]], x[:, a:b], bits.bit[a:b].astype(np.float32)
+        g, h = gate[a:b], np.zeros(b - a, np.int64)
+        if apart:
+            g = g + text * np.int64(GATES)
+            h += text * np.int64(PLACES)
+        dot = weights[0][g] * own[0]
+        for k in range(1, CONTEXTS):
+            dot += weights[k][g] * own[k]
+        np.clip(dot, -12, 12, out=dot)
+        p = 1 / (1 + np.exp(-dot))
+        place = np.clip((dot + 8) * np.float32(PLACES / 16), 0, PLACES - 1).astype(np.int64)
+        h += place
+        prior = share[place]
+        refined = (ones[h] + np.float32(PRIOR) * np.where(prior < 0, p, prior)) / (all_[h] + np.float32(PRIOR))
+        final = np.clip((p + refined) * np.float32(0.5), np.float32(1e-5), np.float32(1 - 1e-5))
+        out += np.bincount(text, np.log(np.abs(one - 1 + final)), minlength=texts)
         away = one - p
-        many = np.bincount(g, minlength=len(weights))
+        many = np.bincount(g, minlength=lanes * GATES)
         scale = RATE / np.sqrt(np.maximum(many, 1))
         for k in range(CONTEXTS):
-            weights[:, k] += scale * np.bincount(g, away * own[:, k], minlength=len(weights))
-        for v in (0, 1):
-            hits[:, v] += np.bincount(h, one == v, minlength=len(hits))
-    return out, weights.astype(np.float64), hits
+            weights[k] += scale * np.bincount(g, away * own[k], minlength=lanes * GATES)
+        came = np.bincount(2 * h + bits.bit[a:b], minlength=2 * len(all_)).reshape(-1, 2)
+        ones += came[:, 1]
+        all_ += came.sum(1)
+    return out, weights.T.astype(np.float64), np.stack([all_ - ones, ones], 1).astype(np.float64)
 
 
 def _blocks(batch: pa.RecordBatch, coder: Coder, size: int) -> Iterator[tuple[int, int, Words, np.ndarray]]:
     """Range of rows, words, and dictionary numbers of the distinct words."""
     data, offsets = raw_bytes(batch.column("text"))
     escape = len(coder.code) - 2
+    known = pa.array(list(coder.numbers), pa.large_binary())
     for a, b in blocks(offsets, size):
         words = words_of(data, offsets[a : b + 1], lower=True)
-        yield a, b, words, np.array([coder.numbers.get(w, escape) for w in words.distinct.to_pylist()], np.int64)
+        number = pc.index_in(words.distinct, value_set=known)
+        yield a, b, words, pc.fill_null(number, escape).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,15 +267,26 @@ def _pages(coder, slot_bits: int):
     """Counts of this task's training texts, page by page: (page, fold, zeros and ones, packed)."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, CONTEXTS << slot_bits, 2), np.int32)
+        counts = np.zeros((CONTEXTS, 4 << slot_bits), np.int32)
+        waiting: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+
+        def add() -> None:
+            for k, keys in enumerate(waiting):
+                if keys:
+                    counts[k] += np.bincount(np.concatenate(keys), minlength=4 << slot_bits).astype(np.int32)
+                keys.clear()
+
         for batch in batches:
-            fold = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, _, words, numbers in _blocks(batch, coder.value, 2 << 20):
-                bits = bits_of(words, numbers, coder.value, slot_bits)
-                side = fold[a + bits.text]
-                for k, slots in enumerate(bits.slots):
-                    flat = np.bincount((side << (slot_bits + 1)) + (slots.astype(np.int64) << 1) + bits.bit, minlength=4 << slot_bits)
-                    counts[:, k << slot_bits : (k + 1) << slot_bits] += flat.reshape(2, 1 << slot_bits, 2).astype(np.int32)
+            fold = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.uint32)
+            for a, _, words, numbers in _blocks(batch, coder.value, 1 << 19):
+                for bits in bits_of(words, numbers, coder.value, slot_bits):
+                    side = (fold[a + bits.text] << np.uint32(slot_bits + 1))[bits.word] | bits.bit
+                    for keys, slots in zip(waiting, bits.slots, strict=True):
+                        keys.append(side | (slots << np.uint32(1)))
+                if sum(map(len, waiting[0])) > 4 << slot_bits:
+                    add()
+        add()
+        counts = counts.reshape(CONTEXTS, 2, 1 << slot_bits, 2).swapaxes(0, 1)
         for side in (0, 1):
             paged = counts[side].reshape(-1, PAGE, 2)
             used = np.flatnonzero(paged.any((1, 2)))
@@ -293,13 +330,13 @@ def _learned(coder, first, slot_bits: int):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = first.value
-        weights, hits, seen = mix.weights, np.zeros((2 * PLACES, 2)), 0
+        weights, hits, seen = mix.weights.copy(), np.zeros((2, PLACES, 2)), 0
         for batch in batches:
-            for a, b, words, numbers in _blocks(batch, coder.value, 1 << 18):
-                bits = bits_of(words, numbers, coder.value, slot_bits)
-                _, weights, more = mix_bits(bits, Mix(mix.stretch, mix.seen, weights, mix.hits), b - a, apart=False)
-                hits += more
-                seen += len(bits.bit)
+            for a, b, words, numbers in _blocks(batch, coder.value, 1 << 19):
+                for spelled, bits in enumerate(bits_of(words, numbers, coder.value, slot_bits)):
+                    _, weights[spelled], more = mix_bits(bits, Mix(mix.table, weights, mix.hits), spelled, b - a, apart=False)
+                    hits[spelled] += more
+                    seen += len(bits.bit)
         if seen:
             flat = np.r_[weights.ravel() * seen, hits.ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(seen)))], names=["at", "value", "weight"])
@@ -321,13 +358,18 @@ class Model:
 
 def train(docs: DataFrame, fold: Column, text_col: str = "text", dictionary: int = DICTIONARY, slot_bits: int = SLOT_BITS) -> Model:
     """Fit on all rows of ``docs``. Weights learn on the rows where ``fold`` holds, with the counts of the others; the
-    counts that stay are those of all rows. The dictionary takes the most frequent words, ties in order of the word."""
+    counts that stay are those of all rows. The dictionary takes the most frequent
+    words, at most ``dictionary``."""
     spark = docs.sparkSession
     rows = docs.select(text_of(text_col).alias("text"), F.coalesce(fold, F.lit(False)).alias("fold"))
     words = cut(rows.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     texts = rows.count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.orderBy(F.desc("n"), "word").limit(dictionary).collect()  # at most ``dictionary`` rows
+    # The words of at least a count, the least (of eight to an octave) of which no more than ``dictionary`` words have.
+    octave = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("long")
+    steps = sorted(((r["o"], r["k"]) for r in words.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # 512 at most
+    within = [o for i, (o, _) in enumerate(steps) if sum(k for _, k in steps[: i + 1]) <= dictionary]
+    top = words.where(octave >= within[-1]).orderBy(F.desc("n"), "word").collect() if within else []  # at most ``dictionary`` rows
     own = Coder.of([r["word"].encode() for r in top], [r["n"] for r in top], total - sum(r["n"] for r in top), texts)
     coder = spark.sparkContext.broadcast(own)
     pages = rows.mapInArrow(_pages(coder, slot_bits), "page int, side int, packed binary").repartition("page").mapInArrow(_folded, "page int, side int, packed binary")
@@ -340,9 +382,9 @@ def train(docs: DataFrame, fold: Column, text_col: str = "text", dictionary: int
     flat = {r["at"]: (r["value"], r["weight"]) for r in flat.groupBy("at").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).collect()}
     weights = hits = None
     if flat:
-        k = GATES * CONTEXTS
-        weights = np.array([flat[i][0] / flat[i][1] for i in range(k)]).reshape(GATES, CONTEXTS)
-        hits = np.array([flat[k + i][0] for i in range(4 * PLACES)]).reshape(2 * PLACES, 2)
+        k = 2 * GATES * CONTEXTS
+        weights = np.array([flat[i][0] / flat[i][1] for i in range(k)]).reshape(2, GATES, CONTEXTS)
+        hits = np.array([flat[k + i][0] for i in range(4 * PLACES)]).reshape(2, PLACES, 2)
     mix = spark.sparkContext.broadcast(Mix.of(counts[0] + counts[1], weights, hits))
     return Model(coder, mix, words, total + texts, distinct + (texts > 0), slot_bits)
 
@@ -352,9 +394,9 @@ def _scored(model: Model):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words, numbers in _blocks(batch, coder.value, 1 << 18):
+            for a, b, words, numbers in _blocks(batch, coder.value, 1 << 19):
                 c = coder.value
-                natural, _, _ = mix_bits(bits_of(words, numbers, c, slot_bits), mix.value, b - a)
+                natural = sum(mix_bits(bits, mix.value, spelled, b - a)[0] for spelled, bits in enumerate(bits_of(words, numbers, c, slot_bits)))
                 text = np.repeat(np.arange(b - a), words.counts)
                 known = numbers[words.ids] < len(c.code) - 2
                 logs = np.log10(c.counts[numbers[words.ids]] + 1.0)
