@@ -1,93 +1,13 @@
-"""Streaming forms of LIVE sessions, stream state and search intents. All state is bounded by a watermark.
-
-The reference behaviour has no notion of late data; here events later than the watermark are
-dropped, and a session ends once the watermark passes its last event by the idle time. Later
-events of that pair start a new session.
-"""
+"""Streaming forms of stream state and search intents. All state is bounded by a watermark; later events are dropped."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SESSION_SCHEMA = (
-    "user_id string, content_id string, creator_id string, category string, joined_us long, ended_us long, joined boolean, impression boolean, "
-    "watch_us long, reconnect_count long, like_count long, share_count long, comment_count long, gift_count long, creator_follow_count long, "
-    "not_interested_count long, exclusion_reason string")
-_COUNTERS = {
-    "like_count": ("liked", "LIVE_LIKED"), "share_count": ("shared", "LIVE_SHARED"), "comment_count": ("commented", "LIVE_COMMENTED"),
-    "gift_count": (None, "LIVE_GIFT_SENT"), "creator_follow_count": ("creator_followed", "LIVE_CREATOR_FOLLOWED"), "not_interested_count": (None, "LIVE_NOT_INTERESTED"),
-}
-
-
-def _blank(row: dict) -> dict:
-    return {"creator_id": row["creator_id"], "category": row["category"], "joined_us": row["ts_us"], "ended_us": row["ts_us"], "joined": False, "impression": False,
-            "watch_us": 0, "reconnect_count": 0, **{c: 0 for c in _COUNTERS}, "unmatched": False, "open_us": None, "pending": 0, "closed_us": None}
-
-
-def _advance(s: dict, row: dict) -> None:
-    """One event into the open session."""
-    kind, now = row["event_type"], row["ts_us"]
-    watch = None if pd.isna(row["watch_time_seconds"]) else int(round(row["watch_time_seconds"] * 1e6))
-    s["ended_us"] = now
-    if kind == "LIVE_JOINED":
-        s["joined"] = True
-        if s["open_us"] is None:
-            s["reconnect_count"] += s["closed_us"] is not None
-            s["open_us"] = now
-    elif kind == "LIVE_LEFT":
-        if s["open_us"] is None:
-            s["unmatched"] = True
-        else:
-            s["watch_us"] += max(s["pending"], now - s["open_us"]) if watch is None else watch
-            s.update(open_us=None, pending=0, closed_us=now)
-    elif kind == "LIVE_WATCHED" and watch is not None:
-        s["joined"] = True
-        field = "watch_us" if s["open_us"] is None else "pending"
-        s[field] = max(s[field], watch)
-    s["impression"] = s["impression"] or kind == "LIVE_IMPRESSION"
-    for counter, (flag, alias) in _COUNTERS.items():
-        s[counter] += bool((flag and row[flag]) or kind == alias)
-
-
-def _finished(key: tuple, s: dict) -> dict:
-    reason = "UNMATCHED_LEFT" if s["unmatched"] else "OPEN_ENDED" if s["open_us"] is not None else None
-    kept = {k: v for k, v in s.items() if k not in ("unmatched", "open_us", "pending", "closed_us")}
-    return {"user_id": key[0], "content_id": key[1], **kept, "exclusion_reason": reason}
-
-
-def live_session_stream(events: DataFrame, *, watermark: str = "10 minutes", grace_us: int = 30_000_000, idle_ms: int = 6 * 3_600_000) -> DataFrame:
-    """Finished sessions of a stream of LIVE events (``timestamp`` is event time)."""
-    columns = [f.split()[0] for f in SESSION_SCHEMA.split(", ")]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[dict] = []
-        if state.hasTimedOut:
-            out.append(_finished(key, json.loads(state.get[0])))
-            state.remove()
-        else:
-            s = json.loads(state.get[0]) if state.exists else None
-            rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"]).drop_duplicates("event_id")
-            for row in rows.to_dict("records"):
-                fresh = row["event_type"] == "LIVE_JOINED" and s is not None and s["open_us"] is None and s["closed_us"] is not None and row["ts_us"] - s["closed_us"] > grace_us
-                if fresh:
-                    out.append(_finished(key, s))
-                if s is None or fresh:
-                    s = _blank(row)
-                _advance(s, row)
-            state.update((json.dumps(s),))
-            state.setTimeoutTimestamp(max(s["ended_us"] // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
-
-    keep = ["user_id", "content_id", "event_id", "creator_id", "category", "event_type", "watch_time_seconds", "liked", "shared", "commented", "creator_followed", "ts_us", "timestamp"]
-    timed = events.select(*keep).withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    return timed.groupBy("user_id", "content_id").applyInPandasWithState(step, SESSION_SCHEMA, "session string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def dynamic_state_stream(events: DataFrame, *, watermark: str = "2 minutes", window: str = "600 seconds", slide: str = "30 seconds", stale_us: int = 90_000_000) -> DataFrame:
     """Viewers, growth, likes and gifts per stream at the end of every sliding window: users first, then streams."""
     t, us = F.col("event_type"), F.col("ts_us")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalloom.operators import live
-from signalloom.streaming import state
+from signalloom.streaming import sessions as session_stream, state
 
 SEC = 1_000_000
 SCHEMA = ("event_id string, user_id string, content_id string, creator_id string, category string, event_type string, watch_time_seconds double, liked boolean, "
@@ -47,22 +47,41 @@ def test_explicit_and_pending_watch_time(spark):
     assert [x["watch_us"] for x in s] == [307 * SEC]
 
 
-def fold(events, grace=30 * SEC):
+def by_hand(events, grace=30 * SEC):
+    """Sessions from the rules: cut each viewer's events into stays and gaps, then add the stays up."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    out, by = [], {}
+    by = {}
     for e in events:
         r = dict(zip(names, e))
         by.setdefault((r["user_id"], r["content_id"]), {})[r["event_id"]] = r
+    out = []
     for key, rows in by.items():
-        s = None
-        for r in sorted(rows.values(), key=lambda x: (x["ts_us"], x["event_id"])):
-            fresh = r["event_type"] == "LIVE_JOINED" and s and s["open_us"] is None and s["closed_us"] is not None and r["ts_us"] - s["closed_us"] > grace
-            if fresh:
-                out.append(state._finished(key, s))
-            if s is None or fresh:
-                s = state._blank(r)
-            state._advance(s, {**r, "watch_time_seconds": float("nan") if r["watch_time_seconds"] is None else r["watch_time_seconds"]})
-        out.append(state._finished(key, s))
+        ordered = sorted(rows.values(), key=lambda x: (x["ts_us"], x["event_id"]))
+        inside = [next((p["event_type"] == "LIVE_JOINED" for p in reversed(ordered[:i]) if p["event_type"] in ("LIVE_JOINED", "LIVE_LEFT")), False) for i in range(len(ordered))]
+        starts = [i for i, r in enumerate(ordered) if r["event_type"] == "LIVE_JOINED" and not inside[i]]
+        ends = [i for i, r in enumerate(ordered) if r["event_type"] == "LIVE_LEFT" and inside[i]]
+        last_end = lambda i: max((e for e in ends if e < i), default=None)
+        fresh = [i for i in starts if last_end(i) is not None and ordered[i]["ts_us"] - ordered[last_end(i)]["ts_us"] > grace]
+        for lo, hi in zip([0, *fresh], [*fresh, len(ordered)]):
+            own = range(lo, hi)
+            micros = lambda i: None if ordered[i]["watch_time_seconds"] is None else round(ordered[i]["watch_time_seconds"] * SEC)
+            total, reading = 0, {i: micros(i) for i in own if ordered[i]["event_type"] == "LIVE_WATCHED" and micros(i) is not None}
+            for i in own:
+                if i in reading and not inside[i]:
+                    total = max(total, reading[i])
+                if i in ends:
+                    begin = max(s for s in starts if s < i)
+                    during = [reading[k] for k in range(begin, i) if k in reading and inside[k]]
+                    total += micros(i) if micros(i) is not None else max([ordered[i]["ts_us"] - ordered[begin]["ts_us"], *during])
+            marks = [i for i in own if ordered[i]["event_type"] in ("LIVE_JOINED", "LIVE_LEFT")]
+            stray = any(ordered[i]["event_type"] == "LIVE_LEFT" and not inside[i] for i in own)
+            n = lambda kind, flag=None: sum(ordered[i]["event_type"] == kind or bool(flag and ordered[i][flag]) for i in own)
+            out.append({
+                "user_id": key[0], "content_id": key[1], "joined_us": ordered[lo]["ts_us"], "ended_us": ordered[hi - 1]["ts_us"],
+                "joined": bool(reading) or n("LIVE_JOINED") > 0, "impression": n("LIVE_IMPRESSION") > 0, "watch_us": total,
+                "reconnect_count": sum(i in starts and last_end(i) is not None and i not in fresh for i in own), "like_count": n("LIVE_LIKED", "liked"), "gift_count": n("LIVE_GIFT_SENT"),
+                "not_interested_count": n("LIVE_NOT_INTERESTED"),
+                "exclusion_reason": "UNMATCHED_LEFT" if stray else "OPEN_ENDED" if marks and ordered[marks[-1]]["event_type"] == "LIVE_JOINED" else None})
     return out
 
 
@@ -74,26 +93,27 @@ def random_events(n, seed, span=4000):
 
 
 @pytest.mark.parametrize("heavy_rows", [10**9, 15])
-def test_windows_equal_the_fold(spark, heavy_rows):
+def test_windows_equal_the_rules(spark, heavy_rows):
     events = random_events(300, 7)
     pick = lambda rows: sorted(tuple(str(r[c]) for c in COMPARE) for r in rows)
-    assert pick(sessions(spark, events, heavy_rows=heavy_rows)) == pick(fold(events))
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    """Sessions from a stream (closed by a later event that moves the watermark) equal the batch ones."""
-    events = random_events(120, 11)
-    df = spark.createDataFrame(events, SCHEMA).withColumn("timestamp", F.timestamp_micros("ts_us"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
-    for n, t in enumerate((500_000, 600_000)):
-        tick = spark.createDataFrame([ev(90_000 + n, t, "LIVE_IMPRESSION", user="tick", stream=f"t{n}")], SCHEMA).withColumn("timestamp", F.timestamp_micros("ts_us"))
-        tick.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+    assert pick(sessions(spark, events, heavy_rows=heavy_rows)) == pick(by_hand(events))
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_shuffled_micro_batches_equal_the_rules(spark, tmp_path, seed):
+    """Events come out of order, in micro-batches within the watermark's reach; later ticks move it beyond the last session."""
+    events, rng = sorted(random_events(120, seed), key=lambda e: e[11]), random.Random(seed)
+    parts = [events[a : a + 30] + rng.sample(events[a : a + 30], 5) for a in range(0, 120, 30)]  # some events twice
+    ticks = [[ev(90_000 + n, t, "LIVE_IMPRESSION", user="tick", stream=f"t{n}")] for n, t in enumerate((500_000, 600_000))]
+    for n, rows in enumerate([*map(lambda p: rng.sample(p, len(p)), parts), *ticks]):
+        df = spark.createDataFrame(rows, SCHEMA).withColumn("timestamp", F.timestamp_micros("ts_us"))
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = state.live_session_stream(src).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = session_stream.live_session_stream(src, watermark="3000 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(240)
     got = [r.asDict() for r in spark.read.parquet(str(tmp_path / "out")).where("user_id <> 'tick'").collect()]
     pick = lambda rows: sorted(tuple(str(r[c]) for c in COMPARE) for r in rows)
-    assert pick(got) == pick(fold(events))
+    assert pick(got) == pick(by_hand(events))
 
 
 def test_history_sees_only_ended_sessions(spark):
