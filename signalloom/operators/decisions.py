@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import signals
 from .features import FEATURES, NUMERIC
@@ -55,28 +55,40 @@ def write_log(df: DataFrame, path: str) -> None:
     df.withColumn("day", F.to_date(F.timestamp_micros("ranking_us"))).write.mode("append").partitionBy("day").parquet(path)
 
 
+_OUTCOMES = ["rejected", "completed", "sig_liked", "sig_shared", "sig_favorited", "sig_followed"]
+
+
 def resolve_outcomes(log: DataFrame, events: DataFrame) -> DataFrame:
     """Every logged item with its exposure state and, from events at or after the decision, the relevance 0..4.
 
-    Events are reduced per log row by a plain aggregation, so a hot item costs partial sums only.
+    What follows a decision is a suffix of the item's events, so its maxima are running maxima over falling time; log rows
+    stand among the events. Days keep a hot (user, content) apart: a window runs over one day's rows, another over each
+    pair's days, and a log row takes the greater of both. No row meets more than one other row in the join.
     """
-    a = signals.annotate(events).select("user_id", "content_id", F.col("ts_us").alias("_e_us"), "watch_percentage", "rejected", "completed",
-                                        "sig_liked", "sig_shared", "sig_favorited", "sig_followed")
-    key = ["request_id", "user_id", "content_id"]
-    hit = log.select(*key, "ranking_us").join(a, ["user_id", "content_id"]).where(F.col("_e_us") >= F.col("ranking_us"))
-    any_ = lambda c: F.max(F.col(c).cast("int")).alias(c)
-    o = hit.groupBy(*key).agg(
-        any_("rejected"), any_("completed"), any_("sig_liked"), any_("sig_shared"), any_("sig_favorited"), any_("sig_followed"),
-        F.max("watch_percentage").alias("_wp"), F.max("_e_us").alias("observed_us"))
-    f = lambda c: F.col(c) == 1
+    pair = ["user_id", "content_id"]
+    facts = [*_OUTCOMES, "watch_percentage", "observed_us"]
+    day = F.floor(F.col("_us") / 86_400_000_000)
+    seen = signals.annotate(events).select(
+        *pair, F.col("ts_us").alias("_us"), *[F.col(c).cast("int").alias(c) for c in _OUTCOMES], "watch_percentage", F.col("ts_us").alias("observed_us"), F.lit(None).alias("_row"))
+    names = log.columns
+    asked = log.select(*pair, F.col("ranking_us").alias("_us"), *[F.lit(None).alias(c) for c in facts], F.struct(*names).alias("_row"))
+    wanted = log.select(*pair).distinct()
+    rows = seen.join(wanted, pair, "left_semi").unionByName(asked).withColumn("_day", day)
+    later = Window.partitionBy(*pair, "_day").orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same_day = rows.withColumns({c: F.max(c).over(later) for c in facts}).where("_row is not null")
+    later_days = Window.partitionBy(*pair).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*pair, "_day").agg(*[F.max(c).alias(c) for c in facts])
+    days = days.select(*pair, "_day", *[F.max(c).over(later_days).alias(f"_{c}") for c in facts])
+    found = same_day.join(days, [*pair, "_day"]).select("_row", *[F.greatest(c, f"_{c}").alias(f"_{c}") for c in facts])
+    f = lambda c: F.col(f"_{c}") == 1
     strong = f("sig_shared") | f("sig_favorited") | f("sig_followed")
     grade = (
-        F.when(f("rejected"), 0).when((F.col("_wp") < 20) & ~(strong | f("sig_liked")), 0).when(strong, 4)
-        .when(f("sig_liked") | f("completed"), 3).when(F.col("_wp") >= 70, 2).otherwise(1))
-    o = o.select(*key, "observed_us", grade.alias("relevance"))
-    seen = F.col("observed_us").isNotNull()
-    return log.join(o, key, "left").withColumns({
-        "exposure_state": F.when(seen, "IMPRESSED").otherwise("SERVED"), "observation_state": F.when(seen, "RESOLVED").otherwise("NOT_OBSERVED")})
+        F.when(f("rejected"), 0).when((F.col("_watch_percentage") < 20) & ~(strong | f("sig_liked")), 0).when(strong, 4)
+        .when(f("sig_liked") | f("completed"), 3).when(F.col("_watch_percentage") >= 70, 2).otherwise(1))
+    hit = F.col("_observed_us").isNotNull()
+    return found.select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_observed_us").alias("observed_us"), F.when(hit, grade).alias("relevance"),
+        F.when(hit, "IMPRESSED").otherwise("SERVED").alias("exposure_state"), F.when(hit, "RESOLVED").otherwise("NOT_OBSERVED").alias("observation_state"))
 
 
 def violations(log: DataFrame) -> DataFrame:

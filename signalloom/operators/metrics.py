@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .running import HEAVY_ROWS, Family, detect, one_row, prior_state, top_n
 
 KS = (5, 10)
@@ -335,8 +336,11 @@ def nearest_neighbour(reference: DataFrame, probe: DataFrame, features: Sequence
     for c in features:
         sd = F.when(F.col(f"_d.{c}") == 0, 1.0).otherwise(F.col(f"_d.{c}"))
         square = square + F.pow((F.col(c) - F.col(f"_p.{c}")) / sd, 2)
-    d = j.select(F.sqrt(square).alias("d"))
-    return d.agg(F.round(F.min("d"), 4).alias("nearest"), F.round(F.percentile("d", 0.5), 4).alias("median"), F.count(F.lit(1)).alias("sampled_rows"))
+    from .drift import exact_quantiles
+
+    d = cut_lineage(j.select(F.lit("d").alias("feature"), F.sqrt(square).alias("value")))
+    middle = exact_quantiles(d, [0.5]).select(F.element_at("quantiles", 1))
+    return d.agg(F.round(F.min("value"), 4).alias("nearest"), F.round(middle.scalar(), 4).alias("median"), F.count(F.lit(1)).alias("sampled_rows"))
 
 
 def feature_delta(left: DataFrame, right: DataFrame, features: Sequence[str], least: float = 0.01) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars, signals
 from .running import Family, prior_state, top_n
@@ -185,14 +185,57 @@ def provenance(rows: DataFrame, prefix: str = "syn-") -> DataFrame:
     )
 
 
+#: Hex digits of a hash that a level of the selection looks at (4,096 bins), and the size of a bin that is ranked outright.
+_DIGITS, _SMALL = 3, 4_096
+
+
+def first_by_hash(rows: DataFrame, n: int, label: str, labels: Sequence, key: str) -> DataFrame:
+    """The ``n`` rows of each label with the least sha256 of ``key`` (ties by ``key``), found without ranking them.
+
+    The place of the n-th hash is narrowed by histograms of its next digits, a few thousand numbers a level; hashes below
+    it are taken by a filter, and only the last bin, a small one, is ranked.
+    """
+    hashed = rows.withColumn("_h", F.sha2(F.col(key).cast("string"), 256))
+    bound = {v: ("", n) for v in labels}  # label: (prefix of the n-th hash, how many of that prefix are wanted)
+    waiting = list(labels)
+    while waiting:
+        depth = len(bound[waiting[0]][0])
+        inside = F.lit(False)
+        for v in waiting:
+            inside = inside | ((F.col(label) == v) & F.col("_h").startswith(bound[v][0]))
+        bins = hashed.where(inside).groupBy(label, F.substring("_h", 1, depth + _DIGITS).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).collect()
+        still = []
+        for v in waiting:
+            prefix, left = bound[v]
+            for p, c in sorted((r["_p"], r["_c"]) for r in bins if r[label] == v):
+                if left <= c:
+                    bound[v] = (p, left)
+                    if left < c and c > _SMALL and depth + _DIGITS < 64:
+                        still.append(v)
+                    break
+                left -= c
+            else:
+                bound[v] = ("g", 0)  # beyond every hash: all rows of the label
+        waiting = still
+    below, edge = F.lit(False), F.lit(False)
+    for v, (p, _) in bound.items():
+        below = below | ((F.col(label) == v) & (F.col("_h") < p))
+        edge = edge | ((F.col(label) == v) & F.col("_h").startswith(p))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    wanted = F.lit(0)
+    for v, (_, left) in bound.items():
+        wanted = F.when(F.col(label) == v, left).otherwise(wanted)
+    last = hashed.where(edge).withColumn("_r", rank).where(F.col("_r") <= wanted).drop("_r")
+    return hashed.where(below).unionByName(last).drop("_h")
+
+
 def stratified_downsample(rows: DataFrame, per_class: int, label: str = "target") -> DataFrame:
     """All neutral rows plus exactly ``per_class`` rows of each class, chosen by the id's hash.
 
     A short class is an error, checked when the job runs.
     """
-    hashed = F.sha2("event_id", 256)
     labelled = rows.where(F.col(label).isNotNull())
-    picked = top_n(labelled, [label], [hashed, F.asc("event_id")], per_class)
+    picked = first_by_hash(labelled, per_class, label, (0, 1), "event_id")
     sizes = labelled.agg(*[F.sum((F.col(label) == v).cast("long")).alias(f"_c{v}") for v in (0, 1)])
     short = (F.coalesce(F.col("_c0"), F.lit(0)) < per_class) | (F.coalesce(F.col("_c1"), F.lit(0)) < per_class)
     failed = F.raise_error(F.lit("class smaller than the requested sample"))

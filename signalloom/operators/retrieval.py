@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars, signals, tokens
@@ -293,54 +296,109 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int = 30, *, seen: DataFrame | None = None, block_rows: int = 20_000) -> DataFrame:
+def _block_count(items: int) -> int:
+    """Blocks of a catalog: about as many as items in one, at least eight and at most 4,096."""
+    return min(4_096, max(8, math.isqrt(max(items, 1))))
+
+
+def _nearest(pivots):
+    """Adds to batches of (id, vector) the block of the nearest pivot."""
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                v = np.stack(pdf["vector"].to_numpy()).astype("float64")
+                away = (pivots.value ** 2).sum(1)[None, :] - 2 * v @ pivots.value.T
+                yield pdf.assign(block=away.argmin(1).astype("int32"))
+
+    return run
+
+
+def _shipped(blocks, floors: bool):
+    """Rows (query, block) of the one block with the highest bound, or of all blocks whose bound reaches the query's floor."""
+    def run(batches):
+        names, centres, radii = blocks.value
+        for pdf in batches:
+            if not len(pdf) or not len(names):
+                continue
+            v = np.stack(pdf["vector"].to_numpy()).astype("float64")
+            bound = v @ centres.T + np.sqrt((v ** 2).sum(1))[:, None] * radii[None, :]
+            bound += 1e-6 + 1e-9 * np.abs(bound)  # room for rounding only ever keeps a block
+            if floors:
+                reach = pdf["floor"].to_numpy(dtype="float64", na_value=-np.inf)
+                row, at = np.nonzero(bound >= reach[:, None])
+                other = names[at] != pdf["home"].to_numpy()[row]
+                row, at = row[other], at[other]
+            else:
+                row, at = np.arange(len(pdf)), bound.argmax(1)
+            for start in range(0, len(row), 4_096):  # a query may go to many blocks
+                own = row[start : start + 4_096]
+                yield pdf.iloc[own].drop(columns=["home"] if floors else []).assign(block=names[at[start : start + 4_096]])
+
+    return run
+
+
+def _best_in_block(queries, items):
+    """The best ``_depth`` items of a block per query, among those that reach the query's floor. Ties go to the lesser id."""
+    if not len(queries) or not len(items):
+        return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+    items = items.sort_values("item_id", kind="stable")
+    m, ids = np.stack(items["vector"].to_numpy()).astype("float64"), items["item_id"].to_numpy()
+    parts = []
+    for start in range(0, len(queries), 1024):
+        part = queries.iloc[start : start + 1024]
+        scores = np.round(np.stack(part["vector"].to_numpy()).astype("float64") @ m.T, 9)
+        floor = part["floor"].to_numpy(dtype="float64", na_value=-np.inf)
+        for s, qid, want, least in zip(scores, part["query_id"], part["_depth"], floor):
+            good = np.flatnonzero(s >= least)
+            good = good[np.argsort(-s[good], kind="stable")[: int(want)]]
+            parts.append(pd.DataFrame({"query_id": qid, "item_id": ids[good], "score": s[good]}))
+    return pd.concat(parts)
+
+
+def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int = 30, *, seen: DataFrame | None = None) -> DataFrame:
     """Exact dot-product top-k of (query_id, vector) against (item_id, vector), minus seen pairs.
 
-    Both sides are cut into blocks of about ``block_rows`` rows; each (query block, item block) cell is
-    one matrix product in one task and returns only its best candidates per query, which a group
-    limit then merges. Items a query has seen are requested on top of k, so exclusion stays exact.
+    Items are cut into blocks by the nearest of some pivots, so that near items share a block; a small table has each
+    block's centre and radius. No item of a block scores above q . centre + |q| radius. A query first goes to the block
+    with the highest bound and takes the k-th score found there; then to those other blocks only whose bound reaches it.
+    Items are shipped once for each round. Items a query has seen are requested on top of k, so exclusion stays exact.
     """
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block_rows))
+    spark = queries.sparkSession
+    q_type, i_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
+    count = _block_count(items.count())
+    chosen = items.orderBy(F.xxhash64("item_id"), "item_id").limit(count).select("vector").collect()  # bounded by ``count``
+    if not chosen:
+        return queries.select("query_id", F.lit(None).cast(i_type).alias("item_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
+    pivots = spark.sparkContext.broadcast(np.array([r["vector"] for r in chosen], "float64"))
+    placed = cut_lineage(items.select("item_id", "vector").mapInPandas(_nearest(pivots), f"item_id {i_type}, vector {dict(items.dtypes)['vector']}, block int"))
+
+    def reach(batches):
+        for pdf in batches:
+            if len(pdf):
+                away = np.sqrt(((np.stack(pdf["vector"].to_numpy()).astype("float64") - pivots.value[pdf["block"]]) ** 2).sum(1))
+                yield pd.DataFrame({"block": pdf["block"], "away": away}).groupby("block", as_index=False).max()
+
+    balls = placed.mapInPandas(reach, "block int, away double").groupBy("block").agg(F.max("away").alias("radius")).orderBy("block").collect()  # at most ``count``
+    names = np.array([r["block"] for r in balls], "int32")
+    blocks = spark.sparkContext.broadcast((names, pivots.value[names], np.array([r["radius"] for r in balls])))
 
-    nq, ni = blocks(queries), blocks(items)
     spare = queries.select("query_id")
     if seen is not None:
         known = seen.join(items.select("item_id"), "item_id", "left_semi")
         spare = spare.join(known.groupBy("query_id").agg(F.countDistinct("item_id").alias("_s")), "query_id", "left")
     depth = F.lit(k) + F.coalesce(F.col("_s"), F.lit(0)) if seen is not None else F.lit(k)
-    q = queries.join(spare.withColumn("_depth", depth.cast("int")).select("query_id", "_depth"), "query_id")
-    q = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1)).cast("array<long>")))
-    i = items.withColumn("_ib", F.pmod(F.xxhash64("item_id"), F.lit(ni))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>")))
-    q_type, i_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
-
-    def cell(left, right):
-        import numpy as np
-        import pandas as pd
-
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        right = right.sort_values("item_id", kind="stable")
-        m = np.stack(right["vector"].to_numpy()).astype("float64")
-        ids = right["item_id"].to_numpy()
-        out_q, out_i, out_s = [], [], []
-        for start in range(0, len(left), 1024):
-            part = left.iloc[start:start + 1024]
-            scores = np.round(np.stack(part["vector"].to_numpy()).astype("float64") @ m.T, 9)
-            for row, (qid, want) in enumerate(zip(part["query_id"], part["_depth"])):
-                n = min(int(want), len(ids))
-                s = scores[row]
-                # Everything above the n-th value, then ties at it by item id.
-                cut = np.partition(s, len(s) - n)[len(s) - n]
-                above = np.flatnonzero(s > cut)
-                ties = np.flatnonzero(s == cut)[: n - len(above)]
-                take = np.concatenate([above, ties])
-                out_q += [qid] * n
-                out_i += list(ids[take])
-                out_s += list(s[take])
-        return pd.DataFrame({"query_id": out_q, "item_id": out_i, "score": out_s})
-
-    best = q.groupBy("_qb", "_ib").cogroup(i.groupBy("_qb", "_ib")).applyInPandas(cell, f"query_id {q_type}, item_id {i_type}, score double")
+    asked = queries.select("query_id", "vector").join(spare.withColumn("_depth", depth.cast("int")).select("query_id", "_depth"), "query_id")
+    schema = f"query_id {q_type}, vector {dict(queries.dtypes)['vector']}, _depth int, floor double, block int"
+    homes = cut_lineage(asked.withColumn("floor", F.lit(None).cast("double")).mapInPandas(_shipped(blocks, False), schema))
+
+    def searched(sent: DataFrame) -> DataFrame:
+        return sent.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(lambda q, i: _best_in_block(q, i), f"query_id {q_type}, item_id {i_type}, score double")
+
+    first = cut_lineage(searched(homes))
+    floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"), F.min("score").alias("floor"))
+    rest = homes.drop("floor").withColumnRenamed("block", "home").join(floors, "query_id", "left")
+    rest = rest.select("query_id", "vector", "_depth", F.when(F.col("_c") >= F.col("_depth"), F.col("floor")).alias("floor"), "home")
+    best = first.unionByName(searched(rest.mapInPandas(_shipped(blocks, True), schema)))
     if seen is not None:
         best = best.join(seen.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_anti")
     return top_n(best, ["query_id"], [F.desc("score"), F.asc("item_id")], k, rank="rank")

@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = [
     "scans", "labels", "profiles", "pointintime", "live", "evaluation", "splits", "drift", "cohorts",
-    "social", "retrieval", "rerank", "decisions", "quality", "modelling",
+    "social", "retrieval", "rerank", "decisions", "quality", "modelling", "streams",
 ]
 
 

@@ -71,7 +71,8 @@ def validate_user_registered(spark, d):
     return _registrations(spark, d).select("offset", "user_id", F.col("age").cast("long").alias("age"), "region", F.array_join("interests", ",").alias("interests"), "reject_reason")
 
 
-def _registrations(spark, d):
+def registration_messages(spark, d):
+    """Every customer as a JSON registration, with faults by key."""
     c = adapter.table(spark, d, "customer")
     k = F.col("c_custkey")
     born = F.date_format(F.date_add(F.to_date(F.lit("1940-01-01")), (k * 37 % 30000).cast("int")), "yyyy-MM-dd")
@@ -81,7 +82,11 @@ def _registrations(spark, d):
         F.struct(k.cast("string").alias("userId"), F.when(k % 5 == 0, F.lit("not a date")).otherwise(born).alias("birthday"), F.col("c_mktsegment").alias("region"),
                  F.array(F.lower("c_mktsegment"), F.when(k % 17 == 0, F.lit("  ")).otherwise(F.lit("#news"))).alias("interests"),
                  F.when(k % 7 == 0, F.lit("2024-02-01T00:00:00")).otherwise(F.lit("2024-02-01T00:00:00Z")).alias("occurredAt")).alias("data")))
-    return ingest.parse_registrations(c.select(k.alias("offset"), body.alias("value")))
+    return c.select(k.alias("offset"), body.alias("value"))
+
+
+def _registrations(spark, d):
+    return ingest.parse_registrations(registration_messages(spark, d))
 
 
 def upsert_onboarding(spark, d):

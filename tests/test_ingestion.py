@@ -1,9 +1,11 @@
 """Streaming ingestion: counts, idempotence on replay, pending contents, registrations."""
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
+from signalloom.operators import profiles
 from signalloom.sources import ingest, jsonl
 from signalloom.streaming import ingestion
 
@@ -41,10 +43,37 @@ def test_behaviour_stream(spark, tmp_path):
     batch = spark.createDataFrame([(100, message(6, kind="CONTENT_LIKED")), (101, message(9, kind="CONTENT_SHARED"))], "offset long, value string")
     ingestion.behaviour_batch(root, contents, now())(batch, 1)
     assert ingestion.read_interactions(spark, root).count() == 4
+    assert ingestion.latest_popularity(spark, root).collect()[0]["popularity"] == 0.924142
+    ingestion.fold_sums(spark, root, 1)
+    put("c.json", [message(10, kind="CONTENT_SHARED")], 200)
+    run()
+    raw = spark.read.parquet(f"{root}/sums").groupBy("content_id").agg(F.sum("raw")).collect()
+    assert dict(raw)["c1"] == 4 + 3 + 5 + 5 and spark.read.parquet(f"{root}/sums_folded").where("content_id = 'c1'").first()["raw"] == 12
+    all_rows = profiles.content_popularity(ingestion.read_interactions(spark, root), spark.createDataFrame([("c1",)], "content_id string"))
+    assert ingestion.latest_popularity(spark, root).collect()[0]["popularity"] == all_rows.first()["popularity"]
     ingestion.content_batch(root)(spark.createDataFrame([("later", "k1", "SPORT", "VIDEO", True)], CONTENT), 0)
     assert not {r["event_id"]: r for r in ingestion.read_interactions(spark, root).collect()}["e5"]["content_pending"]
 
 
+def test_batches_read_no_stored_interactions(spark, tmp_path):
+    """With the stored rows gone, later batches still find duplicates, users, popularity and pending rows."""
+    contents = spark.createDataFrame([("c1", "k1", "SPORT", "VIDEO", True)], CONTENT)
+    root, run = str(tmp_path), ingestion.behaviour_batch(str(tmp_path), contents, now())
+    batch = lambda *v: spark.createDataFrame(list(enumerate(v)), "offset long, value string")
+    run(batch(message(1, kind="CONTENT_LIKED"), message(2, "later")), 0)
+    shutil.rmtree(f"{root}/interactions")
+    run(batch(message(1, kind="CONTENT_LIKED"), message(3, kind="CONTENT_LIKED")), 1)
+    assert [r["event_id"] for r in ingestion.read_interactions(spark, root).collect()] == ["e3"]
+    assert spark.read.parquet(f"{root}/users").count() == 1
+    sums = spark.createDataFrame([("c1",)], "content_id string")
+    assert ingestion.popularity_of(spark, root, sums, 1).first()["popularity"] > ingestion.popularity_of(spark, root, sums, 0).first()["popularity"]
+    shutil.rmtree(f"{root}/interactions")
+    ingestion.content_batch(root)(spark.createDataFrame([("later", "k1", "SPORT", "VIDEO", True)], CONTENT), 0)
+    assert [r["event_id"] for r in spark.read.parquet(f"{root}/resolved").collect()] == ["e2"]
+    run(batch(message(4)), 1)  # a replay that accepts other rows replaces the whole epoch
+    assert [r["event_id"] for r in ingestion.read_interactions(spark, root).collect()] == ["e4"]
+
+
 def test_mismatched_content_stays_pending(spark):
     p = spark.createDataFrame([("e1", "x", "VIDEO_WATCHED", True), ("e2", "y", "LIVE_JOINED", True)], "event_id string, content_id string, event_type string, content_pending boolean")
     c = spark.createDataFrame([("x", "LIVE"), ("y", "LIVE")], "content_id string, content_type string")

@@ -1,11 +1,12 @@
 """Bounded list picks against straightforward models, and exact retrieval with small blocks."""
 
+import hashlib
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from signalloom.operators import lists, metrics, rerank, retrieval
+from signalloom.operators import lists, metrics, profiles, rerank, retrieval
 
 
 def test_quota_fill_order(spark):
@@ -89,13 +90,54 @@ def test_top_k_blocks(spark):
     idf = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(i)], "item_id long, vector array<double>")
     seen = spark.createDataFrame([(a, b) for a in range(30) for b in range(70) if (a + b) % 3 == 0], "query_id long, item_id long")
     got = {}
-    for r in retrieval.retrieve_top_k(qd, idf, 5, seen=seen, block_rows=12).orderBy("query_id", "rank").collect():
+    for r in retrieval.retrieve_top_k(qd, idf, 5, seen=seen).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["item_id"])
     for a in range(30):
         s = sorted((-round(float(q[a] @ i[b]), 9), b) for b in range(70) if (a + b) % 3)
         assert got[a] == [b for _, b in s[:5]]
 
 
+def test_far_blocks_are_not_searched(spark):
+    """Tight clusters in many directions: a query is shipped to few of the blocks, and ties at the last place stay exact."""
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(12, 6)) * 9
+    i = np.round(np.concatenate([m + rng.normal(size=(25, 6)) * 0.2 for m in middle]), 2)
+    i[7] = i[8] = i[9]
+    frame_ = lambda v, name: spark.createDataFrame([(n, [float(x) for x in r]) for n, r in enumerate(v)], f"{name} long, vector array<double>")
+    q = middle[rng.integers(0, 12, 40)] + rng.normal(size=(40, 6)) * 0.1
+    counted = spark.sparkContext.accumulator(0)
+    plain = retrieval._best_in_block
+
+    def counting(asked, items):
+        counted.add(len(asked) * len(items))
+        return plain(asked, items)
+
+    retrieval._best_in_block = counting
+    try:
+        rows = retrieval.retrieve_top_k(frame_(q, "query_id"), frame_(i, "item_id"), 4).orderBy("query_id", "rank").collect()
+    finally:
+        retrieval._best_in_block = plain
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert got == {a: [b for _, b in sorted((-round(float(q[a] @ i[b]), 9), b) for b in range(len(i)))[:4]] for a in range(40)}
+    assert counted.value < 0.5 * len(q) * len(i)
+
+
+def test_first_by_hash_equals_ranking(spark, monkeypatch):
+    monkeypatch.setattr(profiles, "_SMALL", 3)
+    monkeypatch.setattr(profiles, "_DIGITS", 1)
+    rows = [(f"e{n % 190}", n % 3) for n in range(200)]
+    df = spark.createDataFrame(rows, "event_id string, target int")
+    sha = lambda e: hashlib.sha256(e.encode()).hexdigest()
+    for n in (0, 1, 7, 40, 66, 500):
+        got = profiles.first_by_hash(df, n, "target", (0, 1), "event_id")
+        want = [x for v in (0, 1) for x in sorted((sha(e), e) for e, t in rows if t == v)[:n]]
+        assert sorted((sha(r[0]), r[0]) for r in got.collect()) == sorted(want)
+    plan = profiles.first_by_hash(df, 40, "target", (0, 1), "event_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" in plan[plan.index("Window"):]  # only the last bin is ranked
+
+
 def test_metric_edge_cases(spark):
     df = spark.createDataFrame([(1, "a", 1, 0.5), (1, "b", 1, 0.5), (2, "c", 1, 0.2)], "group_id long, row_id string, y int, p double")
     assert metrics.threshold_free(df).first().asDict() == {"roc_auc": 0.0, "average_precision": 0.0}
