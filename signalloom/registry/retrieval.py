@@ -151,12 +151,10 @@ def most_retrieved_items(spark, d):
 
 
 def two_tower_training_pairs(spark, d):
-    """User vector of the history before the decision moment with every later labelled event's content vector."""
-    rows, contents = adapter.interactions(spark, d), adapter.contents(spark, d)
-    users = retrieval.user_vectors(features.final_state(_past(spark, d), contents), CATEGORIES)
-    late = signals.annotate(rows.where(F.col("ts_us") >= NOW)).join(users, "user_id")
-    p = retrieval.training_pairs(late, retrieval.content_vectors(contents, CATEGORIES))
-    return p.select("event_id", "user_id", "content_id", F.size("user_vector").alias("user_dim"), F.size("content_vector").alias("content_dim"), "target")
+    """Each labelled event's user vector, of strictly earlier events, slot by slot, and the length of its content vector."""
+    p = retrieval.training_pairs(adapter.interactions(spark, d), adapter.contents(spark, d), CATEGORIES)
+    return p.select("event_id", F.col("target").cast("long").alias("target"), F.size("content_vector").cast("long").alias("content_dim"), F.posexplode("user_vector").alias("slot", "value")).select(
+        "event_id", "target", "content_dim", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
 
 
 QUERIES = {
@@ -315,3 +313,22 @@ ORACLE["retrieval_report"] = _RET + """
     FROM p LEFT JOIN r USING (query_id, item_id)"""
 ORACLE["most_retrieved_items"] = _RET + """
     SELECT item_id, count(*) AS times FROM r WHERE rank <= 10 GROUP BY 1 ORDER BY times DESC, item_id LIMIT 10"""
+ORACLE["two_tower_training_pairs"] = with_ctes(f"""
+    SELECT event_id, CAST(target AS BIGINT) AS target, CAST(47 AS BIGINT) AS content_dim, CAST(slot AS BIGINT) AS slot, round(value, 6) AS value FROM (
+      SELECT e.event_id, e.target, i AS slot, 1.5 * coalesce(a, 0.5) AS value FROM e CROSS JOIN ({_VALUES}) v LEFT JOIN cat c ON c.event_id = e.event_id AND c.category = v.cat
+      UNION ALL SELECT e.event_id, e.target, 6 + i, 1.5 * coalesce(r, 0.5) FROM e CROSS JOIN ({_VALUES}) v LEFT JOIN cat c ON c.event_id = e.event_id AND c.category = v.cat
+      UNION ALL SELECT e.event_id, e.target, 12 + i, coalesce((c.w > 0)::INT, 0) FROM e CROSS JOIN ({_VALUES}) v LEFT JOIN cat c ON c.event_id = e.event_id AND c.category = v.cat
+      UNION ALL SELECT event_id, target, 18, least(1, ln(1 + w / 10.0) / 5) FROM us UNION ALL SELECT event_id, target, 19, p / 10.0 / greatest(1, (p + n) / 10.0) FROM us
+      UNION ALL SELECT event_id, target, 20, n / 10.0 / greatest(1, (p + n) / 10.0) FROM us UNION ALL SELECT event_id, target, 21, least(1, ln(1 + k) / 3) FROM us
+      UNION ALL SELECT e.event_id, e.target, 22 + s, 0.6 * coalesce(v, 0) FROM e CROSS JOIN range(32) g(s) LEFT JOIN
+        (SELECT event_id, {_h('token', 32)} AS slot, sum({_SIGN.format(t='token')} * (aff - 0.5)) AS v FROM tk GROUP BY 1, 2) x ON x.event_id = e.event_id AND x.slot = s)""",
+    "WEIGHTED", "TOKENS", extra=TOKEN_STATE + "," + HISTORY + f""",
+    e AS (SELECT event_id, user_id, ts_us, target FROM weighted WHERE target IS NOT NULL),
+    cat AS (SELECT e.event_id, d.category, {affinity("sum(cd) / 10.0")} AS a, sum(w10) AS w,
+              {affinity(f"coalesce(sum(cd) FILTER (WHERE e.ts_us - d.ts_us <= {features.RECENT_US}), 0) / 10.0")} AS r
+            FROM e JOIN delta d ON d.user_id = e.user_id AND d.ts_us < e.ts_us GROUP BY 1, 2),
+    pc AS (SELECT e.event_id, d.creator_id, sum(w10) AS w, coalesce(sum(w10) FILTER (WHERE d.target = 1), 0) AS p, coalesce(sum(w10) FILTER (WHERE d.target = 0), 0) AS n
+           FROM e JOIN weighted d ON d.user_id = e.user_id AND d.ts_us < e.ts_us GROUP BY 1, 2),
+    us AS (SELECT e.event_id, any_value(e.target) AS target, coalesce(sum(w), 0) AS w, coalesce(sum(p), 0) AS p, coalesce(sum(n), 0) AS n, count(*) FILTER (WHERE w > 0) AS k
+           FROM e LEFT JOIN pc ON pc.event_id = e.event_id GROUP BY 1),
+    tk AS (SELECT e.event_id, t.field, t.token, {affinity("sum(td) / 10.0")} AS aff FROM e JOIN tok t ON t.user_id = e.user_id AND t.ts_us < e.ts_us GROUP BY 1, 2, 3 HAVING sum(w10) > 0)""")
