@@ -1,8 +1,7 @@
 """Exact deduplication with counting quotient filters.
 
-Each map task builds a counting quotient filter of the 64-bit fingerprints of its rows: the leading bits (the
-quotient) name a block, the rest (the remainder) is kept sorted with its count, so a filter is lossless. Filters
-of all tasks merge block by block, by sorted remainders. Fingerprints that count above one go back to the tasks as a filter
+Each map task builds counting quotient filters of the 64-bit fingerprints of its rows, one for each block of fingerprints
+that share their first bits; they are lossless. Filters of all tasks merge block by block, by sorted remainders. Fingerprints that count above one go back to the tasks as a filter
 sized by their number, so only texts that it lets pass are routed on, and their bytes decide: groups are formed by the
 normalised text itself.
 
@@ -23,38 +22,98 @@ from signalloom.llm.recurring import bits_for, key_filter, passes, without_rows
 
 
 class CountingQuotientFilter:
-    """Sorted 64-bit fingerprints, split into a quotient of ``bits`` bits and a remainder, with counts."""
+    """A quotient filter of distinct whole numbers below 2 ** ``width``, with counts; it loses nothing.
 
-    def __init__(self, bits: int, fingerprints: np.ndarray, counts: np.ndarray | None = None):
-        if counts is None:
-            fingerprints, counts = np.unique(fingerprints, return_counts=True)
-        self.bits, self.fingerprints, self.counts = bits, fingerprints, counts.astype(np.int64)
+    The leading bits of a number (its quotient) name a slot, the rest (the remainder) is stored near it: numbers of one
+    quotient form a run of rising remainders, which begins at their slot or, where that is taken, right after the run
+    before. Three bits a slot tell whether its quotient occurs, whether a run ends there, and whether it holds digits of
+    the counter of the remainder before; a number that occurs once needs no counter. Runs are in order, so two filters
+    merge by sorted remainders.
+    """
+
+    def __init__(self, width: int, numbers: np.ndarray, counts: np.ndarray):
+        """``numbers`` rise."""
+        self.width, self.n = width, len(numbers)
+        self.slots_log = min(width, max(1, (2 * self.n).bit_length()))
+        self.rest = width - self.slots_log
+        #: Bits of a slot; a counter takes as many slots as its digits need.
+        self.slot_bits = max(8, self.rest)
+        quotient = (numbers >> np.uint64(self.rest)).astype(np.int64)
+        digits = np.zeros(self.n, np.int64)
+        left = counts.astype(np.uint64) - np.uint64(1)
+        while left.any():
+            digits += left > 0
+            left = left >> np.uint64(self.slot_bits) if self.slot_bits < 64 else np.zeros_like(left)
+        before = np.cumsum(1 + digits) - (1 + digits)
+        at = before + np.maximum.accumulate(quotient - before) if self.n else before  # a run gives way to the one before
+        size = max(1 << self.slots_log, int(at[-1] + 1 + digits[-1]) if self.n else 0)
+        self.occupied, self.run_end, self.counter = (np.zeros(size, bool) for _ in range(3))
+        self.slots = np.zeros(size, np.uint64)
+        self.used = np.zeros(size, bool)
+        self.occupied[quotient] = True
+        last = np.r_[quotient[1:] != quotient[:-1], True] if self.n else np.zeros(0, bool)
+        self.run_end[(at + digits)[last]] = True
+        self.slots[at] = numbers & np.uint64((1 << self.rest) - 1)
+        self.used[at] = True
+        left, digit = counts.astype(np.uint64) - np.uint64(1), 1
+        while (some := digits >= digit).any():
+            place = (at + digit)[some]
+            self.slots[place] = left[some] & np.uint64((1 << self.slot_bits) - 1)
+            self.counter[place] = self.used[place] = True
+            left = left >> np.uint64(self.slot_bits) if self.slot_bits < 64 else np.zeros_like(left)
+            digit += 1
+
+    @classmethod
+    def of(cls, width: int, numbers: np.ndarray) -> CountingQuotientFilter:
+        return cls(width, *np.unique(numbers, return_counts=True))
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in order, and their counts."""
+        place = np.flatnonzero(self.used)
+        counter, end = self.counter[place], self.run_end[place]
+        run = np.cumsum(end) - end
+        first = np.flatnonzero(~counter)
+        quotient = np.flatnonzero(self.occupied)[run[first]].astype(np.uint64)
+        numbers = (quotient << np.uint64(self.rest)) | self.slots[place[first]]
+        counts, digit = np.ones(len(first), np.uint64), 1
+        many = np.diff(np.r_[first, len(place)]) - 1
+        while (some := many >= digit).any():
+            counts[some] += self.slots[place[first[some] + digit]] << np.uint64(self.slot_bits * (digit - 1))
+            digit += 1
+        return numbers, counts.astype(np.int64)
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
         """Sum of two filters; nothing is lost, so any order of merges gives the same filter."""
-        both = np.concatenate([self.fingerprints, other.fingerprints])
-        counts = np.concatenate([self.counts, other.counts])
+        (a, m), (b, n) = self.items(), other.items()
+        both, counts = np.concatenate([a, b]), np.concatenate([m, n])
         order = np.argsort(both, kind="stable")  # two sorted runs: merged in linear time
         both, counts = both[order], counts[order]
-        if not len(both):
-            return self
-        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-        return CountingQuotientFilter(self.bits, both[first], np.add.reduceat(counts, first))
-
-    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(quotient, sorted remainders, counts) of each block in use."""
-        if not len(self.fingerprints):
-            return
-        shift = np.uint64(64 - self.bits)
-        quotients = self.fingerprints >> shift
-        starts = np.flatnonzero(np.r_[True, quotients[1:] != quotients[:-1]])
-        mask = np.uint64((1 << (64 - self.bits)) - 1)
-        for a, b in zip(starts, np.r_[starts[1:], len(quotients)], strict=True):
-            yield int(quotients[a]), self.fingerprints[a:b] & mask, self.counts[a:b]
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+        return CountingQuotientFilter(self.width, both[first], np.add.reduceat(counts, first) if len(first) else counts)
+
+    def to_bytes(self) -> bytes:
+        """Metadata as bits, slots in as many bytes as they need."""
+        wide = -(-self.slot_bits // 8)
+        head = np.array([self.width, self.n, len(self.slots)], "<i8").tobytes()
+        bits = [np.packbits(x).tobytes() for x in (self.occupied, self.run_end, self.counter, self.used)]
+        return head + b"".join(bits) + np.ascontiguousarray(self.slots[self.used].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
 
     @classmethod
-    def of_block(cls, bits: int, quotient: int, remainders: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
-        return cls(bits, remainders | np.uint64(quotient << (64 - bits)), counts)
+    def from_bytes(cls, raw: bytes) -> CountingQuotientFilter:
+        width, n, size = np.frombuffer(raw[:24], "<i8").tolist()
+        out = cls.__new__(cls)
+        out.width, out.n, out.slots_log = width, n, min(width, max(1, (2 * n).bit_length()))
+        out.rest = width - out.slots_log
+        out.slot_bits, step = max(8, out.rest), -(-size // 8)
+        bits = [np.unpackbits(np.frombuffer(raw[24 + i * step : 24 + (i + 1) * step], np.uint8), count=size).astype(bool) for i in range(4)]
+        out.occupied, out.run_end, out.counter, out.used = bits
+        wide = -(-out.slot_bits // 8)
+        packed = np.frombuffer(raw[24 + 4 * step :], np.uint8).reshape(-1, wide)
+        slots = np.zeros((len(packed), 8), np.uint8)
+        slots[:, :wide] = packed
+        out.slots = np.zeros(size, np.uint64)
+        out.slots[out.used] = slots.view("<u8").ravel()
+        return out
 
 
 def normalised(text: Column) -> Column:
@@ -62,42 +121,40 @@ def normalised(text: Column) -> Column:
 
 
 def repeated_fingerprints(fingerprints: DataFrame, bits: int) -> DataFrame:
-    """``fp`` (long) and ``n``: fingerprints that occur more than once, by merged filters of all partitions."""
+    """``fp`` (long) and ``n``: fingerprints that occur more than once, by merged filters of all partitions.
+
+    The first ``bits`` bits name a block, which has a filter of its own in each task and is merged by one task.
+    """
+    width = 64 - bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = CountingQuotientFilter(bits, np.empty(0, np.uint64))
         waiting: list[np.ndarray] = []
         for batch in batches:
             waiting.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            if sum(map(len, waiting)) > 1 << 20:
-                own, waiting = own.merge(CountingQuotientFilter(bits, np.concatenate(waiting))), []
-            if len(own.fingerprints) > 1 << 22:  # hand over a full filter and begin another
-                yield from emit(own)
-                own = CountingQuotientFilter(bits, np.empty(0, np.uint64))
+            if sum(map(len, waiting)) > 1 << 22:  # hand over full filters and begin others
+                yield from emit(np.concatenate(waiting))
+                waiting = []
         if waiting:
-            own = own.merge(CountingQuotientFilter(bits, np.concatenate(waiting)))
-        yield from emit(own)
-
-    def emit(own: CountingQuotientFilter) -> Iterator[pa.RecordBatch]:
-        found = list(own.blocks())
-        if found:
-            yield pa.RecordBatch.from_arrays([
-                pa.array([q for q, _, _ in found], pa.int64()),
-                pa.array([r.astype("<u8").tobytes() for _, r, _ in found], pa.binary()),
-                pa.array([c.astype("<i8").tobytes() for _, _, c in found], pa.binary()),
-            ], names=["quotient", "remainders", "counts"])
+            yield from emit(np.concatenate(waiting))
+
+    def emit(fingerprints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        block = (fingerprints >> np.uint64(width)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        names, begin = np.unique(block[order], return_index=True)
+        parts = np.split(fingerprints[order] & np.uint64((1 << width) - 1), begin[1:])
+        filters = [CountingQuotientFilter.of(width, p).to_bytes() for p in parts] if len(names) else []
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(filters, pa.binary())], names=["block", "filter"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        quotient = key[0].as_py()
-        parts = [CountingQuotientFilter.of_block(bits, quotient, np.frombuffer(r.as_py(), "<u8"), np.frombuffer(c.as_py(), "<i8"))
-                 for r, c in zip(table["remainders"], table["counts"], strict=True)]
+        parts = [CountingQuotientFilter.from_bytes(f.as_py()) for f in table["filter"]]
         while len(parts) > 1:
             parts = [parts[i].merge(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        many = parts[0].counts > 1
-        return pa.table({"fp": parts[0].fingerprints[many].view(np.int64), "n": parts[0].counts[many]})
+        numbers, counts = parts[0].items()
+        many = counts > 1
+        return pa.table({"fp": (numbers[many] | np.uint64(key[0].as_py() << width)).view(np.int64), "n": counts[many]})
 
-    filters = fingerprints.mapInArrow(build, "quotient long, remainders binary, counts binary")
-    return filters.groupBy("quotient").applyInArrow(merge, "fp long, n long")
+    filters = fingerprints.mapInArrow(build, "block long, filter binary")
+    return filters.groupBy("block").applyInArrow(merge, "fp long, n long")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
@@ -106,7 +163,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical after each run of spaces and controls tab to carriage return became one space;
     null counts as empty. The smallest id of a group stays; null ids come last, and a group of null ids alone has a
     null ``keep_id``. Rows that repeat both id and text are one record: they are marked alike. No rows in, no rows
-    out; other columns are not read. ``bits`` are the quotient's, 4 blocks a shuffle partition by default.
+    out; other columns are not read. ``bits`` name a block, 4 blocks a shuffle partition by default.
     """
     bits = bits or max(4, (4 * partitions(docs.sparkSession) - 1).bit_length())
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_of(text_col)).alias("t"))

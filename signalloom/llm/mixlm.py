@@ -2,8 +2,8 @@
 
 A text is its words and one end. Frequent words (a dictionary of bounded size) and the end are coded by a binary code of
 their own, all other words by an escape and a code of their bytes, so a text becomes a row of bits. Each bit is predicted
-by several contexts: the place in the code alone, with the word before, with the two before, with the one before that; in
-spelled words the letters so far and the last one to three. A context is hashed to a slot that counts the bits seen there.
+by several contexts: the place in the code alone, with the word before, with the two before; in spelled
+words the letters so far, the last two and the last three. A context is hashed to a slot that counts the bits seen there.
 
 * Counts of all training documents add up page by page and are sent to the tasks; their number of slots is a parameter.
 * Mixing: the contexts' predictions, stretched to the log-odds scale, are added with weights and squashed to a probability.
@@ -32,13 +32,15 @@ from signalloom.llm.common import cut, text_of
 from signalloom.llm.wordhash import Words, _keys, blocks, mixed, raw_bytes, words_of
 
 #: Words in the dictionary (the others are spelled), slots of a context (2 ** 20), contexts, gates (for own codes and spelled words each).
-DICTIONARY, SLOT_BITS, CONTEXTS, GATES = 131_070, 20, 4, 16
+DICTIONARY, SLOT_BITS, CONTEXTS, GATES = 262_142, 20, 3, 16
 #: Words between two changes of the weights; rate of learning; words a place in the refinement is worth at first.
 STEP, RATE, PRIOR = 64, 0.02, 64.0
 #: Places of the refinement on the log-odds scale, and of a page of slots.
 PLACES, PAGE = 24, 1 << 14
 _TERMINATOR = 256
 _FAR = 60_000
+#: Bytes of text whose words are looked up in the dictionary at once.
+LOOKED_UP = 4 << 20
 
 
 def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +148,7 @@ def bits_of(words: Words, numbers: np.ndarray, coder: Coder, slot_bits: int) ->
     two[place < 2] = 2
     step = (place // max(STEP, -(-(int(counts.max(initial=0)) + 1) // _FAR))).astype(np.uint16)
     order = np.argsort(step, kind="stable")
-    contexts = [np.full(total, 7, np.uint32), _mix32(before + np.uint64(3)), _mix32(before * np.uint64(0xD6E8FEB86659FD93) + two), _mix32(two ^ np.uint64(0x5851F42D4C957F2D))]
+    contexts = [np.full(total, 7, np.uint32), _mix32(before + np.uint64(3)), _mix32(before * np.uint64(0xD6E8FEB86659FD93) + two)]
     code = lambda codes, which: codes[which].astype(np.int32)
     coded = _coded(code(coder.code, symbol[order]), code(coder.length, symbol[order]), [c[order] for c in contexts], slot_bits)
     own = Bits(coded[0], text[order], place[order], step[order], *coded[1:])
@@ -167,7 +169,8 @@ def bits_of(words: Words, numbers: np.ndarray, coder: Coder, slot_bits: int) ->
     for k in (1, 2, 3):
         previous = np.r_[np.zeros(min(k, len(letter)), np.int64), letter[:-k]][: len(letter)]
         last_ones = last_ones * np.uint64(512) + np.where(inside >= k, previous + 1, 0).astype(np.uint64)
-        ago.append(_mix32(last_ones + np.uint64(k << 40)))
+        if k > 1:
+            ago.append(_mix32(last_ones + np.uint64(k << 40)))
     item, bit, slots = _coded(code(coder.byte_code, letter), code(coder.byte_length, letter), [_mix32(so_far + np.uint64(11)), *ago], slot_bits)
     return own, Bits(owner[item], text[far], place[far], step[far], bit, slots)
 
@@ -192,7 +195,7 @@ class Mix:
 
 
 #: Contexts whose sightings are the gate, in own codes and in spelled words.
-_GATED = ((1, 2), (0, 3))
+_GATED = ((1, 2), (0, 2))
 
 
 def mix_bits(bits: Bits, mix: Mix, spelled: int, texts: int, apart: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,6 +211,10 @@ def mix_bits(bits: Bits, mix: Mix, spelled: int, texts: int, apart: bool = True)
     share = np.where(seen > 0, (mix.hits[spelled][:, 1] + 0.5) / (seen + 1), -1).astype(np.float32)
     ones, all_ = np.zeros(lanes * PLACES, np.float32), np.zeros(lanes * PLACES, np.float32)
     out = np.zeros(texts)
+    last = np.zeros(texts, np.int64)
+    np.maximum.at(last, bits.text, bits.step)
+    lane_of = np.empty(texts, np.int32)
+    lane_of[np.argsort(-last, kind="stable")] = np.arange(texts)  # texts that go on have the first lanes
     at_word = np.searchsorted(bits.step, np.arange(int(bits.step.max(initial=0)) + 2))
     cuts = np.searchsorted(bits.word, at_word)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -215,9 +222,12 @@ def mix_bits(bits: Bits, mix: Mix, spelled: int, texts: int, apart: bool = True)
             continue
         text, own, one = bits.text[bits.word[a:b]], x[:, a:b], bits.bit[a:b].astype(np.float32)
         g, h = gate[a:b], np.zeros(b - a, np.int64)
+        going = 1
         if apart:
-            g = g + text * np.int64(GATES)
-            h += text * np.int64(PLACES)
+            lane = lane_of[text].astype(np.int64)
+            going = int(lane.max()) + 1
+            g = g + lane * GATES
+            h += lane * PLACES
         dot = weights[0][g] * own[0]
         for k in range(1, CONTEXTS):
             dot += weights[k][g] * own[k]
@@ -230,13 +240,15 @@ def mix_bits(bits: Bits, mix: Mix, spelled: int, texts: int, apart: bool = True)
         final = np.clip((p + refined) * np.float32(0.5), np.float32(1e-5), np.float32(1 - 1e-5))
         out += np.bincount(text, np.log(np.abs(one - 1 + final)), minlength=texts)
         away = one - p
-        many = np.bincount(g, minlength=lanes * GATES)
+        size = going * GATES
+        many = np.bincount(g, minlength=size)
         scale = RATE / np.sqrt(np.maximum(many, 1))
         for k in range(CONTEXTS):
-            weights[k] += scale * np.bincount(g, away * own[k], minlength=lanes * GATES)
-        came = np.bincount(2 * h + bits.bit[a:b], minlength=2 * len(all_)).reshape(-1, 2)
-        ones += came[:, 1]
-        all_ += came.sum(1)
+            weights[k, :size] += scale * np.bincount(g, away * own[k], minlength=size)
+        size = going * PLACES
+        came = np.bincount(2 * h + bits.bit[a:b], minlength=2 * size).reshape(-1, 2)
+        ones[:size] += came[:, 1]
+        all_[:size] += came.sum(1)
     return out, weights.T.astype(np.float64), np.stack([all_ - ones, ones], 1).astype(np.float64)
 
 
@@ -245,10 +257,11 @@ def _blocks(batch: pa.RecordBatch, coder: Coder, size: int) -> Iterator[tuple[in
     data, offsets = raw_bytes(batch.column("text"))
     escape = len(coder.code) - 2
     known = pa.array(list(coder.numbers), pa.large_binary())
-    for a, b in blocks(offsets, size):
-        words = words_of(data, offsets[a : b + 1], lower=True)
-        number = pc.index_in(words.distinct, value_set=known)
-        yield a, b, words, pc.fill_null(number, escape).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in blocks(offsets, LOOKED_UP):
+        whole = words_of(data, offsets[a : b + 1], lower=True)
+        number = pc.fill_null(pc.index_in(whole.distinct, value_set=known), escape).to_numpy(zero_copy_only=False).astype(np.int64)
+        for c, d in blocks(offsets[a : b + 1] - offsets[a], size):
+            yield a + c, a + d, whole.part(c, d), number
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +296,7 @@ def _pages(coder, slot_bits: int):
                     side = (fold[a + bits.text] << np.uint32(slot_bits + 1))[bits.word] | bits.bit
                     for keys, slots in zip(waiting, bits.slots, strict=True):
                         keys.append(side | (slots << np.uint32(1)))
-                if sum(map(len, waiting[0])) > 4 << slot_bits:
+                if sum(map(len, waiting[0])) > 8 << slot_bits:
                     add()
         add()
         counts = counts.reshape(CONTEXTS, 2, 1 << slot_bits, 2).swapaxes(0, 1)

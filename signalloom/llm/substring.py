@@ -5,8 +5,8 @@ A window is 20 consecutive words. Equal windows contain the same seed (the 6-wor
 
 1. Seeds of all documents are counted (partial counts first); those that recur go into a filter of fixed size.
 2. Documents send the words around each recurring seed, about 26 for the windows that chose it, to the seed's shard.
-3. A shard confirms which windows recur, word by word, compiles them into an Aho-Corasick automaton over word numbers,
-   and streams its passages through it to locate every occurrence. All but the first are repeats.
+3. A shard confirms which windows recur, word by word, compiles them into Aho-Corasick automata over letters that stand
+   for words, and streams its passages through it to locate every occurrence. All but the first are repeats.
 4. A document's repeats are joined back to its text.
 
 A seed that very many documents hold would fill a shard. Windows of such hot seeds travel one by one as 128-bit digests
@@ -61,8 +61,10 @@ def seeds_of(phrases: np.ndarray) -> Seeds | None:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, a digest that tells texts of a repeated id apart, text."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text"))
+    """id, a digest that tells texts of a repeated id apart (below 0 for a null id, which comes first), text."""
+    digest = F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 1)
+    known = F.col(id_col).isNotNull()
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.when(known, digest).otherwise(digest + F.lit(NO_ID)).alias("t"), text_of(text_col).alias("text"))
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, int, int, Seeds]]:
@@ -132,53 +134,82 @@ def _hot_windows(hot: np.ndarray):
     return run
 
 
+#: Distinct words after which a shard goes on with another automaton (there are 1,114,112 letters).
+LETTERS = 1_000_000
+
+
+class _Letters(dict):
+    """A letter of its own for each word, so that passages become strings and windows substrings."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        self[word] = letter = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+        return letter
+
+
+def _confirmed(where: dict[str, list[tuple[int, int, int]]]) -> dict[str, tuple[int, int, int]]:
+    """Windows that recur among a seed's passages, with the first place of each. ``where``: places of each passage."""
+    first: dict[str, tuple[int, int, int]] = {}
+    again: set[str] = set()
+    for text, places in where.items():
+        doc, t, start = places[0]
+        for i in range(len(text) - WINDOW + 1):
+            window, here = text[i : i + WINDOW], (doc, t, start + i)
+            before = first.setdefault(window, here)
+            if before is not here:
+                again.add(window)
+                if here < before:
+                    first[window] = here
+            elif len(places) > 1:
+                again.add(window)
+    return {w: first[w] for w in again}
+
+
+def _streamed(automaton, passages: list[tuple[str, list[tuple[int, int, int]]]], out: list[tuple[int, int, int, int]]) -> None:
+    """Locate every occurrence of the automaton's windows in the passages, and keep those with an earlier one."""
+    automaton.make_automaton()
+    for text, places in passages:
+        hits = [(end - WINDOW + 1, earliest) for end, earliest in automaton.iter(text)]
+        for doc, t, start in places if hits else ():
+            stop = -1
+            for i, earliest in hits:
+                if (doc, t, start + i) > earliest:
+                    if start + i <= stop:
+                        out[-1] = (*out[-1][:3], start + i + WINDOW)
+                    else:
+                        out.append((doc, t, start + i, start + i + WINDOW))
+                    stop = out[-1][3]
+
+
 def _located(table: pa.Table) -> pa.Table:
     """Repeats among the passages of a shard, as ranges of words (doc, t, start, stop)."""
     import ahocorasick
 
-    numbers: dict[bytes, int] = {}
     by_seed: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
     for key, doc, t, start, passage in zip(*(table[c].to_pylist() for c in ("key", "doc", "t", "start", "passage")), strict=True):
         by_seed.setdefault(key, {}).setdefault(passage, []).append((doc, t, start))
-    automaton, streams = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), []
+    out: list[tuple[int, int, int, int]] = []
+    letters, automaton, passages = _Letters(), ahocorasick.Automaton(), []
     while by_seed:  # equal windows have equal seeds, so each seed is confirmed by itself
         _, raw = by_seed.popitem()
-        where: dict[bytes, list[tuple[int, int, int]]] = {}
-        for passage, places in raw.items():
-            where.setdefault(b" ".join(passage.split()), []).extend(places)
-        if len(where) == 1 and len(next(iter(where.values()))) == 1:
+        if len(raw) == 1 and len(next(iter(raw.values()))) == 1:
             continue  # the filter let a seed pass that occurs once
-        first: dict[tuple[int, ...], tuple[int, int, int]] = {}
-        again: set[tuple[int, ...]] = set()
-        passages = []
-        for text, places in where.items():
+        where: dict[str, list[tuple[int, int, int]]] = {}
+        for passage, places in raw.items():
+            where.setdefault("".join(map(letters.__getitem__, passage.split())), []).extend(places)
+        for places in where.values():
             places.sort()
-            words = tuple(numbers.setdefault(w, len(numbers) + 1) for w in text.split(b" "))
-            passages.append((words, places))
-            doc, t, start = places[0]
-            for i in range(len(words) - WINDOW + 1):
-                window, here = words[i : i + WINDOW], (doc, t, start + i)
-                before = first.get(window)
-                first[window] = here if before is None else min(here, before)
-                if before is not None or len(places) > 1:
-                    again.add(window)
-        for window in again:
-            automaton.add_word(window, first[window])
-        streams += passages if again else []
-    out: list[tuple[int, int, int, int]] = []
-    if streams:
-        automaton.make_automaton()
-        for words, places in streams:
-            hits = [(end - WINDOW + 1, earliest) for end, earliest in automaton.iter(words)]
-            for doc, t, start in places if hits else ():
-                stop = -1
-                for i, earliest in hits:
-                    if (doc, t, start + i) > earliest:
-                        if start + i <= stop:
-                            out[-1] = (*out[-1][:3], start + i + WINDOW)
-                        else:
-                            out.append((doc, t, start + i, start + i + WINDOW))
-                        stop = out[-1][3]
+        again = _confirmed(where)
+        for window, earliest in again.items():
+            automaton.add_word(window, earliest)
+        passages += where.items() if again else []
+        if passages and (len(letters) > LETTERS or not by_seed):
+            _streamed(automaton, passages, out)
+            automaton, passages = ahocorasick.Automaton(), []
+        if len(letters) > LETTERS:
+            letters = _Letters()
+    if passages:
+        _streamed(automaton, passages, out)
     columns = list(zip(*out, strict=True)) or [[]] * 4
     return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("doc", "t", "start", "stop"), columns, strict=True)})
 
@@ -231,5 +262,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = repeated_ranges(docs, id_col, text_col, hot_from).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     joined = _texts(docs, id_col, text_col).join(ranges, ["doc", "t"], "left")
     without = F.arrow_udf(_without, "struct<kept:string,n_words:long,n_removed:long>")
-    out = joined.select("doc", without("text", "ranges").alias("x"))
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), "x.kept", "x.n_words", "x.n_removed")
+    out = joined.select("doc", "t", without("text", "ranges").alias("x"))
+    return out.select(F.when(F.col("t") >= 0, F.col("doc")).alias(id_col), "x.kept", "x.n_words", "x.n_removed")

@@ -108,6 +108,13 @@ class Words:
     def hash2(self) -> np.ndarray:
         return self.names[self.ids, 1]
 
+    def part(self, a: int, b: int) -> Words:
+        """Texts ``a`` to ``b``, with the same numbers of words."""
+        lo, hi = int(self.first[a]), int(self.first[b])
+        out = Words(self.data, self.start[lo:hi], self.end[lo:hi], self.first[a : b + 1] - lo)
+        out.__dict__ |= {"_encoded": self._encoded, "ids": self.ids[lo:hi], "hash": self.hash[lo:hi]}
+        return out
+
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null is empty."""

@@ -86,7 +86,7 @@ def test_mixing_against_single_steps(apart):
                         continue
                     held = [int(mix.table[c][bits.slots[c][k]]) for c in range(mixlm.CONTEXTS)]
                     x, bit = [(v >> 2) / 256 for v in held], int(bits.bit[k])
-                    g = (held[0] & 3) * 4 + (held[3] & 3) if spelled else (held[1] & 3) * 4 + (held[2] & 3)
+                    g = (held[0] & 3) * 4 + (held[2] & 3) if spelled else (held[1] & 3) * 4 + (held[2] & 3)
                     dot = max(-12, min(12, sum(w * v for w, v in zip(weights[g], x, strict=True))))
                     p = 1 / (1 + math.exp(-dot))
                     at = int(max(0, min(mixlm.PLACES - 1, (dot + 8) * mixlm.PLACES / 16)))
