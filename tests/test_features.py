@@ -125,3 +125,18 @@ def test_slices_hold_equal_counts_for_bursts(spark):
     sizes = {(r["user_id"], r["_b"]): r["count"] for r in sliced.groupBy("user_id", "_b").count().collect()}
     assert max(sizes.values()) <= 800 and sizes[("light", 0)] == 50 and len(sizes) >= 10
     assert running.heavy_keys(df, ["user_id"], "at", 10_000) is None
+
+
+def test_vectors_know_only_earlier_events(spark):
+    """Cutting the history at an event leaves its vector, and those before it, as they were; hot users split alike."""
+    from signalloom.operators import retrieval
+
+    rows = random_rows(120, 9)
+    c = contents(spark, TOKENS, TOKENS)
+    cats = sorted({r["category"] for r in rows})
+    pick = lambda rows, **kw: {r["event_id"]: [round(x, 9) for x in r["user_vector"]] for r in retrieval.vectors_before(frame(spark, rows), c, cats, **kw).collect()}
+    whole = pick(rows)
+    assert whole and len(next(iter(whole.values()))) == 3 * len(cats) + 4 + retrieval.SEMANTIC_DIM
+    middle = sorted(r["ts_us"] for r in rows)[60]
+    assert pick([r for r in rows if r["ts_us"] <= middle]) == {e: v for e, v in whole.items() if e in {r["event_id"] for r in rows if r["ts_us"] <= middle}}
+    assert pick(rows, heavy_rows=15) == whole
