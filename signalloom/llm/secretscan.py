@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are long tokens with a digit, found by one regular expression over every whole text. Each gets features: its
+Candidates are long tokens with a digit, and any tokens given to a credential's name, found by one regular expression over
+every whole text. Each gets features: its
 length, character transitions, coverage by dictionary words, its path, and words beside it. A random forest trained on
 labelled findings then tells secrets from hashes, numbers, addresses and the like.
 """
@@ -12,11 +13,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalloom.llm.common import text_of
+from signalloom.llm.common import cut, text_of
 
 _IN = r"A-Za-z0-9_+/=.@\-"
-#: A token of 12 or more characters with a digit.
-CANDIDATE = rf"(?<![{_IN}])(?=[{_IN}]{{0,64}}[0-9])[{_IN}]{{12,}}"
+#: A token of 12 or more characters with a digit anywhere in it.
+LONG = rf"(?<![{_IN}])(?=[{_IN}]*[0-9])[{_IN}]{{12,}}"
+#: Any token of 4 or more characters right after a credential's name and an assignment sign, each maybe quoted.
+GIVEN = (r"(?<=(?i:token|secret|password|passwd|passphrase|pwd|api.?key|auth|bearer|credential|credentials|private.?key)"
+         r"[\"'`]?[ \t]{0,3}(?:=|:|:=|=>)[ \t]{0,3}[\"'`]?)(?<![=:>][=])" + rf"(?=[^=])[{_IN}]{{4,}}")
+CANDIDATE = rf"(?:{LONG}|{GIVEN})"
 #: Characters of a text beside a candidate that are looked at for the words beside it.
 REACH = 280
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private)"
@@ -37,7 +42,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``before`` is what is glued to it and up to three words (since the one before), ``after`` what is glued to it and up
     to two words; runs of blanks are one space, and at most ``REACH`` characters count. A name and ``=`` at the head of a
-    match belong to ``before`` if the rest is a candidate by itself. Null texts have none.
+    match belong to ``before`` if the rest is a candidate by itself or the name is a credential's. Null texts have none.
     """
     text, reach = text_of(text_col), F.lit(REACH)
     spaced = lambda x: F.regexp_replace(x, r"\s+", " ")
@@ -52,7 +57,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     further = F.when(F.length("f.h1") < REACH, F.concat(F.coalesce("f.c1", F.lit("")), F.coalesce("f.h2", F.lit("")), F.coalesce(F.when(F.length("f.h2") < REACH, F.col("f.c2")), F.lit(""))))
     after = F.left(F.concat("f.h1", F.coalesce(further, F.lit(""))), reach)
     token, value = F.col("f.candidate"), F.regexp_extract("f.candidate", NAME, 2)
-    split = value.rlike(rf"^{CANDIDATE}$")
+    named = F.regexp_extract("f.candidate", NAME, 1).rlike(CREDENTIAL) & (F.length(value) >= 4)
+    split = value.rlike(rf"^{LONG}$") | named
     before = F.substring_index(spaced(F.col("f.tail")), " ", -4)
     return each.select(
         id_col, "path", "nth", F.when(split, value).otherwise(token).alias("candidate"),
@@ -131,10 +137,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
 
     ``findings``: labelled rows like those of ``candidates`` plus ``label``; by default those of known formats. Null
     ids, paths and texts, repeated rows and empty tables are taken as they come; a candidate's words beside it may be
-    empty. Other columns are not read.
+    empty; candidates and texts may be of any length. Ties of scores stay ties. Other columns are not read.
     """
     docs = docs.select(id_col, text_col, path_col)
     words = dictionary(docs, text_col)
-    found = featured(candidates(docs, id_col, text_col, path_col), words)
+    found = cut(featured(candidates(docs, id_col, text_col, path_col), words))
     labelled = known_findings(found) if findings is None else featured(findings, words)
     return scored(found, fit(labelled, key=(id_col, "nth")))
