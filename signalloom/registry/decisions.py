@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from ..operators import decisions, features
+from ..session import shared_folder
 from ..sources import adapter
 from .base_sql import affinity, with_ctes
 from .pointintime import HISTORY, TOKEN_STATE
@@ -68,20 +71,34 @@ def detect_foreign_rows(spark, d):
     return decisions.foreign_rows(marked, "a")
 
 
-def snapshot_decisions(spark, d):
-    """Snapshot rows of every pair, scored by category affinity, with the full stored feature vector."""
+def _snapshot(spark, d):
     rows, contents = adapter.interactions(spark, d), adapter.contents(spark, d)
     pairs = rows.select("user_id", "content_id", "creator_id", "category").distinct()
     f = features.score_time_features(rows, pairs, contents, NOW)
     w = Window.partitionBy("user_id").orderBy(F.desc("category_affinity"), "content_id")
     final = f.select("user_id", "content_id", F.col("category_affinity").alias("model_score"), F.col("category_affinity").alias("score"),
                      F.row_number().over(w).alias("rank"), F.row_number().over(w).alias("pre_rank"))
-    s = decisions.snapshot(final, f, model_version="v1", ranking_us=NOW, request=F.col("user_id"))
+    return decisions.snapshot(final, f, model_version="v1", ranking_us=NOW, request=F.col("user_id"))
+
+
+def _read_back(s):
     back = decisions.read_payload(F.col("features"))
     return s.select("request_id", "content_id", F.col("final_rank").cast("long").alias("final_rank"), "problem", back["category_affinity"].alias("category_affinity"),
                     back["category"].alias("category"))
 
 
+def snapshot_decisions(spark, d):
+    """Snapshot rows of every pair, scored by category affinity, with the full stored feature vector."""
+    return _read_back(_snapshot(spark, d))
+
+
+def decision_log_round_trip(spark, d):
+    """The snapshot written to the decision log and read back from the partition of its day."""
+    path = f"{shared_folder(spark).rstrip('/')}/decisions-{uuid.uuid4().hex}"
+    decisions.write_log(_snapshot(spark, d), path)
+    return _read_back(spark.read.parquet(path).where(F.col("day") == F.to_date(F.timestamp_micros(F.lit(NOW)))))
+
+
 def ranking_training_input_checks(spark, d):
     log = _resolved(spark, d)
     return decisions.check_training_input(log, ["final_score"], volume_confirmed=True).groupBy("relevance").agg(F.count(F.lit(1)).alias("rows")).withColumn(
@@ -91,7 +108,7 @@ def ranking_training_input_checks(spark, d):
 QUERIES = {
     "resolve_outcomes": resolve_outcomes, "validate_decision": validate_decision, "validate_group": validate_group, "build_ranking_dataset": build_ranking_dataset,
     "ranking_exclusions": ranking_exclusions, "readiness_report": readiness_report, "detect_foreign_rows": detect_foreign_rows,
-    "snapshot_decisions": snapshot_decisions, "ranking_training_input_checks": ranking_training_input_checks,
+    "snapshot_decisions": snapshot_decisions, "decision_log_round_trip": decision_log_round_trip, "ranking_training_input_checks": ranking_training_input_checks,
 }
 
 _LOG = f"""
@@ -135,3 +152,4 @@ ORACLE = {
     "ranking_training_input_checks": with_ctes("""SELECT relevance, count(*) AS rows FROM res WHERE relevance IS NOT NULL
         AND request_id IN (SELECT request_id FROM grp WHERE reason IS NULL) GROUP BY 1""", "SIG", extra=_LOG),
 }
+ORACLE["decision_log_round_trip"] = ORACLE["snapshot_decisions"]

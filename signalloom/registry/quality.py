@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import features, profiles, quality
 from ..schemas import PROFILE_SNAPSHOT
+from ..session import shared_folder
 from ..sources import adapter, ingest, jsonl
 from .base_sql import affinity, with_ctes
 from .pointintime import HISTORY, TOKEN_STATE, _mean
@@ -215,6 +218,15 @@ def read_jsonl_with_errors(spark, d):
     return bad.groupBy("message").agg(F.count(F.lit(1)).alias("n")).unionByName(good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("OK").alias("message"), "n"))
 
 
+def jsonl_round_trip(spark, d):
+    """Every faultless record written as JSON lines and read back, with the fingerprint of what was read."""
+    path = f"{shared_folder(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    records = _records(spark, d)
+    jsonl.write_jsonl(records.where(F.size(quality.record_errors()) == 0), path)
+    good, _ = jsonl.load_records(jsonl.read_jsonl(spark, path))
+    return good.select(F.col("exampleId").alias("exampleId"), "fingerprint")
+
+
 # --- nested profile snapshots ---------------------------------------------------------------------
 
 def profile_snapshots(spark, d):
@@ -265,7 +277,7 @@ QUERIES = {
     "resolve_pending": resolve_pending, "update_content_status": update_content_status, "ingest_content": ingest_content, "parse_candidates": parse_candidates,
     "validate_dataset_record": validate_dataset_record, "language_tag": language_tag, "dataset_text_norm": dataset_text_norm, "content_fingerprint": content_fingerprint,
     "duplicate_and_conflict_check": duplicate_and_conflict_check, "duplicate_members": duplicate_members, "dataset_manifest": dataset_manifest,
-    "dataset_eligibility": dataset_eligibility, "training_frame_from_sources": training_frame_from_sources, "read_jsonl_with_errors": read_jsonl_with_errors,
+    "dataset_eligibility": dataset_eligibility, "training_frame_from_sources": training_frame_from_sources, "read_jsonl_with_errors": read_jsonl_with_errors, "jsonl_round_trip": jsonl_round_trip,
     "explode_profile_snapshot": explode_profile_snapshot, "validate_profile_snapshot": validate_profile_snapshot,
 }
 
@@ -370,4 +382,5 @@ ORACLE = {
         FROM rec GROUP BY 1""",
     "validate_profile_snapshot": with_ctes("""SELECT DISTINCT user_id, ['DUPLICATE_CATEGORY', 'DUPLICATE_SEEN', 'DUPLICATE_CREATOR'][CAST(user_id AS INT) % 4] AS violation
         FROM interactions WHERE CAST(user_id AS INT) % 4 > 0""", "INTERACTIONS"),
+    "jsonl_round_trip": "WITH " + _REC + f""" SELECT eid AS "exampleId", f AS fingerprint FROM fp WHERE {_ERR} = ''""",
 }
