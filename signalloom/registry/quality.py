@@ -260,15 +260,39 @@ def explode_profile_snapshot(spark, d):
                     F.col("already_seen").cast("long").alias("already_seen"), F.col("creator_followed").cast("long").alias("creator_followed"))
 
 
+#: What each class of users (by id) breaks; class 0 breaks nothing.
+SNAPSHOT_FAULTS = ["", "DUPLICATE_CATEGORY", "DUPLICATE_SEEN", "DUPLICATE_CREATOR", "DUPLICATE_TOKEN", "DUPLICATE_FOLLOWED", "CATEGORY_COUNT", "CATEGORY_LABELS", "CATEGORY_EXPLICIT",
+                   "CREATOR_COUNT", "TOKEN_COUNT"]
+
+
 def validate_profile_snapshot(spark, d):
+    """All users' snapshots, each class of users with a fault of its own, one for every rule."""
     p = profile_snapshots(spark, d)
-    n = F.col("user_id").cast("long") % 4
+    p = p.withColumn("semantic_affinities", F.transform("semantic_affinities", lambda t: t.withField("explicit_negative_count", F.lit(0).cast("long"))))
+    fault = lambda name: F.col("user_id").cast("long") % len(SNAPSHOT_FAULTS) == SNAPSHOT_FAULTS.index(name)
+    twice = lambda c: F.concat(c, F.slice(c, 1, 1))
+    one = F.lit(1).cast("long")
+
+    def first(column: str, **fields):
+        """The column with the named fields of its first entry set."""
+        def change(x):
+            for name, value in fields.items():
+                x = x.withField(name, value(x) if callable(value) else value)
+            return x
+
+        return F.transform(column, lambda x, i: F.when(i == 0, change(x)).otherwise(x))
+
+    five = F.lit(5).cast("long")
+    cats = F.when(fault("DUPLICATE_CATEGORY"), twice("categories")).when(fault("CATEGORY_COUNT"), first("categories", watch_count=lambda x: x["interaction_count"] + one))
+    cats = cats.when(fault("CATEGORY_LABELS"), first("categories", interaction_count=five, positive_count=five, negative_count=one))
+    cats = cats.when(fault("CATEGORY_EXPLICIT"), first("categories", explicit_negative_count=lambda x: x["negative_count"] + one))
+    creators = F.when(fault("DUPLICATE_CREATOR"), twice("creators")).when(fault("CREATOR_COUNT"), first("creators", completed_count=lambda x: x["interaction_count"] + one))
+    said = F.when(fault("DUPLICATE_TOKEN"), twice("semantic_affinities")).when(fault("TOKEN_COUNT"), first("semantic_affinities", explicit_negative_count=lambda x: x["negative_count"] + one))
     broken = p.withColumns({
-        "categories": F.when(n == 1, F.concat("categories", F.slice("categories", 1, 1))).otherwise(F.col("categories")),
-        "seen_content_ids": F.when(n == 2, F.concat("seen_content_ids", F.slice("seen_content_ids", 1, 1))).otherwise(F.col("seen_content_ids")),
-        "creators": F.when(n == 3, F.concat("creators", F.slice("creators", 1, 1))).otherwise(F.col("creators")),
-        "semantic_affinities": F.array().cast(dict(p.dtypes)["semantic_affinities"])})
-    return features.snapshot_violations(broken).where(F.col("violation").startswith("DUPLICATE"))
+        "categories": cats.otherwise(F.col("categories")), "creators": creators.otherwise(F.col("creators")), "semantic_affinities": said.otherwise(F.col("semantic_affinities")),
+        "seen_content_ids": F.when(fault("DUPLICATE_SEEN"), twice("seen_content_ids")).otherwise(F.col("seen_content_ids")),
+        "followed_creator_ids": F.when(fault("DUPLICATE_FOLLOWED"), F.concat("followed_creator_ids", F.array(F.lit("again"), F.lit("again")))).otherwise(F.array_distinct("followed_creator_ids"))})
+    return features.snapshot_violations(broken)
 
 
 QUERIES = {
@@ -380,7 +404,7 @@ ORACLE = {
         UNION ALL SELECT 'BOOTSTRAP', count(*), 1 FROM benchmark""",
     "read_jsonl_with_errors": "WITH " + _REC + f""" SELECT CASE doc_id % 15 WHEN 0 THEN 'BAD_JSON' WHEN 1 THEN 'UNKNOWN_FIELD' ELSE CASE WHEN {_ERR} = '' THEN 'OK' ELSE {_ERR} END END AS message, count(*) AS n
         FROM rec GROUP BY 1""",
-    "validate_profile_snapshot": with_ctes("""SELECT DISTINCT user_id, ['DUPLICATE_CATEGORY', 'DUPLICATE_SEEN', 'DUPLICATE_CREATOR'][CAST(user_id AS INT) % 4] AS violation
-        FROM interactions WHERE CAST(user_id AS INT) % 4 > 0""", "INTERACTIONS"),
+    "validate_profile_snapshot": with_ctes(f"""SELECT DISTINCT user_id, {SNAPSHOT_FAULTS!r}[1 + CAST(user_id AS INT) % {len(SNAPSHOT_FAULTS)}] AS violation
+        FROM interactions WHERE CAST(user_id AS INT) % {len(SNAPSHOT_FAULTS)} > 0""", "INTERACTIONS"),
     "jsonl_round_trip": "WITH " + _REC + f""" SELECT eid AS "exampleId", f AS fingerprint FROM fp WHERE {_ERR} = ''""",
 }
