@@ -42,7 +42,7 @@ FRAGMENTS = 8
 #: Columns of a set's parity bits, 64 in each.
 PARITY = ["p0", "p1", "p2", "p3"]
 #: Bits of a shortened key behind those of its bucket, and keys a task holds before it sends them.
-SHORT, HELD = 32, 1 << 22
+SHORT, HELD = 32, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -129,8 +129,8 @@ def _per_batch(make, types: dict[str, pa.DataType], n: int):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                part = batch.slice(a, 2_000)
+            for a in range(0, batch.num_rows, 1_000):
+                part = batch.slice(a, 1_000)
                 others = zip(*(part.column(i).to_pylist() for i in range(part.num_columns - 1)), strict=True)
                 rows = make(others, sets_of(part.column(part.num_columns - 1), n))
                 columns = zip(*rows, strict=True) if rows else [()] * len(types)
