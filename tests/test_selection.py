@@ -33,6 +33,19 @@ def test_first_unseen_is_exact(spark):
             assert got.get((f"u{u}", f"k{k}"), set()) == set(open_)
 
 
+def test_global_list_splits_ties(spark):
+    df = spark.range(3000).select(F.format_string("c%05d", F.col("id")).alias("content_id"), F.when(F.col("id") % 10 > 0, 5).otherwise(F.col("id")).alias("o"))
+    got = [(r["content_id"], r["pos"]) for r in lists.global_list(df, F.col("o")).orderBy("pos").collect()]
+    want = sorted((5 if i % 10 else i, f"c{i:05d}") for i in range(3000))
+    assert got == [(c, n + 1) for n, (_, c) in enumerate(want)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = lists.range_parts(df.withColumn("o", F.lit(1)), F.col("o")).groupBy("_part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 3000 / len(parts) * 1.5
+
+
 def test_live_pool(spark):
     rows = [("u", n, f"s{n}", f"c{n % 3}", "ACTIVE" if n != 4 else "ENDED", n % 2, n == 0, 0.2 if n == 7 else 0.0, 1000 - n, n == 3, 30.0) for n in range(10)]
     pool = spark.createDataFrame(rows, "user_id string, seq int, stream_id string, category string, status string, previous_live_interactions int, creator_followed boolean, "
