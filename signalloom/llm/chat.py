@@ -54,7 +54,11 @@ def final_messages(events: DataFrame) -> DataFrame:
 
 def formatted(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     """``conv_id, formatted, loss_spans``: the rendered conversation, and the code point ranges [start, end) of the
-    texts of role ``learn``, which alone carry loss."""
+    texts of role ``learn``, which alone carry loss.
+
+    Null roles and texts were made empty before (``final_messages``); equal messages are rendered each, in order of
+    ``message``. A conversation's text is one value, whatever its length. No rows in, no rows out; other columns are not
+    read."""
     head = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(MIDDLE))
     body = escaped(F.col("text"))
     parts = messages.select("conv_id", "message", "role", F.length(head).alias("head"), F.length(body).alias("body"),
@@ -69,7 +73,10 @@ def formatted(messages: DataFrame, learn: str = "assistant") -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """``conv_id, turns`` (role, text), ``loss_text``, ``formatted_chars`` from ``formatted`` alone."""
+    """``conv_id, turns`` (role, text), ``loss_text``, ``formatted_chars`` from ``formatted`` alone.
+
+    Whatever texts hold comes back as it was, control strings and empty texts included; a conversation without turns has
+    none. No rows in, no rows out; other columns are not read."""
     pieces = F.split("formatted", CLOSE, -1)
     turns = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda t: F.struct(
         unescaped(F.substring_index(F.substr(t, F.lit(len(OPEN) + 1)), MIDDLE, 1)).alias("role"),

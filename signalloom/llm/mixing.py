@@ -161,8 +161,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
           sample: int = SAMPLE, budget: float | None = None) -> DataFrame:
     """id, ``tokens``, ``p_<domain>`` and ``rate`` per row of ``docs``; ``labels``: id, domain.
 
-    By default the first domain of ``targets`` stays whole and scarcer ones stay short (see ``fitted_rates``). Null texts have no tokens. Null or repeated ids and repeated rows stay rows of their own. Without labelled rows all
-    posteriors are equal. Other columns are not read.
+    By default the first domain of ``targets`` stays whole and scarcer ones stay short (see ``fitted_rates``). Null texts
+    have no tokens; texts of any length count whole. Null or repeated ids and repeated rows stay rows of their own; rows with
+    equal posteriors have equal rates. Without labelled rows all posteriors are equal. No rows in, no rows out. Other
+    columns are not read.
     """
     names = list(targets)
     docs = docs.select(id_col, text_col)

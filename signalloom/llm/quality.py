@@ -137,7 +137,12 @@ def held_out(id_column: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows outside the held-out fold. Labels that are null are left out; an id with
-    several labels counts by their mean (0.5 and above: 1)."""
+    several labels counts by their mean (0.5 and above: 1).
+
+    Rows of ``docs`` that repeat an id are examples each; null and empty texts are examples of padding alone, long texts
+    count whole. The sample takes labels in order of a hash of their id, ties by id. Without usable labels, or with labels
+    of one class, the model gives every text the smoothed share of class 1. Other columns are not read.
+    """
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label")))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded, so it may be broadcast
@@ -160,6 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``held_out``, ``score``, ``predicted`` per row of ``docs``; only the text is an input of the score."""
+    """id, ``held_out``, ``score``, ``predicted`` per row of ``docs``; only the text is an input of the score.
+
+    Null texts score as empty ones, texts of any length whole; equal texts score alike, so repeated rows tie. Null ids are
+    held out. No rows in, no rows out; other columns are not read.
+    """
     return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), model.score(F.col(text_col)).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
