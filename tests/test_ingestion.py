@@ -43,7 +43,7 @@ def test_behaviour_stream(spark, tmp_path):
     batch = spark.createDataFrame([(100, message(6, kind="CONTENT_LIKED")), (101, message(9, kind="CONTENT_SHARED"))], "offset long, value string")
     ingestion.behaviour_batch(root, contents, now())(batch, 1)
     assert ingestion.read_interactions(spark, root).count() == 4
-    assert ingestion.latest_popularity(spark, root).collect()[0]["popularity"] == 0.924142
+    assert ingestion.latest_popularity(spark, root).collect()[0]["popularity"] == 0.768525
     ingestion.fold_sums(spark, root, 1)
     put("c.json", [message(10, kind="CONTENT_SHARED")], 200)
     run()
