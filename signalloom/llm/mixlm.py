@@ -34,13 +34,13 @@ from signalloom.llm.wordhash import Words, _keys, blocks, mixed, raw_bytes, word
 #: Words in the dictionary (the others are spelled), slots of a context (2 ** 20), contexts, gates (for own codes and spelled words each).
 DICTIONARY, SLOT_BITS, CONTEXTS, GATES = 262_142, 20, 3, 16
 #: Words between two changes of the weights; rate of learning; words a place in the refinement is worth at first.
-STEP, RATE, PRIOR = 64, 0.02, 64.0
+STEP, RATE, PRIOR = 256, 0.02, 64.0
 #: Places of the refinement on the log-odds scale, and of a page of slots.
 PLACES, PAGE = 24, 1 << 14
 _TERMINATOR = 256
 _FAR = 60_000
 #: Bytes of text whose words are looked up in the dictionary at once.
-LOOKED_UP = 4 << 20
+LOOKED_UP = 2 << 20
 
 
 def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +74,7 @@ def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Coder:
     """Numbers and codes of dictionary words, the escape (after them) and the end (last); codes of bytes."""
 
-    numbers: dict[bytes, int]
+    words: pa.Array
     counts: np.ndarray
     code: np.ndarray
     length: np.ndarray
@@ -89,7 +89,7 @@ class Coder:
             np.add.at(in_words, np.frombuffer(w, np.uint8).astype(np.int64), c)
             in_words[_TERMINATOR] += c
         code, length = prefix_code(np.array([*counts, others + 1, ends + 1], np.int64))
-        return cls({w: i for i, w in enumerate(words)}, np.array([*counts, 0, ends], np.int64), code, length, *prefix_code(in_words))
+        return cls(pa.array(words, pa.large_binary()), np.array([*counts, 0, ends], np.int64), code, length, *prefix_code(in_words))
 
 
 @dataclass
@@ -256,10 +256,9 @@ def _blocks(batch: pa.RecordBatch, coder: Coder, size: int) -> Iterator[tuple[in
     """Range of rows, words, and dictionary numbers of the distinct words."""
     data, offsets = raw_bytes(batch.column("text"))
     escape = len(coder.code) - 2
-    known = pa.array(list(coder.numbers), pa.large_binary())
     for a, b in blocks(offsets, LOOKED_UP):
         whole = words_of(data, offsets[a : b + 1], lower=True)
-        number = pc.fill_null(pc.index_in(whole.distinct, value_set=known), escape).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = pc.fill_null(pc.index_in(whole.distinct, value_set=coder.words), escape).to_numpy(zero_copy_only=False).astype(np.int64)
         for c, d in blocks(offsets[a : b + 1] - offsets[a], size):
             yield a + c, a + d, whole.part(c, d), number
 
@@ -296,7 +295,7 @@ def _pages(coder, slot_bits: int):
                     side = (fold[a + bits.text] << np.uint32(slot_bits + 1))[bits.word] | bits.bit
                     for keys, slots in zip(waiting, bits.slots, strict=True):
                         keys.append(side | (slots << np.uint32(1)))
-                if sum(map(len, waiting[0])) > 8 << slot_bits:
+                if sum(map(len, waiting[0])) > 6 << slot_bits:
                     add()
         add()
         counts = counts.reshape(CONTEXTS, 2, 1 << slot_bits, 2).swapaxes(0, 1)
