@@ -110,6 +110,16 @@ def test_top_k_blocks(spark):
         assert got[a] == [b for _, b in s[:5]]
 
 
+def test_top_k_of_text_ids_with_blocks_nobody_asks(spark):
+    rng = np.random.default_rng(3)
+    q, i = np.round(rng.normal(size=(3, 4)), 3), np.round(rng.normal(size=(90, 4)), 3)
+    frame_ = lambda v, p: spark.createDataFrame([(f"{p}{n:02d}", [float(x) for x in r]) for n, r in enumerate(v)], f"{'query_id' if p == 'q' else 'item_id'} string, vector array<double>")
+    got = {}
+    for r in retrieval.retrieve_top_k(frame_(q, "q"), frame_(i, "i"), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert got == {f"q{a:02d}": [f"i{b:02d}" for _, b in sorted((-round(float(q[a] @ i[b]), 9), b) for b in range(90))[:4]] for a in range(3)}
+
+
 def test_far_blocks_are_not_searched(spark):
     """Tight clusters in many directions: a query is shipped to few of the blocks, and ties at the last place stay exact."""
     rng = np.random.default_rng(2)
