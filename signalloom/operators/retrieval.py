@@ -233,6 +233,8 @@ def clean_candidates(candidates: DataFrame, seen: DataFrame | None = None) -> Da
 # --- hashed vectors and dense retrieval ---------------------------------------------------------
 
 SEMANTIC_DIM, CREATOR_DIM = 32, 8
+#: Rows of a group of queries or items in dense retrieval, scores that a task holds at once, and queries it asks with at once.
+GROUP_ROWS, SCORES, ASKED = 16_384, 1 << 22, 4_096
 CATEGORY_WEIGHT, HASH_WEIGHT = 1.5, 0.6
 
 
@@ -313,85 +315,162 @@ def _nearest(pivots):
     return run
 
 
-def _shipped(blocks, floors: bool):
-    """Rows (query, block) of the one block with the highest bound, or of all blocks whose bound reaches the query's floor."""
+def _bounds(v, cells):
+    """The highest score that each vector can have in each cell, from its centre and radius."""
+    _, centres, radii, _ = cells
+    bound = v @ centres.T + np.sqrt((v ** 2).sum(1))[:, None] * radii[None, :]
+    return bound + 1e-6 + 1e-9 * np.abs(bound)  # room for rounding only ever keeps a cell
+
+
+def _at_home(cells):
+    """Adds to batches of queries the cell with the highest bound."""
     def run(batches):
-        names, centres, radii = blocks.value
         for pdf in batches:
-            if not len(pdf) or not len(names):
-                continue
-            v = np.stack(pdf["vector"].to_numpy()).astype("float64")
-            bound = v @ centres.T + np.sqrt((v ** 2).sum(1))[:, None] * radii[None, :]
-            bound += 1e-6 + 1e-9 * np.abs(bound)  # room for rounding only ever keeps a block
-            if floors:
-                reach = pdf["floor"].to_numpy(dtype="float64", na_value=-np.inf)
-                row, at = np.nonzero(bound >= reach[:, None])
-                other = names[at] != pdf["home"].to_numpy()[row]
-                row, at = row[other], at[other]
-            else:
-                row, at = np.arange(len(pdf)), bound.argmax(1)
-            for start in range(0, len(row), 4_096):  # a query may go to many blocks
-                own = row[start : start + 4_096]
-                yield pdf.iloc[own].drop(columns=["home"] if floors else []).assign(block=names[at[start : start + 4_096]])
+            if len(pdf) and len(cells.value[0]):
+                v = np.stack(pdf["vector"].to_numpy()).astype("float64")
+                home = np.concatenate([_bounds(v[n : n + 1_024], cells.value).argmax(1) for n in range(0, len(v), 1_024)])
+                yield pdf.assign(cell=cells.value[0][home])
 
     return run
 
 
-def _leaders(scores, depth: int, least: float):
-    """Places and scores of the best ``depth`` of those that reach ``least``; equal scores by place."""
-    good = np.flatnonzero(scores >= least)
-    if len(good) > depth > 0:
-        cut = np.partition(scores[good], len(good) - depth)[len(good) - depth]
-        good = good[scores[good] >= cut]
-    good = good[np.argsort(-scores[good], kind="stable")[:depth]]
-    return good, scores[good]
+def _sent(cells):
+    """Rows (query, group of cells) of all groups with a cell other than the query's own whose bound reaches its floor."""
+    def run(batches):
+        names, _, _, groups = cells.value
+        for pdf in batches:
+            for start in range(0, len(pdf), 1_024):
+                part = pdf.iloc[start : start + 1_024]
+                reach = part["floor"].to_numpy(dtype="float64", na_value=-np.inf)
+                row, at = np.nonzero(_bounds(np.stack(part["vector"].to_numpy()).astype("float64"), cells.value) >= reach[:, None])
+                other = names[at] != part["cell"].to_numpy()[row]
+                pairs = np.unique(np.stack([row[other], groups[at[other]]], 1), axis=0)
+                yield part.iloc[pairs[:, 0]].assign(group=pairs[:, 1].astype("int32"))
+
+    return run
 
 
 def _best_in_block(queries, items):
-    """The best ``_depth`` items of a block per query, among those that reach the query's floor. Ties go to the lesser id."""
+    """Rows of ``queries``, rows of ``items`` and scores of all pairs that reach the query's floor."""
+    floor, found = queries["floor"], []
+    left, right = np.ascontiguousarray(queries["vector"]), np.ascontiguousarray(items["vector"]).T
+    step = max(1, SCORES // max(1, len(items)))
+    for start in range(0, len(queries), step):
+        scores = left[start : start + step] @ right
+        row, at = np.nonzero(scores >= floor[start : start + step, None] - 1e-8)
+        score = np.round(scores[row, at], 9)
+        good = score >= floor[start + row]
+        found.append((start + row[good], at[good], score[good]))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def _leaders(found, depth):
+    """Of (query row, item row, score) those among the best ``depth`` of their query; ties go to the lesser item row."""
+    row, at, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((at, -score, row))
+    row, at, score = row[order], at[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    good = place < depth[row]
+    return row[good], at[good], score[good]
+
+
+def _search(queries, items, cells, best):
+    """The best ``_depth`` items per query, cell by cell; what is found raises the floor that later cells must reach.
+
+    ``cells``: centres and radii, by which queries leave cells out (their own one too); None: all items are one cell.
+    """
     if not len(queries) or not len(items):
         # Typed as the inputs are: a plain empty column holds doubles, which Arrow turns into chunks instead of text.
         return pd.DataFrame({"query_id": queries["query_id"].iloc[:0], "item_id": items["item_id"].iloc[:0], "score": np.zeros(0)}, index=range(0))
     items = items.sort_values("item_id", kind="stable")
-    m, ids = np.stack(items["vector"].to_numpy()).astype("float64"), items["item_id"].to_numpy()
-    parts = []
-    for start in range(0, len(queries), 1024):
-        part = queries.iloc[start : start + 1024]
-        scores = np.round(np.stack(part["vector"].to_numpy()).astype("float64") @ m.T, 9)
-        floor = part["floor"].to_numpy(dtype="float64", na_value=-np.inf)
-        parts += [_leaders(s, int(want), least) for s, want, least in zip(scores, part["_depth"], floor)]
-    # One column each, made once: text columns of frames put together would have several Arrow chunks.
+    vectors = lambda df: np.stack(df["vector"].to_numpy()).astype("float64")
+    q = np.zeros(len(queries), [("vector", "f8", (len(queries["vector"].iloc[0]),)), ("floor", "f8")])
+    q["vector"], q["floor"] = vectors(queries), queries["floor"].to_numpy(dtype="float64", na_value=-np.inf)
+    i = np.zeros(len(items), [("vector", "f8", (len(items["vector"].iloc[0]),))])
+    i["vector"], depth = vectors(items), queries["_depth"].to_numpy(dtype="int64")
+    if cells is None:
+        parts = [(np.arange(len(i)), np.full(len(q), np.inf))]
+    else:
+        own, home = items["cell"].to_numpy(), queries["cell"].to_numpy()
+        held, inside = np.unique(own, return_inverse=True)
+        at = np.searchsorted(cells[0], held)
+        bound = _bounds(q["vector"], (None, cells[1][at], cells[2][at], None))
+        by_cell, ends = np.argsort(inside, kind="stable"), np.r_[0, np.cumsum(np.bincount(inside))]
+        parts = [(by_cell[ends[n] : ends[n + 1]], np.where(home == c, -np.inf, bound[:, n])) for n, c in enumerate(held)]
+    kept, pending, waiting = (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)), [], 0
+    for places, reach in parts:
+        asked = np.flatnonzero((reach >= q["floor"]) & (reach > -np.inf))
+        for start in range(0, len(asked), ASKED):
+            some = asked[start : start + ASKED]
+            row, at, score = best(q[some], i[places])
+            pending.append((some[row], places[at], score))
+            waiting += len(row)
+            if waiting > max(SCORES // 4, len(kept[0])):
+                kept = _raised(q, [kept, *pending], depth)
+                pending, waiting = [], 0
+    row, at, score = _leaders([kept, *pending], depth)
     return pd.DataFrame({
-        "query_id": pd.Series(np.repeat(queries["query_id"].to_numpy(), [len(at) for at, _ in parts]), dtype=queries["query_id"].dtype),
-        "item_id": pd.Series(ids[np.concatenate([at for at, _ in parts])], dtype=items["item_id"].dtype), "score": np.concatenate([s for _, s in parts])})
+        "query_id": pd.Series(queries["query_id"].to_numpy()[row], dtype=queries["query_id"].dtype),
+        "item_id": pd.Series(items["item_id"].to_numpy()[at], dtype=items["item_id"].dtype), "score": score})
 
 
-def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int = 30, *, seen: DataFrame | None = None) -> DataFrame:
+def _raised(q, found, depth):
+    """The leaders of what was found so far; queries with enough of them get the last one's score as their floor."""
+    row, at, score = kept = _leaders(found, depth)
+    many = np.bincount(row, minlength=len(q))
+    full = np.flatnonzero((many >= depth) & (many > 0))
+    q["floor"][full] = np.maximum(q["floor"][full], score[np.cumsum(many)[full] - 1])
+    return kept
+
+
+def _packed(sizes, most: int):
+    """A number for each of ``sizes`` in a row, so that those of one number make up about ``most``."""
+    before = np.cumsum(sizes) - sizes
+    return np.unique(before // most, return_inverse=True)[1].astype("int32")
+
+
+def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int = 30, *, seen: DataFrame | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Exact dot-product top-k of (query_id, vector) against (item_id, vector), minus seen pairs.
 
-    Items are cut into blocks by the nearest of some pivots, so that near items share a block; a small table has each
-    block's centre and radius. No item of a block scores above q . centre + |q| radius. A query first goes to the block
-    with the highest bound and takes the k-th score found there; then to those other blocks only whose bound reaches it.
-    Items are shipped once for each round. Items a query has seen are requested on top of k, so exclusion stays exact.
+    Items are cut into cells by the nearest of some pivots, so that near items share a cell; a small table has each
+    cell's centre and radius. No item of a cell scores above q . centre + |q| radius. A query first goes to the cell
+    with the highest bound and takes the k-th score found there; then to those other cells only whose bound reaches it.
+    For that, queries and cells travel in groups of about ``group_rows`` rows each, and a pair of groups is one matrix
+    product after the other: tasks hold two groups, whatever the tables' size, and a row travels as often as there are
+    groups on the other side, not once for each cell. Where no bound keeps a cell out, that is all pairs. Items a query has
+    seen are requested on top of k, so exclusion stays exact.
     """
     spark = queries.sparkSession
     q_type, i_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
+    q_vector, i_vector = dict(queries.dtypes)["vector"], dict(items.dtypes)["vector"]
     count = _block_count(items.count())
     chosen = items.orderBy(F.xxhash64("item_id"), "item_id").limit(count).select("vector").collect()  # bounded by ``count``
     if not chosen:
         return queries.select("query_id", F.lit(None).cast(i_type).alias("item_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
     pivots = spark.sparkContext.broadcast(np.array([r["vector"] for r in chosen], "float64"))
-    placed = cut_lineage(items.select("item_id", "vector").mapInPandas(_nearest(pivots), f"item_id {i_type}, vector {dict(items.dtypes)['vector']}, block int"))
+    placed = cut_lineage(items.select("item_id", "vector").mapInPandas(_nearest(pivots), f"item_id {i_type}, vector {i_vector}, block int"))
 
     def reach(batches):
         for pdf in batches:
             if len(pdf):
                 away = np.sqrt(((np.stack(pdf["vector"].to_numpy()).astype("float64") - pivots.value[pdf["block"]]) ** 2).sum(1))
-                yield pd.DataFrame({"block": pdf["block"], "away": away}).groupby("block", as_index=False).max()
+                yield pd.DataFrame({"block": pdf["block"], "away": away, "n": 1}).groupby("block", as_index=False).agg({"away": "max", "n": "sum"})
+
+    balls = placed.mapInPandas(reach, "block int, away double, n long").groupBy("block").agg(F.max("away").alias("radius"), F.sum("n").alias("n")).orderBy("block").collect()  # at most ``count``
+    # A block of more rows than a group becomes several cells of one centre.
+    parts = np.array([-(-r["n"] // group_rows) for r in balls])
+    block = np.repeat([r["block"] for r in balls], parts)
+    groups = _packed(np.repeat([r["n"] / p for r, p in zip(balls, parts)], parts), group_rows)
+    cells = spark.sparkContext.broadcast((np.arange(len(block), dtype="int32"), pivots.value[block], np.repeat([r["radius"] for r in balls], parts), groups))
+    first, many = np.zeros(len(chosen), "int64"), np.ones(len(chosen), "int64")
+    first[[r["block"] for r in balls]], many[[r["block"] for r in balls]] = np.cumsum(parts) - parts, parts
+
+    def into_cells(batches):
+        for pdf in batches:
+            cell = first[pdf["block"]] + pdf.pop("part").to_numpy() % many[pdf.pop("block")]
+            yield pdf.assign(cell=cell.astype("int32"), group=cells.value[3][cell])
 
-    balls = placed.mapInPandas(reach, "block int, away double").groupBy("block").agg(F.max("away").alias("radius")).orderBy("block").collect()  # at most ``count``
-    names = np.array([r["block"] for r in balls], "int32")
-    blocks = spark.sparkContext.broadcast((names, pivots.value[names], np.array([r["radius"] for r in balls])))
+    celled = placed.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(1 << 31))).mapInPandas(into_cells, f"item_id {i_type}, vector {i_vector}, cell int, group int")
 
     spare = queries.select("query_id")
     if seen is not None:
@@ -399,17 +478,24 @@ def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int = 30, *, seen: D
         spare = spare.join(known.groupBy("query_id").agg(F.countDistinct("item_id").alias("_s")), "query_id", "left")
     depth = F.lit(k) + F.coalesce(F.col("_s"), F.lit(0)) if seen is not None else F.lit(k)
     asked = queries.select("query_id", "vector").join(spare.withColumn("_depth", depth.cast("int")).select("query_id", "_depth"), "query_id")
-    schema = f"query_id {q_type}, vector {dict(queries.dtypes)['vector']}, _depth int, floor double, block int"
-    homes = cut_lineage(asked.withColumn("floor", F.lit(None).cast("double")).mapInPandas(_shipped(blocks, False), schema))
-
-    def searched(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(lambda q, i: _best_in_block(q, i), f"query_id {q_type}, item_id {i_type}, score double")
-
-    first = cut_lineage(searched(homes))
-    floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"), F.min("score").alias("floor"))
-    rest = homes.drop("floor").withColumnRenamed("block", "home").join(floors, "query_id", "left")
-    rest = rest.select("query_id", "vector", "_depth", F.when(F.col("_c") >= F.col("_depth"), F.col("floor")).alias("floor"), "home")
-    best = first.unionByName(searched(rest.mapInPandas(_shipped(blocks, True), schema)))
+    schema = f"query_id {q_type}, vector {q_vector}, _depth int, floor double, cell int"
+    homes = cut_lineage(asked.withColumn("floor", F.lit(None).cast("double")).mapInPandas(_at_home(cells), schema))
+
+    out = f"query_id {q_type}, item_id {i_type}, score double"
+    at_home = homes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("turns"))  # at most as many rows as cells
+    turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")
+    own = homes.join(F.broadcast(at_home), "cell").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).drop("turns")
+    inside = celled.join(F.broadcast(at_home), "cell").select("item_id", "vector", "cell", turn)
+    near = cut_lineage(own.groupBy("cell", "turn").cogroup(inside.groupBy("cell", "turn")).applyInPandas(lambda q, i: _search(q, i, None, _best_in_block), out))
+
+    floors = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"), F.min("score").alias("floor"))
+    rest = homes.drop("floor").join(floors, "query_id", "left")
+    rest = rest.select("query_id", "vector", "_depth", F.when(F.col("_c") >= F.col("_depth"), F.col("floor")).alias("floor"), "cell")
+    crowds = max(1, -(-homes.count() // group_rows))
+    sent = rest.mapInPandas(_sent(cells), schema + ", group int").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.lit(crowds)).cast("int"))
+    shelves = celled.withColumn("crowd", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))))
+    far = sent.groupBy("group", "crowd").cogroup(shelves.groupBy("group", "crowd")).applyInPandas(lambda q, i: _search(q, i, cells.value, _best_in_block), out)
+    best = near.unionByName(far)
     if seen is not None:
         best = best.join(seen.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_anti")
     return top_n(best, ["query_id"], [F.desc("score"), F.asc("item_id")], k, rank="rank")

@@ -120,6 +120,26 @@ def test_top_k_of_text_ids_with_blocks_nobody_asks(spark):
     assert got == {f"q{a:02d}": [f"i{b:02d}" for _, b in sorted((-round(float(q[a] @ i[b]), 9), b) for b in range(90))[:4]] for a in range(3)}
 
 
+def test_rows_travel_once_for_each_group(spark, monkeypatch):
+    """Where bounds keep nothing out, a query goes to each group of items, not to each block; copies split over cells."""
+    rng = np.random.default_rng(4)
+    i = np.round(rng.normal(size=(240, 12)), 2)
+    i[100:190] = i[0]
+    frame_ = lambda name: spark.createDataFrame([(n, [float(x) for x in r]) for n, r in enumerate(i)], f"{name} long, vector array<double>")
+    asked, plain = spark.sparkContext.accumulator(0), retrieval._search
+
+    def counting(queries, items, cells, best):
+        asked.add(len(queries))
+        return plain(queries, items, cells, best)
+
+    monkeypatch.setattr(retrieval, "_search", counting)
+    got = {}
+    for r in retrieval.retrieve_top_k(frame_("query_id"), frame_("item_id"), 6, group_rows=60).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert got == {a: [b for _, b in sorted((-round(float(i[a] @ i[b]), 9), b) for b in range(240))[:6]] for a in range(240)}
+    assert asked.value <= 240 * 7  # home, and five or six groups; blocks are fifteen
+
+
 def test_far_blocks_are_not_searched(spark):
     """Tight clusters in many directions: a query is shipped to few of the blocks, and ties at the last place stay exact."""
     rng = np.random.default_rng(2)
