@@ -55,7 +55,9 @@ def passes(filter_, key: Column) -> Column:
 
 def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame, id_col: str, digest_: Column) -> DataFrame:
     """``docs`` without rows that ``gone`` (_id, _t) names by id and digest, and one row of those that ``again`` names."""
-    marked = cut(gone.withColumn("_gone", F.lit(True)).unionByName(again.join(gone, ["_id", "_t"], "left_anti").withColumn("_gone", F.lit(False))))
+    # Null ids are ids too: a group keeps a plain join from missing them, so no row is marked twice.
+    marked = gone.withColumn("_gone", F.lit(True)).unionByName(again.withColumn("_gone", F.lit(False)))
+    marked = cut(marked.groupBy("_id", "_t").agg(F.max("_gone").alias("_gone")))
     held = key_filter(marked.select(F.xxhash64("_id", "_t").alias("key")), bits=bits_for(marked.count(), MOST_BITS))
     may = passes(held, F.xxhash64(F.col(id_col).cast("long"), digest_))
     doubtful = docs.where(may)
