@@ -63,3 +63,29 @@ def test_recommend_and_log(spark, tmp_path):
     assert groups["internal-correlation-only:u0"] is None and groups["internal-correlation-only:u1"] == "ZERO_RESOLVED"
     with pytest.raises(decisions.RankingInputError):
         decisions.check_training_input(decisions.resolve_outcomes(back, later), ["final_score"], volume_confirmed=False)
+
+
+def test_permuted_values_travel_without_other_columns(spark):
+    """Importance equals a plain model on shifted rows; only what the model reads is carried along."""
+    class Sum:
+        numeric, categorical = ["a", "b"], []
+
+        def score(self, rows):
+            assert "_repeat" not in rows.columns or "ballast" not in rows.columns
+            return rows.withColumn("model_score", F.col("a") + F.col("b") / 10)
+
+    data = [(f"u{n % 7}", f"c{n}", n, n * 37 % 11, n * 53 % 13, int(n * 37 % 11 > 4), "x" * 50) for n in range(60)]
+    rows = spark.createDataFrame(data, "user_id string, content_id string, ts_us long, a long, b long, target int, ballast string")
+    got = {r["feature"]: r for r in training.permutation_importance(Sum(), rows, ["a", "b"], repeats=3).collect()}
+    order = rows.select("a", "b", "target").orderBy(F.xxhash64(F.lit(42), "user_id", "content_id", "ts_us")).collect()
+
+    def auc(pairs):
+        good, bad = [p for p, y in pairs if y], [p for p, y in pairs if not y]
+        return sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+
+    n = len(order)
+    full = auc([(r["a"] + r["b"] / 10, r["target"]) for r in order])
+    for f in ("a", "b"):
+        other = [[order[(i + n * k // 4) % n] for i in range(n)] for k in (1, 2, 3)]
+        lost = [full - auc([((o if f == "a" else r)["a"] + (o if f == "b" else r)["b"] / 10, r["target"]) for r, o in zip(order, shifted)]) for shifted in other]
+        assert abs(got[f]["importance_mean"] - sum(lost) / 3) < 1e-9
