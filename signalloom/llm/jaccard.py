@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from signalloom.llm.common import cut, text_of
 from signalloom.llm.components import components
-from signalloom.llm.recurring import MOST_BITS, bits_for, key_filter, may_hold, passes, without_rows
+from signalloom.llm.recurring import MOST_BITS, bits_for, key_filter, may_hold, without_rows
 from signalloom.llm.wordhash import blocks, mixed, ngrams, raw_bytes, words_of
 
 #: Fragments of the order in which overlaps are counted.
@@ -238,7 +238,13 @@ def fragment_overlaps(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, like
     def fragments(side: str) -> DataFrame:
         wanted = cut(nodes.join(pairs.select(F.col(side).alias("node")).distinct(), "node").select(F.xxhash64("rep").alias("key")))
         held = key_filter(wanted, bits=bits_for(wanted.count(), MOST_BITS))
-        found = texts.where(passes(held, F.xxhash64("id"))).select("id", "text").mapInArrow(run, "node binary, fragments array<array<long>>")
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # in the same worker as the sets: a second one a task takes memory
+            for batch in batches:
+                good = may_hold(held.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield from run(iter([batch.filter(pa.array(good))]))
+
+        found = texts.select(F.xxhash64("id").alias("key"), "text").mapInArrow(chosen, "node binary, fragments array<array<long>>")
         # Rows that repeat an id may hold other sets, which no pair asks for, or the same set.
         return found.groupBy("node").agg(F.first("fragments").alias(f"{side}_fragments")).withColumnRenamed("node", side)
 

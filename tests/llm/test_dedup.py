@@ -118,3 +118,14 @@ def test_empty_tables(spark):
     assert exact.exact_duplicates(docs).count() == 0
     assert jaccard.jaccard_components(docs).count() == 0
     assert substring.without_repeats(docs).count() == 0
+
+
+def test_texts_of_pairs_need_one_worker_a_task(spark):
+    """Texts are chosen where their sets are made; a second Python worker in each task held an executor's memory."""
+    like = jaccard.Similarity(2, 5, 10)
+    texts = jaccard._text(helpers.documents(spark, [(1, "a b c d e"), (2, "a b c d f"), (3, "g h i")]), "doc_id", "text")
+    nodes = jaccard.named_sets(helpers.documents(spark, [(1, "a b c d e"), (2, "a b c d f"), (3, "g h i")]), like, "doc_id", "text").selectExpr("node", "n", "id rep")
+    x, y = (nodes.where(f"rep = {i}").selectExpr(f"node {s}", f"n n{s}") for i, s in ((1, "x"), (2, "y")))
+    links = jaccard.fragment_overlaps(texts, x.crossJoin(y), nodes, like)
+    assert "ArrowEvalPython" not in links._jdf.queryExecution().executedPlan().toString()
+    assert links.count() == 1
