@@ -1,77 +1,113 @@
-"""LIVE sessions of a stream. Events wait in a buffer per (user, stream) until the watermark passes them, so they leave in
-order of (time, event id) however micro-batches are cut; late events are dropped. Whenever a timer fires, sessions are
-derived from running columns over the events that have left, as the batch form does: all sessions but the last are
-complete, and the last one is complete when the watermark is the idle time beyond its last event. Only events of an
-incomplete session, and those that still wait, stay in the state.
+"""LIVE sessions of a stream. Events wait in a buffer per user until the watermark passes them, so they leave in order of
+(time, event id) however micro-batches are cut; late events are dropped. Whenever a timer fires, one pass over the events
+that have left derives the sessions of each of the user's streams, as the batch form does: all sessions of a stream but the
+last are complete, and the last one is complete when the watermark is the idle time beyond its last event. Only events of
+incomplete sessions, and those that still wait, stay in the state.
+
+A user's streams share one state, and its events travel in pickled blocks, because a call to the state store and a row of it
+cost far more than an event. The pass is plain Python: most users have few events at a time, for which building data frames
+would cost more than all else.
 """
 
 from __future__ import annotations
 
+import pickle
+import sys
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.live import RECONNECT_GRACE_US, _COUNTS, live_signals
 
+# Spark also reads the processor in a worker of the driver, which gets no files of the session: the module travels with it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SESSION_SCHEMA = (
     "user_id string, content_id string, creator_id string, category string, joined_us long, ended_us long, joined boolean, impression boolean, "
     "watch_us long, reconnect_count long, like_count long, share_count long, comment_count long, gift_count long, creator_follow_count long, "
     "not_interested_count long, exclusion_reason string")
-EVENT_SCHEMA = "event_id string, creator_id string, category string, event_type string, ts_us long, watch_us long, " + ", ".join(f"{c} long" for c in _COUNTS)
-_EVENT, _SESSION = ([c.split()[0] for c in s.split(", ")] for s in (EVENT_SCHEMA, SESSION_SCHEMA))
+_EVENT = ["content_id", "event_id", "creator_id", "category", "event_type", "ts_us", "watch_us", *_COUNTS]
+_SESSION = [c.split()[0] for c in SESSION_SCHEMA.split(", ")]
+#: Events of a block.
+BLOCK = 10_000
+#: Places of an event's columns.
+STREAM, ID, CREATOR, CATEGORY, KIND, AT, WATCH, COUNTS = range(8)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _tuples(events: pd.DataFrame) -> list[tuple]:
-    """Rows for the state store: whole numbers as such, nothing for what is missing."""
-    whole = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) else v
-    return [tuple(map(whole, r)) for r in events[_EVENT].astype(object).itertuples(index=False)]
-
-
-def numbered(events: pd.DataFrame, grace_us: int) -> pd.DataFrame:
-    """Events of one (user, stream) in order, with running columns: state before the event, segment and session."""
-    e = events.drop_duplicates("event_id").sort_values(["ts_us", "event_id"], ignore_index=True)
-    joined, left = e["event_type"] == "LIVE_JOINED", e["event_type"] == "LIVE_LEFT"
-    is_open = pd.Series(np.where(joined, 1.0, np.where(left, 0.0, np.nan))).ffill().shift().eq(1)
-    opens, closes = joined & ~is_open, left & is_open
-    closed = e["ts_us"].where(closes).ffill().shift()
-    late = (e["ts_us"] - closed) > grace_us
-    return e.assign(is_open=is_open, opens=opens, closes=closes, reconnects=opens & closed.notna() & ~late, segment=opens.cumsum(), session=(opens & late).cumsum())
-
-
-def _stay(segment: pd.DataFrame) -> tuple[float, float]:
-    """Time that a segment adds, and the largest reading outside of an open stay (or none)."""
-    readings = segment["watch_us"].where(segment["event_type"] == "LIVE_WATCHED")
-    gap = readings[~segment["is_open"]].max()
-    if not segment["closes"].any():
-        return 0, gap
-    end = segment[segment["closes"]].iloc[0]
-    if pd.notna(end["watch_us"]):
-        return end["watch_us"], gap
-    pending = readings[segment["is_open"]].max()
-    return max(0 if pd.isna(pending) else pending, end["ts_us"] - segment.loc[segment["opens"], "ts_us"].min()), gap
-
-
-def session_row(key: tuple, s: pd.DataFrame) -> dict:
-    """One session from its numbered events."""
-    kinds = s["event_type"]
-    total = over = 0
-    for _, segment in s.groupby("segment", sort=True):
-        stay, gap = _stay(segment)
-        total += stay
-        if pd.notna(gap):
-            over = max(over, gap - total)
-    ends = s[kinds.isin(["LIVE_JOINED", "LIVE_LEFT"])]["event_type"]
-    unmatched = ((kinds == "LIVE_LEFT") & ~s["is_open"]).any()
-    reason = "UNMATCHED_LEFT" if unmatched else "OPEN_ENDED" if len(ends) and ends.iloc[-1] == "LIVE_JOINED" else None
-    return {
-        "user_id": key[0], "content_id": key[1], "creator_id": s["creator_id"].iloc[0], "category": s["category"].iloc[0],
-        "joined_us": int(s["ts_us"].iloc[0]), "ended_us": int(s["ts_us"].iloc[-1]),
-        "joined": bool(((kinds == "LIVE_JOINED") | ((kinds == "LIVE_WATCHED") & s["watch_us"].notna())).any()), "impression": bool((kinds == "LIVE_IMPRESSION").any()),
-        "watch_us": int(total + over), "reconnect_count": int(s["reconnects"].sum()), **{c: int(s[c].sum()) for c in _COUNTS}, "exclusion_reason": reason}
+class _Session:
+    """Running state of one session. A segment goes from one opening join to the next; its stay ends at the matched leave."""
+
+    def __init__(self, first: tuple):
+        self.events: list[tuple] = []
+        self.creator, self.category, self.joined_us = first[CREATOR], first[CATEGORY], first[AT]
+        self.joined = self.impression = self.unmatched = False
+        self.last_mark = None
+        self.reconnects = self.total = self.over = 0
+        self.counts = [0] * (len(first) - COUNTS)
+        self.segment(None)
+
+    def segment(self, opened_us: int | None) -> None:
+        self.opened_us, self.pending, self.gap, self.stay = opened_us, 0, None, 0
+
+    def end_segment(self) -> None:
+        self.total += self.stay
+        if self.gap is not None:
+            self.over = max(self.over, self.gap - self.total)
+
+    def row(self, user: str, stream: str) -> tuple:
+        self.end_segment()
+        reason = "UNMATCHED_LEFT" if self.unmatched else "OPEN_ENDED" if self.last_mark == "LIVE_JOINED" else None
+        return (user, stream, self.creator, self.category, self.joined_us, self.events[-1][AT], self.joined, self.impression, self.total + self.over, self.reconnects,
+                *self.counts, reason)
+
+
+def sessions_of(events: list[tuple], grace_us: int) -> list[_Session]:
+    """Sessions of one (user, stream), in order, the last one perhaps incomplete."""
+    found: list[_Session] = []
+    seen, is_open, closed_us = set(), False, None
+    for e in sorted(events, key=lambda e: (e[AT], e[ID] is None, e[ID] or "")):
+        if e[ID] in seen:
+            continue
+        seen.add(e[ID])
+        kind, at, watch = e[KIND], e[AT], e[WATCH]
+        opens = kind == "LIVE_JOINED" and not is_open
+        late = closed_us is not None and at - closed_us > grace_us
+        if not found or (opens and late):
+            found.append(_Session(e))
+        s = found[-1]
+        s.events.append(e)
+        if opens:
+            if len(s.events) > 1:
+                s.end_segment()
+            s.segment(at)
+            s.reconnects += closed_us is not None and not late
+        if kind == "LIVE_WATCHED" and watch is not None:
+            s.joined = True
+            if is_open:
+                s.pending = max(s.pending, watch)
+            else:
+                s.gap = watch if s.gap is None else max(s.gap, watch)
+        elif kind == "LIVE_JOINED":
+            s.joined, s.last_mark, is_open = True, kind, True
+        elif kind == "LIVE_LEFT":
+            s.last_mark = kind
+            if is_open:
+                s.stay = watch if watch is not None else max(s.pending, at - s.opened_us)
+                closed_us = at
+            else:
+                s.unmatched = True
+            is_open = False
+        s.impression |= kind == "LIVE_IMPRESSION"
+        for i, n in enumerate(e[COUNTS:]):
+            s.counts[i] += n
+    return found
+
+
+def _blocks(events: list[tuple]) -> list[tuple]:
+    return [(pickle.dumps(events[i : i + BLOCK]),) for i in range(0, len(events), BLOCK)]
 
 
 class LiveSessions(StatefulProcessor):
@@ -80,45 +116,49 @@ class LiveSessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", EVENT_SCHEMA)
+        self.events = handle.getListState("events", "block binary")
+        # The watermark that the user's events were last taken by, -1 before; there is one as long as a timer is set.
         self.passed = handle.getValueState("passed", "ms long")
 
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        passed = self.passed.get()[0] if self.passed.exists() else -1
-        came = pd.concat(list(rows))[_EVENT]
-        came = came[came["ts_us"] // 1000 > passed]
-        if len(came):
-            self.events.appendList(_tuples(came))
-            if not any(True for _ in self.handle.listTimers()):
-                self.handle.registerTimer(max(int(came["ts_us"].min()) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.passed.get()
+        passed = -1 if held is None else held[0]
+        came = [e for e in (tuple(r)[-len(_EVENT):] for r in rows) if e[AT] is not None and e[AT] // 1000 > passed]
+        if came:
+            self.events.appendList(_blocks(came))
+            if held is None:
+                self.passed.update((-1,))
+                self.handle.registerTimer(max(min(e[AT] for e in came) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame([tuple(r) for r in self.events.get()], columns=_EVENT)
-        held["watch_us"] = held["watch_us"].astype("float64")
-        gone = held["ts_us"] // 1000 <= now
-        waits = held[~gone]
-        e = numbered(held[gone], self.grace_us)
-        out, stays = [], e.iloc[:0]
-        for n, s in e.groupby("session", sort=True):
-            if n < e["session"].max() or s["ts_us"].iloc[-1] // 1000 + self.idle_ms <= now:
-                out.append(session_row(key, s))
+        kept, due, gone, out = [], [], {}, []
+        for e in (e for (block,) in self.events.get() for e in pickle.loads(block)):
+            if e[AT] // 1000 <= now:
+                gone.setdefault(e[STREAM], []).append(e)
             else:
-                stays = s
-        kept = pd.concat([stays[_EVENT], waits]) if len(waits) else stays[_EVENT]
-        if len(kept):
-            self.events.put(_tuples(kept))
+                kept.append(e)
+                due.append(e[AT] // 1000)
+        for stream, events in gone.items():
+            found = sessions_of(events, self.grace_us)
+            last = found[-1].events
+            if last[-1][AT] // 1000 + self.idle_ms > now:
+                found.pop()
+                kept += last
+                due.append(last[-1][AT] // 1000 + self.idle_ms)
+            out += [Row(*_SESSION)(*s.row(key[0], stream)) for s in found]
+        if kept:
+            self.events.put(_blocks(kept))
             self.passed.update((now,))
-            due = ([int(waits["ts_us"].min()) // 1000] if len(waits) else []) + ([int(stays["ts_us"].max()) // 1000 + self.idle_ms] if len(stays) else [])
             self.handle.registerTimer(max(min(due), now) + 1)
         else:
             self.events.clear()
             self.passed.clear()
-        return iter([pd.DataFrame(out, columns=_SESSION)] if out else ())
+        return iter(out)
 
 
 def live_session_stream(events: DataFrame, *, watermark: str = "10 minutes", grace_us: int = RECONNECT_GRACE_US, idle_ms: int = 6 * 3_600_000) -> DataFrame:
@@ -127,5 +167,6 @@ def live_session_stream(events: DataFrame, *, watermark: str = "10 minutes", gra
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     watch_us = F.round(F.col("watch_time_seconds") * 1_000_000).cast("long").alias("watch_us")
     signals = [c.cast("long").alias(n) for n, c in live_signals().items()]
-    slim = events.withWatermark("timestamp", watermark).select("user_id", "content_id", "timestamp", "event_id", "creator_id", "category", "event_type", "ts_us", watch_us, *signals)
-    return slim.groupBy("user_id", "content_id").transformWithStateInPandas(LiveSessions(grace_us, idle_ms), SESSION_SCHEMA, "Append", "EventTime")
+    # The last columns are those of _EVENT, in its order.
+    slim = events.withWatermark("timestamp", watermark).select("user_id", "timestamp", "content_id", "event_id", "creator_id", "category", "event_type", "ts_us", watch_us, *signals)
+    return slim.groupBy("user_id").transformWithState(LiveSessions(grace_us, idle_ms), SESSION_SCHEMA, "Append", "EventTime")

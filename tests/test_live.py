@@ -1,8 +1,11 @@
 """LIVE sessions by hand, against a plain fold, and in batch against streaming."""
 
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from signalloom.operators import live
@@ -116,6 +119,30 @@ def test_shuffled_micro_batches_equal_the_rules(spark, tmp_path, seed):
     assert pick(got) == pick(by_hand(events))
 
 
+@pytest.mark.parametrize("seed", [21, 22, 23])
+def test_one_pass_equals_the_rules(seed):
+    """Sessions of a user's streams from one pass over unordered events, some of them twice."""
+    events = random_events(200, seed)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    by = {}
+    for e in random.Random(seed).sample(events + events[:40], 240):
+        r = dict(zip(names, e))
+        watch = None if r["watch_time_seconds"] is None else round(r["watch_time_seconds"] * SEC)
+        counts = [int(r["event_type"] == k) for k in ("LIVE_LIKED", "LIVE_SHARED", "LIVE_COMMENTED", "LIVE_GIFT_SENT", "LIVE_CREATOR_FOLLOWED", "LIVE_NOT_INTERESTED")]
+        by.setdefault((r["user_id"], r["content_id"]), []).append((r["content_id"], r["event_id"], r["creator_id"], r["category"], r["event_type"], r["ts_us"], watch, *counts))
+    got = [dict(zip(session_stream._SESSION, s.row(*key))) for key, rows in by.items() for s in session_stream.sessions_of(rows, 30 * SEC)]
+    pick = lambda rows: sorted(tuple(str(r[c]) for c in COMPARE) for r in rows)
+    assert pick(got) == pick(by_hand(events))
+
+
+def test_processor_travels_without_the_package(tmp_path):
+    """Spark reads the processor in a worker of the driver that knows no package of the session."""
+    file = tmp_path / "processor"
+    file.write_bytes(cloudpickle.dumps(session_stream.LiveSessions(1, 2)))
+    code = f"import pickle; print(pickle.load(open({str(file)!r}, 'rb')).idle_ms)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "", "PYTHONPATH": ""}, capture_output=True, text=True).stdout.strip() == "2"
+
+
 def test_history_sees_only_ended_sessions(spark):
     s = spark.createDataFrame([("u", "s1", "C", "k", 10, 60 * SEC, True, 0), ("u", "s2", "C", "k", 10, 30 * SEC, True, 1), ("u", "s3", "C", "k", 11, 5 * SEC, False, 0)],
                               "user_id string, content_id string, category string, creator_id string, ended_us long, watch_us long, joined boolean, like_count int")
