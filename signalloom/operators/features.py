@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalars, signals, tokens
 from ..session import cut_lineage
 from .profiles import with_replay_weight
-from .running import HEAVY_ROWS, Family, add_slice, heavy_keys, prior_state, slice_of
+from .running import HEAVY_ROWS, Family, add_slice, dealt_by, load, prior_state, slice_of
 
 RECENT_US = 30 * 86_400_000_000
 SESSION_US = 30 * 60_000_000
@@ -53,7 +53,7 @@ def log1p_tenths(c: str) -> Column:
     return F.log1p(F.col(c) / 10)
 
 
-def prepare(rows: DataFrame, contents: DataFrame, heavy: DataFrame | None, heavy_rows: int) -> DataFrame:
+def prepare(rows: DataFrame, contents: DataFrame, heavy: DataFrame | None, heavy_rows: int, tasks: int | None = None) -> DataFrame:
     """Signals, replay weight and content context of every row. Rows with ``contributes = false``
     (probes) leave no trace in anyone's state; rows with ``emit = false`` are dropped at the end."""
     base = rows.withColumns({
@@ -69,10 +69,10 @@ def prepare(rows: DataFrame, contents: DataFrame, heavy: DataFrame | None, heavy
     dim = contents.select(
         "content_id", "popularity_score", "created_us", tokens.token_fields().alias("_tokens"))
     joined = a.join(dim, "content_id", "left")
-    return with_replay_weight(joined, heavy=heavy, heavy_rows=heavy_rows)
+    return with_replay_weight(joined, heavy=heavy, heavy_rows=heavy_rows, tasks=tasks)
 
 
-def token_state(prepared: DataFrame, heavy: DataFrame | None, heavy_rows: int) -> DataFrame:
+def token_state(prepared: DataFrame, heavy: DataFrame | None, heavy_rows: int, tasks: int | None = None) -> DataFrame:
     """Per (row, field, token): what the user's earlier rows with that token add up to."""
     w, on = F.col("w10"), F.col("contributes")
     exploded = prepared.select(
@@ -87,7 +87,7 @@ def token_state(prepared: DataFrame, heavy: DataFrame | None, heavy_rows: int) -
         "t_rej": own(F.col("rejected").cast("long")),
     })
     processed = Family(keys=["field", "token"], ordered=True, sums={"o_pos": own(pos), "o_neg": own(neg), "o_w": own(w)})
-    return prior_state(exploded, ["user_id"], "ts_us", [earlier, processed], heavy=heavy, heavy_rows=heavy_rows)
+    return prior_state(exploded, ["user_id"], "ts_us", [earlier, processed], heavy=heavy, heavy_rows=heavy_rows, tasks=tasks)
 
 
 def _mean(affinities: Column) -> Column:
@@ -127,7 +127,7 @@ SEMANTIC_DEFAULTS = {
 }
 
 
-def history_features(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int) -> DataFrame:
+def history_features(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int, tasks: int | None = None) -> DataFrame:
     """Category, creator, content and user history of every row (columns of ``rows`` kept)."""
     w, on = F.col("w10"), F.col("contributes")
     watched = F.col("watch_percentage").isNotNull()
@@ -166,7 +166,7 @@ def history_features(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int)
         Family(keys=["content_id"], sums={"s_n": own(F.lit(1))}),
         Family(sums={"u_w": c("m_w")}),
     ]
-    out = prior_state(stream, ["user_id"], "ts_us", families, heavy=heavy, heavy_rows=heavy_rows)
+    out = prior_state(stream, ["user_id"], "ts_us", families, heavy=heavy, heavy_rows=heavy_rows, tasks=tasks)
     ratio = scalars.ratio_or_zero
     now = F.col("ts_us")
     return out.where(~c("_expiry")).withColumns({
@@ -197,7 +197,7 @@ def history_features(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int)
     })
 
 
-def session_window(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int, *, co_partitioned: bool = False) -> DataFrame:
+def session_window(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int, *, co_partitioned: bool = False, tasks: int | None = None) -> DataFrame:
     """Add ``_session``: the last twelve earlier events of the user within thirty minutes, oldest first.
 
     The frame spans at most the twelve latest distinct timestamps, of each at most its last twelve
@@ -208,16 +208,14 @@ def session_window(rows: DataFrame, heavy: DataFrame | None, heavy_rows: int, *,
     if heavy is None:
         part = ["user_id"]
         work = work.withColumn("_context", F.lit(False))
-        work = work if co_partitioned else work.repartition("user_id")
+        work = work if co_partitioned else dealt_by(work, tasks, "user_id")
     else:
         part = ["user_id", "_b"]
         reach = slice_of(F.col("ts_us") + SESSION_US)
         last = F.when(F.col("contributes"), F.greatest(F.col("_b"), reach)).otherwise(F.col("_b"))
-        work = (
-            work.withColumn("_to", F.explode(F.sequence(F.col("_b"), last)))
-            .withColumn("_context", F.col("_to") != F.col("_b")).withColumn("_b", F.col("_to")).drop("_to")
-            .repartition(*part)
-        )
+        work = work.withColumn("_to", F.explode(F.sequence(F.col("_b"), last)))
+        work = work.withColumn("_context", F.col("_to") != F.col("_b")).withColumn("_b", F.col("_to")).drop("_to")
+        work = dealt_by(work, tasks, *part)
     event = F.struct("ts_us", "event_id", "category", "session_delta", "session_label", "watch_percentage", "w10")
     tail = F.row_number().over(Window.partitionBy(*part, "ts_us", "contributes").orderBy(F.desc("event_id")))
     step = F.dense_rank().over(Window.partitionBy(*part).orderBy("ts_us"))
@@ -294,14 +292,17 @@ def session_features(rows: DataFrame, category: str = "category", prefix: str =
 def feature_rows(rows: DataFrame, contents: DataFrame, *, heavy_rows: int = HEAVY_ROWS, cut: bool = True) -> DataFrame:
     """All features of every emitted row, with the row's identity, label and signals."""
     slim = rows.drop("content_type", "id", "content_duration_seconds", "watch_time_seconds", "content_pending")
-    heavy = heavy_keys(slim, ["user_id"], "ts_us", heavy_rows)
-    prepared = prepare(slim, contents, heavy, heavy_rows)
+    heavy, tasks = load(slim, ["user_id"], "ts_us", heavy_rows)
+    prepared = prepare(slim, contents, heavy, heavy_rows, tasks)
     if cut:
         prepared = cut_lineage(prepared)
-    semantic = semantic_features(token_state(prepared, heavy, heavy_rows))
-    joined = prepared.drop("_tokens").join(semantic, ["user_id", "event_id"], "left").fillna(SEMANTIC_DEFAULTS)
-    hist = history_features(joined, heavy, heavy_rows)
-    full = session_features(session_window(hist, heavy, heavy_rows, co_partitioned=heavy is None))
+    semantic = semantic_features(token_state(prepared, heavy, heavy_rows, tasks))
+    bare = prepared.drop("_tokens")
+    # The other side of the join follows the greater number of tasks.
+    bare = bare if tasks is None else bare.repartition(tasks, "user_id", "event_id")
+    joined = bare.join(semantic, ["user_id", "event_id"], "left").fillna(SEMANTIC_DEFAULTS)
+    hist = history_features(joined, heavy, heavy_rows, tasks)
+    full = session_features(session_window(hist, heavy, heavy_rows, co_partitioned=heavy is None, tasks=tasks))
     return full.where("emit").withColumns({
         "category_positive_minus_negative": F.col("category_positive_count") - F.col("category_negative_count"),
         "semantic_positive_minus_negative": F.col("semantic_positive_match_count") - F.col("semantic_negative_match_count"),
@@ -352,10 +353,10 @@ def final_state(rows: DataFrame, contents: DataFrame, *, heavy_rows: int = HEAVY
 
     Recent sums are taken over the thirty days before the user's own last event.
     """
-    heavy = heavy_keys(rows, ["user_id"], "ts_us", heavy_rows)
+    heavy, tasks = load(rows, ["user_id"], "ts_us", heavy_rows)
     slim = rows.drop("content_type", "id", "content_duration_seconds", "watch_time_seconds", "content_pending")
-    prepared = cut_lineage(prepare(slim, contents, heavy, heavy_rows))
-    tstate = token_state(prepared, heavy, heavy_rows)
+    prepared = cut_lineage(prepare(slim, contents, heavy, heavy_rows, tasks))
+    tstate = token_state(prepared, heavy, heavy_rows, tasks)
     repeat = tstate.groupBy("user_id", "event_id").agg(
         F.max((F.col("rejected") & (F.col("o_w") > 0) & (F.col("o_neg") > F.col("o_pos"))).cast("int")).alias("repeat_rejection"))
     w, c = F.col("w10"), F.col

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars, signals, tokens
 from ..session import cut_lineage
-from .running import HEAVY_ROWS, Family, heavy_keys, prior_state, top_n
+from .running import HEAVY_ROWS, Family, dealt_by, load, prior_state, top_n
 
 RECONNECT_GRACE_US = 30 * 1_000_000
 WEEK_US = 7 * 86_400_000_000
@@ -51,12 +51,12 @@ def live_sessions(rows: DataFrame, *, grace_us: int = RECONNECT_GRACE_US, heavy_
     t = F.col("event_type")
     keep = ["event_id", "user_id", "content_id", "creator_id", "category", "event_type", "watch_time_seconds", "ts_us"]
     slim = rows.select(*keep, *[c.cast("long").alias(n) for n, c in live_signals().items()])
-    heavy = heavy_keys(slim, ["user_id"], "ts_us", heavy_rows)
+    heavy, tasks = load(slim, ["user_id"], "ts_us", heavy_rows)
     same_id = Window.partitionBy("user_id", "content_id", "event_id").orderBy("ts_us")
     # Without a hot user one exchange serves the copies and the states; with one, copies are found by their own key.
-    dealt = slim.repartition("user_id") if heavy is None else slim
+    dealt = dealt_by(slim, tasks, "user_id") if heavy is None else slim
     first = dealt.withColumn("_dup", F.row_number().over(same_id)).where("_dup = 1").drop("_dup")
-    kw = {"heavy": heavy, "heavy_rows": heavy_rows, "co_partitioned": heavy is None}
+    kw = {"heavy": heavy, "heavy_rows": heavy_rows, "co_partitioned": heavy is None, "tasks": tasks}
 
     def step(df: DataFrame, **fam) -> DataFrame:
         return prior_state(df, ["user_id"], "ts_us", [Family(keys=["content_id"], ordered=True, **fam)], **kw)
@@ -98,7 +98,7 @@ def live_sessions(rows: DataFrame, *, grace_us: int = RECONNECT_GRACE_US, heavy_
     # total after a segment = max(total + stay, largest reading taken while no segment is open)
     fam = Family(keys=["content_id", "_sess"], ordered=True, sums={"_before": F.col("_stay")})
     seg = prior_state(segments, ["user_id"], "ts_us", [fam], tie_break=["_seg"], heavy=heavy, heavy_rows=heavy_rows,
-                      co_partitioned=heavy is None)
+                      co_partitioned=heavy is None, tasks=tasks)
     over = F.max(F.when(F.col("_gap").isNotNull(), F.col("_gap") - F.col("_before") - F.col("_stay")))
     s = seg.groupBy("user_id", "content_id", "_sess").agg(
         F.min_by("creator_id", "_first").alias("creator_id"), F.min_by("category", "_first").alias("category"),

@@ -20,6 +20,8 @@ from ..session import cut_lineage
 HEAVY_ROWS = 2_000_000
 #: Slices of a key at most.
 QUANTILES = 256
+#: Rows of the input that one task of a state's windows gets, about. Windows hold several sorted copies of wide rows.
+TASK_ROWS = 100_000
 
 
 @dataclass
@@ -37,21 +39,36 @@ class Family:
     lasts: Mapping[str, Column] = field(default_factory=dict)
 
 
-def heavy_keys(df: DataFrame, base: Sequence[str], at: str, heavy_rows: int) -> DataFrame | None:
-    """``base, _bounds`` of keys with more than ``heavy_rows`` rows, or None where there are none.
+def load(df: DataFrame, base: Sequence[str], at: str, heavy_rows: int, task_rows: int = TASK_ROWS) -> tuple[DataFrame | None, int | None]:
+    """The heavy keys, and over how many tasks windows of ``df`` are spread, from one counting pass.
+
+    Tasks are as many as the rows ask for, so that a task's memory does not grow with the input: adaptive coalescing goes by
+    compressed bytes, and sorted rows take some fifty times as many. None, the session's own number, where one task could
+    hold all rows.
 
-    The bounds are quantiles of the key's own ``at``, so slices hold about as many rows each, however bursts or outliers
+    Heavy keys are ``base, _bounds`` of keys with more than ``heavy_rows`` rows, or None where there are none. The bounds are quantiles of the key's own ``at``, so slices hold about as many rows each, however bursts or outliers
     spread them. Rows of one ``at`` stay together: in unordered families they must not see one another.
     """
-    counts = df.groupBy(*base).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
-    if not counts.limit(1).collect():
-        return None
+    counts = df.groupBy(*base).agg(F.count(F.lit(1)).alias("_n"))
+    rows, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    tasks = None if rows <= task_rows else max(-(-rows // task_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if most <= heavy_rows:
+        return None, tasks
+    counts = counts.where(F.col("_n") > heavy_rows)
     fine = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
     hot = df.select(*base, at).join(counts.select(*base), list(base), "left_semi")
     marks = hot.groupBy(*base).agg(F.percentile_approx(at, fine, 20 * QUANTILES).alias("_marks")).join(counts, list(base))
     slices = F.least(F.lit(QUANTILES), F.ceil(F.col("_n") / heavy_rows)).cast("int")
     cuts = F.transform(F.sequence(F.lit(1), slices - 1), lambda i: F.element_at("_marks", F.greatest(F.lit(1), F.least(F.lit(QUANTILES - 1), F.round(i * QUANTILES / slices)).cast("int"))))
-    return cut_lineage(marks.select(*base, F.array_sort(F.array_distinct(cuts)).alias("_bounds")))
+    return cut_lineage(marks.select(*base, F.array_sort(F.array_distinct(cuts)).alias("_bounds"))), tasks
+
+
+def heavy_keys(df: DataFrame, base: Sequence[str], at: str, heavy_rows: int) -> DataFrame | None:
+    return load(df, base, at, heavy_rows)[0]
+
+
+def dealt_by(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return df.repartition(*keys) if tasks is None else df.repartition(tasks, *keys)
 
 
 def detect(df: DataFrame, base: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> str | None:
@@ -85,15 +102,17 @@ def prior_state(
     heavy: DataFrame | None | str = "detect",
     heavy_rows: int = HEAVY_ROWS,
     co_partitioned: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add, per family, the aggregates over earlier rows of the same keys. ``at`` must be a long.
 
     ``heavy`` is the result of ``heavy_keys`` where the caller already has it. ``co_partitioned``
-    says the input is already hash-partitioned by ``base``, so a second exchange is left out.
+    says the input is already hash-partitioned by ``base``, so a second exchange is left out. ``tasks``
+    is what ``load`` gives with ``heavy``.
     """
     out_cols = df.columns
     if isinstance(heavy, str):
-        heavy = heavy_keys(df, base, at, heavy_rows)
+        heavy, tasks = load(df, base, at, heavy_rows)
     work = add_slice(df, base, at, heavy)
     measures: dict[str, Column] = {}
     for fam in families:
@@ -103,14 +122,14 @@ def prior_state(
 
     if heavy is None:
         part = list(base)
-        stream = work if co_partitioned else work.repartition(*base)
+        stream = work if co_partitioned else dealt_by(work, tasks, *base)
     else:
         part = [*base, "_b"]
         stream = work.withColumn("_carry", F.lit(False))
         hot = work.where(F.col("_bounds").isNotNull())
         for fam in families:
             stream = stream.unionByName(_carry_rows(hot, base, at, fam, tie_break), allowMissingColumns=True)
-        stream = stream.repartition(*part)
+        stream = dealt_by(stream, tasks, *part)
 
     for fam in families:
         w = Window.partitionBy(*part, *fam.keys)

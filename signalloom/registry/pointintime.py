@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features
-from ..operators.running import heavy_keys
+from ..operators.running import load
 from ..sources import adapter
 from .base_sql import affinity, with_ctes
 
@@ -38,18 +38,16 @@ def _pick(df, doubles, longs):
         "event_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in doubles], *[F.col(c).cast("long").alias(c) for c in longs])
 
 
-def _heavy(rows):
-    return heavy_keys(rows, ["user_id"], "ts_us", features.HEAVY_ROWS)
-
-
 def _prepared(spark, d):
+    """Prepared rows, and the heavy users and the number of tasks that later states take over."""
     rows = adapter.interactions(spark, d)
-    prepared = features.prepare(rows, adapter.contents(spark, d), _heavy(rows), features.HEAVY_ROWS)
-    return prepared
+    heavy, tasks = load(rows, ["user_id"], "ts_us", features.HEAVY_ROWS)
+    return features.prepare(rows, adapter.contents(spark, d), heavy, features.HEAVY_ROWS, tasks), heavy, tasks
 
 
 def pit_semantic(spark, d):
-    s = features.semantic_features(features.token_state(_prepared(spark, d), _heavy(adapter.interactions(spark, d)), features.HEAVY_ROWS))
+    prepared, heavy, tasks = _prepared(spark, d)
+    s = features.semantic_features(features.token_state(prepared, heavy, features.HEAVY_ROWS, tasks))
     return s.select("event_id", *_SEMANTIC, *[F.col(c).cast("long").alias(c) for c in _SEMANTIC_N])
 
 
@@ -59,7 +57,8 @@ def pit_history(spark, d):
 
 
 def pit_session(spark, d):
-    s = features.session_window(_prepared(spark, d).drop("_tokens"), _heavy(adapter.interactions(spark, d)), features.HEAVY_ROWS)
+    prepared, heavy, tasks = _prepared(spark, d)
+    s = features.session_window(prepared.drop("_tokens"), heavy, features.HEAVY_ROWS, tasks=tasks)
     return _pick(features.session_features(s), _SESSION, _SESSION_FLAGS)
 
 

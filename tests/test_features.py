@@ -140,3 +140,15 @@ def test_vectors_know_only_earlier_events(spark):
     middle = sorted(r["ts_us"] for r in rows)[60]
     assert pick([r for r in rows if r["ts_us"] <= middle]) == {e: v for e, v in whole.items() if e in {r["event_id"] for r in rows if r["ts_us"] <= middle}}
     assert pick(rows, heavy_rows=15) == whole
+
+
+def test_state_is_spread_by_rows(spark):
+    """The windows of many rows go over as many tasks as their number asks for, whatever the session's own number is."""
+    df = spark.range(1000).select((F.col("id") % 200).cast("string").alias("user_id"), F.col("id").alias("at"), F.col("id").cast("string").alias("event_id"))
+    assert running.load(df, ["user_id"], "at", 10_000, task_rows=30) == (None, 34)
+    assert running.load(df, ["user_id"], "at", 10_000, task_rows=1000) == (None, None)
+    fam = running.Family(sums={"n": F.lit(1)})
+    out = running.prior_state(df, ["user_id"], "at", [fam], heavy=None, tasks=34).withColumn("_task", F.spark_partition_id()).cache()
+    assert out.select("_task").distinct().count() > 17
+    assert out.agg(F.sum("n")).first()[0] == 200 * (0 + 1 + 2 + 3 + 4)
+    out.unpersist()
