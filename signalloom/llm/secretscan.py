@@ -17,10 +17,12 @@ from signalloom.llm.common import cut, text_of
 
 _IN = r"A-Za-z0-9_+/=.@\-"
 #: A token of 12 or more characters with a digit anywhere in it.
-LONG = rf"(?<![{_IN}])(?=[{_IN}]*[0-9])[{_IN}]{{12,}}"
+LONG = rf"(?<![{_IN}])(?=[{_IN}]{{12}})(?=[A-Za-z_+/=.@\-]*+[0-9])[{_IN}]{{12,}}"
 #: Any token of 4 or more characters right after a credential's name and an assignment sign, each maybe quoted.
-GIVEN = (r"(?<=(?i:token|secret|password|passwd|passphrase|pwd|api.?key|auth|bearer|credential|credentials|private.?key)"
-         r"[\"'`]?[ \t]{0,3}(?:=|:|:=|=>)[ \t]{0,3}[\"'`]?)(?<![=:>][=])" + rf"(?=[^=])[{_IN}]{{4,}}")
+#: The look back to a name tries every length at a place, so single characters and the sign are looked for first.
+GIVEN = (r"(?<=[=:>\"'` \t])" + rf"(?=[^=])(?=[{_IN}]{{4}})" + r"(?<=[=:>][ \t]{0,3}[\"'`]?)"
+         r"(?<=(?i:token|secret|password|passwd|passphrase|pwd|api.?key|auth|bearer|credential|credentials|private.?key)"
+         r"[\"'`]?[ \t]{0,3}(?:=|:|:=|=>)[ \t]{0,3}[\"'`]?)(?<![=:>][=])" + rf"[{_IN}]{{4,}}")
 CANDIDATE = rf"(?:{LONG}|{GIVEN})"
 #: Characters of a text beside a candidate that are looked at for the words beside it.
 REACH = 280
