@@ -13,7 +13,9 @@ Most keys occur once. Tasks send their keys shortened, sorted and packed as diff
 occur again go into a filter sized by their number, and only keys that it lets pass travel as rows. Sets have 128-bit names.
 
 Before counting, pairs are sifted by 256 parity bits a set: an n-gram flips one bit, so the bits in which two sets differ
-are at most the n-grams in which they do. The sieve sits in the join itself and never drops a similar pair.
+are at most the n-grams in which they do. The sieve sits in the join itself and never drops a similar pair. What passes it
+is sifted again by parity bits in proportion to the sets (some four to eight an n-gram), because 256 say little about large
+sets; only pairs that pass both have their n-grams shuffled.
 
 Equal sets are one node. Inside a key, all sets are compared first with the one that shares the largest part of its keys;
 only sets that are then still in other components than most meet the rest, so large groups of near copies don't form all
@@ -41,6 +43,8 @@ from signalloom.llm.wordhash import blocks, mixed, ngrams, raw_bytes, words_of
 FRAGMENTS = 8
 #: Columns of a set's parity bits, 64 in each.
 PARITY = ["p0", "p1", "p2", "p3"]
+#: Parity bits of the second sieve: at least and at most so many a set.
+LEAST_WIDE, MOST_WIDE = 1 << 8, 1 << 17
 #: Bits of a shortened key behind those of its bucket, and keys a task holds before it sends them.
 SHORT, HELD = 32, 1 << 20
 
@@ -101,6 +105,13 @@ def parity(grams: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def wide_parity(grams: np.ndarray) -> np.ndarray:
+    """A power of two of bits, four or more an n-gram; each n-gram flips the one that its lowest bits name."""
+    bits = min(max(LEAST_WIDE, 1 << (4 * len(grams) - 1).bit_length()), MOST_WIDE)
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def keys_of(grams: np.ndarray, like: Similarity) -> np.ndarray:
     """Keys of a set in its own size class and the next."""
     own = int(np.searchsorted(like.sizes(), len(grams)))
@@ -204,7 +215,7 @@ def recurring_filter(docs: DataFrame, like: Similarity, bucket_bits: int):
 
 
 def keyed_sets(texts: DataFrame, like: Similarity, held, bucket_bits: int) -> DataFrame:
-    """``id, node, n, p0..p3, keys, part`` of rows with keys that ``held`` lets pass; ``part``: how many of 1,000 keys."""
+    """``id, node, n, p0..p3, wide, keys, part`` of rows with keys that ``held`` lets pass; ``part``: how many of 1,000 keys."""
 
     def rows(ids, sets: Iterator[np.ndarray]) -> list[tuple]:
         out = []
@@ -212,12 +223,12 @@ def keyed_sets(texts: DataFrame, like: Similarity, held, bucket_bits: int) -> Da
             if len(s) and len(keys := keys_of(s, like)):
                 good = keys[may_hold(held.value, mixed(_short(keys, bucket_bits)))]
                 if len(good):
-                    out.append((i, digest(s), len(s), *parity(s), good.view(np.int64), 1000 * len(good) // len(keys)))
+                    out.append((i, digest(s), len(s), *parity(s), wide_parity(s), good.view(np.int64), 1000 * len(good) // len(keys)))
         return out
 
-    types = {"id": pa.int64(), "node": pa.binary(), "n": pa.int64(), **dict.fromkeys(PARITY, pa.int64()), "keys": pa.list_(pa.int64()), "part": pa.int32()}
+    types = {"id": pa.int64(), "node": pa.binary(), "n": pa.int64(), **dict.fromkeys(PARITY, pa.int64()), "wide": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "part": pa.int32()}
     run = _per_batch(rows, types, like.n)
-    return texts.select("id", "text").mapInArrow(run, f"id long, node binary, n long, {', '.join(p + ' long' for p in PARITY)}, keys array<long>, part int")
+    return texts.select("id", "text").mapInArrow(run, f"id long, node binary, n long, {', '.join(p + ' long' for p in PARITY)}, wide array<long>, keys array<long>, part int")
 
 
 def fragment_overlaps(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
@@ -262,6 +273,21 @@ def _alike(like: Similarity, one: str = "x", two: str = "y") -> Column:
     return (F.least(n1, n2) * like.den >= F.greatest(n1, n2) * like.num) & (flips * (like.den + like.num) <= (n1 + n2) * (like.den - like.num))
 
 
+def _sifted(pairs: DataFrame, wides: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs (x, y, nx, ny) whose wide parity bits allow a link. Never without a link."""
+    met = pairs.join(wides.select(F.col("node").alias("x"), F.col("wide").alias("wx")), "x").join(wides.select(F.col("node").alias("y"), F.col("wide").alias("wy")), "y")
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def folded(one: str, two: str) -> Column:  # bits of the wider set, taken by one bit of their place less
+        half = F.size(two)
+        return F.when(F.size(one) > half, F.zip_with(F.slice(one, F.lit(1), half), F.slice(one, half + 1, half), xor)).otherwise(F.col(one))
+
+    # Sets whose widths still differ give a null, and stay.
+    flips = F.aggregate(F.zip_with(folded("wx", "wy"), folded("wy", "wx"), xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+    near = flips * (like.den + like.num) <= (F.col("nx") + F.col("ny")) * (like.den - like.num)
+    return met.where(F.coalesce(near, F.lit(True))).select("x", "y", "nx", "ny")
+
+
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c) if c == "key" else F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
@@ -273,7 +299,7 @@ def linked_sets(texts: DataFrame, nodes: DataFrame, like: Similarity) -> DataFra
     held = recurring_filter(texts, like, bucket_bits)
     found = keyed_sets(texts, like, held, bucket_bits).join(nodes.select("node", "rep"), "node").where(F.col("id").eqNullSafe(F.col("rep")))
     found = cut(found.drop("id", "rep").dropDuplicates(["node"]))
-    facts = found.select("node", "n", *PARITY)
+    facts, wides = found.select("node", "n", *PARITY), found.select("node", "wide")
     # Rows of keys carry names only; sizes and parity bits join them where pairs are judged.
     members = found.select("node", "part", F.explode("keys").alias("key"))
     leaders = members.groupBy("key").agg(F.max(F.struct("part", "node"))["node"].alias("y"), F.count(F.lit(1)).alias("share")).where("share > 1").drop("share")
@@ -281,7 +307,7 @@ def linked_sets(texts: DataFrame, nodes: DataFrame, like: Similarity) -> DataFra
     sides = lambda m: m.join(_prefixed(facts, "x"), F.col("x") == F.col("x_node")).join(_prefixed(facts, "y"), F.col("y") == F.col("y_node"))
     pairs = lambda m: m.select("x", "y", F.col("x_n").alias("nx"), F.col("y_n").alias("ny"))
     stars = cut(pairs(sides(meets).where(_alike(like))))
-    links = cut(fragment_overlaps(texts, stars, nodes, like))
+    links = cut(fragment_overlaps(texts, cut(_sifted(stars, wides, like)), nodes, like))
     roots = components(links)
     # What is still apart from most of its key meets all others of the key.
     placed = found.select("node", "keys").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
@@ -296,7 +322,7 @@ def linked_sets(texts: DataFrame, nodes: DataFrame, like: Similarity) -> DataFra
     still = apart.join(others, (F.col("key") == F.col("y_key")) & different & _alike(like))
     still = still.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny")).distinct()
     done = stars.select("x", "y").unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    rest = cut(still.join(done, ["x", "y"], "left_anti"))
+    rest = cut(_sifted(still.join(done, ["x", "y"], "left_anti"), wides, like))
     return components(links.unionByName(fragment_overlaps(texts, rest, nodes, like))) if rest.limit(1).count() else roots
 
 

@@ -129,3 +129,16 @@ def test_texts_of_pairs_need_one_worker_a_task(spark):
     links = jaccard.fragment_overlaps(texts, x.crossJoin(y), nodes, like)
     assert "ArrowEvalPython" not in links._jdf.queryExecution().executedPlan().toString()
     assert links.count() == 1
+
+
+def test_large_sets_that_share_a_passage_are_told_apart_before_their_ngrams_travel(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(800))
+    rows = [(d, f"{passage} " + " ".join(f"w{d}x{i}" for i in range(800))) for d in range(12)]
+    rows += [(20 + d, " ".join(f"p{i}" for i in range(1_600 - 40 * d))) for d in range(6)]  # widths of bits differ at 1,024 n-grams
+    rows += [(30 + d, " ".join(f"q{i}" for i in range(1_010 + 5 * d))) for d in range(6)]
+    compared = []
+    whole = jaccard.fragment_overlaps
+    monkeypatch.setattr(jaccard, "fragment_overlaps", lambda texts, pairs, *more: compared.append(pairs.where("nx = ny and nx = 1596").count()) or whole(texts, pairs, *more))
+    got = jaccard.jaccard_components(helpers.documents(spark, rows), jaccard.Similarity(5, 8, 10)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(helpers.jaccard_components(rows, 5, 8, 10))
+    assert sum(compared) == 0
