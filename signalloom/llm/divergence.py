@@ -25,8 +25,8 @@ from signalloom.llm.common import cut
 from signalloom.llm.recurring import bits_for, key_filter, may_hold
 from signalloom.llm.wordhash import blocks, mixed, names_of, raw_bytes, words_of
 
-#: Bytes of text handled at once, first prefix length (each level doubles it), and the largest filter (2 ** 27 bits: 16 MB).
-BLOCK, FIRST, MOST_BITS = 8 << 20, 4, 27
+#: Bytes of text handled at once, first prefix length and its growth a level (a level reads every text, so there are few), and the largest filter (2 ** 27 bits: 16 MB).
+BLOCK, FIRST, GROWTH, MOST_BITS = 8 << 20, 8, 4, 27
 _NOT_IN_TERMS = np.array([b < 0x80 and not (65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
 
 
@@ -135,7 +135,7 @@ def kept_counts(docs: DataFrame, least: int = 10, text_col: str = "text", lang_c
         counted = rows.select("lang", "text").mapInArrow(_prefixes(length, before, held), "key long, docs long, longer boolean")
         live = cut(counted.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("longer").alias("longer")).where(F.col("docs") >= least))
         n, more = live.agg(F.count(F.lit(1)), F.coalesce(F.max("longer"), F.lit(False))).first()
-        before, length, held = length, 2 * length, key_filter(live, bits=bits_for(n, MOST_BITS))
+        before, length, held = length, GROWTH * length, key_filter(live, bits=bits_for(n, MOST_BITS))
     whole = rows.mapInArrow(_counts(before, held), "lang string, source string, term string, docs long, n long")
     sums = whole.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     by_term = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("by_source"))

@@ -65,3 +65,14 @@ def test_large_counts_are_exact(spark):
 def test_no_rows(spark):
     assert divergence.divergences(frame(spark, [])).collect() == []
     assert "op12_source_divergence" in queries.ORACLE
+
+
+def test_few_levels_read_every_text(spark, monkeypatch):
+    read = []
+    whole = divergence._prefixes
+    monkeypatch.setattr(divergence, "_prefixes", lambda length, before, held: read.append(length) or whole(length, before, held))
+    word = "abcdefghij" * 3  # 30 bytes
+    rows = [(i, f"{word} {word[:9]} {word[:5]}", "en", "web") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {(r["term"], r["n"]) for r in divergence.kept_counts(docs).collect()} == {(word, 12), (word[:9], 12), (word[:5], 12)}
+    assert len(read) <= 2
