@@ -16,8 +16,14 @@ SCORING_US = 1_706_745_600_000_000  # 2024-02-01 00:00:00 UTC
 DECISION_US = 1_705_363_200_000_000  # 2024-01-16 00:00:00 UTC
 
 
+#: Bytes of rows in memory for a byte of a Parquet file, about. Joins whose sides are broadcast pass them through the driver.
+FILE_TO_ROWS = 10.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Sides are planned as broadcasts by the size of files, which holds a catalog of millions of rows for small.
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", str(FILE_TO_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalloom.operators import adaptation, decisions, training
 from signalloom.plans import recommend as plan
+from signalloom.sources import adapter
 from tests.helpers import DAY, MIN, T0, contents, frame, random_rows, row
 
 
@@ -89,3 +90,12 @@ def test_permuted_values_travel_without_other_columns(spark):
         other = [[order[(i + n * k // 4) % n] for i in range(n)] for k in (1, 2, 3)]
         lost = [full - auc([((o if f == "a" else r)["a"] + (o if f == "b" else r)["b"] / 10, r["target"]) for r, o in zip(order, shifted)]) for shifted in other]
         assert abs(got[f]["importance_mean"] - sum(lost) / 3) < 1e-9
+
+
+def test_a_catalog_is_not_broadcast_by_the_size_of_its_file(spark, tmp_path):
+    parts = spark.range(300_000).select(F.col("id").alias("p_partkey"), F.lit("large ring").alias("p_name"), F.lit("Brand#7").alias("p_brand"), F.lit("LARGE").alias("p_type"),
+                                        F.lit(1).cast("int").alias("p_size"), F.lit(900.0).alias("p_retailprice"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    catalog = adapter.contents(spark, str(tmp_path))
+    estimated = int(str(catalog._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert estimated > 10 << 20  # rows take more than the 10 MB up to which a side is broadcast; the file takes less
