@@ -5,8 +5,8 @@ A window is 20 consecutive words. Equal windows contain the same seed (the 6-wor
 
 1. Seeds of all documents are counted (partial counts first); those that recur go into a filter of fixed size.
 2. Documents send the words around each recurring seed, about 26 for the windows that chose it, to the seed's shard.
-3. A shard confirms which windows recur, word by word, compiles them into Aho-Corasick automata over letters that stand
-   for words, and streams its passages through it to locate every occurrence. All but the first are repeats.
+3. A shard confirms which windows recur, word by word, compiles them (those that always follow one another as one phrase)
+   into Aho-Corasick automata over letters that stand for words, and streams its passages through it to locate every occurrence. All but the first are repeats.
 4. A document's repeats are joined back to its text.
 
 A seed that very many documents hold would fill a shard. Windows of such hot seeds travel one by one as 128-bit digests
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from signalloom.llm.common import NO_ID, cut, partitions, text_of
@@ -37,27 +38,32 @@ _AT = np.uint64((1 << 28) - 1)
 
 @dataclass
 class Seeds:
-    """Seeds of one text: hash, and the first and last window (as word positions) that chose it."""
+    """Seeds of a block of texts: hash, number of the text, and the first and last window (as words of the block) that chose it."""
 
     key: np.ndarray
+    text: np.ndarray
     first: np.ndarray
     last: np.ndarray
 
 
-def seeds_of(phrases: np.ndarray) -> Seeds | None:
-    """``phrases``: hashes of the 6-word phrases of one text. None if it has no window."""
+def seeds_of(words: Words) -> Seeds:
+    """Seeds of all windows; windows never reach from one text into the next."""
     span = WINDOW - SEED + 1
-    if len(phrases) < span:
-        return None
-    packed = (phrases & ~_AT) | np.arange(len(phrases), dtype=np.uint64)  # the leftmost of equals is the least
-    least, width = packed, 1
+    phrases, begins = ngrams(words, SEED)
+    text = np.searchsorted(words.first, begins, side="right") - 1
+    inside = text[: max(0, len(text) - span + 1)] == text[span - 1 :]
+    if not inside.any():
+        return Seeds(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    least, width = (phrases & ~_AT) | np.arange(len(phrases), dtype=np.uint64), 1  # the leftmost of equals is the least
     while 2 * width <= span:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     if width < span:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    at = (least & _AT).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return Seeds(phrases[at[first]], first, np.r_[first[1:], len(at)] - 1)
+    window = np.flatnonzero(inside)
+    at = (least[window] & _AT).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    return Seeds(phrases[at[first]], text[window[first]], begins[window[first]], begins[window[last]])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,22 +73,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.when(known, digest).otherwise(digest + F.lit(NO_ID)).alias("t"), text_of(text_col).alias("text"))
 
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, int, int, Seeds]]:
-    """Row number, the words of its block, its range of words, and its seeds, for rows with a window."""
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, Seeds]]:
+    """Blocks of texts: the row of the first one, the words and the seeds."""
     data, offsets = raw_bytes(batch.column("text"))
     for a, b in blocks(offsets):
         words = words_of(data, offsets[a : b + 1])
-        phrases, at = ngrams(words, SEED)
-        cuts = np.searchsorted(at, words.first)
-        for i in range(b - a):
-            seeds = seeds_of(phrases[cuts[i] : cuts[i + 1]])
-            if seeds is not None:
-                yield a + i, words, int(words.first[i]), int(words.first[i + 1]), seeds
+        yield a, words, seeds_of(words)
 
 
 def _seed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [s.key for _, _, _, _, s in _documents(batch)]
+        keys = [s.key for _, _, s in _documents(batch)]
         key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for a in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], names=["key", "n"])
@@ -94,42 +95,40 @@ def _passages(held, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, t = batch.column("doc").to_numpy(), batch.column("t").to_numpy()
-            rows, waiting = [], 0
-            for i, words, lo, _, seeds in _documents(batch):
+            for row, words, seeds in _documents(batch):
                 good = may_hold(held.value, seeds.key) & ~np.isin(seeds.key, hot)
-                for key, a, b in zip(seeds.key[good].view(np.int64), seeds.first[good], seeds.last[good], strict=True):
-                    text = words.data[words.start[lo + a] : words.end[lo + b + WINDOW - 1]].tobytes()
-                    rows.append((key, doc[i], t[i], a, text))
-                    waiting += len(text)
-                if waiting > 8 << 20:
-                    yield _batch(rows)
-                    rows, waiting = [], 0
-            if rows:
-                yield _batch(rows)
+                key, text, first, last = (x[good] for x in (seeds.key, seeds.text, seeds.first, seeds.last))
+                raw = words.data.tobytes()
+                starts, ends = words.start[first], words.end[last + WINDOW - 1]
+                # Passages overlap, so a long text's may be several times its bytes.
+                part = np.cumsum(ends - starts) // (8 << 20)
+                for some in np.split(np.arange(len(key)), np.flatnonzero(part[1:] != part[:-1]) + 1) if len(key) else ():
+                    passage = [raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                    columns = [key[some].view(np.int64), doc[row + text[some]], t[row + text[some]], first[some] - words.first[text[some]]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(passage, pa.binary())], names=["key", "doc", "t", "start", "passage"])
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc", "t", "start", "passage"])
-
-
 def _hot_windows(hot: np.ndarray):
     """Rows (w1, w2, doc, t, start): windows of hot seeds, by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, t = batch.column("doc").to_numpy(), batch.column("t").to_numpy()
-            for i, words, lo, hi, seeds in _documents(batch):
+            for row, words, seeds in _documents(batch):
                 mine = np.isin(seeds.key, hot)
                 if not mine.any():
                     continue
+                many = seeds.last[mine] - seeds.first[mine] + 1
+                text = np.repeat(seeds.text[mine], many)
                 start = np.concatenate([np.arange(a, b + 1) for a, b in zip(seeds.first[mine], seeds.last[mine], strict=True)])
-                one = Words(words.data, words.start[lo:hi], words.end[lo:hi], np.array([0, hi - lo]))
-                w1 = ngrams(one, WINDOW, words.hash[lo:hi])[0][start]
-                w2 = ngrams(one, WINDOW, words.hash2[lo:hi])[0][start]
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(start), doc[i])), pa.array(np.full(len(start), t[i])), pa.array(start)], names=["w1", "w2", "doc", "t", "start"])
+                digests = []
+                for hashes in (words.hash, words.hash2):
+                    window, begins = ngrams(words, WINDOW, hashes)
+                    digests.append(window[np.searchsorted(begins, start)].view(np.int64))
+                columns = [*digests, doc[row + text], t[row + text], start - words.first[text]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["w1", "w2", "doc", "t", "start"])
 
     return run
 
@@ -148,36 +147,59 @@ class _Letters(dict):
 
 
 def _confirmed(where: dict[str, list[tuple[int, int, int]]]) -> dict[str, tuple[int, int, int]]:
-    """Windows that recur among a seed's passages, with the first place of each. ``where``: places of each passage."""
+    """Phrases of recurring windows among a seed's passages, with the first place of each. ``where``: places of each passage.
+
+    Windows that always follow one another are one phrase: one recurs wherever the other does, and the first place of the
+    next is one word further.
+    """
     first: dict[str, tuple[int, int, int]] = {}
     again: set[str] = set()
+    before: dict[str, str] = {}  # the letter that always stands before a window, or none
+    after: dict[str, str] = {}
     for text, places in where.items():
         doc, t, start = places[0]
         for i in range(len(text) - WINDOW + 1):
             window, here = text[i : i + WINDOW], (doc, t, start + i)
-            before = first.setdefault(window, here)
-            if before is not here:
-                again.add(window)
-                if here < before:
-                    first[window] = here
-            elif len(places) > 1:
-                again.add(window)
-    return {w: first[w] for w in again}
+            left, right = text[i - 1] if i else "", text[i + WINDOW : i + WINDOW + 1]
+            known = first.setdefault(window, here)
+            if known is here:
+                before[window], after[window] = left, right
+                if len(places) > 1:
+                    again.add(window)
+                continue
+            again.add(window)
+            if here < known:
+                first[window] = here
+            if before[window] != left:
+                before[window] = ""
+            if after[window] != right:
+                after[window] = ""
+    out = {}
+    for text in where:
+        begin = 0
+        for i in range(len(text) - WINDOW + 1):
+            window = text[i : i + WINDOW]
+            if after[window] and before[text[i + 1 : i + 1 + WINDOW]]:
+                continue
+            if window in again:
+                out[text[begin : i + WINDOW]] = first[text[begin : begin + WINDOW]]
+            begin = i + 1
+    return out
 
 
 def _streamed(automaton, passages: list[tuple[str, list[tuple[int, int, int]]]], out: list[tuple[int, int, int, int]]) -> None:
-    """Locate every occurrence of the automaton's windows in the passages, and keep those with an earlier one."""
+    """Locate every occurrence of the automaton's phrases in the passages, and keep those with an earlier one."""
     automaton.make_automaton()
     for text, places in passages:
-        hits = [(end - WINDOW + 1, earliest) for end, earliest in automaton.iter(text)]
+        hits = [(end - size + 1, size, earliest) for end, (size, earliest) in automaton.iter(text)]
         for doc, t, start in places if hits else ():
             stop = -1
-            for i, earliest in hits:
+            for i, size, earliest in hits:
                 if (doc, t, start + i) > earliest:
                     if start + i <= stop:
-                        out[-1] = (*out[-1][:3], start + i + WINDOW)
+                        out[-1] = (*out[-1][:3], start + i + size)
                     else:
-                        out.append((doc, t, start + i, start + i + WINDOW))
+                        out.append((doc, t, start + i, start + i + size))
                     stop = out[-1][3]
 
 
@@ -200,8 +222,8 @@ def _located(table: pa.Table) -> pa.Table:
         for places in where.values():
             places.sort()
         again = _confirmed(where)
-        for window, earliest in again.items():
-            automaton.add_word(window, earliest)
+        for phrase, earliest in again.items():
+            automaton.add_word(phrase, (len(phrase), earliest))
         passages += where.items() if again else []
         if passages and (len(letters) > LETTERS or not by_seed):
             _streamed(automaton, passages, out)
@@ -231,7 +253,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = passages.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_located, "doc long, t long, start long, stop long")
     if not len(hot):
         return found
-    windows = texts.mapInArrow(_hot_windows(hot), "w1 long, w2 long, doc long, t long, start long")
+    windows = cut(texts.mapInArrow(_hot_windows(hot), "w1 long, w2 long, doc long, t long, start long"))  # read twice, made once
     place = F.struct("doc", "t", "start")
     first = windows.groupBy("w1", "w2").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeats = windows.join(first, ["w1", "w2"]).where(place > F.col("earliest"))
@@ -240,15 +262,22 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _without(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     kept, n_words, n_removed = [], [], []
-    for text, gone in zip(texts, ranges, strict=True):
-        words = text.as_py().encode().split()
-        stays = np.ones(len(words) + 1, bool)
-        for r in gone.as_py() or ():
-            stays[r["start"] : r["stop"]] = False
-        stays = stays[: len(words)]
-        kept.append(b" ".join(w for w, s in zip(words, stays, strict=True) if s).decode())
+    data, offsets = raw_bytes(texts)
+    gone = ranges.flatten()
+    begins, ends = gone.field("start").to_numpy(zero_copy_only=False).tolist(), gone.field("stop").to_numpy(zero_copy_only=False).tolist()
+    ats = np.cumsum([0, *(n or 0 for n in pc.list_value_length(ranges).to_pylist())]).tolist()
+    for i in range(len(texts)):
+        words = data[offsets[i] : offsets[i + 1]].tobytes().split()
+        stays, at = words, 0
+        if ats[i] < ats[i + 1]:
+            stays = []
+            for start, stop in sorted(zip(begins[ats[i] : ats[i + 1]], ends[ats[i] : ats[i + 1]], strict=True)):
+                stays += words[at:start]
+                at = max(at, stop)
+            stays += words[at:]
+        kept.append(b" ".join(stays).decode())
         n_words.append(len(words))
-        n_removed.append(int((~stays).sum()))
+        n_removed.append(len(words) - len(stays))
     return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["kept", "n_words", "n_removed"])
 
 

@@ -142,3 +142,13 @@ def test_large_sets_that_share_a_passage_are_told_apart_before_their_ngrams_trav
     got = jaccard.jaccard_components(helpers.documents(spark, rows), jaccard.Similarity(5, 8, 10)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(helpers.jaccard_components(rows, 5, 8, 10))
     assert sum(compared) == 0
+
+
+def test_windows_that_follow_one_another_are_one_phrase():
+    letters = "".join(chr(200 + i) for i in range(40))
+    assert substring._confirmed({letters[:33]: [(1, 0, 5), (2, 0, 0)]}) == {letters[:33]: (1, 0, 5)}
+    # The second passage leaves the first after 24 words: its windows are told apart from the first one's later windows.
+    got = substring._confirmed({letters[:30]: [(4, 0, 2), (5, 0, 0)], letters[:24] + "xyz": [(3, 0, 7)]})
+    assert got == {letters[:24]: (3, 0, 7), letters[5:30]: (4, 0, 7)}
+    # A window that follows itself stands for itself.
+    assert substring._confirmed({"a" * 25: [(1, 0, 0)]}) == {"a" * 20: (1, 0, 0)}
