@@ -15,7 +15,8 @@ occur again go into a filter sized by their number, and only keys that it lets p
 Before counting, pairs are sifted by 256 parity bits a set: an n-gram flips one bit, so the bits in which two sets differ
 are at most the n-grams in which they do. The sieve sits in the join itself and never drops a similar pair. What passes it
 is sifted again by parity bits in proportion to the sets (some four to eight an n-gram), because 256 say little about large
-sets; only pairs that pass both have their n-grams shuffled.
+sets; only pairs that pass both have their n-grams shuffled. Rows of keys that meet in the second round carry some of these
+(half an n-gram's or more), so large sets that share a passage aren't listed for each of its keys.
 
 Equal sets are one node. Inside a key, all sets are compared first with the one that shares the largest part of its keys;
 only sets that are then still in other components than most meet the rest, so large groups of near copies don't form all
@@ -112,6 +113,14 @@ def wide_parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def narrow_parity(wide: np.ndarray, n: int) -> np.ndarray | None:
+    """``wide`` folded to half a bit an n-gram or a little more; None where that's no more than ``parity`` has."""
+    bits = 1 << max(0, n - 1).bit_length() >> 1
+    while len(wide) * 64 > max(LEAST_WIDE, bits):
+        wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+    return wide if len(wide) * 64 > LEAST_WIDE else None
+
+
 def keys_of(grams: np.ndarray, like: Similarity) -> np.ndarray:
     """Keys of a set in its own size class and the next."""
     own = int(np.searchsorted(like.sizes(), len(grams)))
@@ -215,7 +224,7 @@ def recurring_filter(docs: DataFrame, like: Similarity, bucket_bits: int):
 
 
 def keyed_sets(texts: DataFrame, like: Similarity, held, bucket_bits: int) -> DataFrame:
-    """``id, node, n, p0..p3, wide, keys, part`` of rows with keys that ``held`` lets pass; ``part``: how many of 1,000 keys."""
+    """``id, node, n, p0..p3, narrow, wide, keys, part`` of rows with keys that ``held`` lets pass; ``part``: how many of 1,000 keys."""
 
     def rows(ids, sets: Iterator[np.ndarray]) -> list[tuple]:
         out = []
@@ -223,12 +232,13 @@ def keyed_sets(texts: DataFrame, like: Similarity, held, bucket_bits: int) -> Da
             if len(s) and len(keys := keys_of(s, like)):
                 good = keys[may_hold(held.value, mixed(_short(keys, bucket_bits)))]
                 if len(good):
-                    out.append((i, digest(s), len(s), *parity(s), wide_parity(s), good.view(np.int64), 1000 * len(good) // len(keys)))
+                    wide = wide_parity(s)
+                    out.append((i, digest(s), len(s), *parity(s), narrow_parity(wide, len(s)), wide, good.view(np.int64), 1000 * len(good) // len(keys)))
         return out
 
-    types = {"id": pa.int64(), "node": pa.binary(), "n": pa.int64(), **dict.fromkeys(PARITY, pa.int64()), "wide": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "part": pa.int32()}
+    types = {"id": pa.int64(), "node": pa.binary(), "n": pa.int64(), **dict.fromkeys(PARITY, pa.int64()), "narrow": pa.list_(pa.int64()), "wide": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "part": pa.int32()}
     run = _per_batch(rows, types, like.n)
-    return texts.select("id", "text").mapInArrow(run, f"id long, node binary, n long, {', '.join(p + ' long' for p in PARITY)}, wide array<long>, keys array<long>, part int")
+    return texts.select("id", "text").mapInArrow(run, f"id long, node binary, n long, {', '.join(p + ' long' for p in PARITY)}, narrow array<long>, wide array<long>, keys array<long>, part int")
 
 
 def fragment_overlaps(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
@@ -273,19 +283,23 @@ def _alike(like: Similarity, one: str = "x", two: str = "y") -> Column:
     return (F.least(n1, n2) * like.den >= F.greatest(n1, n2) * like.num) & (flips * (like.den + like.num) <= (n1 + n2) * (like.den - like.num))
 
 
-def _sifted(pairs: DataFrame, wides: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs (x, y, nx, ny) whose wide parity bits allow a link. Never without a link."""
-    met = pairs.join(wides.select(F.col("node").alias("x"), F.col("wide").alias("wx")), "x").join(wides.select(F.col("node").alias("y"), F.col("wide").alias("wy")), "y")
+def _near(one: str, two: str, both: Column, like: Similarity) -> Column:
+    """Whether parity bits in columns ``one`` and ``two`` allow sets of ``both`` n-grams to link. Never false for a link."""
     xor = lambda a, b: a.bitwiseXOR(b)
 
     def folded(one: str, two: str) -> Column:  # bits of the wider set, taken by one bit of their place less
         half = F.size(two)
         return F.when(F.size(one) > half, F.zip_with(F.slice(one, F.lit(1), half), F.slice(one, half + 1, half), xor)).otherwise(F.col(one))
 
-    # Sets whose widths still differ give a null, and stay.
-    flips = F.aggregate(F.zip_with(folded("wx", "wy"), folded("wy", "wx"), xor), F.lit(0), lambda n, w: n + F.bit_count(w))
-    near = flips * (like.den + like.num) <= (F.col("nx") + F.col("ny")) * (like.den - like.num)
-    return met.where(F.coalesce(near, F.lit(True))).select("x", "y", "nx", "ny")
+    # Sets without such bits, or whose widths still differ, give a null, and stay.
+    flips = F.aggregate(F.zip_with(folded(one, two), folded(two, one), xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+    return F.coalesce(flips * (like.den + like.num) <= both * (like.den - like.num), F.lit(True))
+
+
+def _sifted(pairs: DataFrame, wides: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs (x, y, nx, ny) whose wide parity bits allow a link. Never without a link."""
+    met = pairs.join(wides.select(F.col("node").alias("x"), F.col("wide").alias("wx")), "x").join(wides.select(F.col("node").alias("y"), F.col("wide").alias("wy")), "y")
+    return met.where(_near("wx", "wy", F.col("nx") + F.col("ny"), like)).select("x", "y", "nx", "ny")
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -309,17 +323,18 @@ def linked_sets(texts: DataFrame, nodes: DataFrame, like: Similarity) -> DataFra
     stars = cut(pairs(sides(meets).where(_alike(like))))
     links = cut(fragment_overlaps(texts, cut(_sifted(stars, wides, like)), nodes, like))
     roots = components(links)
-    # What is still apart from most of its key meets all others of the key.
-    placed = found.select("node", "keys").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
-    placed = cut(placed.join(open_keys, "key", "left_semi"))
+    # What is still apart from most of its key meets all others of the key but the one that all were compared with.
+    placed = found.select("node", "part", "keys").join(roots, "node", "left").select("node", "part", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.max(F.struct("part", "node"))["node"].alias("leader"), F.count(F.lit(1)).alias("share"))
+    placed = cut(placed.drop("part").join(open_keys.where("one <> two and share > 2").select("key", "leader"), "key").where("node <> leader").drop("leader"))
     groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    most = groups.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
-    open_rows = placed.join(most, "key").join(facts, "node")
+    most = groups.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    open_rows = placed.join(most, "key").join(found.select("node", "n", *PARITY, "narrow"), "node")
     apart = _prefixed(open_rows.where(F.col("root") != F.col("main")), "x")
     others = _prefixed(open_rows, "y").withColumnRenamed("key", "y_key")
     different = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
-    still = apart.join(others, (F.col("key") == F.col("y_key")) & different & _alike(like))
+    near = _near("x_narrow", "y_narrow", F.col("x_n") + F.col("y_n"), like)  # 256 bits let all large sets pass
+    still = apart.join(others, (F.col("key") == F.col("y_key")) & different & _alike(like) & near)
     still = still.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny")).distinct()
     done = stars.select("x", "y").unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
     rest = cut(_sifted(still.join(done, ["x", "y"], "left_anti"), wides, like))

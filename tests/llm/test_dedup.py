@@ -152,3 +152,22 @@ def test_windows_that_follow_one_another_are_one_phrase():
     assert got == {letters[:24]: (3, 0, 7), letters[5:30]: (4, 0, 7)}
     # A window that follows itself stands for itself.
     assert substring._confirmed({"a" * 25: [(1, 0, 0)]}) == {"a" * 20: (1, 0, 0)}
+
+
+def test_large_sets_that_share_a_passage_are_not_listed_for_its_keys(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(800))
+    rows = [(d, f"{passage} " + " ".join(f"w{d}x{i}" for i in range(800))) for d in range(12)]
+    rows += [(20 + d, " ".join(f"q{i}" for i in range(1_010 + 5 * d))) for d in range(6)]  # widths of bits differ at 1,024 n-grams
+    listed, whole = [], jaccard._sifted
+
+    def seen(pairs, wides, like):
+        listed.append(pairs.count())
+        return whole(pairs, wides, like)
+
+    monkeypatch.setattr(jaccard, "_sifted", seen)
+    got = jaccard.jaccard_components(helpers.documents(spark, rows), jaccard.Similarity(3, 9, 10)).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, helpers.jaccard_components(rows, 3, 9, 10)))
+    assert len(listed) == 2 and listed[1] == 0  # the first are pairs with the one set that all others of a key meet
+    one = np.unique(np.random.default_rng(1).integers(0, 2**64, 3_000, dtype=np.uint64))
+    bits = jaccard.narrow_parity(jaccard.wide_parity(one), len(one)).view(np.uint64)
+    assert len(bits) == 32 and int(np.bitwise_count(bits).sum()) == int((np.bincount((one & np.uint64(2047)).astype(int), minlength=2048) & 1).sum())
