@@ -16,7 +16,7 @@ Before counting, pairs are sifted by 256 parity bits a set: an n-gram flips one
 are at most the n-grams in which they do. The sieve sits in the join itself and never drops a similar pair. What passes it
 is sifted again by parity bits in proportion to the sets (some four to eight an n-gram), because 256 say little about large
 sets; only pairs that pass both have their n-grams shuffled. Rows of keys that meet in the second round carry some of these
-(half an n-gram's or more), so large sets that share a passage aren't listed for each of its keys.
+(one or two an n-gram), so large sets that share a passage aren't listed for each of its keys.
 
 Equal sets are one node. Inside a key, all sets are compared first with the one that shares the largest part of its keys;
 only sets that are then still in other components than most meet the rest, so large groups of near copies don't form all
@@ -114,8 +114,8 @@ def wide_parity(grams: np.ndarray) -> np.ndarray:
 
 
 def narrow_parity(wide: np.ndarray, n: int) -> np.ndarray | None:
-    """``wide`` folded to half a bit an n-gram or a little more; None where that's no more than ``parity`` has."""
-    bits = 1 << max(0, n - 1).bit_length() >> 1
+    """``wide`` folded to one or two bits an n-gram; None where that's no more than ``parity`` has."""
+    bits = 1 << (n - 1).bit_length()
     while len(wide) * 64 > max(LEAST_WIDE, bits):
         wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
     return wide if len(wide) * 64 > LEAST_WIDE else None

@@ -170,4 +170,4 @@ def test_large_sets_that_share_a_passage_are_not_listed_for_its_keys(spark, monk
     assert len(listed) == 2 and listed[1] == 0  # the first are pairs with the one set that all others of a key meet
     one = np.unique(np.random.default_rng(1).integers(0, 2**64, 3_000, dtype=np.uint64))
     bits = jaccard.narrow_parity(jaccard.wide_parity(one), len(one)).view(np.uint64)
-    assert len(bits) == 32 and int(np.bitwise_count(bits).sum()) == int((np.bincount((one & np.uint64(2047)).astype(int), minlength=2048) & 1).sum())
+    assert len(bits) == 64 and int(np.bitwise_count(bits).sum()) == int((np.bincount((one & np.uint64(4095)).astype(int), minlength=4096) & 1).sum())
