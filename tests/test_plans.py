@@ -92,6 +92,30 @@ def test_permuted_values_travel_without_other_columns(spark):
         assert abs(got[f]["importance_mean"] - sum(lost) / 3) < 1e-9
 
 
+def test_importance_of_a_linear_model_is_that_of_scored_rows(spark, monkeypatch):
+    """All blocks, rims and ranges give what scoring each permuted row gives; categories and unknown features count too."""
+    data = [(f"u{n % 17}", f"c{n}", n, "ABC"[n * 7 % 3], float(n * 37 % 11), float(n * 53 % 13) if n % 9 else None, float(n % 4), int((n * 37 % 11) + (n * 7 % 3) * 2 + n % 5 > 8)) for n in range(401)]
+    rows = spark.createDataFrame(data, "user_id string, content_id string, ts_us long, kind string, a double, b double, other double, target int").repartition(3).cache()
+    weighted = rows.withColumn("fit_weight", F.lit(1.0))
+    centers = {"a": (5.0, 4.0), "b": (6.0, 7.0)}
+    model = training.Pipeline(stages=[*training.stages(["a", "b"], ["kind"]), training.algorithms(401, 1)["LogisticRegression"]]).fit(training.prepare(weighted, ["a", "b"], ["kind"], centers))
+    s = training.Scorer("LogisticRegression", model, ["a", "b"], ["kind"], centers)
+
+    class Rows:
+        numeric, categorical, score = s.numeric, s.categorical, s.score
+
+    monkeypatch.setattr(training, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(training, "RANKED_ROWS", 90)
+    read = lambda scorer: {r["feature"]: (r["importance_mean"], r["importance_std"]) for r in training.permutation_importance(scorer, rows, ["kind", "a", "b", "other"]).collect()}
+    got, want = read(s), read(Rows())
+    assert set(got) == {"kind", "a", "b", "other"} and got["other"] == (0.0, 0.0) and got["a"][0] > 0.01
+    assert all(abs(x - y) < 1e-9 for f in want for x, y in zip(got[f], want[f]))
+    s.calibration = (2.0, -0.3)
+    assert all(abs(x - y) < 1e-9 for f in want for x, y in zip(read(s)[f], want[f]))
+    with_none = training.permutation_importance(s, rows.where("ts_us < 3"), ["a"]).collect()
+    assert len(with_none) == 1 and training.permutation_importance(s, rows.where("ts_us < 0"), ["a"]).collect() == []
+
+
 def test_a_catalog_is_not_broadcast_by_the_size_of_its_file(spark, tmp_path):
     parts = spark.range(300_000).select(F.col("id").alias("p_partkey"), F.lit("large ring").alias("p_name"), F.lit("Brand#7").alias("p_brand"), F.lit("LARGE").alias("p_type"),
                                         F.lit(1).cast("int").alias("p_size"), F.lit(900.0).alias("p_retailprice"))
