@@ -5,8 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom.operators import adaptation, decisions, training
+from signalloom.operators import adaptation, decisions, features, training
 from signalloom.plans import recommend as plan
+from signalloom.registry import modelling
 from signalloom.sources import adapter
 from tests.helpers import DAY, MIN, T0, contents, frame, random_rows, row
 
@@ -116,6 +117,14 @@ def test_importance_of_a_linear_model_is_that_of_scored_rows(spark, monkeypatch)
     assert len(with_none) == 1 and training.permutation_importance(s, rows.where("ts_us < 0"), ["a"]).collect() == []
 
 
+def test_importance_covers_all_features(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(training, "train_candidates", lambda *a, **kw: {"LogisticRegression": None})
+    monkeypatch.setattr(training, "permutation_importance", lambda scorer, rows, names, **kw: asked.extend(names))
+    modelling.permutation_importance(spark, "/root/testdata/sf0.001")
+    assert sorted(asked) == sorted(features.FEATURES)
+
+
 def test_a_catalog_is_not_broadcast_by_the_size_of_its_file(spark, tmp_path):
     parts = spark.range(300_000).select(F.col("id").alias("p_partkey"), F.lit("large ring").alias("p_name"), F.lit("Brand#7").alias("p_brand"), F.lit("LARGE").alias("p_type"),
                                         F.lit(1).cast("int").alias("p_size"), F.lit(900.0).alias("p_retailprice"))
