@@ -1,7 +1,7 @@
 """Classification and ranking metrics of scored rows, exact and without any one-task sort.
 
 Threshold-free metrics first reduce rows to distinct scores; ranking metrics at k keep k rows per
-group; a hot group therefore never lands whole in one task. ``keys`` evaluates several models at once.
+group where a group may be hot; a hot group therefore never lands whole in one task. ``keys`` evaluates several models at once.
 Columns: ``y`` label, ``p`` score in [0, 1], ``group_id``, ``row_id`` (last tie-break).
 """
 
@@ -11,10 +11,10 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .running import HEAVY_ROWS, Family, detect, one_row, prior_state, top_n
+from .running import HEAVY_ROWS, Family, crowded, dealt_by, detect, one_row, prior_state, top_n
 
 KS = (5, 10)
 EPS = 1e-15
@@ -102,21 +102,36 @@ def calibration_bins(df: DataFrame, n_bins: int = 10) -> DataFrame:
     return bins.join(got, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def group_metrics(df: DataFrame, keys: Sequence[str] = (), *, relevant: float = 1, ks: Sequence[int] = KS) -> DataFrame:
-    """Per group: size, positives, hits and (ideal) gain at each k, rank of the first relevant row."""
+#: Rows of all groups that one task of ``group_metrics`` gets, about.
+GROUPED_ROWS = 1_000_000
+
+
+def group_metrics(df: DataFrame, keys: Sequence[str] = (), *, relevant: float = 1, ks: Sequence[int] = KS, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Per group: size, positives, hits and (ideal) gain at each k, rank of the first relevant row.
+
+    Rows move once, to the task of their group, unless a group may be hot: then k rows per group and partial sums do.
+    """
     g = [*keys, "group_id"]
     kmax = max(ks)
     rel = (F.col("y") >= relevant).cast("int")
     gain = lambda r: F.col("y") * (math.log(2) / F.log(F.col(r) + 1.0))
     at = lambda r, k, c: F.sum(F.when(F.col(r) <= k, c))
+    top_cols = [*[at("_r", k, rel).alias(f"hits{k}") for k in ks], *[at("_r", k, gain("_r")).alias(f"dcg{k}") for k in ks]]
+    best_cols = [at("_i", k, gain("_i")).alias(f"idcg{k}") for k in ks]
+    sizes = [F.count(F.lit(1)).alias("n"), F.sum(rel).alias("positives")]
+    hot, rows = crowded(df, g, heavy_rows)
+    if not hot:
+        known = df.select(*g, "p", "y", "row_id").where(F.expr(" and ".join(f"`{c}` is not null" for c in g)))
+        tasks = None if rows <= GROUPED_ROWS else max(-(-rows // GROUPED_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        by_score, by_label = Window.partitionBy(*g).orderBy(F.desc("p"), F.asc("row_id")), Window.partitionBy(*g).orderBy(F.desc("y"))
+        # Rows equal in score and id are counted together.
+        ranked = dealt_by(known, tasks, *g).withColumns({"_r": F.row_number().over(by_score), "_upto": F.count(F.lit(1)).over(by_score)})
+        ranked = ranked.withColumn("_i", F.row_number().over(by_label))
+        return ranked.groupBy(*g).agg(*sizes, *top_cols, *best_cols, F.min(F.when(rel == 1, F.col("_upto"))).alias("first_rank"))
     ranked = top_n(df, g, [F.desc("p"), F.asc("row_id")], kmax, rank="_r")
-    top = ranked.groupBy(*g).agg(
-        *[at("_r", k, rel).alias(f"hits{k}") for k in ks], *[at("_r", k, gain("_r")).alias(f"dcg{k}") for k in ks])
-    best = top_n(df, g, [F.desc("y"), F.asc("row_id")], kmax, rank="_i").groupBy(*g).agg(
-        *[at("_i", k, gain("_i")).alias(f"idcg{k}") for k in ks])
-    totals = df.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(rel).alias("positives"),
-        F.min(F.when(rel == 1, F.struct((-F.col("p")).alias("np"), "row_id"))).alias("_first"))
+    top = ranked.groupBy(*g).agg(*top_cols)
+    best = top_n(df, g, [F.desc("y"), F.asc("row_id")], kmax, rank="_i").groupBy(*g).agg(*best_cols)
+    totals = df.groupBy(*g).agg(*sizes, F.min(F.when(rel == 1, F.struct((-F.col("p")).alias("np"), "row_id"))).alias("_first"))
     firsts = totals.where(F.col("_first").isNotNull()).select(*g, "_first")
     ahead = df.join(firsts, g).where(F.struct((-F.col("p")).alias("np"), "row_id") <= F.col("_first"))
     rank = ahead.groupBy(*g).agg(F.count(F.lit(1)).alias("first_rank"))

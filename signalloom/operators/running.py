@@ -78,6 +78,17 @@ def detect(df: DataFrame, base: Sequence[str], heavy_rows: int = HEAVY_ROWS) ->
     return "detect" if n.limit(1).collect() else None
 
 
+def crowded(df: DataFrame, base: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> tuple[bool, int]:
+    """Whether a key may have more than ``heavy_rows`` rows, and the number of rows.
+
+    Rows are counted by hashes of their keys, of which there are few, so the pass ships next to nothing. Keys that share a
+    hash are counted together, so a hot key is never missed.
+    """
+    cells = df.groupBy(F.pmod(F.xxhash64(*base), F.lit(1 << 16)).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    most, rows = cells.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    return most > heavy_rows, rows
+
+
 def slice_of(at: Column) -> Column:
     """Slice that ``at`` falls into by the ``_bounds`` of its row; 0 for light keys."""
     return F.coalesce(F.size(F.filter("_bounds", lambda b: b <= at)), F.lit(0)).cast("long")

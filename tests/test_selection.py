@@ -17,6 +17,24 @@ def test_quota_fill_order(spark):
     assert [(r["content_id"], r["source"]) for r in got if r["user_id"] == "v"] == [("x", "TRENDING"), ("y", "NEW_CONTENT")]
 
 
+def test_group_metrics_move_rows_once_and_do_not_depend_on_hot_groups(spark):
+    rng = random.Random(5)
+    rows = [(m, None if g == 9 else g, f"r{rng.randrange(40):02d}", rng.choice([0.1, 0.4, 0.4, 0.9]), rng.choice([0, 0, 0, 1, 2, None])) for m in "ab" for g in range(10) for _ in range(1 + g * 3)]
+    rows += [("a", 7, "same", 0.4, 0), ("a", 7, "same", 0.4, 1), ("b", 20, "x", 0.5, 0), ("a", 21, "y", 0.5, None)]
+    rows += [("a", 30, f"z{i:02d}", 1 - i / 50, int(i > 20)) for i in range(30)]
+    df = spark.createDataFrame(rows, "model string, group_id long, row_id string, p double, y int")
+    read = lambda out: {(r["model"], r["group_id"]): r.asDict() for r in out.collect()}
+    once = metrics.group_metrics(df, ["model"], relevant=1, ks=[3, 5])
+    got, want = read(once), read(metrics.group_metrics(df, ["model"], relevant=1, ks=[3, 5], heavy_rows=10))
+    assert got["a", 30]["first_rank"] == 22 and len(got) == len(want) == 21
+    for g, r in want.items():
+        # Rows equal in score and id have no order, so only what does not depend on it is compared there.
+        for c in ("n", "positives", "first_rank", "idcg3", "idcg5", *(["hits3", "hits5", "dcg3", "dcg5"] if g[1] != 7 else [])):
+            assert got[g][c] == r[c] or abs(got[g][c] - r[c]) < 1e-12, (g, c, got[g], r)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "WindowGroupLimit" not in plan
+
+
 def test_first_unseen_is_exact(spark):
     rng = random.Random(2)
     cat = [(f"c{i:03d}", "k%d" % (i % 2), i) for i in range(80)]
