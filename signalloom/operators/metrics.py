@@ -178,16 +178,19 @@ def diversity(df: DataFrame, k: int = 10) -> DataFrame:
     return share.join(top.groupBy("group_id").agg(F.countDistinct("creator_id").alias("unique_creators")), "group_id")
 
 
-def top_k_profile(ranked: DataFrame, k: int = 10) -> DataFrame:
+def top_k_profile(ranked: DataFrame, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Per group over rows ranked (column ``rank``) up to k: uniques, seen rate, concentrations, precision."""
-    top = ranked.where(F.col("rank") <= k)
-    base = top.groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("already_seen").cast("double")).alias("seen_rate"), F.avg("y").alias("precision"))
+    g = [*keys, "group_id"]
+    top = ranked.where((F.col("rank") <= k) & F.expr(" and ".join(f"`{c}` is not null" for c in g)))
+    # A group has k rows here, so its values are counted inside an array.
+    listed = lambda c: F.collect_list(F.struct(c)).alias(f"_{c}")
+    base = top.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("already_seen").cast("double")).alias("seen_rate"), F.avg("y").alias("precision"), listed("category"), listed("creator_id"))
     for col in ("category", "creator_id"):
-        c = top.groupBy("group_id", col).agg(F.count(F.lit(1)).alias("c")).groupBy("group_id").agg(
-            F.count(F.lit(1)).alias(f"unique_{col}"), (F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), 2)).alias(f"{col}_concentration"))
-        base = base.join(c, "group_id")
-    return base
+        v = F.col(f"_{col}")
+        squares = F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + F.size(F.filter(v, lambda y: y.eqNullSafe(x))))
+        base = base.withColumns({f"unique_{col}": F.size(F.array_distinct(v)).cast("long"), f"{col}_concentration": squares / F.pow(F.col("n"), F.lit(2))})
+    return base.drop("_category", "_creator_id")
 
 
 def bootstrap_intervals(df: DataFrame, threshold: float = 0.5, *, replicates: int = 200, seed: int = 42) -> DataFrame:

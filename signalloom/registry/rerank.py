@@ -55,20 +55,15 @@ def greedy_diversity_select(spark, d):
 
 
 def rerank_before_after(spark, d):
-    """Uniques, seen rate and concentrations of the top three before and after re-ranking, mean over orders."""
-    s = _scored(spark, d)
-    before = s.withColumn("group_id", F.col("user_id")).withColumn("p", F.col("model_score"))
-    from pyspark.sql import Window
-
-    size = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    before = before.withColumn("_n", size).where("_n >= 2").withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("p"), "content_id")))
-    y = (F.col("category_affinity") > 0.5).cast("int")
-    pre = metrics.top_k_profile(before.withColumn("y", y), 3)
-    after = rerank.rerank(s, 3).select("user_id", "content_id", "rank").join(before.drop("rank").withColumn("y", y), ["user_id", "content_id"])
-    post = metrics.top_k_profile(after, 3)
+    """Uniques, seen rate and concentrations of the top three before and after re-ranking, mean over orders of two rows or more."""
+    s = _scored(spark, d).withColumn("y", (F.col("category_affinity") > 0.5).cast("int"))
+    # Re-ranking knows each row's place before it, so both orders come from one pass over an order's rows.
+    placed = rerank.rerank(s, 3, carry=["already_seen", "y"], all_rows=True).withColumn("group_id", F.col("user_id"))
+    both = F.array(F.struct(F.lit("before").alias("stage"), F.col("pre_rank").alias("rank")), F.struct(F.lit("after").alias("stage"), F.col("rank").alias("rank")))
+    profile = metrics.top_k_profile(placed.withColumn("_both", both).drop("rank").select("*", F.inline("_both")).drop("_both"), 3, ["stage"]).where("n >= 2")
     cols = ["seen_rate", "precision", "unique_category", "category_concentration", "unique_creator_id", "creator_id_concentration"]
-    means = lambda df, when: df.agg(*[F.round(F.avg(c), 6).alias(c) for c in cols]).withColumn("stage", F.lit(when))
-    return means(pre, "before").unionByName(means(post, "after"))
+    means = lambda stage: F.struct(*[F.round(F.avg(F.when(F.col("stage") == stage, F.col(c))), 6).alias(c) for c in cols], F.lit(stage).alias("stage"))
+    return profile.agg(F.array(means("before"), means("after")).alias("_rows")).select(F.inline("_rows"))
 
 
 def _live(spark, d):

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from signalloom.operators import lists, metrics, profiles, rerank, retrieval
+from signalloom.registry import rerank as registry_rerank
 
 
 def test_quota_fill_order(spark):
@@ -35,6 +36,45 @@ def test_group_metrics_move_rows_once_and_do_not_depend_on_hot_groups(spark):
     assert "Join" not in plan and "WindowGroupLimit" not in plan
 
 
+def test_top_k_profile_counts_values_of_each_group(spark):
+    rng = random.Random(8)
+    rows = [(s, None if g == 4 else g, n + 1, rng.choice(["x", "y", None]), rng.choice(["p", "q", "r"]), rng.randrange(2), rng.randrange(2)) for s in ("before", "after") for g in range(5) for n in range(g + 1)]
+    df = spark.createDataFrame(rows, "stage string, group_id long, rank int, category string, creator_id string, already_seen int, y int")
+    got = {(r["stage"], r["group_id"]): r for r in metrics.top_k_profile(df, 3, ["stage"]).collect()}
+    assert len(got) == 8 and metrics.top_k_profile(df.where("stage = 'after'"), 3).count() == 4
+    for (stage, g), r in got.items():
+        top = [x for x in rows if x[0] == stage and x[1] == g and x[2] <= 3]
+        assert r["n"] == len(top) and abs(r["seen_rate"] - sum(x[5] for x in top) / len(top)) < 1e-12 and abs(r["precision"] - sum(x[6] for x in top) / len(top)) < 1e-12
+        for at, c in ((3, "category"), (4, "creator_id")):
+            values = [x[at] for x in top]
+            assert r[f"unique_{c}"] == len(set(values))
+            assert abs(r[f"{c}_concentration"] - sum(values.count(v) ** 2 for v in set(values)) / len(top) ** 2) < 1e-12
+
+
+def test_rerank_before_after_moves_rows_once(spark):
+    """Both stages are those of the re-ranking itself and of a plain sort; rows move to their order once, without texts."""
+    place = "/root/testdata/sf0.001"
+    query = registry_rerank.rerank_before_after(spark, place)
+    s = registry_rerank._scored(spark, place).withColumn("y", (F.col("category_affinity") > 0.5).cast("int")).cache()
+    picked = {(r["user_id"], r["content_id"]): r["rank"] for r in rerank.rerank(s, 3).collect()}
+    groups = {}
+    for r in s.select("user_id", "content_id", "model_score", "already_seen", "y", "category", "creator_id").collect():
+        groups.setdefault(r["user_id"], []).append(r)
+    for got in query.collect():
+        tops = []
+        for rows in groups.values():
+            if len(rows) > 1:
+                rows = sorted(rows, key=lambda r: (-r["model_score"], r["content_id"]))
+                tops.append(rows[:3] if got["stage"] == "before" else [r for r in rows if (r["user_id"], r["content_id"]) in picked])
+        mean = lambda f: sum(map(f, tops)) / len(tops)
+        assert abs(got["seen_rate"] - mean(lambda t: sum(r["already_seen"] for r in t) / len(t))) < 1e-6
+        assert abs(got["precision"] - mean(lambda t: sum(r["y"] for r in t) / len(t))) < 1e-6
+        assert abs(got["unique_category"] - mean(lambda t: len({r["category"] for r in t}))) < 1e-6
+        assert abs(got["creator_id_concentration"] - mean(lambda t: sum(sum(r["creator_id"] == x["creator_id"] for x in t) for r in t) / len(t) ** 2)) < 1e-6
+    plan = query._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(user_id") == 1
+
+
 def test_first_unseen_is_exact(spark):
     rng = random.Random(2)
     cat = [(f"c{i:03d}", "k%d" % (i % 2), i) for i in range(80)]
