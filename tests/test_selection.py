@@ -75,6 +75,28 @@ def test_rerank_before_after_moves_rows_once(spark):
     assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(user_id") == 1
 
 
+def test_dense_search_holds_the_best_of_a_block_only(spark):
+    """Queries without a floor and many equal scores: memory goes by the depth, results are those of brute force."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    kinds, depth = rng.integers(-3, 4, (400, 8)).astype(float), rng.integers(5, 40, 1_024)
+    items = pd.DataFrame({"item_id": [f"i{n:05d}" for n in range(8_192)], "vector": list(kinds[rng.integers(0, 400, 8_192)])})
+    queries = pd.DataFrame({"query_id": np.arange(1_024), "vector": list(rng.integers(-3, 4, (1_024, 8)).astype(float)), "_depth": depth, "floor": [None] * 1_024})
+    tracemalloc.start()
+    got = retrieval._search(queries, items.sample(frac=1, random_state=1), None, retrieval._best_in_block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scores = np.stack(queries["vector"]) @ np.stack(items["vector"]).T
+    for q in (0, 1, 500, 1_023):
+        best = np.lexsort((np.arange(8_192), -scores[q]))[: depth[q]]
+        own = got[got["query_id"] == q]
+        assert sorted(own["item_id"]) == sorted(items["item_id"].iloc[best])
+    assert len(got) == depth.sum() and peak < 200e6
+
+
 def test_first_unseen_is_exact(spark):
     rng = random.Random(2)
     cat = [(f"c{i:03d}", "k%d" % (i % 2), i) for i in range(80)]
