@@ -84,16 +84,16 @@ def _stepped(p: Sequence[Column], pushes: Sequence[Sequence[float]]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(pushes) - 1)), F.lit(1.0), lambda rate, k: F.greatest(F.lit(0.0), rate - push(k)))
 
 
-def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = 300, tolerance: float = 1e-4, evident: Sequence[bool] | None = None) -> DataFrame:
+def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | None = None, tolerance: float = 1e-4, evident: Sequence[bool] | None = None) -> DataFrame:
     """``members`` (tokens, p) plus ``rate``.
 
-    ``targets`` are nonnegative weights of the domains. Domains that are not ``evident`` have no goal. ``budget`` is the
-    number of tokens wanted, by default as many as keep the first domain whole; scarcer ones then stay short of their
-    targets, with what they have as their goal. With a budget they are repeated. Least squares on domain totals relative
-    to their goals. Empty input, no token or no evident domain at all: rates of 1.
+    ``targets`` are nonnegative weights of the domains. Domains that are not ``evident`` have no goal: documents hold them in
+    equal parts, so rates can't move their share. ``budget`` is the number of tokens wanted, by default as many as keep the
+    first domain whole; documents of scarcer ones are then repeated. Least squares on domain totals relative to their goals.
+    Empty input, no token or no evident domain at all: rates of 1.
 
     A step that doesn't lower the loss is shortened, in the end to a length that lowers it; so the last rates are the
-    best. The fit ends when targets are met or the projected gradient is small.
+    best. The fit ends, after however many steps, when targets are met or the projected gradient is small.
     """
     at = [i for i, t in enumerate(targets) if evident is None or evident[i]]
     weight = sum(targets[i] for i in at)
@@ -105,7 +105,7 @@ def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | N
     if not total or not targets:
         return members.withColumn("rate", F.lit(1.0))
     wanted = budget if budget is not None else next((o / t for o, t in zip(owned, targets, strict=True) if t > 0 and o > 0), total)
-    goal = np.array([max(t * wanted if budget is not None else min(o, t * wanted), 1e-9 * total) for o, t in zip(owned, targets, strict=True)])
+    goal = np.array([max(t * wanted, 1e-9 * total) for t in targets])
 
     def after(pushes: Sequence[Sequence[float]]) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss, residuals, and overlaps of the domains among documents that can still move."""
@@ -119,9 +119,7 @@ def fitted_rates(members: DataFrame, targets: Sequence[float], budget: float | N
     # A plain gradient step of 1 / steepest lowers the loss, whichever documents are held at 0.
     steepest = max(float(np.linalg.eigvalsh(metric / np.sqrt(np.outer(goal, goal))).max()), 1e-300)
     own, plain = 1.0, 1.0  # lengths of the steps in the metric of the overlaps, given up once none helps, and of plain ones
-    for _ in range(steps):
-        if loss < tolerance:
-            break
+    while loss >= tolerance:
         found, push = None, off
         full = np.linalg.solve(metric + 1e-6 * max(np.trace(metric), 1.0) * np.eye(len(p)), off)
         while own and (found is None or found[0] >= loss * (1 - 2e-2)):
@@ -161,7 +159,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
           sample: int = SAMPLE, budget: float | None = None) -> DataFrame:
     """id, ``tokens``, ``p_<domain>`` and ``rate`` per row of ``docs``; ``labels``: id, domain.
 
-    By default the first domain of ``targets`` stays whole and scarcer ones stay short (see ``fitted_rates``). Null texts
+    By default the first domain of ``targets`` stays whole and scarcer ones are repeated (see ``fitted_rates``). Null texts
     have no tokens; texts of any length count whole. Null or repeated ids and repeated rows stay rows of their own; rows with
     equal posteriors have equal rates. Without labelled rows all posteriors are equal. No rows in, no rows out. Other
     columns are not read.

@@ -150,6 +150,18 @@ def test_mixing_without_a_domain_keeps_the_others(spark):
     assert max(rates) < 1.2 and min(rates[:50]) > 0.98
 
 
+def test_mixing_reaches_the_targets_of_scarce_domains(spark):
+    """Domains with less than their target are repeated until their shares are met; the first stays whole."""
+    for clean, toxic, junk in ((200, 2, 1), (300, 1, 40), (100, 30, 1)):
+        rows = [(100, [0.98, 0.01, 0.01])] * clean + [(60, [0.01, 0.98, 0.01])] * toxic + [(40, [0.02, 0.01, 0.97])] * junk
+        members = spark.createDataFrame(rows, "tokens long, p array<double>").coalesce(2)
+        got = mixing.fitted_rates(members, [0.95, 0.03, 0.02]).toPandas()
+        p, n, r = np.array(got["p"].tolist()), got["tokens"].to_numpy(), got["rate"].to_numpy()
+        sums = (p * (n * r)[:, None]).sum(0)
+        assert np.abs(sums / sums.sum() - [0.95, 0.03, 0.02]).max() < 0.001
+        assert abs(sums[0] / (p[:, 0] * n).sum() - 1) < 0.001
+
+
 def test_mixing_edges_and_drawing(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = helpers.documents(spark, [(1, "a b"), (2, None), (None, "c"), (1, "a b")])
