@@ -99,7 +99,7 @@ def test_importance_of_a_linear_model_is_that_of_scored_rows(spark, monkeypatch)
     rows = spark.createDataFrame(data, "user_id string, content_id string, ts_us long, kind string, a double, b double, other double, target int").repartition(3).cache()
     weighted = rows.withColumn("fit_weight", F.lit(1.0))
     centers = {"a": (5.0, 4.0), "b": (6.0, 7.0)}
-    model = training.Pipeline(stages=[*training.stages(["a", "b"], ["kind"]), training.algorithms(401, 1)["LogisticRegression"]]).fit(training.prepare(weighted, ["a", "b"], ["kind"], centers))
+    model = training.Pipeline(stages=[*training.stages(["a", "b"], ["kind"]), training.algorithms(401, 1, 1)["LogisticRegression"]]).fit(training.prepare(weighted, ["a", "b"], ["kind"], centers))
     s = training.Scorer("LogisticRegression", model, ["a", "b"], ["kind"], centers)
 
     class Rows:
@@ -125,6 +125,17 @@ def test_importance_covers_all_features(spark, monkeypatch):
     assert sorted(asked) == sorted(features.FEATURES)
 
 
+def test_candidates_are_fitted_in_full(spark, monkeypatch):
+    """The registered query asks for the reference's 120 trees and 200 boosting rounds, and the algorithms have them."""
+    asked = []
+    monkeypatch.setattr(training, "fit_weights", lambda rows, **kw: rows)
+    monkeypatch.setattr(training, "algorithms", lambda n, trees, rounds, algorithms=training.algorithms: asked.append(algorithms(n, trees, rounds)) or {})
+    columns = {c: F.lit("a") if c in features.CATEGORICAL else F.lit(1.0) for c in features.FEATURES}
+    monkeypatch.setattr(modelling, "_dataset", lambda spark, d: spark.range(5).select(*[v.alias(c) for c, v in columns.items()]))
+    assert modelling.train_candidates(spark, "") is None
+    assert asked[0]["RandomForest"].getNumTrees() == 120 and asked[0]["GradientBoosting"].getMaxIter() == 200
+
+
 def test_a_catalog_is_not_broadcast_by_the_size_of_its_file(spark, tmp_path):
     parts = spark.range(300_000).select(F.col("id").alias("p_partkey"), F.lit("large ring").alias("p_name"), F.lit("Brand#7").alias("p_brand"), F.lit("LARGE").alias("p_type"),
                                         F.lit(1).cast("int").alias("p_size"), F.lit(900.0).alias("p_retailprice"))
